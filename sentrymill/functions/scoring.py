@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
-from sentrymill.functions.text import literal_map, utc_hour
+from sentrymill.functions.text import points_map, text_map, utc_hour
 
 
 def threat_confidence(abuse: Column, malicious: Column, engines: Column) -> Column:
@@ -29,11 +29,11 @@ def threat_verdict(confidence: Column) -> Column:
 
 
 def severity_points(severity: Column) -> Column:
-    return F.coalesce(literal_map(D.SEVERITY_POINTS)[severity], F.lit(D.UNKNOWN_SEVERITY_POINTS))
+    return F.coalesce(points_map(D.SEVERITY_POINTS)[severity], F.lit(D.UNKNOWN_SEVERITY_POINTS))
 
 
 def type_points(alert_type: Column) -> Column:
-    return F.coalesce(literal_map(D.TYPE_POINTS)[alert_type], F.lit(D.UNKNOWN_TYPE_POINTS))
+    return F.coalesce(points_map(D.TYPE_POINTS)[alert_type], F.lit(D.UNKNOWN_TYPE_POINTS))
 
 
 def threat_points(confidence: Column) -> Column:
@@ -79,7 +79,7 @@ def risk_level(score: Column, policy: str = "reference") -> Column:
 
 
 def score_summary(score: Column, policy: str = "reference") -> Column:
-    legend = F.create_map(*[F.lit(x) for pair in D.BAND_LEGEND.items() for x in pair])
+    legend = text_map(D.BAND_LEGEND)
     return F.struct(
         score.alias("risk_score"), risk_level(score, policy).alias("risk_level"),
         legend.alias("bands"),

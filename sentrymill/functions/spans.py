@@ -71,23 +71,25 @@ def match_spans(
     pieces = F.split(
         F.regexp_replace(clean, F.lit(java_pattern(pattern, ignore_case)), F.lit(marked)), _MARK
     )
-
-    def step(seen: Column, piece: Column) -> Column:
-        size = F.length(piece)
-        here = F.struct(
-            seen["at"].alias("start"), (seen["at"] + size).alias("end"),
-            F.lit(entity).alias("entity_type"), strip(piece).alias("value"),
-            F.lit(confidence).cast("double").alias("confidence"), F.lit(priority).alias("priority"),
-        )
-        return F.struct(
-            (seen["at"] + size).alias("at"),
-            (~seen["inside"]).alias("inside"),
-            F.when(seen["inside"], F.concat(seen["found"], F.array(here))).otherwise(seen["found"])
-            .cast(SPANS).alias("found"),
-        )
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), no_spans().alias("found"))
-    spans = F.aggregate(pieces, zero, step, lambda seen: seen["found"])
+    # seen.at is the offset of the piece, seen.inside whether it is a match
+    spans = F.aggregate(
+        pieces,
+        F.expr(f"named_struct('at', 0, 'inside', false, 'found', CAST(array() AS {SPANS}))"),
+        lambda seen, piece: F.call_function(
+            "named_struct",
+            F.lit("at"), seen["at"] + F.length(piece),
+            F.lit("inside"), ~seen["inside"],
+            F.lit("found"), F.when(
+                seen["inside"],
+                F.concat(seen["found"], F.array(F.struct(
+                    seen["at"].alias("start"), (seen["at"] + F.length(piece)).alias("end"),
+                    F.lit(entity).alias("entity_type"), strip(piece).alias("value"),
+                    F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"),
+                ))),
+            ).otherwise(seen["found"]).cast(SPANS),
+        ),
+        lambda seen: seen["found"],
+    )
     gate = _worth_a_look(text, name, digits)
     if gate is not None:
         spans = F.when(gate, spans).otherwise(no_spans())

@@ -14,18 +14,26 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def quoted(value: str | None) -> str:
+    """A value as a SQL literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def one_of(c: Column, allowed: list[str]) -> Column:
     """The member of `allowed` that `c` spells, in any case and with blanks around
     it, or NULL. Works for any spelling of the members, not only initial capitals."""
-    spelled = F.lower(strip(c))
-    found = F.lit(None).cast("string")
-    for value in reversed(allowed):
-        found = F.when(spelled == value.lower(), F.lit(value)).otherwise(found)
-    return found
+    return text_map({v.lower(): v for v in allowed})[F.lower(strip(c))]
+
+
+def points_map(values: dict[str, float]) -> Column:
+    pairs = ", ".join(f"{quoted(k)}, {v}D" for k, v in values.items())
+    return F.expr(f"map({pairs})")
 
 
-def literal_map(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+def text_map(values: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in values.items()) + ")")
 
 
 def present(c: Column) -> Column:

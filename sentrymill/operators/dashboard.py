@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrymill import domains as D
 from sentrymill.functions import scoring
-from sentrymill.functions.text import utc_date
+from sentrymill.functions.text import text_map, utc_date
 from sentrymill.operators.intake import check_range
 
 
@@ -90,7 +90,7 @@ def risk_distribution(alerts: DataFrame, policy: str = "reference") -> DataFrame
         ))).alias("buckets"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
     )
-    ranges = F.create_map(*[F.lit(x) for pair in D.BAND_RANGE.items() for x in pair])
+    ranges = text_map(D.BAND_RANGE)
     return counted.select("total", F.inline("buckets")).select(
         "label", ranges[F.col("label")].alias("range"), "count",
         F.when(F.col("total") > 0, F.round(F.col("count") / F.col("total") * 100, 1))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 0.002          # a key with more than this share of the rows is heavy
 BROADCAST_BYTES = 32 << 20   # largest estimated size of a side that is sent to all tasks
+SALTS = 256                  # ways a heavy key is split in a join
 SLICES = 64                  # parts a heavy key is cut into
 
 
@@ -42,10 +43,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join many `facts` rows to at most one `dim` row by `keys`.
 
-    A small `dim` is broadcast. Otherwise rows of heavy keys meet a broadcast of just
-    those keys' dim rows (at most 1/share), and the rest go through a shuffle join,
-    in which served and null-key rows are spread over all partitions by a hash of
-    `spread_by` (all columns if not given), as they match nothing there.
+    A small `dim` is broadcast. Otherwise the join shuffles on the keys and a salt:
+    rows of a heavy key get one of SALTS values from a hash of `spread_by` (all columns
+    if not given), and the dim rows of just those keys, at most 1/share, are repeated
+    once per salt. Rows with a null key match nothing and are spread the same way.
 
     `how` is left, inner, left_semi or left_anti.
     """
@@ -53,34 +54,18 @@ def lookup_join(
         raise ValueError(f"unsupported join {how!r}")
     if small_enough(dim):
         return facts.join(F.broadcast(dim), keys, how)
-    out = [c for c in dim.columns if c not in keys]
     if heavy is None:
         heavy = heavy_keys(facts, keys, share)
-    whole = F.struct(F.lit(True).alias("hit"), *out)
-    served = (
-        dim.join(F.broadcast(heavy), keys, "left_semi")
-        .select(*keys, whole.alias("_hot"))
-    )
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    away = F.col("_hot").isNotNull() | no_key
-    spread = F.pmod(F.xxhash64(*(spread_by or facts.columns)), F.lit(1 << 20)) + 1
-    split = facts.join(F.broadcast(served), keys, "left").withColumn(
-        "_spread", F.when(away, spread).otherwise(F.lit(0).cast("long"))
-    )
-    cold = dim.select(*keys, F.lit(0).cast("long").alias("_spread"), whole.alias("_cold"))
-    joined = split.join(cold, [*keys, "_spread"], "left").withColumn(
-        "_row", F.coalesce("_hot", "_cold")
-    )
-    if how in ("inner", "left_semi"):
-        joined = joined.where(F.col("_row").isNotNull())
-    if how == "left_anti":
-        joined = joined.where(F.col("_row").isNull())
-    kept = [c for c in facts.columns if c not in keys]
-    if how in ("left_semi", "left_anti"):
-        return joined.select(*facts.columns)
-    return joined.select(*keys, *kept, *[F.col("_row")[c].alias(c) for c in out])
+    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    no_key = " or ".join(f"`{k}` is null" for k in keys)
+    spread = ", ".join(f"`{c}`" for c in (spread_by or facts.columns))
+    left = facts.join(heavy, keys, "left").withColumn(
+        "_salt", F.expr(f"if(_heavy or {no_key}, pmod(xxhash64({spread}), {SALTS}), 0)")
+    ).drop("_heavy")
+    right = dim.join(heavy, keys, "left").withColumn(
+        "_salt", F.expr(f"explode(sequence(0L, if(_heavy, {SALTS - 1}L, 0L)))")
+    ).drop("_heavy")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def _sliced(df: DataFrame, keys: list[str], position: str, slices: int, share: float) -> DataFrame:

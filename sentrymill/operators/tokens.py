@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentrymill import domains as D
 from sentrymill.functions.spans import replace_spans
+from sentrymill.functions.text import text_map
 from sentrymill.operators.skew import lookup_join, sliced_row_number
 from sentrymill.session import cut_lineage
 
@@ -34,7 +35,7 @@ def renew(tokens: DataFrame, sessions: DataFrame, as_of: Column, ttl: int = D.TO
 
 
 def _prefix_of(entity_type: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in D.TOKEN_PREFIX.items() for x in pair])[entity_type]
+    return text_map(D.TOKEN_PREFIX)[entity_type]
 
 
 def assign(

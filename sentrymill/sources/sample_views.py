@@ -2,142 +2,135 @@
 
 The sample data has no alert table. These views make one, and everything around it,
 from `events`, `customer`, `documents` and `conversations` by integer arithmetic, so
-the same rows can be stated in SQL and grow with the sample data. Every one is a
-projection of a scan, or one aggregate of it.
+the same rows can be stated in other engines and grow with the sample data. Every one
+is a projection of a scan, or one aggregate of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from sentrymill import domains as D
 from sentrymill import schemas as S
-from sentrymill.functions.network import asn_of, host_name, is_public, network16
-from sentrymill.functions.text import iso_utc
-from sentrymill.operators.intake import alert_name
+from sentrymill.functions.text import quoted
 from sentrymill.plans.ingest import scored_alerts
 
-# the 18 rated types and two that are not
-TYPES = [*D.TYPE_POINTS, "Policy Violation", "brute force"]
+# The columns used here, so that no scan starts with a schema inference job.
+COLUMNS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+              "props string",
+    "customer": "c_custkey long",
+    "documents": "doc_id long, text string, lang string, source string",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(values: list[str], n: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), n.cast("int"))
+def _pick(values: list[str | None], n: str) -> str:
+    """SQL for the n-th of some values, counted from 0."""
+    return f"get(array({', '.join(quoted(v) for v in values)}), CAST({n} AS INT))"
 
 
-def _seq(n: Column) -> Column:
-    return F.floor(n).cast("long")
+# the 18 rated types and two that are not
+_TYPES = _pick([*D.TYPE_POINTS, "Policy Violation", "brute force"], "(event_id * 7 + user_id) % 20")
+_STATUS = _pick(D.STATUSES, "event_id % 3")
+_WATCHED = _pick(D.WATCHLIST, "user_id div 30 % 5")
+_BLOCK = _pick(["10.0.", "192.168.", "198.18."], "user_id % 3")
+_SEVERITY = (
+    "CASE WHEN value < 15 THEN 'Low' WHEN value < 35 THEN 'Medium' WHEN value < 70 THEN 'High' "
+    "ELSE 'Critical' END"
+)
+_NETS = ["Net One", "Net Two", "Net Three"]
+_CITIES = ["Oslo", "Berlin", "London", "Tokyo", "Toronto"]
+_BAD_LANDS, _LANDS = ["RU", "CN", "KP", "IR", "BR"], ["US", "DE", "GB", "JP", "CA"]
 
 
 def plain_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted alerts before enrichment, plus event_id and user_id for other views."""
-    e, u = F.col("event_id"), F.col("user_id")
-    block = F.element_at(
-        F.array(F.lit("10.0."), F.lit("192.168."), F.lit("198.18.")), (u % 3 + 1).cast("int")
-    )
-    own_ip = F.concat(
-        block, (_seq(u / 256) % 256).cast("string"), F.lit("."), (u % 256).cast("string")
-    )
-    severity = (
-        F.when(F.col("value") < 15, "Low").when(F.col("value") < 35, "Medium")
-        .when(F.col("value") < 70, "High").otherwise("Critical")
-    )
-    return table(spark, folder, "events").select(
-        (e + 1).alias("id"), alert_name(e + 1).alias("alert_id"),
-        _pick(TYPES, (e * 7 + u) % 20).alias("alert_type"),
-        F.when(u % 30 == 0, _pick(D.WATCHLIST, _seq(u / 30) % 5)).otherwise(own_ip).alias("source_ip"),
-        severity.alias("severity"), _pick(D.STATUSES, e % 3).alias("status"),
-        F.concat(F.lit("event "), "event_type").alias("description"),
-        F.col("ts").cast("timestamp").alias("created_at"), "event_id", "user_id",
+    return table(spark, folder, "events").selectExpr(
+        "event_id + 1 AS id", "format_string('ALERT-%08X', event_id + 1) AS alert_id",
+        f"{_TYPES} AS alert_type",
+        f"CASE WHEN user_id % 30 = 0 THEN {_WATCHED} "
+        f"ELSE {_BLOCK} || (user_id div 256 % 256) || '.' || (user_id % 256) END AS source_ip",
+        f"{_SEVERITY} AS severity", f"{_STATUS} AS status", "'event ' || event_type AS description",
+        "CAST(ts AS TIMESTAMP) AS created_at", "event_id", "user_id",
     )
 
 
 def raw_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """Raw alerts of which some break a rule and some need normalising."""
-    a, case = plain_alerts(spark, folder), F.col("event_id") % 50
-    return a.select(
+    return plain_alerts(spark, folder).selectExpr(
         "id",
-        F.when(case == 4, "X").when(case != 5, F.col("alert_type")).alias("alert_type"),
-        F.when(case == 0, "not-an-ip").when(case == 1, "192.168.1").when(case == 2, "2001:db8::1")
-        .when(case == 11, "10.0.0.01").when(case == 12, "256.1.1.1")
-        .when(case == 13, F.concat(F.lit(" \t"), "source_ip", F.lit("\n")))
-        .when(case != 14, F.col("source_ip")).alias("source_ip"),
-        F.when(case == 3, "EXTREME").when(case == 6, F.lower("severity"))
-        .when(case == 7, F.concat(F.lit("  "), F.upper("severity"), F.lit("\t")))
-        .when(case != 8, F.col("severity")).alias("severity"),
-        F.when(case == 15, "CLOSED").when(case == 16, F.lower("status"))
-        .when(case != 9, F.col("status")).alias("status"),
-        F.when(case == 10, F.repeat(F.lit("x"), 501)).when(case == 17, F.repeat(F.lit("x"), 500))
-        .otherwise(F.col("description")).alias("description"),
+        "CASE event_id % 50 WHEN 4 THEN 'X' WHEN 5 THEN NULL ELSE alert_type END AS alert_type",
+        r"CASE event_id % 50 WHEN 0 THEN 'not-an-ip' WHEN 1 THEN '192.168.1' "
+        r"WHEN 2 THEN '2001:db8::1' WHEN 11 THEN '10.0.0.01' WHEN 12 THEN '256.1.1.1' "
+        r"WHEN 13 THEN ' \t' || source_ip || '\n' WHEN 14 THEN NULL ELSE source_ip END AS source_ip",
+        r"CASE event_id % 50 WHEN 3 THEN 'EXTREME' WHEN 6 THEN lower(severity) "
+        r"WHEN 7 THEN '  ' || upper(severity) || '\t' WHEN 8 THEN NULL ELSE severity END AS severity",
+        "CASE event_id % 50 WHEN 15 THEN 'CLOSED' WHEN 16 THEN lower(status) WHEN 9 THEN NULL "
+        "ELSE status END AS status",
+        "CASE event_id % 50 WHEN 10 THEN repeat('x', 501) WHEN 17 THEN repeat('x', 500) "
+        "ELSE description END AS description",
         "created_at",
     )
 
 
 def addresses(spark: SparkSession, folder: str) -> DataFrame:
-    return plain_alerts(spark, folder).groupBy("source_ip").agg(F.min("user_id").alias("u")).where(
-        "u % 17 <> 5"
-    ).withColumn("bad", F.col("source_ip").isin(D.WATCHLIST))
+    """Addresses that the feeds know: u is the least user id, bad the watchlist flag."""
+    watched = ", ".join(quoted(ip) for ip in D.WATCHLIST)
+    return plain_alerts(spark, folder).groupBy("source_ip").agg({"user_id": "min"}).selectExpr(
+        "source_ip AS ip", "`min(user_id)` AS u", f"source_ip IN ({watched}) AS bad"
+    ).where("u % 17 <> 5")
 
 
 def ti_abuse(spark: SparkSession, folder: str) -> DataFrame:
-    u, bad = F.col("u"), F.col("bad")
-    return addresses(spark, folder).select(
-        F.col("source_ip").alias("ip_address"),
-        (bad | is_public(F.col("source_ip"))).alias("is_public"),
-        F.when(bad, 65 + u * 13 % 36).otherwise(u * 3 % 21).alias("abuse_confidence_score"),
-        F.when(bad, _pick(["RU", "CN", "KP", "IR", "BR"], u % 5))
-        .otherwise(_pick(["US", "DE", "GB", "JP", "CA"], u % 5)).alias("country_code"),
-        _pick(["Net One", "Net Two", "Net Three"], u % 3).alias("isp"),
-        _pick(["cdn.example.com", "proxy.example.net", None], u % 3).alias("domain"),
-        (u * 7 % 500).alias("total_reports"),
-        (F.lit("2024-01-31").cast("timestamp") - F.make_dt_interval((u * 5 % 120).cast("int")))
-        .alias("last_reported_at"),
-        F.lit(False).alias("is_whitelisted"),
-        F.when(bad, "Data Center/Web Hosting/Transit").otherwise("Commercial").alias("usage_type"),
-        F.lit("abuse feed").alias("source"),
+    return addresses(spark, folder).selectExpr(
+        "ip AS ip_address",
+        "bad OR NOT (ip LIKE '10.%' OR ip LIKE '192.168.%' OR ip LIKE '172.16.%') AS is_public",
+        "CASE WHEN bad THEN 65 + u * 13 % 36 ELSE u * 3 % 21 END AS abuse_confidence_score",
+        f"CASE WHEN bad THEN {_pick(_BAD_LANDS, 'u % 5')} ELSE {_pick(_LANDS, 'u % 5')} END "
+        "AS country_code",
+        f"{_pick(_NETS, 'u % 3')} AS isp",
+        f"{_pick(['cdn.example.com', 'proxy.example.net', None], 'u % 3')} AS domain",
+        "u * 7 % 500 AS total_reports",
+        "timestamp_seconds(1706659200 - u * 5 % 120 * 86400) AS last_reported_at",
+        "false AS is_whitelisted",
+        "if(bad, 'Data Center/Web Hosting/Transit', 'Commercial') AS usage_type",
+        "'abuse feed' AS source",
     )
 
 
 def ti_scan(spark: SparkSession, folder: str) -> DataFrame:
-    u, bad = F.col("u"), F.col("bad")
-    malicious = F.when(bad, 15 + u * 7 % 31).otherwise(u % 3)
-    return addresses(spark, folder).where("u % 11 <> 4").select(
-        F.col("source_ip").alias("ip_address"), malicious.alias("malicious_count"),
-        (u % 4).alias("suspicious_count"), (60 + u % 21).alias("harmless_count"),
-        F.greatest(90 - malicious - u % 4 - (60 + u % 21), F.lit(0)).alias("undetected_count"),
-        F.lit(90).cast("long").alias("total_engines"),
-        F.when(bad, -10 - u % 91).otherwise(u % 51).alias("reputation"),
-        network16(F.col("source_ip")).alias("network"), (10000 + u).alias("asn"),
-        _pick(["Net One", "Net Two", "Net Three"], u % 3).alias("as_owner"),
-        _pick(["US", "DE", "GB", "JP"], u % 4).alias("country"),
-        _pick(["ARIN", "RIPE"], u % 2).alias("regional_internet_registry"),
-        iso_utc(F.timestamp_seconds(F.lit(1706659200) - u % 7 * 86400)).alias("last_analysis_date"),
-        F.when(bad, F.array(F.lit("malware"), F.lit("scanner")))
-        .otherwise(F.array().cast("array<string>")).alias("tags"),
-        F.lit("scan feed").alias("source"),
+    return addresses(spark, folder).where("u % 11 <> 4").selectExpr(
+        "*", "CASE WHEN bad THEN 15 + u * 7 % 31 ELSE u % 3 END AS malicious_count"
+    ).selectExpr(
+        "ip AS ip_address", "malicious_count", "u % 4 AS suspicious_count",
+        "60 + u % 21 AS harmless_count",
+        "greatest(90 - malicious_count - u % 4 - (60 + u % 21), 0) AS undetected_count",
+        "90L AS total_engines", "if(bad, -10 - u % 91, u % 51) AS reputation",
+        "substring_index(ip, '.', 2) || '.0.0/16' AS network", "10000 + u AS asn",
+        f"{_pick(_NETS, 'u % 3')} AS as_owner", f"{_pick(_LANDS[:4], 'u % 4')} AS country",
+        f"{_pick(['ARIN', 'RIPE'], 'u % 2')} AS regional_internet_registry",
+        "'2024-01-' || lpad(31 - u % 7, 2, '0') || 'T00:00:00+00:00' AS last_analysis_date",
+        "if(bad, array('malware', 'scanner'), CAST(array() AS ARRAY<STRING>)) AS tags",
+        "'scan feed' AS source",
     )
 
 
 def ti_geo(spark: SparkSession, folder: str) -> DataFrame:
-    u, bad = F.col("u"), F.col("bad")
-    org = F.when(u % 13 != 6, F.concat(
-        F.lit("AS"), (10000 + u).cast("string"), F.lit(" "),
-        _pick(["Net One", "Net Two", "Net Three"], u % 3),
-    ))
-    return addresses(spark, folder).select(
-        F.col("source_ip").alias("ip"), host_name(F.col("source_ip")).alias("hostname"),
-        _pick(["Oslo", "Berlin", "London", "Tokyo", "Toronto"], u % 5).alias("city"),
-        _pick(["Oslo", "Berlin", "London", "Tokyo", "Toronto"], u % 5).alias("region"),
-        F.when(u % 7 != 3, F.when(bad, _pick(["RU", "CN", "KP", "IR", "BR"], (u + 1) % 5))
-               .otherwise(_pick(["US", "DE", "GB", "JP", "CA"], (u + 1) % 5))).alias("country"),
-        org.alias("org"), asn_of(org).alias("asn"),
-        _pick(["Europe/Oslo", "Europe/Berlin", "Europe/London"], u % 3).alias("timezone"),
-        F.lit("0.0000,0.0000").alias("loc"), F.lit("geo feed").alias("source"),
+    return addresses(spark, folder).selectExpr(
+        "ip", "'host-' || replace(ip, '.', '-') || '.example.net' AS hostname",
+        f"{_pick(_CITIES, 'u % 5')} AS city", f"{_pick(_CITIES, 'u % 5')} AS region",
+        f"CASE WHEN u % 7 = 3 THEN NULL WHEN bad THEN {_pick(_BAD_LANDS, '(u + 1) % 5')} "
+        f"ELSE {_pick(_LANDS, '(u + 1) % 5')} END AS country",
+        f"if(u % 13 <> 6, 'AS' || (10000 + u) || ' ' || {_pick(_NETS, 'u % 3')}, NULL) AS org",
+        "if(u % 13 <> 6, 'AS' || (10000 + u), '') AS asn",
+        f"{_pick(['Europe/Oslo', 'Europe/Berlin', 'Europe/London'], 'u % 3')} AS timezone",
+        "'0.0000,0.0000' AS loc", "'geo feed' AS source",
     )
 
 
@@ -156,126 +149,103 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 def light_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """The stored alert columns that need no feed, for operators that read only those."""
-    return plain_alerts(spark, folder).withColumn("updated_at", F.col("created_at"))
+    return plain_alerts(spark, folder).selectExpr("*", "created_at AS updated_at")
 
 
 def status_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Two thirds of the alerts change once, one third twice; a third of all events also
     hit alert 1, so one key holds a large share. Some ids and statuses are unknown."""
-    e, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-
-    def change(key: Column, status: Column, hours: int, seq: Column | int, when: Column) -> Column:
-        return F.when(when, F.struct(
-            key.cast("long").alias("id"), status.alias("new_status"),
-            (ts + F.make_dt_interval(hours=F.lit(hours))).alias("ts"),
-            (seq if isinstance(seq, Column) else F.lit(seq)).cast("long").alias("seq"),
-        ))
-
-    rows = F.array_compact(F.array(
-        change(e + 1, F.lit("Investigating"), 1, 1, e % 3 >= 1),
-        change(e + 1, F.lit(" resolved "), 3, 2, e % 3 == 2),
-        change(F.lit(1), _pick(D.STATUSES, F.floor(e / 3) % 3), 0, e + 100, e % 3 == 0),
-        change(e + 1_000_000_000_000, F.lit("Open"), 0, 1, e % 1000 == 0),
-        change(e + 1, F.lit("CLOSED"), 2, 3, e % 500 == 1),
-    ))
-    return table(spark, folder, "events").select(F.inline(rows))
+    def change(when: str, key: str, status: str, hours: int, seq: str) -> str:
+        return (
+            f"if({when}, named_struct('id', {key}, 'new_status', {status}, 'ts', "
+            f"CAST(ts AS TIMESTAMP) + INTERVAL {hours} HOURS, 'seq', CAST({seq} AS BIGINT)), NULL)"
+        )
+
+    rows = ", ".join([
+        change("event_id % 3 >= 1", "event_id + 1", "'Investigating'", 1, "1"),
+        change("event_id % 3 = 2", "event_id + 1", "' resolved '", 3, "2"),
+        change("event_id % 3 = 0", "1L", _pick(D.STATUSES, "event_id div 3 % 3"), 0, "event_id + 100"),
+        change("event_id % 1000 = 0", "event_id + 1000000000000", "'Open'", 0, "1"),
+        change("event_id % 500 = 1", "event_id + 1", "'CLOSED'", 2, "3"),
+    ])
+    return table(spark, folder, "events").selectExpr(f"inline(array_compact(array({rows})))")
 
 
 def delete_requests(spark: SparkSession, folder: str) -> DataFrame:
-    e, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-    day_later = ts + F.make_dt_interval(F.lit(40))
-    return table(spark, folder, "events").where("event_id % 97 = 0 or event_id % 1000 = 7").select(
-        F.when(e % 1000 == 7, e + 1_000_000_000_000).otherwise(e + 1).alias("id"),
-        day_later.alias("ts"),
+    return table(spark, folder, "events").where(
+        "event_id % 97 = 0 or event_id % 1000 = 7"
+    ).selectExpr(
+        "if(event_id % 1000 = 7, event_id + 1000000000000, event_id + 1) AS id",
+        "CAST(ts AS TIMESTAMP) + INTERVAL 40 DAYS AS ts",
     )
 
 
 def playbook_requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request for each alert of a watchlist address and each seventh other alert."""
-    a, e = plain_alerts(spark, folder), F.col("event_id")
-    return a.where("user_id % 30 = 0 or event_id % 7 = 0").select(
-        F.when(e % 211 == 0, F.concat(F.lit("GONE-"), e.cast("string"))).otherwise(F.col("alert_id"))
-        .alias("alert_id"),
-        _pick(["block_ip", "isolate_host", "notify_soc", "escalate", "reboot"], e % 5)
-        .alias("playbook_name"),
-        F.when(e % 3 == 1, "").when(e % 3 == 2, F.concat(F.lit("host-"), (e % 50).cast("string")))
-        .alias("target"),
-        F.when(e % 4 == 1, "").when(e % 4 == 2, F.concat(F.lit("note "), (e % 9).cast("string")))
-        .alias("notes"),
-        F.when(e % 6 != 0, F.concat(F.lit("analyst"), (e % 6).cast("string"))).alias("requested_by"),
-        (F.col("created_at") + F.make_dt_interval(hours=F.lit(2))).alias("ts"),
-        e.alias("seq"),
-        F.when(e % 10 == 3, "device unreachable").alias("error"),
+    names = ["block_ip", "isolate_host", "notify_soc", "escalate", "reboot"]
+    return plain_alerts(spark, folder).where("user_id % 30 = 0 or event_id % 7 = 0").selectExpr(
+        "if(event_id % 211 = 0, 'GONE-' || event_id, alert_id) AS alert_id",
+        f"{_pick(names, 'event_id % 5')} AS playbook_name",
+        "CASE event_id % 3 WHEN 1 THEN '' WHEN 2 THEN 'host-' || (event_id % 50) END AS target",
+        "CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'note ' || (event_id % 9) END AS notes",
+        "if(event_id % 6 <> 0, 'analyst' || (event_id % 6), NULL) AS requested_by",
+        "created_at + INTERVAL 2 HOURS AS ts", "event_id AS seq",
+        "if(event_id % 10 = 3, 'device unreachable', NULL) AS error",
     )
 
 
 def patches(spark: SparkSession, folder: str) -> DataFrame:
     """Partial updates, one for each fifth alert; some break a rule."""
-    e = F.col("event_id")
-    return table(spark, folder, "events").where("event_id % 5 = 0").select(
-        (e + 1).alias("id"),
-        F.when(e % 15 == 0, "Port Scan").when(e % 35 == 0, "X").alias("alert_type"),
-        F.when(e % 10 == 0, " high ").when(e % 55 == 0, "EXTREME").alias("severity"),
-        F.when(e % 25 == 0, "resolved").alias("status"),
-        F.when(e % 20 == 0, "patched").alias("description"),
-        (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=F.lit(5))).alias("ts"),
+    return table(spark, folder, "events").where("event_id % 5 = 0").selectExpr(
+        "event_id + 1 AS id",
+        "CASE WHEN event_id % 15 = 0 THEN 'Port Scan' WHEN event_id % 35 = 0 THEN 'X' END AS alert_type",
+        "CASE WHEN event_id % 10 = 0 THEN ' high ' WHEN event_id % 55 = 0 THEN 'EXTREME' END AS severity",
+        "if(event_id % 25 = 0, 'resolved', NULL) AS status",
+        "if(event_id % 20 = 0, 'patched', NULL) AS description",
+        "CAST(ts AS TIMESTAMP) + INTERVAL 5 HOURS AS ts",
     )
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """Ward notes with every kind of personal data, one per customer. Ward 0 holds more
     than a third of them."""
-    n = F.col("c_custkey")
-
-    def number(value: Column, width: int = 0) -> Column:
-        text = value.cast("string")
-        return F.lpad(text, width, "0") if width else text
-
-    def say(*parts) -> Column:
-        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-    kinds = [
-        say("Seen by Dr. Mary Jones on 2024-01-", number(n % 28 + 1, 2), ". MRN#",
-            number(n + 100000), ", SSN ", number(n % 900 + 100), "-45-", number(n * 7 % 10000, 4), "."),
-        say("DOB: 03/04/", number(n % 50 + 1950), "; call (555) 123-", number(n % 10000, 4),
-            " or 555-987-", number(n * 3 % 10000, 4), "."),
-        say("Mail a", number(n % 40), "@x.com then b", number(n % 7), "@x.com then a", number(n % 40),
-            "@x.com."),
-        say("Patient John Smith emailed john", number(n % 11), "@x.com"),
-        F.lit("patient was admitted today with Blood Pressure high"),
-        say("Lives at ", number(n % 99 + 1), " Oak Tree Street. Treated in Mercy General Hospital."),
-    ]
-    text = kinds[0]
-    for i, kind in enumerate(kinds[1:], 1):
-        text = F.when(n % 6 == i, kind).otherwise(text)
-    ward = F.when(n % 3 == 0, F.lit(0).cast("long")).otherwise(n % 12)
-    return table(spark, folder, "customer").select(
-        F.concat(F.lit("ward-"), ward.cast("string")).alias("session_id"), n.alias("text_seq"),
-        text.alias("text"), F.lit("en").alias("lang"), F.lit("notes").alias("source"),
+    return table(spark, folder, "customer").selectExpr("c_custkey AS n").selectExpr(
+        "'ward-' || if(n % 3 = 0, 0, n % 12) AS session_id", "n AS text_seq",
+        """CASE n % 6
+             WHEN 0 THEN 'Seen by Dr. Mary Jones on 2024-01-' || lpad(n % 28 + 1, 2, '0')
+                      || '. MRN#' || (n + 100000) || ', SSN ' || (n % 900 + 100) || '-45-'
+                      || lpad(n * 7 % 10000, 4, '0') || '.'
+             WHEN 1 THEN 'DOB: 03/04/' || (n % 50 + 1950) || '; call (555) 123-'
+                      || lpad(n % 10000, 4, '0') || ' or 555-987-' || lpad(n * 3 % 10000, 4, '0') || '.'
+             WHEN 2 THEN 'Mail a' || (n % 40) || '@x.com then b' || (n % 7) || '@x.com then a'
+                      || (n % 40) || '@x.com.'
+             WHEN 3 THEN 'Patient John Smith emailed john' || (n % 11) || '@x.com'
+             WHEN 4 THEN 'patient was admitted today with Blood Pressure high'
+             ELSE 'Lives at ' || (n % 99 + 1)
+                  || ' Oak Tree Street. Treated in Mercy General Hospital.' END AS text""",
+        "'en' AS lang", "'notes' AS source",
     )
 
 
 def phi_docs(spark: SparkSession, folder: str) -> DataFrame:
     """All documents and all notes; a document's session is its source."""
-    return table(spark, folder, "documents").select(
-        F.col("source").alias("session_id"), F.col("doc_id").alias("text_seq"), "text", "lang", "source"
+    return table(spark, folder, "documents").selectExpr(
+        "source AS session_id", "doc_id AS text_seq", "text", "lang", "source"
     ).unionByName(notes(spark, folder))
 
 
 def model_calls(spark: SparkSession, folder: str) -> DataFrame:
     """One logged call per assistant turn."""
-    c, t, size = F.col("conv_id"), F.col("turn"), F.length("text")
-    return table(spark, folder, "conversations").where("role = 'assistant'").select(
-        (c * 1000 + t).alias("id"), c.cast("string").alias("session_id"),
-        _pick(["summarize", "diagnosis", "treatment", "explanation", "process"], t % 5)
-        .alias("task_type"),
-        _pick(["openai", "ollama"], c % 2).alias("provider"),
-        _pick(["model-a", "model-b", "model-c"], c % 3).alias("model"),
-        F.floor(size / 8).alias("prompt_tokens"), F.floor(size / 4).alias("completion_tokens"),
-        ((c * 31 + t * 7) % 900 + 50).cast("double").alias("latency_ms"),
-        ((c + t) % 4).alias("phi_entities_count"),
-        ((c + t) % 13 != 0).alias("success"),
-        F.when((c + t) % 13 == 0, "timeout").alias("error_message"),
-        F.timestamp_seconds(F.lit(1704067200) + c * 60 + t).alias("created_at"),
-        "text",
+    tasks = ["summarize", "diagnosis", "treatment", "explanation", "process"]
+    return table(spark, folder, "conversations").where("role = 'assistant'").selectExpr(
+        "conv_id * 1000 + turn AS id", "CAST(conv_id AS STRING) AS session_id",
+        f"{_pick(tasks, 'turn % 5')} AS task_type",
+        "if(conv_id % 2 = 0, 'openai', 'ollama') AS provider",
+        f"{_pick(['model-a', 'model-b', 'model-c'], 'conv_id % 3')} AS model",
+        "CAST(length(text) div 8 AS BIGINT) AS prompt_tokens",
+        "CAST(length(text) div 4 AS BIGINT) AS completion_tokens",
+        "CAST((conv_id * 31 + turn * 7) % 900 + 50 AS DOUBLE) AS latency_ms",
+        "(conv_id + turn) % 4 AS phi_entities_count", "(conv_id + turn) % 13 <> 0 AS success",
+        "if((conv_id + turn) % 13 = 0, 'timeout', NULL) AS error_message",
+        "timestamp_seconds(1704067200 + conv_id * 60 + turn) AS created_at", "text",
     )
