@@ -62,15 +62,14 @@ def match_spans(
     name, entity, confidence, ignore_case, lead, body = rule
     # A mark in the text itself would be taken for ours; no pattern can match it or
     # its stand-in, and neither counts as a word or a blank.
-    clean = F.translate(text, _MARK, "\x02")
+    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, "\x02")).otherwise(text)
     if lead:
         inner = f"(?-i:{body})" if strict else body
         pattern, marked = f"({lead})({inner})", f"$1{_MARK}$2{_MARK}"
     else:
         pattern, marked = f"({body})", f"{_MARK}$1{_MARK}"
-    pieces = F.split(
-        F.regexp_replace(clean, F.lit(java_pattern(pattern, ignore_case)), F.lit(marked)), _MARK
-    )
+    regex = java_pattern(pattern, ignore_case)
+    pieces = F.split(F.regexp_replace(clean, F.lit(regex), F.lit(marked)), _MARK)
     # seen.at is the offset of the piece, seen.inside whether it is a match
     spans = F.aggregate(
         pieces,
@@ -90,9 +89,10 @@ def match_spans(
         ),
         lambda seen: seen["found"],
     )
+    # Most texts hold no match; for them one search is all that runs.
     gate = _worth_a_look(text, name, digits)
-    if gate is not None:
-        spans = F.when(gate, spans).otherwise(no_spans())
+    found = clean.rlike(regex) if gate is None else gate & clean.rlike(regex)
+    spans = F.when(found, spans).otherwise(no_spans())
     if name == "phone":
         spans = F.filter(
             spans,

@@ -10,6 +10,7 @@ from sentrymill import schemas as S
 from sentrymill.functions import scoring
 from sentrymill.functions.text import as_json
 from sentrymill.operators.skew import lookup_join
+from sentrymill.session import cut_lineage
 
 
 def recent_reports(abuse: DataFrame, as_of: Column, days: int = D.LOOKBACK_DAYS) -> DataFrame:
@@ -109,27 +110,35 @@ def report_json() -> Column:
     return as_json(F.col("source_ip").alias("ip_address"), *[F.col(c) for c in REPORT_FIELDS])
 
 
-def enrich(
-    alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame
-) -> DataFrame:
-    """Alerts with the report of their source address.
+def report_table(alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame) -> DataFrame:
+    """The reports of the addresses of `alerts`, written out once.
 
-    Each address is looked up once however many alerts it has; what goes back to the
-    alerts is one row per address. Adds `threat_verdict` (Unknown without a report),
-    `aggregate_confidence`, `abuseipdb_score`, `vt_malicious`, `country` and
-    `enrichment_data` (JSON, NULL without a report).
+    Each address is looked up once however many alerts it has, and all that is derived
+    from the alerts afterwards shares the table. Being stored, its size is known, so a
+    small one is broadcast to the alerts and a large one joined by key.
     """
-    per_ip = reports(alerts.select("source_ip").distinct(), abuse, scan, geo).select(
-        "source_ip",
-        "aggregate_confidence",
-        F.col("threat_verdict").alias("_verdict"),
-        F.coalesce("abuseipdb.abuse_confidence_score", F.lit(0)).alias("abuseipdb_score"),
-        F.coalesce("virustotal.malicious_count", F.lit(0)).alias("vt_malicious"),
-        "country",
-        report_json().alias("enrichment_data"),
+    return cut_lineage(
+        reports(alerts.select("source_ip").distinct(), abuse, scan, geo).select(
+            "source_ip",
+            "aggregate_confidence",
+            F.col("threat_verdict").alias("_verdict"),
+            F.coalesce("abuseipdb.abuse_confidence_score", F.lit(0)).alias("abuseipdb_score"),
+            F.coalesce("virustotal.malicious_count", F.lit(0)).alias("vt_malicious"),
+            "country",
+            report_json().alias("enrichment_data"),
+        )
     )
+
+
+def attach(alerts: DataFrame, table: DataFrame) -> DataFrame:
+    """Alerts with the columns of their address in a report table.
+
+    Adds `threat_verdict` (Unknown without a report), `aggregate_confidence`,
+    `abuseipdb_score`, `vt_malicious`, `country` and `enrichment_data` (JSON, NULL
+    without a report).
+    """
     plain = alerts.drop("threat_verdict", "enrichment_data", "country", "aggregate_confidence")
-    joined = lookup_join(plain, per_ip, ["source_ip"], spread_by=["id"])
+    joined = lookup_join(plain, table, ["source_ip"], spread_by=["id"])
     return joined.withColumns({
         "threat_verdict": F.coalesce("_verdict", F.lit("Unknown")),
         "aggregate_confidence": F.coalesce("aggregate_confidence", F.lit(0.0)),
@@ -138,6 +147,11 @@ def enrich(
     }).drop("_verdict")
 
 
+def enrich(alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame) -> DataFrame:
+    """Alerts with the report of their source address; see attach()."""
+    return attach(alerts, report_table(alerts, abuse, scan, geo))
+
+
 def enrichment_view(
     alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame,
     policy: str = "reference",

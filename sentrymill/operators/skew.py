@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAVY_SHARE = 0.002          # a key with more than this share of the rows is heavy
-BROADCAST_BYTES = 32 << 20   # largest estimated size of a side that is sent to all tasks
+BROADCAST_BYTES = 16 << 20   # largest estimated size of a side that is sent to all tasks
 SALTS = 256                  # ways a heavy key is split in a join
 SLICES = 64                  # parts a heavy key is cut into
 

@@ -21,7 +21,7 @@ from sentrymill.operators import (
 )
 from sentrymill.plans import oracle as O
 from sentrymill.plans.ingest import ingest
-from sentrymill.session import run_dir
+from sentrymill.session import cut_lineage, run_dir
 from sentrymill.sources import json_intake, sample_views as V, seed, tables
 from sentrymill.streaming import jobs
 
@@ -682,9 +682,9 @@ SELECT pa.id, pa.alert_id, severity, coalesce(chunk_no, 0) AS chunk_no, coalesce
   FROM (SELECT *, row_number() OVER (PARTITION BY alert_db_id ORDER BY occurred_at, seq, event_type) AS pos
         FROM (SELECT * FROM st UNION ALL SELECT * FROM pe)) GROUP BY 1, 2) e ON alert_db_id = id"""))
 def _(spark, d):
-    events = timeline.event_log(
+    events = cut_lineage(timeline.event_log(
         timeline.status_events(_changed(spark, d).history), timeline.playbook_events(_runs(spark, d))
-    )
+    ))
     light = V.light_alerts(spark, d).selectExpr("*", "0D AS risk_score", "'Unknown' AS threat_verdict")
     return timeline.nested(light, events).select(
         "id", "alert_id", "severity", "chunk_no", F.size("events").alias("n"),
