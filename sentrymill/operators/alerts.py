@@ -102,9 +102,11 @@ def change_status(alerts: DataFrame, changes: DataFrame) -> StatusResult:
     )
     # Ids without an alert are groups of their own, so they may take part until the
     # one join that also brings the stored status.
-    ordered = sliced_previous(good, ["id"], ["_at", "seq"], "_at", "new_status", "_previous")
-    stored = alerts.select("id", "alert_id", F.col("status").alias("_stored"))
     heavy = heavy_keys(good, ["id"])
+    ordered = sliced_previous(
+        good, ["id"], ["_at", "seq"], "_at", "new_status", "_previous", heavy
+    )
+    stored = alerts.select("id", "alert_id", F.col("status").alias("_stored"))
     history = lookup_join(
         ordered, stored, ["id"], "inner", spread_by=["id", "_at", "seq"], heavy=heavy
     ).select(

@@ -1,9 +1,9 @@
 """Lookups and ordered windows that hold when one key owns a large part of the rows.
 
-Heavy keys are found with Spark's frequent-items aggregate: one pass over the key
-columns, no shuffle of rows, and a result that by construction has at most 1/support
-keys and misses none above that share. A key listed without need costs nothing but a
-little extra work, so results never depend on the list.
+A key is heavy when it has more than HEAVY_SHARE of the rows (and at least LEAST_ROWS).
+There can be at most 1/HEAVY_SHARE such keys, so their list may be broadcast whatever
+the table's size, and each is cut into parts of about that share. Results never depend
+on which keys are listed; only the spread of the work does.
 """
 
 from __future__ import annotations
@@ -11,18 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 0.002          # a key with more than this share of the rows is heavy
+HEAVY_SHARE = 0.00005        # at most 20,000 keys hold more than this share of the rows
+LEAST_ROWS = 200_000         # smaller groups are never worth cutting
+MOST_PARTS = 4096            # parts a heavy key is cut into at most
 BROADCAST_BYTES = 16 << 20   # largest estimated size of a side that is sent to all tasks
-SALTS = 256                  # ways a heavy key is split in a join
-SLICES = 64                  # parts a heavy key is cut into
+_STEP = 64                   # cut points looked at in one go
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """At most 1/share rows that include every key holding more than that share."""
-    found = df.select(F.struct(*keys).alias("k")).freqItems(["k"], share)
-    return (
-        found.select(F.explode("k_freqItems").alias("k")).select("k.*")
-        .where(" and ".join(f"`{k}` is not null" for k in keys))
+def heavy_keys(
+    df: DataFrame, keys: list[str], share: float | None = None, least: int | None = None
+) -> DataFrame:
+    """Heavy keys of `df` with `_parts`, the number of parts to cut each into.
+
+    An exact count per key over the key columns alone, combined on the map side.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    unit = F.greatest(
+        F.col("_total") * (share or HEAVY_SHARE), F.lit(LEAST_ROWS if least is None else least)
+    )
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    # one row beside the counts
+    return counts.where(known).join(F.broadcast(total)).where(F.col("_n") > unit).select(
+        *keys, F.least(F.ceil(F.col("_n") / unit), F.lit(MOST_PARTS)).cast("int").alias("_parts")
     )
 
 
@@ -38,15 +49,14 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 def lookup_join(
     facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
-    spread_by: list[str] | None = None, share: float = HEAVY_SHARE,
-    heavy: DataFrame | None = None,
+    spread_by: list[str] | None = None, heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join many `facts` rows to at most one `dim` row by `keys`.
 
-    A small `dim` is broadcast. Otherwise the join shuffles on the keys and a salt:
-    rows of a heavy key get one of SALTS values from a hash of `spread_by` (all columns
-    if not given), and the dim rows of just those keys, at most 1/share, are repeated
-    once per salt. Rows with a null key match nothing and are spread the same way.
+    A small `dim` is broadcast. Otherwise the join shuffles on the keys and a salt: a
+    heavy key's rows take one of its parts by a hash of `spread_by` (all columns if not
+    given), and its one dim row is repeated for each part, which adds at most about
+    2/HEAVY_SHARE rows. Rows with a null key match nothing and are spread as well.
 
     `how` is left, inner, left_semi or left_anti.
     """
@@ -54,50 +64,61 @@ def lookup_join(
         raise ValueError(f"unsupported join {how!r}")
     if small_enough(dim):
         return facts.join(F.broadcast(dim), keys, how)
-    if heavy is None:
-        heavy = heavy_keys(facts, keys, share)
-    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    heavy = F.broadcast(heavy_keys(facts, keys) if heavy is None else heavy)
     no_key = " or ".join(f"`{k}` is null" for k in keys)
     spread = ", ".join(f"`{c}`" for c in (spread_by or facts.columns))
-    left = facts.join(heavy, keys, "left").withColumn(
-        "_salt", F.expr(f"if(_heavy or {no_key}, pmod(xxhash64({spread}), {SALTS}), 0)")
-    ).drop("_heavy")
+    left = facts.join(heavy, keys, "left").withColumn("_salt", F.expr(
+        f"CASE WHEN {no_key} THEN pmod(xxhash64({spread}), {MOST_PARTS}) "
+        f"WHEN _parts IS NOT NULL THEN pmod(xxhash64({spread}), _parts) ELSE 0 END"
+    )).drop("_parts")
     right = dim.join(heavy, keys, "left").withColumn(
-        "_salt", F.expr(f"explode(sequence(0L, if(_heavy, {SALTS - 1}L, 0L)))")
-    ).drop("_heavy")
+        "_salt", F.expr("explode(sequence(0L, CAST(coalesce(_parts, 1) - 1 AS BIGINT)))")
+    ).drop("_parts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def _sliced(df: DataFrame, keys: list[str], position: str, slices: int, share: float) -> DataFrame:
-    """Add `_slice`: 0 for ordinary keys, the quantile of `position` (a long) for heavy
-    ones, so no (key, slice) group is large unless a single position value is."""
-    steps = [i / slices for i in range(1, slices)]
+def _sliced(
+    df: DataFrame, keys: list[str], position: str, heavy: DataFrame | None = None
+) -> DataFrame:
+    """Add `_slice`: 0 for ordinary keys; for a heavy key the quantile of `position` (a
+    long) among its rows, so that its slices follow its order and are about equal.
+    Rows with one and the same position stay together."""
+    heavy = heavy_keys(df, keys) if heavy is None else heavy
+    steps = [i / MOST_PARTS for i in range(1, MOST_PARTS)]
+    # Of the finest quantiles keep as many as the key has parts: 2/HEAVY_SHARE in all.
     cuts = (
-        df.select(*keys, position)
-        .join(F.broadcast(heavy_keys(df, keys, share)), keys, "left_semi")
-        .groupBy(*keys).agg(F.percentile_approx(position, steps, 10_000).alias("_cuts"))
-    )
-    return df.join(F.broadcast(cuts), keys, "left").withColumn(
-        "_slice",
-        F.when(F.col("_cuts").isNull(), 0)
-        .otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(position)))),
+        df.select(*keys, position).join(F.broadcast(heavy), keys, "inner")
+        .groupBy(*keys, "_parts")
+        .agg(F.percentile_approx(position, steps, 2 * MOST_PARTS).alias("_all"))
+        .withColumn("_every", F.expr(f"CAST({MOST_PARTS} div _parts AS INT)"))
+        .select(*keys, F.expr("filter(_all, (c, i) -> (i + 1) % _every = 0)").alias("_cuts"))
+        # every _STEP-th cut finds the neighbourhood, so a row is compared with few cuts
+        .withColumn("_coarse", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {_STEP} = 0)"))
     )
+    slice_no = f"""
+        CASE WHEN _cuts IS NULL THEN 0 ELSE
+          size(filter(_coarse, c -> c < `{position}`)) * {_STEP} + size(filter(
+            slice(_cuts, size(filter(_coarse, c -> c < `{position}`)) * {_STEP} + 1, {_STEP}),
+            c -> c < `{position}`)) END"""
+    return df.join(F.broadcast(cuts), keys, "left").withColumn("_slice", F.expr(slice_no)).withColumn(
+        "_cut", F.col("_cuts").isNotNull()
+    ).drop("_cuts", "_coarse")
 
 
 def sliced_row_number(
     df: DataFrame, keys: list[str], order: list[str | Column], position: str, name: str,
-    slices: int = SLICES, share: float = HEAVY_SHARE,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Row number per key in `order`, exact, with heavy keys numbered slice by slice.
 
     `position` is the long column that leads `order`. Reads `df` more than once: cut
     its lineage first when it is costly.
     """
-    cut = _sliced(df, keys, position, slices, share)
+    cut = _sliced(df, keys, position, heavy)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per slice of a heavy key: at most slices/share rows
+    # one row per slice of a heavy key: bounded like the cuts
     offsets = (
-        cut.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+        cut.where("_cut").groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -111,14 +132,14 @@ def sliced_row_number(
 
 def sliced_previous(
     df: DataFrame, keys: list[str], order: list[str], position: str, value: str, name: str,
-    slices: int = SLICES, share: float = HEAVY_SHARE,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """The preceding row's `value` per key in `order`, with heavy keys cut as above.
     `value` must not be null."""
-    cut = _sliced(df, keys, position, slices, share)
+    cut = _sliced(df, keys, position, heavy)
     along = Window.partitionBy(*keys).orderBy("_slice")
     carried = (
-        cut.where(F.col("_cuts").isNotNull()).groupBy(*keys, "_slice")
+        cut.where("_cut").groupBy(*keys, "_slice")
         .agg(F.max_by(value, F.struct(*order)).alias("_last"))
         .withColumn("_carried", F.lag("_last").over(along)).drop("_last")
     )

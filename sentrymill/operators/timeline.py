@@ -117,9 +117,11 @@ def nested(alerts: DataFrame, timeline: DataFrame, chunk: int = CHUNK) -> DataFr
     An alert with more than `chunk` events takes several rows, numbered by `chunk_no`
     from 0, so no array and no group grows without bound and no event is left out.
     """
+    ids = timeline.select("alert_db_id")
+    heavy = heavy_keys(ids, ["alert_db_id"])
     placed = sliced_row_number(
         timeline.withColumn("_at", F.unix_micros("occurred_at")), ["alert_db_id"],
-        ["_at", "seq", "event_type"], "_at", "_pos",
+        ["_at", "seq", "event_type"], "_at", "_pos", heavy,
     )
     rows = (
         placed.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / chunk).cast("long"))
@@ -135,10 +137,9 @@ def nested(alerts: DataFrame, timeline: DataFrame, chunk: int = CHUNK) -> DataFr
     )
     # Chunk rows look up their alert, not the other way round: a long timeline's chunks
     # then stay spread out. Alerts without events come from an anti-join.
-    ids = timeline.select("alert_db_id")
     with_events = lookup_join(
         rows, head, ["alert_db_id"], "inner", spread_by=["alert_db_id", "chunk_no"],
-        heavy=heavy_keys(ids, ["alert_db_id"]),
+        heavy=heavy,
     )
     without = head.join(ids.distinct(), "alert_db_id", "left_anti").withColumns({
         "chunk_no": F.lit(0).cast("long"),
