@@ -63,13 +63,15 @@ def match_spans(
     # A mark in the text itself would be taken for ours; no pattern can match it or
     # its stand-in, and neither counts as a word or a blank.
     clean = F.when(text.contains(_MARK), F.translate(text, _MARK, "\x02")).otherwise(text)
+    inner = f"(?-i:{body})" if lead and strict else body
+    # The search itself needs no group, which is faster; only a lead-in has to be kept
+    # apart from its span when marking.
+    regex = java_pattern(lead + inner, ignore_case)
     if lead:
-        inner = f"(?-i:{body})" if strict else body
-        pattern, marked = f"({lead})({inner})", f"$1{_MARK}$2{_MARK}"
+        marker, marked = java_pattern(f"({lead})({inner})", ignore_case), f"$1{_MARK}$2{_MARK}"
     else:
-        pattern, marked = f"({body})", f"{_MARK}$1{_MARK}"
-    regex = java_pattern(pattern, ignore_case)
-    pieces = F.split(F.regexp_replace(clean, F.lit(regex), F.lit(marked)), _MARK)
+        marker, marked = regex, f"{_MARK}$0{_MARK}"
+    pieces = F.split(F.regexp_replace(clean, F.lit(marker), F.lit(marked)), _MARK)
     # seen.at is the offset of the piece, seen.inside whether it is a match
     spans = F.aggregate(
         pieces,

@@ -25,14 +25,14 @@ def heavy_keys(
 
     An exact count per key over the key columns alone, combined on the map side.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    known = " and ".join(f"`{k}` is not null" for k in keys)
+    counts = df.where(known).groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     unit = F.greatest(
         F.col("_total") * (share or HEAVY_SHARE), F.lit(LEAST_ROWS if least is None else least)
     )
-    known = " and ".join(f"`{k}` is not null" for k in keys)
-    # one row beside the counts
-    return counts.where(known).join(F.broadcast(total)).where(F.col("_n") > unit).select(
+    # one row beside the counts, from the same exchange
+    return counts.join(F.broadcast(total)).where(F.col("_n") > unit).select(
         *keys, F.least(F.ceil(F.col("_n") / unit), F.lit(MOST_PARTS)).cast("int").alias("_parts")
     )
 

@@ -95,13 +95,19 @@ def substitute(detected: DataFrame, tokens: DataFrame, ttl: int = D.TOKEN_TTL_SE
     per_doc = named.groupBy("session_id", "text_seq").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("_spans")
     )
-    joined = detected.join(per_doc, ["session_id", "text_seq"], "left")
-    return joined.select(
-        "session_id", "text_seq",
-        F.when(F.col("_spans").isNull(), F.col("text"))
-        .otherwise(replace_spans(F.col("text"), F.col("_spans"))).alias("pseudonymized_text"),
-        F.size("entities").cast("long").alias("entity_count"),
-        F.lit(ttl).cast("long").alias("mapping_ttl"),
+
+    def rows(docs: DataFrame, text: Column) -> DataFrame:
+        return docs.select(
+            "session_id", "text_seq", text.alias("pseudonymized_text"),
+            F.size("entities").cast("long").alias("entity_count"),
+            F.lit(ttl).cast("long").alias("mapping_ttl"),
+        )
+
+    # Only texts that hold an entity are shuffled.
+    touched = detected.where(F.size("entities") > 0).join(per_doc, ["session_id", "text_seq"])
+    plain = detected.where(F.size("entities") == 0)
+    return rows(touched, replace_spans(F.col("text"), F.col("_spans"))).unionAll(
+        rows(plain, F.col("text"))
     )
 
 
@@ -148,7 +154,9 @@ def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
     known = live(tokens, as_of).select(
         "session_id", "token", "value", "first_seq", "first_start"
     )
-    wanted = docs.select("session_id", "text_seq", F.explode(_tokens_in(F.col("text"))).alias("token"))
+    holds = F.coalesce(F.col("text").rlike(TOKEN_TEXT), F.lit(False))
+    marked = docs.select("session_id", "text_seq", "text").where(holds)
+    wanted = marked.select("session_id", "text_seq", F.explode(_tokens_in(F.col("text"))).alias("token"))
     key = ["session_id", "text_seq", "token"]
     found = lookup_join(wanted, known, ["session_id", "token"], "inner", spread_by=key)
     nesting = known.where(F.col("value").rlike(TOKEN_TEXT))
@@ -172,15 +180,19 @@ def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
 
     start = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))
     done = F.aggregate("_tokens", start, put_back)
-    return (
-        docs.select("session_id", "text_seq", "text")
-        .join(per_doc, ["session_id", "text_seq"], "left")
+    back = (
+        marked.join(per_doc, ["session_id", "text_seq"], "left")
         .withColumn("_done", F.when(F.col("_tokens").isNotNull(), done))
         .select(
             "session_id", "text_seq", F.coalesce("_done.text", "text").alias("restored_text"),
             F.coalesce("_done.n", F.lit(0)).cast("long").alias("restored_count"),
         )
     )
+    # Texts without anything like a token stay out of the shuffle.
+    return back.unionAll(docs.where(~holds).select(
+        "session_id", "text_seq", F.col("text").alias("restored_text"),
+        F.lit(0).cast("long").alias("restored_count"),
+    ))
 
 
 def _with_nested(found: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
