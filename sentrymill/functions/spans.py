@@ -52,6 +52,38 @@ def _worth_a_look(text: Column, name: str, digits: Column | None) -> Column | No
     return None
 
 
+_BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of `value`, with `value` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _block(b: Column, n: Column) -> Column:
+    """The item numbers of block b."""
+    return F.sequence(b * _BLOCK, F.least(b * _BLOCK + _BLOCK, n) - 1)
+
+
+def _running(n: Column, part, combine, visit) -> Column:
+    """Flat array of what `visit(numbers, before)` gives for each block of n items, where
+    `before` combines the `part(numbers)` of all blocks ahead.
+
+    Adding to an array copies it, so one fold that collects over a whole text would cost
+    the square of its matches. Collecting per block keeps long texts linear.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))
+    parts = F.transform(blocks, lambda b: part(_block(b, n)))
+    befores = F.aggregate(
+        parts, F.expr("named_struct('at', 0, 'all', CAST(array() AS array<int>))"),
+        lambda acc, one: F.named_struct(
+            F.lit("at"), combine(acc["at"], one), F.lit("all"), F.concat(acc["all"], F.array(acc["at"]))
+        ),
+        lambda acc: acc["all"],
+    )
+    return F.flatten(F.transform(befores, lambda before, b: visit(_block(b, n), before)))
+
+
 def match_spans(
     text: Column, rule: tuple, priority: int, digits: Column | None = None, strict: bool = False
 ) -> Column:
@@ -72,25 +104,35 @@ def match_spans(
     else:
         marker, marked = regex, f"{_MARK}$0{_MARK}"
     pieces = F.split(F.regexp_replace(clean, F.lit(marker), F.lit(marked)), _MARK)
-    # seen.at is the offset of the piece, seen.inside whether it is a match
-    spans = F.aggregate(
-        pieces,
-        F.expr(f"named_struct('at', 0, 'inside', false, 'found', CAST(array() AS {SPANS}))"),
-        lambda seen, piece: F.call_function(
-            "named_struct",
-            F.lit("at"), seen["at"] + F.length(piece),
-            F.lit("inside"), ~seen["inside"],
-            F.lit("found"), F.when(
-                seen["inside"],
-                F.concat(seen["found"], F.array(F.struct(
-                    seen["at"].alias("start"), (seen["at"] + F.length(piece)).alias("end"),
-                    F.lit(entity).alias("entity_type"), strip(piece).alias("value"),
-                    F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"),
-                ))),
-            ).otherwise(seen["found"]).cast(SPANS),
-        ),
-        lambda seen: seen["found"],
-    )
+
+    def offsets(cut: Column) -> Column:
+        def size(i: Column) -> Column:
+            return F.length(F.get(cut, i))
+
+        # odd pieces are the matches; seen.at is the offset of the piece
+        def step(seen: Column, i: Column) -> Column:
+            here = F.struct(
+                seen["at"].alias("start"), (seen["at"] + size(i)).alias("end"),
+                F.lit(entity).alias("entity_type"), strip(F.get(cut, i)).alias("value"),
+                F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"),
+            )
+            return F.named_struct(
+                F.lit("at"), seen["at"] + size(i),
+                F.lit("found"), F.when(i % 2 == 1, F.concat(seen["found"], F.array(here)))
+                .otherwise(seen["found"]).cast(SPANS),
+            )
+
+        return _running(
+            F.size(cut),
+            lambda numbers: F.aggregate(numbers, F.lit(0), lambda total, i: total + size(i)),
+            lambda a, b: a + b,
+            lambda numbers, before: F.aggregate(
+                numbers, F.named_struct(F.lit("at"), before, F.lit("found"), no_spans()), step,
+                lambda seen: seen["found"],
+            ),
+        )
+
+    spans = _let(pieces, offsets)
     # Most texts hold no match; for them one search is all that runs.
     gate = _worth_a_look(text, name, digits)
     found = clean.rlike(regex) if gate is None else gate & clean.rlike(regex)
@@ -106,24 +148,62 @@ def match_spans(
 
 
 def candidates(text: Column, digits: Column | None = None, strict: bool = False) -> Column:
-    """One array of spans per rule, in order of priority. `digits` may hold a ready
-    has_digit flag."""
-    return F.array(*[
+    """The spans of all rules. `digits` may hold a ready has_digit flag."""
+    return F.flatten(F.array(*[
         match_spans(text, rule, i + 1, digits, strict) for i, rule in enumerate(D.PHI_RULES)
-    ])
+    ]))
+
 
+def _settle(cluster: Column) -> Column:
+    """Keep a span of a few when no kept span of an earlier rule overlaps it."""
+    by_rule = F.array_sort(cluster, lambda a, b: a["priority"] - b["priority"])
+    kept = F.aggregate(by_rule, no_spans(), lambda kept, s: F.when(
+        F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])), kept
+    ).otherwise(F.concat(kept, F.array(s))))
+    return F.when(F.size(cluster) < 2, cluster).otherwise(F.array_sort(kept))
 
-def resolve(per_rule: Column) -> Column:
+
+def resolve(found: Column) -> Column:
     """Keep a span when no span of an earlier rule overlaps it; sort by start.
-    Spans of one rule never overlap each other."""
-    def accept(kept: Column, found: Column) -> Column:
-        free = F.filter(
-            found,
-            lambda s: ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"])),
+
+    In order of start the spans fall into clusters that do not touch each other: one
+    begins where a span starts at or past the end of all before it. Each is settled by
+    itself, so a long text costs no more per span than a short one. Spans of one rule
+    never overlap.
+    """
+    def of(spans: Column) -> Column:
+        def step(seen: Column, i: Column) -> Column:
+            return F.named_struct(
+                F.lit("reach"), F.greatest(seen["reach"], F.get(spans, i)["end"]),
+                F.lit("firsts"), F.when(
+                    F.get(spans, i)["start"] >= seen["reach"], F.concat(seen["firsts"], F.array(i))
+                ).otherwise(seen["firsts"]),
+            )
+
+        firsts = _running(
+            F.size(spans),
+            lambda numbers: F.aggregate(
+                numbers, F.lit(0), lambda most, i: F.greatest(most, F.get(spans, i)["end"])
+            ),
+            F.greatest,
+            lambda numbers, before: F.aggregate(
+                numbers, F.named_struct(
+                    F.lit("reach"), before, F.lit("firsts"), F.array().cast("array<int>")
+                ), step, lambda seen: seen["firsts"],
+            ),
         )
-        return F.concat(kept, free)
 
-    return F.array_sort(F.aggregate(per_rule, no_spans(), accept))
+        def clusters(starts: Column) -> Column:
+            return F.flatten(F.transform(starts, lambda first, j: _let(
+                F.transform(
+                    F.sequence(first, F.coalesce(F.get(starts, j + 1), F.size(spans)) - 1),
+                    lambda k: F.get(spans, k),
+                ), _settle,
+            )))
+
+        return F.when(F.size(spans) < 2, spans).otherwise(_let(firsts, clusters))
+
+    return F.coalesce(_let(F.array_sort(found), of), no_spans())
 
 
 def replace_spans(text: Column, spans: Column) -> Column:

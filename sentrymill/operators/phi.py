@@ -27,13 +27,8 @@ def find_rule(docs: DataFrame, rule: str, text: str = "text", strict: bool = Fal
 def detect(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
     """Documents with `entities`: non-overlapping spans by rule priority, in text order."""
     looked = docs.withColumn("_digits", X.has_digit(F.col(text)))
-    found = looked.withColumn(
-        "_per_rule", X.candidates(F.col(text), F.col("_digits"), strict)
-    )
-    none = X.no_spans()
-    return found.withColumn(
-        "entities", F.when(F.col(text).isNull(), none).otherwise(X.resolve(F.col("_per_rule")))
-    ).drop("_digits", "_per_rule")
+    found = looked.withColumn("_found", X.candidates(F.col(text), F.col("_digits"), strict))
+    return found.withColumn("entities", X.resolve(F.col("_found"))).drop("_digits", "_found")
 
 
 def summarise(detected: DataFrame) -> DataFrame:
