@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,3 +75,13 @@ def contains_pattern(text: str, escape: bool = False) -> str:
     if escape:
         text = text.replace("%", "\\%").replace("_", "\\_")
     return f"%{text}%"
+
+
+def fill(template: str, **given: Column) -> Column:
+    """`template` with each {name} replaced by the column given for it, or else by the
+    column of that name."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[
+        (given[piece] if piece in given else F.col(piece)).cast("string") if i % 2 else F.lit(piece)
+        for i, piece in enumerate(pieces)
+    ])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
-from sentrymill.functions.text import as_json, iso_utc, present
+from sentrymill.functions.text import as_json, fill, iso_utc, present
 from sentrymill.operators.intake import check_range, new_keys_only
 from sentrymill.operators.skew import lookup_join
 
@@ -48,106 +48,58 @@ def resolve(requests: DataFrame, alerts: DataFrame) -> Resolved:
     )
 
 
-def _short_id(prefix: str, *key: Column) -> Column:
-    """Stable id: the first 8 hex digits of the key's MD5."""
-    return F.concat(F.lit(prefix), F.substring(F.md5(F.concat(*key)), 1, 8))
+def _id(playbook: str, *key: Column) -> Column:
+    """Stable id: the prefix and the first 8 hex digits of the key's MD5."""
+    return F.concat(F.lit(D.ACTION_ID[playbook]), F.substring(F.md5(F.concat(*key)), 1, 8))
 
 
 def _reason(playbook: str) -> Column:
     return F.coalesce(present(F.col("notes")), F.lit(D.DEFAULT_REASON[playbook]))
 
 
-def _common(playbook: str, action: str) -> list[Column]:
-    return [
+def _result(
+    playbook: str, id_name: str, key: Column, lines_name: str, before: tuple = (), after: tuple = (),
+    more: tuple = (), **words: Column,
+) -> Column:
+    """The result struct of a playbook. `before` and `after` go around the reason, `more`
+    comes last; `words` fill the texts besides the id."""
+    action = next(p[2] for p in D.PLAYBOOKS if p[0] == playbook)
+    words = {"id": key, "small_id": F.lower(key), **words}
+    return F.struct(
         F.lit(playbook).alias("playbook"), F.lit(action).alias("action"), F.col("target"),
-        F.col("alert_id"),
-    ]
-
-
-def _tail(message: Column) -> list[Column]:
-    return [
+        F.col("alert_id"), key.alias(id_name), *before, _reason(playbook).alias("reason"), *after,
         F.col("requested_by").alias("executed_by"), iso_utc(F.col("ts")).alias("executed_at"),
-        F.lit("Success").alias("status"), message.alias("message"), F.lit(True).alias("simulated"),
-    ]
-
-
-def _lines(*texts) -> Column:
-    return F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts])
-
-
-def _say(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+        F.lit("Success").alias("status"), fill(D.ACTION_MESSAGE[playbook], **words).alias("message"),
+        F.lit(True).alias("simulated"),
+        F.array(*[fill(line, **words) for line in D.ACTION_LINES[playbook]]).alias(lines_name), *more,
+    )
 
 
 def block_ip() -> Column:
     """Result of blocking the target, as a struct."""
-    target, rule = F.col("target"), _short_id("BLOCK-RULE-", F.col("target"))
-    return F.struct(
-        *_common("block_ip", "IP_BLOCKED"), rule.alias("rule_id"),
-        _reason("block_ip").alias("reason"),
-        *_tail(_say("IP ", target, " successfully blocked. Rule ID: ", rule)),
-        _lines(
-            _say("Firewall ACL rule created: DENY ", target),
-            _say("WAF block rule added: IP=", target),
-            _say("IDS/IPS signature triggered: ", target),
-        ).alias("actions_taken"),
-    )
+    return _result("block_ip", "rule_id", _id("block_ip", F.col("target")), "actions_taken")
 
 
 def isolate_host() -> Column:
-    target = F.col("target")
-    ticket = _short_id("ISOLATE-", target, F.col("alert_id"))
-    return F.struct(
-        *_common("isolate_host", "HOST_ISOLATED"), ticket.alias("ticket_id"),
-        _reason("isolate_host").alias("reason"),
-        *_tail(_say("Host '", target, "' successfully isolated. Ticket: ", ticket)),
-        _lines(
-            _say("EDR isolation command sent to agent on ", target),
-            "Network VLAN changed: Quarantine VLAN activated",
-            _say("DNS blocked for host ", target),
-            _say("Active sessions terminated for ", target),
-        ).alias("actions_taken"),
-    )
+    key = _id("isolate_host", F.col("target"), F.col("alert_id"))
+    return _result("isolate_host", "ticket_id", key, "actions_taken")
 
 
 def notify_soc() -> Column:
     at = iso_utc(F.col("ts"))
-    note = _short_id("NOTIF-", F.col("alert_id"), at)
-    body = F.concat_ws(
-        "\n",
-        F.lit("🚨 SOAR Alert Notification"),
-        _say("Alert ID: ", F.col("alert_id")),
-        _say("Type: ", F.col("alert_type")),
-        _say("Severity: ", F.col("severity")),
-        _say("Target: ", F.col("target")),
-        _say("Time: ", at),
-        _say("Reason: ", _reason("notify_soc")),
-        _say("Triggered by: ", F.col("requested_by")),
-    )
-    return F.struct(
-        *_common("notify_soc", "SOC_NOTIFIED"), note.alias("notification_id"),
-        _reason("notify_soc").alias("reason"),
-        *_tail(_say("SOC notified successfully. Notification ID: ", note)),
-        _lines(*D.NOTIFY_CHANNELS).alias("channels_notified"), body.alias("notification_body"),
+    body = fill(D.NOTIFICATION, at=at, reason=_reason("notify_soc"))
+    return _result(
+        "notify_soc", "notification_id", _id("notify_soc", F.col("alert_id"), at), "channels_notified",
+        more=(body.alias("notification_body"),),
     )
 
 
 def escalate() -> Column:
-    ticket = _short_id("SEC-", F.col("alert_id"))
     priority = F.when(F.col("severity").isin("Critical", "High"), "P1").otherwise("P2")
-    return F.struct(
-        *_common("escalate", "INCIDENT_ESCALATED"), ticket.alias("ticket_id"),
-        priority.alias("priority"), _reason("escalate").alias("reason"), F.col("risk_score"),
-        *_tail(_say("Incident escalated. Security ticket ", ticket, " created with priority ",
-                    priority, ".")),
-        _lines(
-            _say("ServiceNow ticket created: ", ticket, " (Priority: ", priority, ")"),
-            _say("Jira issue linked: SEC-PROJECT-", ticket),
-            "Email sent to: security-management@company.com",
-            "On-call engineer notified via PagerDuty",
-            _say("War-room Slack channel #incident-", F.lower(ticket), " created"),
-        ).alias("actions_taken"),
-        iso_utc(F.col("ts")).alias("sla_deadline"),
+    return _result(
+        "escalate", "ticket_id", _id("escalate", F.col("alert_id")), "actions_taken",
+        before=(priority.alias("priority"),), after=(F.col("risk_score"),),
+        more=(iso_utc(F.col("ts")).alias("sla_deadline"),), priority=priority,
     )
 
 

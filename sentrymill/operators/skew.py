@@ -84,12 +84,14 @@ def _sliced(
     long) among its rows, so that its slices follow its order and are about equal.
     Rows with one and the same position stay together."""
     heavy = heavy_keys(df, keys) if heavy is None else heavy
-    steps = [i / MOST_PARTS for i in range(1, MOST_PARTS)]
+    # as one SQL text: thousands of single literals would take seconds to build
+    steps = ", ".join(f"{i / MOST_PARTS}D" for i in range(1, MOST_PARTS))
+    quantiles = F.expr(f"percentile_approx(`{position}`, array({steps}), {2 * MOST_PARTS})")
     # Of the finest quantiles keep as many as the key has parts: 2/HEAVY_SHARE in all.
     cuts = (
         df.select(*keys, position).join(F.broadcast(heavy), keys, "inner")
         .groupBy(*keys, "_parts")
-        .agg(F.percentile_approx(position, steps, 2 * MOST_PARTS).alias("_all"))
+        .agg(quantiles.alias("_all"))
         .withColumn("_every", F.expr(f"CAST({MOST_PARTS} div _parts AS INT)"))
         .select(*keys, F.expr("filter(_all, (c, i) -> (i + 1) % _every = 0)").alias("_cuts"))
         # every _STEP-th cut finds the neighbourhood, so a row is compared with few cuts

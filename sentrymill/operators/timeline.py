@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill import domains as D
 from sentrymill.functions import scoring
-from sentrymill.functions.text import as_json
+from sentrymill.functions.text import as_json, fill
 from sentrymill.operators.skew import heavy_keys, lookup_join, sliced_row_number
 
 # Events of one alert at the same instant are told apart by seq: lifecycle events
@@ -18,10 +19,10 @@ _COLUMNS = ["alert_db_id", "alert_id", "event_type", "seq", "description", "meta
             "occurred_at"]
 
 
-def _event(kind: str, seq: int, description: Column, metadata: Column) -> Column:
+def _event(kind: str, seq: int, metadata: Column, **words: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("event_type"), F.lit(seq).cast("long").alias("seq"),
-        description.alias("description"), metadata.alias("metadata_json"),
+        fill(D.EVENT_TEXT[kind], **words).alias("description"), metadata.alias("metadata_json"),
     )
 
 
@@ -31,23 +32,17 @@ def lifecycle_events(scored: DataFrame, policy: str = "reference") -> DataFrame:
     c = F.col
     level = scoring.risk_level(c("risk_score"), policy)
     created = _event(
-        "AlertCreated", 1,
-        F.concat(F.lit("Alert ingested | type="), c("alert_type"), F.lit(" ip="), c("source_ip"),
-                 F.lit(" severity="), c("severity")),
-        as_json(c("alert_type"), c("source_ip"), c("severity")),
+        "AlertCreated", 1, as_json(c("alert_type"), c("source_ip"), c("severity")),
     )
     enriched = _event(
         "AlertEnriched", 2,
-        F.concat(F.lit("TI enrichment complete | verdict="), c("threat_verdict"),
-                 F.lit(" confidence="), F.round("aggregate_confidence", 1).cast("string")),
         as_json(c("threat_verdict"), F.round("aggregate_confidence", 2).alias("aggregate_confidence"),
                 c("abuseipdb_score"), c("vt_malicious")),
+        confidence=F.round("aggregate_confidence", 1),
     )
     rated = _event(
         "RiskCalculated", 3,
-        F.concat(F.lit("Risk score computed | score="), c("risk_score").cast("string"),
-                 F.lit(" level="), level),
-        as_json(c("risk_score"), level.alias("risk_level")),
+        as_json(c("risk_score"), level.alias("risk_level")), risk_level=level,
     )
     return scored.select(
         c("id").alias("alert_db_id"), "alert_id", c("created_at").alias("occurred_at"),
@@ -59,8 +54,7 @@ def status_events(history: DataFrame) -> DataFrame:
     return history.select(
         F.col("id").alias("alert_db_id"), "alert_id", F.lit("StatusUpdated").alias("event_type"),
         (F.col("seq") + LATER).alias("seq"),
-        F.concat(F.lit("Status changed: "), "old_status", F.lit(" -> "), "new_status")
-        .alias("description"),
+        fill(D.EVENT_TEXT["StatusUpdated"]).alias("description"),
         as_json(F.col("old_status"), F.col("new_status")).alias("metadata_json"),
         F.col("ts").alias("occurred_at"),
     )
@@ -71,8 +65,7 @@ def playbook_events(executions: DataFrame) -> DataFrame:
     return executions.select(
         "alert_db_id", "alert_id", F.lit("PlaybookExecuted").alias("event_type"),
         (F.col("seq") + LATER).alias("seq"),
-        F.concat(F.lit("Playbook '"), "playbook_name", F.lit("' executed | target="), "target",
-                 F.lit(" status="), "status").alias("description"),
+        fill(D.EVENT_TEXT["PlaybookExecuted"]).alias("description"),
         as_json(
             F.col("playbook_name").alias("playbook"), F.col("target"), F.col("status"),
             F.when(~failed, F.col("action")).alias("action"),
@@ -86,7 +79,7 @@ def deletion_events(gone: DataFrame) -> DataFrame:
     return gone.select(
         F.col("id").alias("alert_db_id"), "alert_id", F.lit("AlertDeleted").alias("event_type"),
         F.lit(LATER).cast("long").alias("seq"),
-        F.lit("Alert permanently deleted from the system.").alias("description"),
+        fill(D.EVENT_TEXT["AlertDeleted"]).alias("description"),
         as_json(F.col("alert_type"), F.col("source_ip")).alias("metadata_json"),
         F.col("ts").alias("occurred_at"),
     )
