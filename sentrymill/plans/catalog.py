@@ -48,9 +48,14 @@ def show(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, oracle: str | None = None):
-    """Register a query; its result goes through show()."""
+    """Register a query; its result goes through show(). The sample times have no zone
+    and are taken as UTC."""
     def keep(build: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: show(build(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return show(build(spark, folder))
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return build

@@ -3,7 +3,9 @@
 The sample data has no alert table. These views make one, and everything around it,
 from `events`, `customer`, `documents` and `conversations` by integer arithmetic, so
 the same rows can be stated in other engines and grow with the sample data. Every one
-is a projection of a scan, or one aggregate of it.
+is a projection of a scan, or one aggregate of it. Changes, deletions, patches and
+requests concern some of the alerts by their nature; the operators that apply them run
+over all alerts.
 """
 
 from __future__ import annotations
