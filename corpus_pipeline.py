@@ -9,8 +9,9 @@ Parquet and read again, so a lost executor costs a re-read and no stage is run t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sentrymill.llm import quality, simhash
+from sentrymill.llm import benchmark, lines, mixing, quality, simhash
 from sentrymill.llm.common import stored
 
 
@@ -19,14 +20,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines repeated across documents go, `n_chars` follows; no document goes."""
+    done = lines.dedup_lines(docs)
+    kept = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*kept)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return benchmark.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, with the words it takes of each."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES = [
     ("quality", quality_stage),
+    ("line_dedup", line_stage),
     ("simhash", simhash_stage),
+    ("decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
 ]
 
 
@@ -37,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-# The classifier's scores are not expressible in SQL.
+# The classifier's scores and the balanced sample are not expressible in SQL.
 ORACLE_SQL = None

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sentrymill.llm import quality, simhash
+from sentrymill.llm import (
+    backoff, benchmark, lattice, licenses, lines, mixing, preference, quality, recompress, simhash,
+)
 
 QUERIES = {}
 ORACLES = {}
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+_LOWER = f"'{licenses.UPPER}', '{licenses.LOWER}'"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,3 +37,139 @@ def _(spark, d):
 @query("op2_quality")
 def _(spark, d):
     return quality.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op3_substrings", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+win AS (SELECT r, i AS pos, array_to_string(w[i:i + {recompress.WINDOW - 1}], ' ') AS s FROM (
+  SELECT r, w, unnest(range(1, len(w) - {recompress.WINDOW - 2})) AS i FROM d WHERE len(w) >= {recompress.WINDOW})),
+rep AS (SELECT r, pos FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT p.r, p.word, p.pos, max(CASE WHEN rep.pos IS NOT NULL THEN 1 ELSE 0 END) OVER (
+  PARTITION BY p.r ORDER BY p.pos ROWS BETWEEN {recompress.WINDOW - 1} PRECEDING AND CURRENT ROW) AS g
+  FROM p LEFT JOIN rep ON rep.r = p.r AND rep.pos = p.pos),
+kept AS (SELECT r, sum(g) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (g = 0) AS t FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""")
+def _(spark, d):
+    return recompress.remove_repeats(table(spark, d, "documents"), texts=False)
+
+
+@query("op4_mixing")
+def _(spark, d):
+    return mixing.mix(table(spark, d, "documents")).drop("sub")
+
+
+def _licence_oracle() -> str:
+    known = ", ".join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())
+    rules = ", ".join(f"('{name}', '(^|.*,){',(.*,)?'.join(ids)}(,.*|$)')" for name, ids in licenses.RULES)
+    plain = "trim(regexp_replace(translate(p, {}), '[^a-z0-9]+', ' ', 'g'))".format(_LOWER)
+    return rf"""
+WITH known(id, s) AS (VALUES {known}), rules(licence, pattern) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(
+  regexp_replace(text, '{licenses.BREAK}', '\1' || chr(10), 'g'), chr(10)), lambda p: {plain}), lambda p: p <> '') AS w FROM documents),
+o AS (SELECT r, doc_id, w, generate_subscripts(w, 1) AS i FROM d),
+f AS (SELECT r, doc_id, i - 1 AS pos, id FROM o JOIN known ON s = w[i]
+  UNION ALL SELECT r, doc_id, i - 1, id FROM o JOIN known ON s = w[i] || ' ' || w[i + 1]
+  UNION ALL SELECT r, doc_id, i - 1, id FROM o JOIN known ON s = w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+q AS (SELECT r, doc_id, count(*) AS n_sentences, min(pos)::BIGINT AS first_pos, string_agg(id, ',' ORDER BY pos, id) AS sequence
+  FROM f GROUP BY r, doc_id)
+SELECT DISTINCT r AS _r, doc_id, licence, n_sentences, first_pos, sequence FROM q JOIN rules ON regexp_matches(sequence, pattern)"""
+
+
+@query("op5_licenses", f"SELECT doc_id, licence, n_sentences, first_pos, sequence FROM ({_licence_oracle()})")
+def _(spark, d):
+    return licenses.recognise(table(spark, d, "documents"))
+
+
+@query("op6_lines", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM e),
+hot AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= {lines.LEAST_CHARS}
+  GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.LEAST_DOCS}),
+m AS (SELECT r, k.doc_id, line, pos, coalesce(top <> k.doc_id, false) AS gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id""")
+def _(spark, d):
+    done = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_decontamination")
+def _(spark, d):
+    return benchmark.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op8_embeddings", f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e,
+  len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.ok AND b.ok
+  AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {lattice.LEAST_COSINE}),
+g AS (SELECT r, vec_id AS c FROM v UNION SELECT l.b, g.c FROM g JOIN l ON l.a = g.r WHERE g.c < l.vb)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.r)::BIGINT AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM v JOIN g USING (r) GROUP BY r, vec_id""")
+def _(spark, d):
+    return lattice.near_duplicates(table(spark, d, "embeddings"))
+
+
+def _spans(c):
+    return F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), "|")
+
+
+_TURN = "'<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)"
+
+
+def _side_sql(name: str) -> str:
+    """Completion and learnt spans of one side."""
+    return f"""
+{name}s AS (SELECT conv_id, i, t, sum(length({_TURN})) OVER (PARTITION BY conv_id ORDER BY i) AS stop
+  FROM (SELECT conv_id, unnest({name}[n + 1:]) AS t, generate_subscripts({name}[n + 1:], 1) AS i FROM n)),
+{name}x AS (SELECT conv_id, string_agg({_TURN}, '' ORDER BY i) AS full_text,
+  string_agg((stop - length(t.text) - 8)::VARCHAR || '-' || stop::VARCHAR, '|' ORDER BY i)
+    FILTER (t.role = 'assistant') AS spans FROM {name}s GROUP BY conv_id)"""
+
+
+@query("op9_preference", f"""
+WITH q AS (SELECT conv_id, turn, role, text,
+  role = 'assistant' AND row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC, text DESC) = 1 AS last_one,
+  row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn, text) = 1 AS first_one,
+  lag(text) OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn, text) AS earlier FROM conversations),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS c FROM q GROUP BY conv_id),
+s AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS r FROM (
+  SELECT conv_id, turn, role, CASE WHEN last_one THEN earlier ELSE text END AS text FROM q WHERE NOT (last_one AND first_one)) GROUP BY conv_id),
+b AS (SELECT conv_id, c, coalesce(r, []) AS r FROM c LEFT JOIN s USING (conv_id)),
+n AS (SELECT conv_id, c, r, coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1),
+  lambda i: i > len(c) OR i > len(r) OR c[i] <> r[i])) - 1, len(c)) AS n FROM b),
+{_side_sql("c")}, {_side_sql("r")}
+SELECT conv_id AS pair_id, n::BIGINT AS n_prompt,
+  array_to_string(list_transform(c[1:n], lambda t: {_TURN}), '') AS prompt,
+  coalesce(cx.full_text, '') AS chosen, coalesce(rx.full_text, '') AS rejected,
+  coalesce(cx.spans, '') AS chosen_spans, coalesce(rx.spans, '') AS rejected_spans
+FROM n LEFT JOIN cx USING (conv_id) LEFT JOIN rx USING (conv_id)""")
+def _(spark, d):
+    turns = table(spark, d, "conversations")
+    done = preference.format_pairs(turns, preference.stale_replies(turns), "conv_id")
+    return done.withColumn("chosen_spans", _spans("chosen_spans")).withColumn("rejected_spans", _spans("rejected_spans"))
+
+
+@query("op10_backoff", rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.replace("text", f"translate(text, {_LOWER})")} AS w FROM documents),
+p AS (SELECT r, unnest(w) AS b, generate_subscripts(w, 1) AS pos FROM d),
+g AS (SELECT r, pos, b, lag(b) OVER (PARTITION BY r ORDER BY pos) AS a FROM p),
+u AS (SELECT b AS t, count(*) AS n FROM p GROUP BY b),
+two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b),
+x AS (SELECT g.r, g.a IS NOT NULL AND coalesce(two.n, 0) < {backoff.LEAST_COUNT} AS back,
+  CASE WHEN g.a IS NULL THEN ub.n / (SELECT count(*) FROM p)
+       WHEN two.n >= {backoff.LEAST_COUNT} THEN two.n / ua.n
+       ELSE {backoff.ALPHA} * ub.n / (SELECT count(*) FROM p) END AS v
+  FROM g LEFT JOIN two USING (a, b) JOIN u ub ON ub.t = g.b LEFT JOIN u ua ON ua.t = g.a),
+s AS (SELECT r, count(*) AS n, count(*) FILTER (back) AS k, sum(ln(v::DOUBLE)) AS l FROM x GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(k, 0)::BIGINT AS n_backed_off,
+  round(coalesce(l, 0), 4) AS log_score, round(l / n, 6) AS mean_log FROM d LEFT JOIN s USING (r)""")
+def _(spark, d):
+    return backoff.score(table(spark, d, "documents")).withColumn("log_score", F.round("log_score", 4)).withColumn(
+        "mean_log", F.round("mean_log", 6))
