@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from sentrymill.session import local_session  # noqa: E402
 
-TABLES = ["events", "customer", "documents", "pages", "conversations"]
+TABLES = ["events", "customer", "documents", "pages", "conversations", "embeddings", "benchmark", "labels"]
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
