@@ -118,5 +118,5 @@ def recognise(docs: DataFrame) -> DataFrame:
         F.col("known")[0]["pos"].cast("long").alias("first_pos"),
         F.array_join(F.transform("known", lambda s: s["id"]), ",").alias("sequence"))
     stated = F.array_distinct(F.transform(
-        F.filter(rules, lambda r: F.col("sequence").rlike(r["pattern"])), lambda r: r["licence"]))
+        F.filter(rules, lambda r: F.rlike("sequence", r["pattern"])), lambda r: r["licence"]))
     return found.select("doc_id", F.explode(stated).alias("licence"), "n_sentences", "first_pos", "sequence")
