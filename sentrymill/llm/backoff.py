@@ -142,7 +142,7 @@ def _score(parts: int, words: int, alpha: float, least_count: int):
                 back[1:] = inside & ~seen
                 value[1:] = np.where(seen, pair / alone[:-1], np.where(inside, alpha * value[1:], value[1:]))
             size = np.bincount(doc, minlength=n)[:n]
-            score = np.bincount(doc, np.log(value), n)[:n]
+            score = np.bincount(doc, np.log(value), n)[:n].astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [texts.column("doc_id"), pa.array(size.astype(np.int64)),
                  pa.array(np.bincount(doc, back, n)[:n].astype(np.int64)), pa.array(score)],

@@ -92,15 +92,16 @@ def flight(chance: list[float], size: list[int], rng: random.Random, spare: int
 
 
 def land(chance: list[float], size: list[int], held: list[int]) -> None:
-    """Settle the last entries of a source: of all choices within one document of what
-    their chances promise, the one whose words are nearest to what they promise."""
+    """Settle the last entries of a source on the choice whose words are nearest to what
+    their chances promise; a document more or less weighs as much as one in twenty of a
+    mean document's words."""
     if not held:
         return
     p, sizes_ = np.array([chance[j] for j in held]), np.array([size[j] for j in held], np.float64)
     choices = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
     words = np.abs(choices @ sizes_ - p @ sizes_)
-    words[np.abs(choices.sum(axis=1) - p.sum()) >= 1] = np.inf
-    for x, j in zip(choices[int(np.argmin(words))], held):
+    cost = words / max(1.0, sizes_.mean()) + 0.05 * np.abs(choices.sum(axis=1) - p.sum())
+    for x, j in zip(choices[int(np.argmin(cost))], held):
         chance[j] = float(x)
 
 
