@@ -1,156 +1,36 @@
 """Language-model scores by stupid backoff over bigrams, with counts from all texts.
 
-Documents are dealt to blocks of a few million characters. A block asks for the counts of
-its distinct unigrams and bigrams: one row for each count-table part, with the hashes
-packed and sorted and how often the block has each. A part of the count tables adds up
-what all blocks report and answers each with totals in the order asked, so hashes travel
-once and answers are small. The block then joins them to its n-grams and adds up the
-logarithms of each document. However frequent an n-gram is, it is one entry for a block.
+The count tables of unigrams and bigrams are kept by hash in parts; each block of texts
+joins its exploded n-grams to them (see blocks.py) and adds up the logarithms of each
+document. However frequent an n-gram is, it is one entry for a block.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill.llm import blocks
 from sentrymill.llm.benchmark import mix
-from sentrymill.llm.common import WORD, parts_of, text_bytes
+from sentrymill.llm.common import WORD
 
 ALPHA = 0.4               # factor of a step back
 LEAST_COUNT = 2           # a bigram seen less often is taken as unseen
-BLOCK_CHARS = 2_000_000
-PART_CHARS = 32_000_000   # of text whose n-grams one part of the count tables holds
-_ASK = "part long, block long, uh binary, uc binary, bh binary, bc binary"
-_ANSWER = "block long, part long, doc_id long, t binary, uc binary, bc binary"
+_ONE, _TWO = 1, 2
 
 
-def _grams(texts: list[bytes]):
-    """Unigram and bigram hashes of texts in order, text numbers, and where a text opens."""
-    split = [t.lower().split() for t in texts]
-    words = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    names = np.array([digest(w) for w in words.dictionary.to_pylist()] or [0], np.uint64)
-    one = names[words.indices.to_numpy(zero_copy_only=False)]
-    doc = np.repeat(np.arange(len(split)), [len(w) for w in split])
+def grams(texts: pa.Array):
+    """Unigram and bigram hashes of texts in order, text numbers, and which bigrams lie
+    inside a text. A-Z are taken in lower case."""
+    at, words, counts = blocks.word_codes(texts)
+    one = blocks.hashed(at, [w.lower() for w in words])
+    doc = np.repeat(np.arange(len(counts)), counts)
     inside = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
     return one, mix(one[:-1], one[1:]), doc, inside
 
 
-def _ordered(hashes: np.ndarray, parts: int):
-    """Distinct hashes by (part, hash), their numbers, and where each part begins."""
-    found, counts = np.unique(hashes, return_counts=True)
-    part = (found % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return found[order], counts[order], np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _pack(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<i8" if len(counts) and counts.max() > 2**31 - 1 else "<u4").tobytes(), 1)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    return np.frombuffer(raw, "<i8" if n and len(raw) == 8 * n else "<u4").astype(np.int64)
-
-
-def _groups(batches, key: str):
-    """Consecutive rows with one value of `key`, as (value, batch)."""
-    held = None
-    for batch in batches:
-        batch = batch if held is None else pa.concat_batches([held, batch])
-        if not batch.num_rows:
-            continue
-        values = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            yield values[a], batch.slice(a, b - a)
-        held = batch.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield held.column(key)[0].as_py(), held
-
-
-def _ask(parts: int):
-    def run(batches):
-        for block, rows in _groups(batches, "block"):
-            one, two, _, inside = _grams(rows.column("t").to_pylist())
-            u, nu, at_u = _ordered(one, parts)
-            b, nb, at_b = _ordered(two[inside], parts)
-            some = [p for p in range(parts) if at_u[p] < at_u[p + 1] or at_b[p] < at_b[p + 1]]
-            cut = lambda data, at, f: pa.array([f(data[at[p]:at[p + 1]]) for p in some], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()),
-                 cut(u, at_u, bytes), cut(nu, at_u, _pack), cut(b, at_b, bytes), cut(nb, at_b, _pack)],
-                ["part", "block", "uh", "uc", "bh", "bc"])
-
-    return run
-
-
-def _totals(hashes: list[bytes], counts: list[bytes]) -> list[bytes]:
-    """Totals over all asks, packed for each in its own order."""
-    each = [np.frombuffer(h, "<u8") for h in hashes]
-    whole = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    known, place = np.unique(whole, return_inverse=True)
-    total = np.zeros(len(known), np.int64)
-    np.add.at(total, place, np.concatenate([_unpack(c, len(h)) for c, h in zip(counts, each)]))
-    ends = np.cumsum([len(h) for h in each])
-    return [_pack(total[place[e - len(h):e]]) for h, e in zip(each, ends)]
-
-
-def _answer(batches):
-    for part, rows in _groups(batches, "part"):
-        n = rows.num_rows
-        column = lambda c: rows.column(c).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("block"), pa.array([part] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-             pa.array(_totals(column("uh"), column("uc")), pa.binary()),
-             pa.array(_totals(column("bh"), column("bc")), pa.binary())],
-            ["block", "part", "doc_id", "t", "uc", "bc"])
-
-
-def _score(parts: int, words: int, alpha: float, least_count: int):
-    def totals(found, at, answers):
-        out = np.zeros(len(found), np.int64)
-        for part, data in answers:
-            out[at[part]:at[part + 1]] = _unpack(data, at[part + 1] - at[part])
-        order = np.argsort(found, kind="stable")
-        return found[order], out[order]
-
-    def run(batches):
-        for _, rows in _groups(batches, "block"):
-            part = rows.column("part").to_numpy(zero_copy_only=False)
-            told = np.flatnonzero(part >= 0)
-            texts = rows.filter(pa.array(part < 0))
-            one, two, doc, inside = _grams(texts.column("t").to_pylist())
-            answers = rows.take(pa.array(told))
-            of = lambda c: zip(answers.column("part").to_pylist(), answers.column(c).to_pylist())
-            found, _, at = _ordered(one, parts)
-            u, nu = totals(found, at, of("uc"))
-            found, _, at = _ordered(two[inside], parts)
-            b, nb = totals(found, at, of("bc"))
-            n = texts.num_rows
-            alone = nu[np.searchsorted(u, one)].astype(np.float64)
-            value = alone / max(words, 1)
-            back = np.zeros(len(one), bool)
-            if len(one) > 1 and len(b):
-                pair = np.where(inside, nb[np.minimum(np.searchsorted(b, two), len(b) - 1)], 0)
-                seen = pair >= least_count
-                back[1:] = inside & ~seen
-                value[1:] = np.where(seen, pair / alone[:-1], np.where(inside, alpha * value[1:], value[1:]))
-            size = np.bincount(doc, minlength=n)[:n]
-            score = np.bincount(doc, np.log(value), n)[:n].astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [texts.column("doc_id"), pa.array(size.astype(np.int64)),
-                 pa.array(np.bincount(doc, back, n)[:n].astype(np.int64)), pa.array(score)],
-                ["doc_id", "n_tokens", "n_backed_off", "log_score"])
-
-    return run
-
-
 def score(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT) -> DataFrame:
     """One row per input row: `doc_id`, `n_tokens`, `n_backed_off`, `log_score`, `mean_log`.
 
@@ -163,19 +43,31 @@ def score(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT)
     """
     held = docs.agg(F.sum(F.length("text").cast("long")), F.sum(F.regexp_count("text", F.lit(WORD)).cast("long"))).first()
     chars, words = held[0] or 0, held[1] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    parts = parts_of(docs.sparkSession, chars, PART_CHARS)
-    texts = docs.select(
-        F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)").alias("block"), F.lit(-1).cast("long").alias("part"),
-        F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
-    dealt = min(blocks, parts_of(docs.sparkSession, chars, 4 * BLOCK_CHARS))
-    asked = texts.repartition(dealt, "block").sortWithinPartitions("block").mapInArrow(_ask(parts), _ASK)
-    answers = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, _ANSWER)
-    none = F.lit(None).cast("binary")
-    whole = answers.unionByName(texts.select("block", "part", "doc_id", "t", none.alias("uc"), none.alias("bc")))
-    return (
-        whole.repartition(dealt, "block").sortWithinPartitions("block")
-        .mapInArrow(_score(parts, words, alpha, least_count),
-                    "doc_id long, n_tokens long, n_backed_off long, log_score double")
-        .withColumn("mean_log", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
-    )
+    parts = blocks.parts_for(docs, chars)
+    dealt = blocks.deal(docs, chars)
+
+    def keys(table):
+        one, two, _, inside = grams(table.column("t"))
+        return {_ONE: (one, None, None), _TWO: (two[inside], None, None)}
+
+    def add_up(table, answers):
+        one, two, doc, inside = grams(table.column("t"))
+        alone = blocks.told(answers, _ONE, one, None, parts).astype(np.float64)
+        pair = np.zeros(len(two), np.int64)
+        pair[inside] = blocks.told(answers, _TWO, two[inside], None, parts)
+        value = alone / max(words, 1)
+        back = np.zeros(len(one), bool)
+        if len(one) > 1:
+            seen = inside & (pair >= least_count)
+            back[1:] = inside & ~seen
+            value[1:] = np.where(seen, pair / alone[:-1], np.where(inside, alpha * value[1:], value[1:]))
+        n = table.num_rows
+        columns = [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, back, n).astype(np.int64),
+                   np.bincount(doc, np.log(value), n).astype(np.float64)]
+        return pa.Table.from_arrays(
+            [table.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_backed_off", "log_score"])
+
+    answers = blocks.totals(blocks.asks(dealt, keys, parts))
+    scored = blocks.with_answers(
+        dealt, answers, add_up, "doc_id long, n_tokens long, n_backed_off long, log_score double")
+    return scored.withColumn("mean_log", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

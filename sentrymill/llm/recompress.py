@@ -7,7 +7,8 @@ whatever stands around them; only near their ends may the outside interfere. Eac
 carries the range of words that settles it. A window of WINDOW words holds some symbols
 that it settles alone; the longest, then the one with the least hash, is its anchor. Equal windows have
 equal anchors, so only windows whose anchor turns up twice can repeat, and those alone
-are compared, by a 128-bit hash of their words.
+are compared, by a 128-bit hash of their words. Both counts are taken over the whole
+corpus block by block (see blocks.py).
 """
 
 from __future__ import annotations
@@ -18,27 +19,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from sentrymill.llm import blocks
 from sentrymill.llm.benchmark import mix, window_hashes
-from sentrymill.llm.common import text_bytes
-from sentrymill.llm.quality import _pieces
+from sentrymill.llm.common import total_chars
 
 WINDOW = 35     # words
-ROUNDS = 3      # of pair naming; symbols then stand for about 2.4 words
-_FIRST = "k1 long, k2 long, doc_id long, sub long, spans binary, known int"
-_SPANS = "doc_id long, sub long, spans binary"
+ROUNDS = 4      # of pair naming; symbols then stand for about three words
+_PIECE = 1 << 17   # words worked on at a time
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of `texts` in order, and how many each text has."""
-    split = [t.split() for t in texts.to_pylist()]
-    counts = np.array([len(w) for w in split], np.int64)
-    words = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    digest = xxhash.xxh3_64_intdigest
-    names = np.array([digest(w) for w in words.dictionary.to_pylist()] or [0], np.uint64)
-    return names[words.indices.to_numpy(zero_copy_only=False)], counts
+    at, words, counts = blocks.word_codes(texts)
+    return blocks.hashed(at, words), counts
 
 
 def symbols(words: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS):
@@ -126,143 +121,29 @@ def anchors(words: np.ndarray, counts: np.ndarray, width: int = WINDOW, rounds:
     return key[first], text, start[first] - begin[text], start[last] - begin[text], none[first] & (last > first)
 
 
-def _packed(starts: np.ndarray, ends: np.ndarray) -> bytes:
-    return np.stack([starts, ends], axis=1).astype("<i4").tobytes()
+def _stretches(words: np.ndarray, counts: np.ndarray, width: int, rounds: int):
+    """anchors() for many texts, worked on in pieces that stay small."""
+    ends = np.cumsum(counts)
+    cuts = (np.flatnonzero(np.diff(ends // _PIECE)) + 1).tolist() if len(ends) else []
+    parts = []
+    for a, b in zip([0, *cuts], [*cuts, len(counts)]):
+        if b > a:
+            low = ends[a - 1] if a else 0
+            key, text, first, last, sure = anchors(words[low:ends[b - 1]], counts[a:b], width, rounds)
+            parts.append((key, text + a, first, last, sure))
+    return [np.concatenate(p) for p in zip(*parts)] if parts else anchors(words, counts, width, rounds)
 
 
-def _rows(k1, k2, text, starts, ends, sure, ids, subs):
-    """What a task says of its keys. A key met twice here is settled: its stretches go
-    back to their texts and one row tells others; a key met once asks."""
-    order = np.lexsort((k2, k1))
-    k1, k2, text, starts, ends, sure = (x[order] for x in (k1, k2, text, starts, ends, sure))
-    new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]) if len(k1) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    twice = (np.bincount(group, minlength=1)[group] > 1) | (np.bincount(group, sure, minlength=1)[group] > 0) if len(k1) else sure
-    alone = np.flatnonzero(~twice)
-    tells = np.flatnonzero(twice & new)
-    out = [(k1[alone], k2[alone], text[alone], [_packed(starts[i:i + 1], ends[i:i + 1]) for i in alone], 0),
-           (k1[tells], k2[tells], None, [None] * len(tells), 1)]
-    back = np.flatnonzero(twice)
-    back = back[np.argsort(text[back], kind="stable")]
-    cuts = np.flatnonzero(np.concatenate([[True], text[back][1:] != text[back][:-1]])) if len(back) else []
-    owners = text[back][cuts] if len(back) else np.zeros(0, np.int64)
-    spans = [_packed(starts[back[a:b]], ends[back[a:b]]) for a, b in zip(cuts, [*cuts[1:], len(back)])]
-    salt = mix(np.arange(len(owners), dtype=np.uint64), np.uint64(int(k1[0]) & (2**63 - 1) if len(k1) else 0)).view(np.int64)
-    out.append((salt, salt, owners, spans, 2))
-    for a, b, who, spans, known in out:
-        n = len(a)
-        none = pa.nulls(n, pa.int64())
-        at = pa.array(who) if who is not None else None
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)),
-             ids.take(at) if who is not None else none, subs.take(at) if who is not None else none,
-             pa.array(spans, pa.binary()), pa.array(np.full(n, known, np.int32))],
-            ["k1", "k2", "doc_id", "sub", "spans", "known"])
-
-
-def _meet(rows: DataFrame) -> DataFrame:
-    """Stretches whose key turns up at least twice anywhere, packed for each text.
-
-    A task gave at most one row for a key however often it met it there, so a key that a
-    third of all texts share is a few rows for each task. Rows come sorted by key; only
-    the rows of one key are held.
-    """
-    def run(batches):
-        held = None
-        for batch in batches:
-            batch = pa.concat_batches([held, batch]) if held is not None else batch
-            k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(k1):
-                continue
-            new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-            cut = int(np.flatnonzero(new)[-1])
-            held = batch.slice(cut)
-            yield settle(batch.slice(0, cut), new[:cut])
-        if held is not None:
-            n = held.num_rows
-            yield settle(held, np.arange(n) == 0)
-
-    def settle(batch, new):
-        known = batch.column(5).to_numpy(zero_copy_only=False)
-        if batch.num_rows:
-            group = np.cumsum(new) - 1
-            many = (np.bincount(group)[group] > 1) | (np.bincount(group, known == 1)[group] > 0)
-            take = (known == 2) | ((known == 0) & many)
-        else:
-            take = np.zeros(0, bool)
-        return batch.filter(pa.array(take)).select(["doc_id", "sub", "spans"])
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    found = rows.repartition(n, "k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, _SPANS)
-    return found.groupBy("doc_id", "sub").agg(F.collect_list("spans").alias("lists"))
-
-
-def _stretches(lists) -> np.ndarray:
-    """Sorted, disjoint (first, last) stretches from packed ones."""
-    if not lists:
-        return np.zeros((0, 2), np.int64)
-    both = np.unique(np.concatenate([np.frombuffer(p, "<i4").reshape(-1, 2) for p in lists]), axis=0).astype(np.int64)
-    top = np.maximum.accumulate(both[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], both[1:, 0] > top[:-1] + 1]))
-    return np.stack([both[new, 0], top[np.concatenate([new[1:], [len(both)]]) - 1]], axis=1)
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sub"), text_bytes().alias("t"))
-
-
-def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("sub").alias("_sub"), "lists")
-    return texts.join(
-        spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("sub") == F.col("_sub")), how
-    ).drop("_doc", "_sub")
-
-
-def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """`doc_id`, `sub` (hash of the text) and `lists`, packed stretches of the starts of
-    windows whose words also start elsewhere, the same text included."""
-    texts = _texts(docs)
-
-    def first(batches):
-        for batch in _pieces(_swapped(batches)):
-            words, counts = word_hashes(batch.column(1))
-            key, text, starts, ends, sure = anchors(words, counts, width, rounds)
-            signed = key.view(np.int64)
-            yield from _rows(signed, signed, text, starts, ends, sure, batch.column(0), batch.column(2))
-
-    def second(batches):
-        for batch in _pieces(_swapped(batches)):
-            words, counts = word_hashes(batch.column(1))
-            raw, begin = memoryview(words.tobytes()), np.cumsum(counts) - counts
-            digest, text, starts = [], [], []
-            for i, lists in enumerate(batch.column(3).to_pylist()):
-                for a, b in _stretches(lists).tolist():
-                    at = range(a, b + 1)
-                    digest += [xxhash.xxh3_128_digest(raw[8 * (begin[i] + p): 8 * (begin[i] + p + width)]) for p in at]
-                    text += [i] * len(at)
-                    starts += at
-            keys = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            text, starts = np.array(text, np.int64), np.array(starts, np.int64)
-            yield from _rows(keys[:, 0], keys[:, 1], text, starts, starts, np.zeros(len(text), bool), batch.column(0), batch.column(2))
-
-    candidates = _meet(texts.mapInArrow(first, _FIRST))
-    return _meet(_with_spans(texts, candidates, "inner").mapInArrow(second, _FIRST))
-
-
-def _swapped(batches):
-    """Text second, as the cutting of batches expects it."""
-    for batch in batches:
-        order = ["doc_id", "t", "sub", *[c for c in batch.schema.names if c not in ("doc_id", "t", "sub")]]
-        yield batch.select(order)
-
-
-def covered(n: int, lists, width: int = WINDOW) -> np.ndarray:
-    """Which of `n` words lie in a repeated window."""
-    out = np.zeros(n, bool)
-    for a, b in _stretches(lists).tolist():
-        out[a:b + width] = True
-    return out
+def _windows(words, counts, text, first, last, width):
+    """128-bit hashes of all windows of some stretches, with text and start of each."""
+    sizes = last - first + 1
+    text = np.repeat(text, sizes)
+    start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+    raw, step = memoryview(words.tobytes()), 8 * width
+    at = (8 * ((np.cumsum(counts) - counts)[text] + start)).tolist() if len(text) else []
+    digest = xxhash.xxh3_128_digest
+    keys = np.frombuffer(b"".join([digest(raw[a:a + step]) for a in at]), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), text, start
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, texts: bool = True) -> DataFrame:
@@ -272,23 +153,55 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, t
     A word goes if a window of `width` consecutive words covers it whose word sequence
     also starts anywhere else in the input. Null and empty texts have no words. Rows
     repeated with one doc_id and text repeat each other and lose alike. A null doc_id is
-    kept as null. Extra columns are ignored. Nothing runs when it is called.
+    kept as null. Extra columns are ignored. When called it counts the characters of the
+    input in one job.
     """
-    marked = _with_spans(_texts(docs), repeated_windows(docs, width, rounds), "left")
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            for text, lists in zip(batch.column("t").to_pylist(), batch.column("lists").to_pylist()):
-                words = text.split()
-                gone = covered(len(words), lists, width)
-                kept = b" ".join(words if not gone.any() else [words[i] for i in np.flatnonzero(~gone).tolist()])
-                for column, value in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept if texts else None)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                 pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    done = marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    chars = total_chars(docs)
+    parts = blocks.parts_for(docs, chars)
+    dealt = blocks.deal(docs, chars)
+
+    def stretches(table):
+        words, counts = word_hashes(table.column("t"))
+        return words, counts, _stretches(words, counts, width, rounds)
+
+    def anchor_keys(table):
+        _, _, (key, _, _, _, sure) = stretches(table)
+        return {0: (key, None, 1 + sure.astype(np.int64))}
+
+    def candidates(table, answers):
+        words, counts, (key, text, first, last, _) = stretches(table)
+        twice = blocks.told(answers, 0, key, None, parts) > 1
+        return words, counts, _windows(words, counts, text[twice], first[twice], last[twice], width)
+
+    def ask_windows(table, answers):
+        if not table.num_rows:
+            return blocks.ask_rows(0, {}, parts)
+        _, _, (k1, k2, _, _) = candidates(table, answers)
+        return blocks.ask_rows(table.column("block")[0].as_py(), {1: (k1, k2, None)}, parts)
+
+    def cut(table, answers):
+        _, counts, (k1, k2, text, start) = candidates(table, answers)
+        twice = blocks.told(answers, 1, k1, k2, parts) > 1
+        begin = np.cumsum(counts) - counts
+        edge = np.zeros(int(counts.sum()) + 1, np.int64)
+        at = begin[text[twice]] + start[twice]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + width, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        out = [[], [], [], []]
+        for body, low, n in zip(table.column("t").to_pylist(), begin.tolist(), counts.tolist()):
+            words = body.encode().split()
+            mine = gone[low:low + n]
+            left = b" ".join([words[i] for i in np.flatnonzero(~mine).tolist()] if mine.any() else words)
+            for column, value in zip(out, (n, int(mine.sum()), hashlib.sha256(left).hexdigest(), left.decode() if texts else None)):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+        return pa.Table.from_arrays([table.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds)]], names)
+
+    of_anchors = blocks.totals(blocks.asks(dealt, anchor_keys, parts), 2)
+    of_windows = blocks.totals(blocks.with_answers(dealt, of_anchors, ask_windows, blocks._ASK), 2)
+    done = blocks.with_answers(
+        dealt, of_anchors.unionByName(of_windows), cut,
+        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if texts else done.drop("kept")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sentrymill.llm import backoff, benchmark, licenses, lines, recompress
+from sentrymill.llm import backoff, benchmark, blocks, licenses, lines, recompress
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,7 +89,7 @@ def test_equal_windows_have_equal_anchors():
     rng = random.Random(8)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 300))).encode() for _ in range(60)]
     for width in (5, 9, 35):
-        words, counts = recompress.word_hashes(pa.array(texts, pa.binary()))
+        words, counts = recompress.word_hashes(pa.array([t.decode() for t in texts]))
         key, text, first, last, _ = recompress.anchors(words, counts, width)
         assert (last - first + 1).sum() == np.maximum(counts - width + 1, 0).sum()
         of, begin = {}, np.cumsum(counts) - counts
@@ -192,7 +192,7 @@ def slow_scores(rows):
 
 @pytest.mark.parametrize("block", [300, 2_000_000])
 def test_scores(make_docs, odd_rows, monkeypatch, block):
-    monkeypatch.setattr(backoff, "BLOCK_CHARS", block)
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", block)
     rows = odd_rows + [(100 + i, "the cat sat on the mat and The dog " * (i % 4)) for i in range(30)]
     got = backoff.score(make_docs(rows)).collect()
     key = lambda r: tuple((v is None, v or 0) for v in r)
