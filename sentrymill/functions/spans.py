@@ -8,6 +8,8 @@ searched without a shuffle and without leaving the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,14 +208,24 @@ def resolve(found: Column) -> Column:
     return F.coalesce(_let(F.array_sort(found), of), no_spans())
 
 
+FEW_SPANS = 16   # up to here a substring of the whole text for each span is cheaper
+
+
 def replace_spans(text: Column, spans: Column) -> Column:
-    """`text` with each span (start, end, token), sorted by start, swapped for its token."""
-    def piece(span: Column, i: Column) -> Column:
-        at = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        return F.concat(F.substring(text, at + 1, span["start"] - at), span["token"])
-
-    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
-    return F.concat(
-        F.array_join(F.transform(spans, piece), ""),
-        F.substring(text, last + 1, F.length(text)),
-    )
+    """`text` with each span (start, end, token), sorted by start, swapped for its token.
+
+    A substring is counted off from the beginning of its text, so with many spans the text
+    is split into characters once and the pieces are slices of that.
+    """
+    def pieces(cut: Callable[[Column, Column], Column]) -> Column:
+        def piece(span: Column, i: Column) -> Column:
+            at = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+            return F.concat(cut(at, span["start"] - at), span["token"])
+
+        last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(last, F.length(text)))
+
+    many = _let(F.split(text, ""), lambda letters: pieces(
+        lambda at, n: F.array_join(F.slice(letters, at + 1, n), "")))
+    few = pieces(lambda at, n: F.substring(text, at + 1, n))
+    return F.when(F.size(spans) > FEW_SPANS, many).otherwise(few)

@@ -32,7 +32,7 @@ def resolve(requests: DataFrame, alerts: DataFrame) -> Resolved:
         "alert_id", F.col("id").alias("alert_db_id"), "alert_type", "source_ip", "severity",
         "risk_score",
     )
-    seen = lookup_join(requests, needed, ["alert_id"], spread_by=["alert_id", "ts", "seq"])
+    seen = lookup_join(requests, needed, ["alert_id"])
     names = [p[0] for p in D.PLAYBOOKS]
     reason = F.when(F.col("alert_db_id").isNull(), "alert not found").when(
         F.col("playbook_name").isNull() | ~F.col("playbook_name").isin(names), "playbook not found"

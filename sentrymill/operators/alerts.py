@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentrymill import domains as D
 from sentrymill.functions.text import contains_pattern
 from sentrymill.operators.intake import check_range, normal_status
-from sentrymill.operators.skew import heavy_keys, lookup_join, sliced_previous
+from sentrymill.operators.skew import lookup_join, sliced_previous
 
 
 def _newest_first() -> list[Column]:
@@ -102,25 +102,17 @@ def change_status(alerts: DataFrame, changes: DataFrame) -> StatusResult:
     )
     # Ids without an alert are groups of their own, so they may take part until the
     # one join that also brings the stored status.
-    heavy = heavy_keys(good, ["id"])
-    ordered = sliced_previous(
-        good, ["id"], ["_at", "seq"], "_at", "new_status", "_previous", heavy
-    )
+    ordered = sliced_previous(good, ["id"], ["_at", "seq"], "_at", "new_status", "_previous")
     stored = alerts.select("id", "alert_id", F.col("status").alias("_stored"))
-    history = lookup_join(
-        ordered, stored, ["id"], "inner", spread_by=["id", "_at", "seq"], heavy=heavy
-    ).select(
+    history = lookup_join(ordered, stored, ["id"], "inner").select(
         "id", "alert_id", F.coalesce("_previous", "_stored").alias("old_status"), "new_status",
         "ts", "seq",
     )
-    unknown = lookup_join(
-        changes, alerts.select("id"), ["id"], "left_anti", spread_by=["id", "ts", "seq"], heavy=heavy
-    )
-    rejects = unknown.withColumn("reason", F.lit("alert not found")).unionByName(
-        lookup_join(
-            spelled.where("_status is null").drop("_status"), alerts.select("id"), ["id"],
-            "left_semi", spread_by=["id", "ts", "seq"], heavy=heavy,
-        ).withColumn("reason", F.lit("status: unknown"))
+    # the body of a change is looked at before its alert
+    judged = lookup_join(spelled, alerts.select("id", F.lit(True).alias("_known")), ["id"])
+    rejects = judged.where("_status is null or _known is null").select(
+        *changes.columns,
+        F.when(F.col("_status").isNull(), "status: unknown").otherwise("alert not found").alias("reason"),
     )
     return StatusResult(current_status(alerts, good), history, rejects)
 

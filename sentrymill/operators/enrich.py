@@ -19,6 +19,28 @@ def recent_reports(abuse: DataFrame, as_of: Column, days: int = D.LOOKBACK_DAYS)
     return abuse.where(F.col("last_reported_at") >= as_of - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def newest_rows(feed: DataFrame, key: str, time: str | None = None) -> DataFrame:
+    """One row per key: the one with the latest `time`. Equal or absent times are settled
+    by the largest row, so the choice does not depend on the order of rows. Feeds repeat
+    an address; without this each repeat would double its alerts."""
+    row = F.struct(*[c for c in feed.columns if c != key])
+    order = F.struct(*([time] if time else []), row)
+    return feed.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, order).alias("_r")).select(
+        key, "_r.*").select(*feed.columns)
+
+
+def abuse_feed(abuse: DataFrame) -> DataFrame:
+    return newest_rows(abuse, "ip_address", "last_reported_at")
+
+
+def scan_feed(scan: DataFrame) -> DataFrame:
+    return newest_rows(scan, "ip_address", "last_analysis_date")
+
+
+def geo_feed(geo: DataFrame) -> DataFrame:
+    return newest_rows(geo, "ip")
+
+
 def prefer(primary: DataFrame, fallback: DataFrame, key: str, live: str, other: str) -> DataFrame:
     """One row per key: the primary feed's row if it has one, else the fallback's,
     with the origin in `source`."""
@@ -41,7 +63,7 @@ def watchlist_flag(ip: Column, watchlist: list[str] = D.WATCHLIST) -> Column:
 def on_watchlist(alerts: DataFrame, watchlist: DataFrame) -> DataFrame:
     return lookup_join(
         alerts, watchlist.select(F.col("ip_address").alias("source_ip")).distinct(),
-        ["source_ip"], "left_semi", spread_by=["id"],
+        ["source_ip"], "left_semi"
     )
 
 
@@ -58,29 +80,29 @@ def _geo_row() -> Column:
 
 
 def lookup_abuse(alerts: DataFrame, abuse: DataFrame) -> DataFrame:
-    feed = abuse.select(F.col("ip_address").alias("source_ip"), _abuse_row().alias("abuse"))
-    return lookup_join(alerts, feed, ["source_ip"], spread_by=["id"])
+    feed = abuse_feed(abuse).select(F.col("ip_address").alias("source_ip"), _abuse_row().alias("abuse"))
+    return lookup_join(alerts, feed, ["source_ip"])
 
 
 def lookup_scan(alerts: DataFrame, scan: DataFrame) -> DataFrame:
-    feed = scan.select(F.col("ip_address").alias("source_ip"), _scan_row().alias("scan"))
-    return lookup_join(alerts, feed, ["source_ip"], spread_by=["id"])
+    feed = scan_feed(scan).select(F.col("ip_address").alias("source_ip"), _scan_row().alias("scan"))
+    return lookup_join(alerts, feed, ["source_ip"])
 
 
 def lookup_geo(alerts: DataFrame, geo: DataFrame) -> DataFrame:
-    feed = geo.select(F.col("ip").alias("source_ip"), _geo_row().alias("geo"))
-    return lookup_join(alerts, feed, ["source_ip"], spread_by=["id"])
+    feed = geo_feed(geo).select(F.col("ip").alias("source_ip"), _geo_row().alias("geo"))
+    return lookup_join(alerts, feed, ["source_ip"])
 
 
 def reports(ips: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame) -> DataFrame:
     """One combined report per address (column source_ip) that any feed knows.
 
-    `ips` holds each address once, so the three joins are one-to-one and share a
-    single partitioning by address.
+    `ips` holds each address once and of each feed the newest row counts, so the three
+    joins are one-to-one and share a single partitioning by address.
     """
-    a = abuse.select(F.col("ip_address").alias("source_ip"), _abuse_row().alias("abuseipdb"))
-    v = scan.select(F.col("ip_address").alias("source_ip"), _scan_row().alias("virustotal"))
-    g = geo.select(F.col("ip").alias("source_ip"), _geo_row().alias("ipinfo"))
+    a = abuse_feed(abuse).select(F.col("ip_address").alias("source_ip"), _abuse_row().alias("abuseipdb"))
+    v = scan_feed(scan).select(F.col("ip_address").alias("source_ip"), _scan_row().alias("virustotal"))
+    g = geo_feed(geo).select(F.col("ip").alias("source_ip"), _geo_row().alias("ipinfo"))
     known = (
         ips.select("source_ip").join(a, "source_ip", "left").join(v, "source_ip", "left")
         .join(g, "source_ip", "left")
@@ -111,7 +133,7 @@ def report_json() -> Column:
 
 
 def report_table(alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame) -> DataFrame:
-    """The reports of the addresses of `alerts`, written out once.
+    """The reports of the addresses of `alerts`, written out once, when this is called.
 
     Each address is looked up once however many alerts it has, and all that is derived
     from the alerts afterwards shares the table. Being stored, its size is known, so a
@@ -138,7 +160,7 @@ def attach(alerts: DataFrame, table: DataFrame) -> DataFrame:
     without a report).
     """
     plain = alerts.drop("threat_verdict", "enrichment_data", "country", "aggregate_confidence")
-    joined = lookup_join(plain, table, ["source_ip"], spread_by=["id"])
+    joined = lookup_join(plain, table, ["source_ip"])
     return joined.withColumns({
         "threat_verdict": F.coalesce("_verdict", F.lit("Unknown")),
         "aggregate_confidence": F.coalesce("aggregate_confidence", F.lit(0.0)),
@@ -148,7 +170,8 @@ def attach(alerts: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def enrich(alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame) -> DataFrame:
-    """Alerts with the report of their source address; see attach()."""
+    """Alerts with the report of their source address; see attach(). The reports are
+    worked out and stored when this is called."""
     return attach(alerts, report_table(alerts, abuse, scan, geo))
 
 
@@ -166,4 +189,4 @@ def enrichment_view(
         "id", "alert_id", "source_ip",
         scoring.score_summary(F.col("risk_score"), policy).alias("risk_info"),
     )
-    return lookup_join(view, report, ["source_ip"], spread_by=["id"])
+    return lookup_join(view, report, ["source_ip"])

@@ -46,6 +46,7 @@ def reject_reasons(raw: DataFrame) -> Column:
     """Array of the reasons to refuse a raw alert; empty when it is fine."""
     c = raw.__getitem__
     checks = [
+        (c("id").isNull(), "id: required"),
         (c("alert_type").isNull(), "alert_type: required"),
         (~type_length_ok(c("alert_type")), "alert_type: length must be 2 to 100"),
         (c("source_ip").isNull(), "source_ip: required"),
@@ -85,6 +86,30 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("reasons") > 0)
 
 
+def unique_ids(good: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(first row of each id that is not in `existing`, all other rows with a reason).
+
+    The earliest row wins; equal times are settled by the smallest row. Rows alike in all
+    columns count each: one may stay, the others are refused. Copies are counted before
+    they are compared, so an id sent very often is not gathered in one task.
+    """
+    rest = [c for c in good.columns if c != "id"]
+    order = F.struct("created_at", *[c for c in rest if c != "created_at"])
+    kinds = good.groupBy(*good.columns).agg(F.count("*").alias("_n"))
+    firsts = kinds.groupBy("id").agg(F.min(order).alias("_first"))
+    if existing is not None:
+        stored = existing.select("id").distinct().withColumn("_stored", F.lit(True))
+        firsts = firsts.join(stored, "id", "left")
+    else:
+        firsts = firsts.withColumn("_stored", F.lit(None).cast("boolean"))
+    judged = lookup_join(kinds, firsts, ["id"], "inner").withColumn(
+        "_wins", F.col("_stored").isNull() & order.eqNullSafe(F.col("_first")))
+    lost = judged.withColumn("_lost", F.col("_n") - F.col("_wins").cast("long")).where("_lost > 0").withColumn(
+        "_copy", F.explode(F.expr("sequence(1L, _lost)")))
+    return judged.where("_wins").select(*good.columns), lost.select(
+        *good.columns, F.array(F.lit("id: already used")).alias("reasons"))
+
+
 def _patch_is_bad() -> Column:
     return (
         ~F.coalesce(type_length_ok(F.col("alert_type")), F.lit(True))
@@ -147,7 +172,7 @@ def key_clashes(rows: DataFrame, existing: DataFrame, keys: list[str], order: li
         existing.select(*keys).distinct().withColumn("_exists", F.lit(True)), keys, "left"
     )
     return (
-        lookup_join(rows, firsts, keys, "inner", spread_by=order)
+        lookup_join(rows, firsts, keys, "inner")
         .where(F.col("_exists").isNotNull() | (F.struct(*order) != F.col("_first")))
         .select(*rows.columns)
     )

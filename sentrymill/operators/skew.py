@@ -1,6 +1,6 @@
 """Lookups and ordered windows that hold when one key owns a large part of the rows.
 
-A key is heavy when it has more than HEAVY_SHARE of the rows (and at least LEAST_ROWS).
+For windows a key is heavy when it has more than HEAVY_SHARE of the rows (and at least LEAST_ROWS).
 There can be at most 1/HEAVY_SHARE such keys, so their list may be broadcast whatever
 the table's size, and each is cut into parts of about that share. Results never depend
 on which keys are listed; only the spread of the work does.
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 0.00005        # at most 20,000 keys hold more than this share of the rows
 LEAST_ROWS = 200_000         # smaller groups are never worth cutting
-MOST_PARTS = 4096            # parts a heavy key is cut into at most
-BROADCAST_BYTES = 16 << 20   # largest estimated size of a side that is sent to all tasks
+MOST_PARTS = 4096            # parts a heavy key is cut into at most; a third of 100 TB in one key
+                             # still leaves slices of several GB, sorted with spilling
 _STEP = 64                   # cut points looked at in one go
 
 
@@ -37,53 +37,25 @@ def heavy_keys(
     )
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the optimizer's size estimate for `df` is within `limit`. No estimate
-    counts as too large."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) <= limit
-    except AttributeError:
-        return False
-
-
-def lookup_join(
-    facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left",
-    spread_by: list[str] | None = None, heavy: DataFrame | None = None,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many `facts` rows to at most one `dim` row by `keys`.
 
-    A small `dim` is broadcast. Otherwise the join shuffles on the keys and a salt: a
-    heavy key's rows take one of its parts by a hash of `spread_by` (all columns if not
-    given), and its one dim row is repeated for each part, which adds at most about
-    2/HEAVY_SHARE rows. Rows with a null key match nothing and are spread as well.
+    Nothing is counted beforehand and nothing forced: adaptive execution broadcasts a `dim`
+    that turns out small, and otherwise cuts the partitions that a heavy key, or rows
+    without one, have filled. It can do so only if each side has an exchange of its own
+    below the join; a `dim` that comes partitioned by its keys gets one by the rebalance.
 
     `how` is left, inner, left_semi or left_anti.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how!r}")
-    if small_enough(dim):
-        return facts.join(F.broadcast(dim), keys, how)
-    heavy = F.broadcast(heavy_keys(facts, keys) if heavy is None else heavy)
-    no_key = " or ".join(f"`{k}` is null" for k in keys)
-    spread = ", ".join(f"`{c}`" for c in (spread_by or facts.columns))
-    left = facts.join(heavy, keys, "left").withColumn("_salt", F.expr(
-        f"CASE WHEN {no_key} THEN pmod(xxhash64({spread}), {MOST_PARTS}) "
-        f"WHEN _parts IS NOT NULL THEN pmod(xxhash64({spread}), _parts) ELSE 0 END"
-    )).drop("_parts")
-    right = dim.join(heavy, keys, "left").withColumn(
-        "_salt", F.expr("explode(sequence(0L, CAST(coalesce(_parts, 1) - 1 AS BIGINT)))")
-    ).drop("_parts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def _sliced(
-    df: DataFrame, keys: list[str], position: str, heavy: DataFrame | None = None
-) -> DataFrame:
+    return facts.join(dim.hint("rebalance"), keys, how)
+
+
+def _sliced(df: DataFrame, keys: list[str], position: str, heavy: DataFrame) -> DataFrame:
     """Add `_slice`: 0 for ordinary keys; for a heavy key the quantile of `position` (a
     long) among its rows, so that its slices follow its order and are about equal.
     Rows with one and the same position stay together."""
-    heavy = heavy_keys(df, keys) if heavy is None else heavy
     # as one SQL text: thousands of single literals would take seconds to build
     steps = ", ".join(f"{i / MOST_PARTS}D" for i in range(1, MOST_PARTS))
     quantiles = F.expr(f"percentile_approx(`{position}`, array({steps}), {2 * MOST_PARTS})")
@@ -109,13 +81,16 @@ def _sliced(
 
 def sliced_row_number(
     df: DataFrame, keys: list[str], order: list[str | Column], position: str, name: str,
-    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Row number per key in `order`, exact, with heavy keys numbered slice by slice.
 
-    `position` is the long column that leads `order`. Reads `df` more than once: cut
-    its lineage first when it is costly.
+    `position` is the long column that leads `order`. Counts the keys of `df` when called
+    (cut its lineage first when it is costly); without a heavy key it is a plain window.
     """
+    heavy = heavy_keys(df, keys)
+    if heavy.isEmpty():
+        plain = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(plain).cast("long"))
     cut = _sliced(df, keys, position, heavy)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # one row per slice of a heavy key: bounded like the cuts
@@ -134,10 +109,12 @@ def sliced_row_number(
 
 def sliced_previous(
     df: DataFrame, keys: list[str], order: list[str], position: str, value: str, name: str,
-    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """The preceding row's `value` per key in `order`, with heavy keys cut as above.
     `value` must not be null."""
+    heavy = heavy_keys(df, keys)
+    if heavy.isEmpty():
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     cut = _sliced(df, keys, position, heavy)
     along = Window.partitionBy(*keys).orderBy("_slice")
     carried = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrymill import domains as D
 from sentrymill.functions import scoring
 from sentrymill.functions.text import as_json, fill
-from sentrymill.operators.skew import heavy_keys, lookup_join, sliced_row_number
+from sentrymill.operators.skew import sliced_row_number
 
 # Events of one alert at the same instant are told apart by seq: lifecycle events
 # have 1 to 3, later ones the number of their request after this offset.
@@ -110,11 +110,9 @@ def nested(alerts: DataFrame, timeline: DataFrame, chunk: int = CHUNK) -> DataFr
     An alert with more than `chunk` events takes several rows, numbered by `chunk_no`
     from 0, so no array and no group grows without bound and no event is left out.
     """
-    ids = timeline.select("alert_db_id")
-    heavy = heavy_keys(ids, ["alert_db_id"])
     placed = sliced_row_number(
         timeline.withColumn("_at", F.unix_micros("occurred_at")), ["alert_db_id"],
-        ["_at", "seq", "event_type"], "_at", "_pos", heavy,
+        ["_at", "seq", "event_type"], "_at", "_pos",
     )
     rows = (
         placed.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / chunk).cast("long"))
@@ -128,14 +126,9 @@ def nested(alerts: DataFrame, timeline: DataFrame, chunk: int = CHUNK) -> DataFr
         F.col("id").alias("alert_db_id"), "alert_id", "alert_type", "source_ip", "severity",
         "status", "risk_score", "threat_verdict", "created_at",
     )
-    # Chunk rows look up their alert, not the other way round: a long timeline's chunks
-    # then stay spread out. Alerts without events come from an anti-join.
-    with_events = lookup_join(
-        rows, head, ["alert_db_id"], "inner", spread_by=["alert_db_id", "chunk_no"],
-        heavy=heavy,
+    none = F.array().cast(rows.schema["events"].dataType)
+    return rows.join(head, "alert_db_id", "right").select(
+        F.col("alert_db_id").alias("id"), *[c for c in head.columns if c != "alert_db_id"],
+        F.coalesce("chunk_no", F.lit(0).cast("long")).alias("chunk_no"),
+        F.coalesce("events", none).alias("events"),
     )
-    without = head.join(ids.distinct(), "alert_db_id", "left_anti").withColumns({
-        "chunk_no": F.lit(0).cast("long"),
-        "events": F.array().cast(rows.schema["events"].dataType),
-    })
-    return with_events.unionByName(without).withColumnRenamed("alert_db_id", "id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
-from sentrymill.functions.spans import replace_spans
+from sentrymill.functions.spans import FEW_SPANS, _let, replace_spans
 from sentrymill.functions.text import text_map
 from sentrymill.operators.skew import lookup_join, sliced_row_number
 from sentrymill.session import cut_lineage
@@ -29,7 +29,7 @@ def renew(tokens: DataFrame, sessions: DataFrame, as_of: Column, ttl: int = D.TO
     """Extend the life of the maps of the listed sessions, as each save does."""
     listed = sessions.select("session_id").distinct().withColumn("_saved", F.lit(True))
     until = as_of + F.make_interval(secs=F.lit(ttl))
-    return lookup_join(tokens, listed, ["session_id"], spread_by=["session_id", "value"]).withColumn(
+    return lookup_join(tokens, listed, ["session_id"]).withColumn(
         "expires_at", F.when(F.col("_saved"), until).otherwise(F.col("expires_at"))
     ).select(*tokens.columns)
 
@@ -66,7 +66,7 @@ def assign(
     if existing is not None:
         used = existing.groupBy("session_id", "prefix").agg(F.max("token_no").alias("_used"))
         numbered = lookup_join(
-            numbered, used, ["session_id", "prefix"], spread_by=["session_id", "value"]
+            numbered, used, ["session_id", "prefix"]
         ).withColumn("token_no", F.col("token_no") + F.coalesce("_used", F.lit(0)))
     number = F.when(F.col("token_no") < 1000, F.lpad(F.col("token_no").cast("string"), 3, "0")).otherwise(
         F.col("token_no").cast("string")
@@ -78,34 +78,44 @@ def assign(
     )
 
 
+def _with_rows(detected: DataFrame) -> DataFrame:
+    """A session of its own for a text that has none, and `_row`, which tells texts with
+    one session and number apart; texts alike in all three are swapped alike."""
+    own = F.concat(F.lit("new-"), F.md5(F.concat_ws("\x01", F.col("text_seq").cast("string"), "text")))
+    return detected.withColumn("session_id", F.coalesce("session_id", own)).withColumn(
+        "_row", F.xxhash64("text_seq", "text"))
+
+
 def substitute(detected: DataFrame, tokens: DataFrame, ttl: int = D.TOKEN_TTL_SECONDS) -> DataFrame:
     """Swap the entities of each document for the session's tokens.
 
     Gives session_id, text_seq, pseudonymized_text, entity_count, mapping_ttl. Spans go
     to the token map as rows of their own, so a value that fills the corpus is spread
-    like any heavy key, and come back per document, bounded by its length.
+    like any heavy key, and come back per document, bounded by its length. Every text
+    comes out once, also one without a session (see pseudonymize) and several with the
+    same session and number.
     """
-    spans = detected.select("session_id", "text_seq", F.inline("entities")).select(
-        "session_id", "text_seq", "start", "end", "value"
+    detected = _with_rows(detected)
+    spans = detected.select("session_id", "_row", F.inline("entities")).select(
+        "session_id", "_row", "start", "end", "value"
     )
     named = lookup_join(
-        spans, tokens.select("session_id", "value", "token"), ["session_id", "value"], "inner",
-        spread_by=["session_id", "text_seq", "start"],
+        spans, tokens.select("session_id", "value", "token"), ["session_id", "value"], "inner"
     )
-    per_doc = named.groupBy("session_id", "text_seq").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("_spans")
+    per_doc = named.groupBy("session_id", "_row").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end", "token"))).alias("_spans")
     )
 
     def rows(docs: DataFrame, text: Column) -> DataFrame:
         return docs.select(
             "session_id", "text_seq", text.alias("pseudonymized_text"),
-            F.size("entities").cast("long").alias("entity_count"),
+            F.greatest(F.coalesce(F.size("entities"), F.lit(0)), F.lit(0)).cast("long").alias("entity_count"),
             F.lit(ttl).cast("long").alias("mapping_ttl"),
         )
 
     # Only texts that hold an entity are shuffled.
-    touched = detected.where(F.size("entities") > 0).join(per_doc, ["session_id", "text_seq"])
-    plain = detected.where(F.size("entities") == 0)
+    touched = detected.where(F.size("entities") > 0).join(per_doc, ["session_id", "_row"])
+    plain = detected.where(F.coalesce(F.size("entities"), F.lit(0)) <= 0)
     return rows(touched, replace_spans(F.col("text"), F.col("_spans"))).unionAll(
         rows(plain, F.col("text"))
     )
@@ -117,15 +127,17 @@ def pseudonymize(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, token map): results as in substitute(), the map with old and new rows.
 
-    `detected` needs session_id, text_seq, text and entities. It is written out once,
-    so the patterns run once per text.
+    `detected` needs session_id, text_seq, text and entities. A text without a session gets
+    one of its own, named after its content. The values found are written out once when
+    this is called; texts stay where they are, so their patterns run once here and once
+    when the results are read.
     """
-    detected = cut_lineage(detected.select("session_id", "text_seq", "text", "entities"))
+    detected = detected.select("session_id", "text_seq", "text", "entities")
     known = live(existing, as_of) if existing is not None else None
-    entities = detected.select("session_id", "text_seq", F.inline("entities"))
+    entities = cut_lineage(_with_rows(detected).select("session_id", "text_seq", F.inline("entities")))
     tokens = cut_lineage(assign(entities, as_of, known, ttl))
     if known is not None:
-        tokens = renew(known, detected, as_of, ttl).unionByName(tokens)
+        tokens = renew(known, _with_rows(detected).select("session_id"), as_of, ttl).unionByName(tokens)
     return substitute(detected, tokens, ttl), tokens
 
 
@@ -155,10 +167,10 @@ def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
         "session_id", "token", "value", "first_seq", "first_start"
     )
     holds = F.coalesce(F.col("text").rlike(TOKEN_TEXT), F.lit(False))
-    marked = docs.select("session_id", "text_seq", "text").where(holds)
-    wanted = marked.select("session_id", "text_seq", F.explode(_tokens_in(F.col("text"))).alias("token"))
-    key = ["session_id", "text_seq", "token"]
-    found = lookup_join(wanted, known, ["session_id", "token"], "inner", spread_by=key)
+    marked = docs.select("session_id", "text_seq", "text", F.xxhash64("text_seq", "text").alias("_row")).where(holds)
+    wanted = marked.select("session_id", "_row", F.explode(_tokens_in(F.col("text"))).alias("token"))
+    key = ["session_id", "_row", "token"]
+    found = lookup_join(wanted, known, ["session_id", "token"], "inner")
     nesting = known.where(F.col("value").rlike(TOKEN_TEXT))
     if not nesting.isEmpty():
         found = _with_nested(cut_lineage(found), known, key)
@@ -166,10 +178,32 @@ def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
         (-F.length("token")).alias("size"), "first_seq", (-F.col("first_start")).alias("back"),
         "token", "value",
     )
-    per_doc = found.groupBy("session_id", "text_seq").agg(
-        F.array_sort(F.collect_list(order)).alias("_tokens")
+    per_doc = found.groupBy("session_id", "_row").agg(
+        F.array_sort(F.collect_set(order)).alias("_tokens")
     )
 
+    def at_once() -> Column:
+        """Many tokens, none inside a value: cut the text at token text once and look each
+        piece up, the longest known token at its beginning first."""
+        by_token = F.map_from_entries(F.transform(
+            "_tokens", lambda t: F.struct(t["token"].alias("key"), t["value"].alias("value"))))
+
+        def longest(match: Column) -> Column:
+            ends = F.reverse(F.sequence(F.instr(match, "_") + 3, F.length(match)))
+            forms = F.transform(ends, lambda n: F.substring(match, F.lit(1), n))
+            return F.get(F.filter(forms, lambda f: F.map_contains_key(by_token, f)), F.lit(0))
+
+        def value(match: Column) -> Column:
+            return _let(longest(match), lambda t: F.when(t.isNull(), match).otherwise(F.concat(
+                F.element_at(by_token, t), F.substring(match, F.length(t) + 1, F.length(match)))))
+
+        gaps = F.split("text", TOKEN_TEXT)
+        matches = F.regexp_extract_all("text", F.lit(f"({TOKEN_TEXT})"), F.lit(1))
+        met = F.size(F.array_distinct(F.filter(F.transform(matches, longest), lambda t: t.isNotNull())))
+        joined = F.array_join(F.zip_with(gaps, matches, lambda g, m: F.concat(
+            F.coalesce(g, F.lit("")), F.coalesce(value(m), F.lit("")))), "")
+        return F.struct(joined.alias("text"), met.alias("n"))
+
     def put_back(done: Column, t: Column) -> Column:
         hit = done["text"].contains(t["token"])
         return F.struct(
@@ -179,9 +213,11 @@ def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
         )
 
     start = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))
-    done = F.aggregate("_tokens", start, put_back)
+    nested = F.exists("_tokens", lambda t: t["value"].rlike(TOKEN_TEXT))
+    many = (F.size("_tokens") > FEW_SPANS) & ~nested
+    done = F.when(many, at_once()).otherwise(F.aggregate("_tokens", start, put_back))
     back = (
-        marked.join(per_doc, ["session_id", "text_seq"], "left")
+        marked.join(per_doc, ["session_id", "_row"], "left")
         .withColumn("_done", F.when(F.col("_tokens").isNotNull(), done))
         .select(
             "session_id", "text_seq", F.coalesce("_done.text", "text").alias("restored_text"),
@@ -200,10 +236,10 @@ def _with_nested(found: DataFrame, known: DataFrame, key: list[str]) -> DataFram
     fresh = found
     while True:
         inner = fresh.where(F.col("value").rlike(TOKEN_TEXT)).select(
-            "session_id", "text_seq", F.explode(_tokens_in(F.col("value"))).alias("token")
+            "session_id", "_row", F.explode(_tokens_in(F.col("value"))).alias("token")
         ).distinct()
         fresh = cut_lineage(
-            lookup_join(inner, known, ["session_id", "token"], "inner", spread_by=key)
+            lookup_join(inner, known, ["session_id", "token"], "inner")
             .join(found.select(*key), key, "left_anti").select(*found.columns)
         )
         if fresh.isEmpty():

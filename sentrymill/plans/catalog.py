@@ -102,6 +102,15 @@ def _(spark, d):
     )
 
 
+@query("s3_seed_empty", O.sql("SELECT 10 AS rows, 10 AS ids, (SELECT count(*) FROM a WHERE false) AS kept"))
+def _(spark, d):
+    nobody = V.alerts(spark, d).where("id < 0")
+    seeded = seed.seed_if_empty(nobody, seed.sample_alerts(spark, datetime(2024, 1, 1)))
+    return seeded.agg(
+        F.count("*").alias("rows"), F.count_distinct("alert_id").alias("ids"),
+        F.count_if(F.col("description").startswith("event")).alias("kept"))
+
+
 @query("s3_seed_if_empty", O.sql("SELECT id, alert_id, alert_type, severity, risk_score FROM a"))
 def _(spark, d):
     stored = V.alerts(spark, d)
@@ -250,25 +259,32 @@ def _(spark, d):
 # --- threat intelligence ------------------------------------------------------------
 
 @query("e1_abuse_lookup", O.sql("""
-SELECT pa.id, abuse_confidence_score, country_code, isp, is_public FROM pa LEFT JOIN ti_abuse ON ip_address = source_ip"""))
-def _(spark, d):
-    return enrich.lookup_abuse(V.plain_alerts(spark, d), V.ti_abuse(spark, d)).select(
-        "id", "abuse.abuse_confidence_score", "abuse.country_code", "abuse.isp", "abuse.is_public"
+SELECT pa.id, abuse_confidence_score, country_code, isp, is_public, domain, total_reports,
+  strftime(last_reported_at, '%Y-%m-%d %H:%M:%S.%f') AS last_reported_at, is_whitelisted, usage_type
+FROM pa LEFT JOIN ti_abuse ON ip_address = source_ip"""))
+def _(spark, d):
+    feed, _, _ = V.repeated_feeds(spark, d)
+    return enrich.lookup_abuse(V.plain_alerts(spark, d), feed).select(
+        "id", "abuse.abuse_confidence_score", "abuse.country_code", "abuse.isp", "abuse.is_public",
+        "abuse.domain", "abuse.total_reports", "abuse.last_reported_at", "abuse.is_whitelisted", "abuse.usage_type",
     )
 
 
 @query("e2_scan_lookup", O.sql("""
-SELECT pa.id, malicious_count, harmless_count, asn FROM pa LEFT JOIN ti_scan ON ip_address = source_ip"""))
+SELECT pa.id, malicious_count, suspicious_count, harmless_count, total_engines, asn, country FROM pa LEFT JOIN ti_scan ON ip_address = source_ip"""))
 def _(spark, d):
-    return enrich.lookup_scan(V.plain_alerts(spark, d), V.ti_scan(spark, d)).select(
-        "id", "scan.malicious_count", "scan.harmless_count", "scan.asn"
+    _, feed, _ = V.repeated_feeds(spark, d)
+    return enrich.lookup_scan(V.plain_alerts(spark, d), feed).select(
+        "id", "scan.malicious_count", "scan.suspicious_count", "scan.harmless_count", "scan.total_engines",
+        "scan.asn", "scan.country",
     )
 
 
-@query("e3_geo_lookup", O.sql("SELECT pa.id, city, country, org FROM pa LEFT JOIN ti_geo ON ip = source_ip"))
+@query("e3_geo_lookup", O.sql("SELECT pa.id, city, region, country, org, asn FROM pa LEFT JOIN ti_geo ON ip = source_ip"))
 def _(spark, d):
-    return enrich.lookup_geo(V.plain_alerts(spark, d), V.ti_geo(spark, d)).select(
-        "id", "geo.city", "geo.country", "geo.org"
+    _, _, feed = V.repeated_feeds(spark, d)
+    return enrich.lookup_geo(V.plain_alerts(spark, d), feed).select(
+        "id", "geo.city", "geo.region", "geo.country", "geo.org", "geo.asn"
     )
 
 
@@ -473,7 +489,7 @@ def _(spark, d):
 # --- alerts --------------------------------------------------------------------------------
 
 def _ingested(spark, d):
-    return ingest(V.raw_alerts(spark, d), *V.feeds(spark, d))
+    return ingest(V.raw_alerts(spark, d), *V.repeated_feeds(spark, d))
 
 
 @query("a1_ingest_alerts", O.sql(f"""
@@ -587,21 +603,35 @@ def _(spark, d):
 
 
 def _deleted(spark, d):
-    changed = _changed(spark, d)
-    runs = actions.executions(actions.resolve(V.playbook_requests(spark, d), V.alerts(spark, d)).requests)
     return alerts.delete(
-        changed.alerts, timeline.status_events(changed.history), runs, V.delete_requests(spark, d)
+        _changed(spark, d).alerts, _events(spark, d), _runs(spark, d), V.delete_requests(spark, d)
     )
 
 
+@query("a1_ingest_duplicates", O.sql("""
+SELECT id, 'id: required' AS reason FROM (SELECT NULL::BIGINT AS id FROM rw WHERE id % 40 = 1)
+UNION ALL SELECT id, 'id: already used' FROM (SELECT id FROM ok UNION ALL SELECT id FROM ok WHERE id % 100 < 5) WHERE id % 9 = 0
+UNION ALL SELECT id, 'id: already used' FROM ok WHERE id % 100 < 5 AND id % 9 <> 0
+UNION ALL SELECT id, unnest(reasons) FROM (SELECT id, reasons FROM chk UNION ALL SELECT id, reasons FROM chk WHERE id % 100 < 5)
+  WHERE len(reasons) > 0"""))
+def _(spark, d):
+    raw = V.raw_alerts(spark, d)
+    unnamed = V.plain_alerts(spark, d).where("id % 40 = 1").selectExpr(
+        "CAST(NULL AS BIGINT) AS id", *[c for c in S.RAW_ALERTS.fieldNames() if c != "id"])
+    sent = raw.unionByName(raw.where("id % 100 < 5")).unionByName(unnamed)
+    stored = V.plain_alerts(spark, d).where("id % 9 = 0").select("id")
+    refused = ingest(sent, *V.feeds(spark, d), existing=stored).rejects
+    return refused.select("id", F.explode("reasons").alias("reason"))
+
+
 @query("a10_delete_alerts", O.sql("SELECT id FROM pa WHERE id NOT IN (SELECT id FROM dels)"))
 def _(spark, d):
     return _deleted(spark, d).alerts.select("id")
 
 
-@query("a10_delete_timeline", O.sql("SELECT alert_db_id, seq FROM st WHERE alert_db_id NOT IN (SELECT id FROM dels)"))
+@query("a10_delete_timeline", O.sql("SELECT alert_db_id, event_type, seq FROM el WHERE alert_db_id NOT IN (SELECT id FROM dels)"))
 def _(spark, d):
-    return _deleted(spark, d).timeline.select("alert_db_id", "seq")
+    return _deleted(spark, d).timeline.select("alert_db_id", "event_type", "seq")
 
 
 @query("a10_delete_executions", O.sql("SELECT alert_db_id, seq FROM run WHERE alert_db_id NOT IN (SELECT id FROM dels)"))
@@ -680,19 +710,16 @@ def _(spark, d):
 
 
 @query("t8_nested", O.sql(f"""
-SELECT pa.id, pa.alert_id, severity, coalesce(chunk_no, 0) AS chunk_no, coalesce(n, 0) AS n, coalesce(kinds, '') AS kinds,
-  coalesce(positions, '') AS positions, first_at FROM pa LEFT JOIN (
+SELECT a.id, a.alert_id, severity, risk_score, threat_verdict, coalesce(chunk_no, 0) AS chunk_no, coalesce(n, 0) AS n, coalesce(kinds, '') AS kinds,
+  coalesce(positions, '') AS positions, first_at FROM a LEFT JOIN (
   SELECT alert_db_id, (pos - 1) // 1000 AS chunk_no, count(*) AS n, string_agg(event_type || ' ' || description, '|' ORDER BY pos) AS kinds,
     string_agg(pos::VARCHAR, '|' ORDER BY pos) AS positions, {O.t('min(occurred_at)')} AS first_at
   FROM (SELECT *, row_number() OVER (PARTITION BY alert_db_id ORDER BY occurred_at, seq, event_type) AS pos
-        FROM (SELECT * FROM st UNION ALL SELECT * FROM pe)) GROUP BY 1, 2) e ON alert_db_id = id"""))
-def _(spark, d):
-    events = cut_lineage(timeline.event_log(
-        timeline.status_events(_changed(spark, d).history), timeline.playbook_events(_runs(spark, d))
-    ))
-    light = V.light_alerts(spark, d).selectExpr("*", "0D AS risk_score", "'Unknown' AS threat_verdict")
-    return timeline.nested(light, events).select(
-        "id", "alert_id", "severity", "chunk_no", F.size("events").alias("n"),
+        FROM el) GROUP BY 1, 2) e ON alert_db_id = id"""))
+def _(spark, d):
+    events = cut_lineage(_events(spark, d))
+    return timeline.nested(V.alerts(spark, d), events).select(
+        "id", "alert_id", "severity", "risk_score", "threat_verdict", "chunk_no", F.size("events").alias("n"),
         F.transform("events", lambda e: F.concat(e["event_type"], F.lit(" "), e["description"])).alias("kinds"),
         F.transform("events", lambda e: e["position"].cast("string")).alias("positions"),
         F.get("events", F.lit(0))["occurred_at"].alias("first_at"),
@@ -1097,36 +1124,49 @@ def _landed(df: DataFrame, name: str, by: str) -> str:
     return path
 
 
-@query("w1_stream_intake", O.sql("SELECT id, source_ip, severity, status, risk_score, threat_verdict FROM oka"))
-def _(spark, d):
+def _streamed(spark, d) -> str:
+    """The intake over several micro-batches: repeats come in later batches than what
+    they repeat, up to a month late."""
     raw = V.raw_alerts(spark, d)
-    path = _landed(raw.unionAll(raw.where("id % 100 < 5")), "raw", "created_at")
-    stream = spark.readStream.schema(S.RAW_ALERTS).parquet(path).select("*", F.expr("_metadata.file_path AS file"))
+    path = run_dir(spark, "raw")
+    raw.repartitionByRange(4, "created_at").write.parquet(path)
+    raw.where("id % 100 < 5").repartitionByRange(2, F.desc("created_at")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(S.RAW_ALERTS).option("maxFilesPerTrigger", 2).parquet(path)
     out = run_dir(spark, "intake")
-    jobs.intake(
-        stream, lambda: V.feeds(spark, d), out, run_dir(spark, "state"), salt_by="file"
-    ).awaitTermination()
+    jobs.intake(stream, lambda: V.repeated_feeds(spark, d), out, run_dir(spark, "state")).awaitTermination()
+    return out
+
+
+@query("w1_stream_intake", O.sql("SELECT id, source_ip, severity, status, risk_score, threat_verdict FROM oka"))
+def _(spark, d):
+    out = _streamed(spark, d)
     return jobs.read_batches(spark, f"{out}/alerts", S.ALERTS).select(
         "id", "source_ip", "severity", "status", "risk_score", "threat_verdict"
     )
 
 
+@query("w1_stream_rejects", O.sql("""
+SELECT id, unnest(reasons) AS reason FROM (SELECT id, reasons FROM chk UNION ALL SELECT id, reasons FROM chk WHERE id % 100 < 5)
+WHERE len(reasons) > 0
+UNION ALL SELECT id, 'id: already used' FROM ok WHERE id % 100 < 5"""))
+def _(spark, d):
+    out = _streamed(spark, d)
+    held = jobs.read_batches(spark, f"{out}/rejects", T.StructType([*S.RAW_ALERTS.fields, T.StructField("reasons", T.ArrayType(T.StringType()))]))
+    return held.select("id", F.explode("reasons").alias("reason"))
+
+
 def _windows(spark, d, **options):
     path = _landed(V.alerts(spark, d), "alerts", "created_at")
     out = run_dir(spark, "windows")
     jobs.window_counts_job(
         spark.readStream.schema(S.ALERTS).parquet(path), out, run_dir(spark, "state"), **options
     ).awaitTermination()
-    return spark.read.schema(
-        "start timestamp, end timestamp, severity string, risk_level string, count long"
-    ).parquet(out)
+    return jobs.read_window_counts(spark, out)
 
 
 @query("w2_hourly_counts", O.sql(f"""
 SELECT {O.t("date_trunc('hour', created_at)")} AS "start", {O.t("date_trunc('hour', created_at) + INTERVAL 1 HOUR")} AS "end",
-  severity, risk_level, count(*) AS count FROM a
-WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM a) - INTERVAL 1 HOUR
-GROUP BY ALL"""))
+  severity, risk_level, count(*) AS count FROM a GROUP BY ALL"""))
 def _(spark, d):
     return _windows(spark, d)
 
@@ -1134,8 +1174,7 @@ def _(spark, d):
 @query("w2_sliding_counts", O.sql(f"""
 SELECT {O.t('s')} AS "start", {O.t('s + INTERVAL 1 HOUR')} AS "end", severity, risk_level, count(*) AS count
 FROM (SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, created_at), time_bucket(INTERVAL 30 MINUTE, created_at) - INTERVAL 30 MINUTE]) AS s
-      FROM a)
-WHERE s + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM a) - INTERVAL 1 HOUR GROUP BY ALL"""))
+      FROM a) GROUP BY ALL"""))
 def _(spark, d):
     return _windows(spark, d, slide="30 minutes")
 

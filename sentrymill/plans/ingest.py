@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill import schemas as S
 from sentrymill.functions import scoring
 from sentrymill.operators import enrich, intake, timeline
+from sentrymill.session import cut_lineage
+
+Feeds = tuple[DataFrame, DataFrame, DataFrame]
 
 
 class Ingested(NamedTuple):
@@ -36,15 +39,42 @@ def scored_alerts(
     return score(enrich.enrich(named, abuse, scan, geo))
 
 
+def feeds_as_of(
+    abuse: DataFrame, scan: DataFrame, geo: DataFrame, as_of: Column | None = None,
+    fallback: Feeds | None = None,
+) -> Feeds:
+    """The feeds as the intake looks them up: reputation rows within the lookback window
+    before `as_of`, and per address the row of `fallback` where the feed has none."""
+    if as_of is not None:
+        abuse = enrich.recent_reports(abuse, as_of)
+    if fallback is None:
+        return abuse, scan, geo
+    stored_abuse, stored_scan, stored_geo = fallback
+    return (
+        enrich.prefer(enrich.abuse_feed(abuse), enrich.abuse_feed(stored_abuse), "ip_address", "live", "stored"),
+        enrich.prefer(enrich.scan_feed(scan), enrich.scan_feed(stored_scan), "ip_address", "live", "stored"),
+        enrich.prefer(enrich.geo_feed(geo), enrich.geo_feed(stored_geo), "ip", "live", "stored"),
+    )
+
+
 def ingest(
     raw: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame, policy: str = "reference",
+    existing: DataFrame | None = None, as_of: Column | None = None, fallback: Feeds | None = None,
 ) -> Ingested:
     """Raw alerts (id, alert_type, source_ip, severity, status, description, created_at)
-    to stored alerts, their three events and the refused rows."""
+    to stored alerts, their three events and the refused rows.
+
+    Every row ends up as an alert or as a reject. Rows are validated first; of the good
+    ones the first of each id stays, unless `existing` (with column id) has it. A null
+    severity or status takes the default, whether the field was absent or null. The
+    scored rows are written once, when this is called, and alerts and events are read from
+    them.
+    """
     checked = intake.validate(raw)
-    scored = scored_alerts(intake.accepted(checked), abuse, scan, geo)
+    first, clashes = intake.unique_ids(intake.accepted(checked), existing)
+    scored = cut_lineage(scored_alerts(first, *feeds_as_of(abuse, scan, geo, as_of, fallback)))
     return Ingested(
         scored.select(*S.ALERTS.fieldNames()),
         timeline.lifecycle_events(scored, policy),
-        intake.rejected(checked),
+        intake.rejected(checked).unionByName(clashes, allowMissingColumns=True),
     )

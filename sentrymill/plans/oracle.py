@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from sentrymill import domains as D
 from sentrymill.operators.phi import RULE_NAMES
+from sentrymill.sources.sample_views import CITIES, DOMAINS, LANDS, NETS, OTHER_LANDS
 
 
 def t(column: str) -> str:
@@ -65,9 +66,6 @@ def strip(column: str) -> str:
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}"
 TYPES = [*D.TYPE_POINTS, "Policy Violation", "brute force"]
-NETS = ["Net One", "Net Two", "Net Three"]
-CITIES = ["Oslo", "Berlin", "London", "Tokyo", "Toronto"]
-BAD_LANDS, LANDS = ["RU", "CN", "KP", "IR", "BR"], ["US", "DE", "GB", "JP", "CA"]
 SEVERITY_POINTS = points("severity", D.SEVERITY_POINTS, D.UNKNOWN_SEVERITY_POINTS)
 TYPE_POINTS = points("alert_type", D.TYPE_POINTS, D.UNKNOWN_TYPE_POINTS)
 SCORE = (
@@ -98,6 +96,7 @@ rw AS (SELECT id,
     ELSE description END AS description,
   created_at, event_id, alert_id FROM pa),
 chk AS (SELECT *, list_filter([
+    CASE WHEN id IS NULL THEN 'id: required' END,
     CASE WHEN alert_type IS NULL THEN 'alert_type: required' END,
     CASE WHEN length(alert_type) NOT BETWEEN 2 AND 100 THEN 'alert_type: length must be 2 to 100' END,
     CASE WHEN source_ip IS NULL THEN 'source_ip: required' END,
@@ -114,19 +113,18 @@ ips AS (SELECT source_ip AS ip, min(user_id) AS u, source_ip IN {_in(D.WATCHLIST
   FROM pa GROUP BY source_ip HAVING min(user_id) % 17 <> 5),
 ti_abuse AS (SELECT ip AS ip_address,
   bad OR NOT (ip LIKE '10.%' OR ip LIKE '192.168.%' OR ip LIKE '172.16.%') AS is_public,
-  CASE WHEN bad THEN 65 + u * 13 % 36 ELSE u * 3 % 21 END AS abuse_confidence_score,
-  CASE WHEN bad THEN {_at(BAD_LANDS, 'u % 5')} ELSE {_at(LANDS, 'u % 5')} END AS country_code,
-  {_at(NETS, 'u % 3')} AS isp, {_at(['cdn.example.com', 'proxy.example.net', None], 'u % 3')} AS domain,
-  u * 7 % 500 AS total_reports,
+  CASE WHEN bad THEN 30 + u * 11 % 67 ELSE u * 11 % 17 END AS abuse_confidence_score,
+  CASE WHEN bad THEN {_at(OTHER_LANDS, 'u % 3')} ELSE {_at(LANDS, 'u % 4')} END AS country_code,
+  {_at(NETS, 'u % 3')} AS isp, {_at(DOMAINS, 'u % 4')} AS domain, u * 3 % 240 AS total_reports,
+  u % 23 = 0 AS is_whitelisted, CASE WHEN u % 2 = 0 THEN 'rack' ELSE 'office' END AS usage_type,
   TIMESTAMP '2024-01-31' - to_days((u * 5 % 120)::INTEGER) AS last_reported_at, u, bad FROM ips),
-ti_scan AS (SELECT ip AS ip_address, CASE WHEN bad THEN 15 + u * 7 % 31 ELSE u % 3 END AS malicious_count,
-  u % 4 AS suspicious_count, 60 + u % 21 AS harmless_count, 90 AS total_engines,
-  10000 + u AS asn, {_at(LANDS, 'u % 4')} AS country, bad, u FROM ips WHERE u % 11 <> 4),
-ti_geo AS (SELECT ip, {_at(CITIES, 'u % 5')} AS city,
-  CASE WHEN u % 7 = 3 THEN NULL WHEN bad THEN {_at(BAD_LANDS, '(u + 1) % 5')}
-       ELSE {_at(LANDS, '(u + 1) % 5')} END AS country,
-  CASE WHEN u % 13 <> 6 THEN 'AS' || (10000 + u)::VARCHAR || ' ' || {_at(NETS, 'u % 3')} END AS org,
-  CASE WHEN u % 13 <> 6 THEN 'AS' || (10000 + u)::VARCHAR ELSE '' END AS asn, u FROM ips),
+ti_scan AS (SELECT ip AS ip_address, CASE WHEN bad THEN 24 + u * 5 % 19 ELSE u % 2 END AS malicious_count,
+  u % 5 AS suspicious_count, 40 + u % 13 AS harmless_count, 72 AS total_engines,
+  64500 + u AS asn, {_at(LANDS, 'u % 4')} AS country, bad, u FROM ips WHERE u % 11 <> 4),
+ti_geo AS (SELECT ip, {_at(CITIES, 'u % 4')} AS city, 'region ' || (u % 6)::VARCHAR AS region,
+  CASE WHEN u % 7 <> 3 THEN {_at([*LANDS, *OTHER_LANDS], 'u % 7')} END AS country,
+  CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR || ' ' || {_at(NETS, 'u % 3')} END AS org,
+  CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR ELSE '' END AS asn, u FROM ips),
 rep AS (SELECT a.ip_address AS source_ip, a.abuse_confidence_score, s.malicious_count, s.total_engines,
   s.country AS scan_country, g.city, coalesce(g.country, a.country_code, '') AS country,
   coalesce(g.asn, '') AS asn, coalesce(g.org, a.isp, '') AS org,

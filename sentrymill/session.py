@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what cut_lineage() has written inside, for jobs that never end."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is ever overwritten."""
     return os.path.join(shared_dir(spark), "sentrymill", f"{name}-{uuid.uuid4().hex}")
@@ -60,5 +78,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     path = run_dir(df.sparkSession, "cut")
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -46,9 +46,13 @@ _SEVERITY = (
     "CASE WHEN value < 15 THEN 'Low' WHEN value < 35 THEN 'Medium' WHEN value < 70 THEN 'High' "
     "ELSE 'Critical' END"
 )
-_NETS = ["Net One", "Net Two", "Net Three"]
-_CITIES = ["Oslo", "Berlin", "London", "Tokyo", "Toronto"]
-_BAD_LANDS, _LANDS = ["RU", "CN", "KP", "IR", "BR"], ["US", "DE", "GB", "JP", "CA"]
+# Made-up feed contents.
+NETS = ["Alder Net", "Birch Net", "Cedar Net"]
+CITIES = ["Bergen", "Basel", "Napier", "Salto"]
+LANDS, OTHER_LANDS = ["NO", "CH", "NZ", "UY"], ["AQ", "BV", "TF"]
+DOMAINS = ["alder.test", None, "birch.test", "cedar.test"]
+REGISTRIES = ["north", "south", "west"]
+ZONES = ["Europe/Oslo", "Europe/Zurich", "Pacific/Auckland"]
 
 
 def plain_alerts(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,46 +97,61 @@ def ti_abuse(spark: SparkSession, folder: str) -> DataFrame:
     return addresses(spark, folder).selectExpr(
         "ip AS ip_address",
         "bad OR NOT (ip LIKE '10.%' OR ip LIKE '192.168.%' OR ip LIKE '172.16.%') AS is_public",
-        "CASE WHEN bad THEN 65 + u * 13 % 36 ELSE u * 3 % 21 END AS abuse_confidence_score",
-        f"CASE WHEN bad THEN {_pick(_BAD_LANDS, 'u % 5')} ELSE {_pick(_LANDS, 'u % 5')} END "
-        "AS country_code",
-        f"{_pick(_NETS, 'u % 3')} AS isp",
-        f"{_pick(['cdn.example.com', 'proxy.example.net', None], 'u % 3')} AS domain",
-        "u * 7 % 500 AS total_reports",
+        "if(bad, 30 + u * 11 % 67, u * 11 % 17) AS abuse_confidence_score",
+        f"if(bad, {_pick(OTHER_LANDS, 'u % 3')}, {_pick(LANDS, 'u % 4')}) AS country_code",
+        f"{_pick(NETS, 'u % 3')} AS isp", f"{_pick(DOMAINS, 'u % 4')} AS domain",
+        "u * 3 % 240 AS total_reports",
         "timestamp_seconds(1706659200 - u * 5 % 120 * 86400) AS last_reported_at",
-        "false AS is_whitelisted",
-        "if(bad, 'Data Center/Web Hosting/Transit', 'Commercial') AS usage_type",
-        "'abuse feed' AS source",
+        "u % 23 = 0 AS is_whitelisted", "if(u % 2 = 0, 'rack', 'office') AS usage_type",
+        "'reputation rows' AS source",
     )
 
 
 def ti_scan(spark: SparkSession, folder: str) -> DataFrame:
     return addresses(spark, folder).where("u % 11 <> 4").selectExpr(
-        "*", "CASE WHEN bad THEN 15 + u * 7 % 31 ELSE u % 3 END AS malicious_count"
+        "*", "if(bad, 24 + u * 5 % 19, u % 2) AS malicious_count"
     ).selectExpr(
-        "ip AS ip_address", "malicious_count", "u % 4 AS suspicious_count",
-        "60 + u % 21 AS harmless_count",
-        "greatest(90 - malicious_count - u % 4 - (60 + u % 21), 0) AS undetected_count",
-        "90L AS total_engines", "if(bad, -10 - u % 91, u % 51) AS reputation",
-        "substring_index(ip, '.', 2) || '.0.0/16' AS network", "10000 + u AS asn",
-        f"{_pick(_NETS, 'u % 3')} AS as_owner", f"{_pick(_LANDS[:4], 'u % 4')} AS country",
-        f"{_pick(['ARIN', 'RIPE'], 'u % 2')} AS regional_internet_registry",
-        "'2024-01-' || lpad(31 - u % 7, 2, '0') || 'T00:00:00+00:00' AS last_analysis_date",
-        "if(bad, array('malware', 'scanner'), CAST(array() AS ARRAY<STRING>)) AS tags",
-        "'scan feed' AS source",
+        "ip AS ip_address", "malicious_count", "u % 5 AS suspicious_count",
+        "40 + u % 13 AS harmless_count",
+        "greatest(72 - malicious_count - u % 5 - (40 + u % 13), 0) AS undetected_count",
+        "72L AS total_engines", "if(bad, -7, 7) * (u % 9) AS reputation",
+        "substring_index(ip, '.', 2) || '.0.0/16' AS network", "64500 + u AS asn",
+        f"{_pick(NETS, 'u % 3')} AS as_owner", f"{_pick(LANDS, 'u % 4')} AS country",
+        f"{_pick(REGISTRIES, 'u % 3')} AS regional_internet_registry",
+        "'2024-01-' || lpad(30 - u % 9, 2, '0') || 'T06:00:00+00:00' AS last_analysis_date",
+        "if(bad, array('probe', 'spam'), CAST(array() AS ARRAY<STRING>)) AS tags",
+        "'scan rows' AS source",
     )
 
 
 def ti_geo(spark: SparkSession, folder: str) -> DataFrame:
     return addresses(spark, folder).selectExpr(
         "ip", "'host-' || replace(ip, '.', '-') || '.example.net' AS hostname",
-        f"{_pick(_CITIES, 'u % 5')} AS city", f"{_pick(_CITIES, 'u % 5')} AS region",
-        f"CASE WHEN u % 7 = 3 THEN NULL WHEN bad THEN {_pick(_BAD_LANDS, '(u + 1) % 5')} "
-        f"ELSE {_pick(_LANDS, '(u + 1) % 5')} END AS country",
-        f"if(u % 13 <> 6, 'AS' || (10000 + u) || ' ' || {_pick(_NETS, 'u % 3')}, NULL) AS org",
-        "if(u % 13 <> 6, 'AS' || (10000 + u), '') AS asn",
-        f"{_pick(['Europe/Oslo', 'Europe/Berlin', 'Europe/London'], 'u % 3')} AS timezone",
-        "'0.0000,0.0000' AS loc", "'geo feed' AS source",
+        f"{_pick(CITIES, 'u % 4')} AS city", "'region ' || (u % 6) AS region",
+        f"if(u % 7 = 3, NULL, {_pick([*LANDS, *OTHER_LANDS], 'u % 7')}) AS country",
+        f"if(u % 13 <> 6, 'AS' || (64500 + u) || ' ' || {_pick(NETS, 'u % 3')}, NULL) AS org",
+        "if(u % 13 <> 6, 'AS' || (64500 + u), '') AS asn", f"{_pick(ZONES, 'u % 3')} AS timezone",
+        "(u % 60) || '.5,' || (u % 90) || '.5' AS loc", "'place rows' AS source",
+    )
+
+
+def with_repeats(feed: DataFrame, changed: dict[str, str]) -> DataFrame:
+    """A feed in which every row also comes a second time with other values in some
+    columns: an older report of the same address."""
+    plain = ", ".join(f"'{c}', `{c}`" for c in feed.columns)
+    older = ", ".join(f"'{c}', {changed.get(c, f'`{c}`')}" for c in feed.columns)
+    return feed.selectExpr(f"inline(array(named_struct({older}), named_struct({plain})))")
+
+
+def repeated_feeds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The feeds with an older row beside each; rows of the place feed have no time and
+    come twice as they are."""
+    return (
+        with_repeats(ti_abuse(spark, folder), {
+            "abuse_confidence_score": "99L", "last_reported_at": "last_reported_at - INTERVAL 1 DAY"}),
+        with_repeats(ti_scan(spark, folder), {
+            "malicious_count": "70L", "last_analysis_date": "'2023-12-01T06:00:00+00:00'"}),
+        with_repeats(ti_geo(spark, folder), {}),
     )
 
 

@@ -1,4 +1,4 @@
-"""The ten sample alerts, for demos and tests."""
+"""Ten sample alerts, for demos and tests."""
 
 from __future__ import annotations
 
@@ -11,19 +11,19 @@ from sentrymill import schemas as S
 from sentrymill.functions import scoring
 from sentrymill.operators.intake import alert_name
 
-# Type, address, severity, status, age in minutes, minutes since the
-# last change.
+# Samples of our own: type, address, severity, status, age in minutes, minutes since the
+# last change. Addresses are from the ranges kept for documentation and private use.
 SAMPLES = [
-    ("Brute Force", "203.0.113.42", "High", "Open", 5, 5),
-    ("Malware Detection", "10.0.1.55", "Critical", "Investigating", 60, 30),
-    ("Suspicious Login", "185.220.101.9", "Medium", "Open", 120, 120),
-    ("Port Scan", "198.51.100.17", "Low", "Resolved", 180, 60),
-    ("Credential Stuffing", "45.33.32.156", "High", "Investigating", 240, 180),
-    ("SQL Injection", "192.0.2.88", "Critical", "Open", 360, 360),
-    ("Privilege Escalation", "10.0.0.201", "Critical", "Open", 480, 480),
-    ("Data Exfiltration", "10.0.5.23", "High", "Investigating", 720, 600),
-    ("Phishing", "91.108.4.1", "Medium", "Resolved", 1440, 1200),
-    ("Reconnaissance", "198.18.0.7", "Low", "Resolved", 2880, 2880),
+    ("Ransomware", "10.20.0.7", "Critical", "Open", 3, 3),
+    ("DDoS", "192.0.2.14", "High", "Investigating", 45, 20),
+    ("Insider Threat", "10.20.3.99", "Medium", "Open", 95, 95),
+    ("Port Scan", "198.51.100.200", "Low", "Resolved", 210, 75),
+    ("Lateral Movement", "10.20.1.31", "High", "Open", 330, 330),
+    ("Zero-Day Exploit", "203.0.113.77", "Critical", "Investigating", 500, 410),
+    ("Phishing", "198.51.100.8", "Medium", "Resolved", 900, 600),
+    ("Command Injection", "203.0.113.120", "High", "Resolved", 1500, 1200),
+    ("Reconnaissance", "192.0.2.250", "Low", "Open", 2200, 2200),
+    ("Suspicious Login", "10.20.9.1", "Low", "Resolved", 4000, 3000),
 ]
 
 

@@ -19,6 +19,7 @@ from sentrymill.operators.actions import block_entries
 from sentrymill.operators.alerts import latest_change
 from sentrymill.operators.intake import normal_status
 from sentrymill.plans.ingest import ingest
+from sentrymill.session import scratch
 from sentrymill.sources.tables import open_or_empty
 
 Feeds = tuple[DataFrame, DataFrame, DataFrame]
@@ -43,56 +44,40 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def first_arrivals(
-    stream: DataFrame, keys: list[str], time: str, delay: str, salt_by: str | None = None,
-    salts: int = 32,
-) -> DataFrame:
-    """One row per key within the watermark delay.
-
-    With `salt_by` copies are first thinned per (key, salt of that column), which spreads
-    the copies of a heavy key over `salts` tasks; the second step sees at most that many
-    per key. The salt must be a fixed property of a row, as the name of its file is.
-    """
-    marked = stream.withWatermark(time, delay)
-    if salt_by is None:
-        return marked.dropDuplicatesWithinWatermark(keys)
-    salted = marked.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-    thinned = salted.dropDuplicatesWithinWatermark([*keys, "_salt"])
-    return thinned.dropDuplicatesWithinWatermark(keys).drop("_salt")
-
-
 def intake(
-    raw: DataFrame, feeds: Callable[[], Feeds], out: str, checkpoint: str,
-    delay: str = "1 day", salt_by: str | None = None, once: bool = True,
+    raw: DataFrame, feeds: Callable[[], Feeds], out: str, checkpoint: str, once: bool = True, **options
 ) -> StreamingQuery:
     """Validate, dedupe by id, enrich and score a stream of raw alerts.
 
-    Writes `alerts`, `events` and `rejects` under `out`. `feeds` is asked for every
-    micro-batch, so a refreshed feed table is used from the next batch on.
+    Writes `alerts`, `events` and `rejects` under `out`. Every row of the stream becomes an
+    alert or a reject, however late it is: ids are compared within the micro-batch and
+    with the ids that earlier batches stored, not within a watermark. `feeds` is asked for
+    every micro-batch, so a refreshed feed table is used from the next batch on. `options`
+    go to ingest(). What a batch needs in between is removed when it is written.
     """
     def handle(rows: DataFrame, batch: int) -> None:
         # The batch is read for three outputs; its size is bounded by the source's limits.
         rows = rows.persist()
         try:
-            result = ingest(rows, *feeds())
-            _write_batch(result.alerts, f"{out}/alerts", batch)
-            _write_batch(result.events, f"{out}/events", batch)
-            _write_batch(result.rejects, f"{out}/rejects", batch)
+            with scratch(rows.sparkSession):
+                known = read_batches(rows.sparkSession, f"{out}/alerts", S.ALERTS).where(F.col("batch") < batch)
+                result = ingest(rows, *feeds(), existing=known, **options)
+                _write_batch(result.alerts, f"{out}/alerts", batch)
+                _write_batch(result.events, f"{out}/events", batch)
+                _write_batch(result.rejects, f"{out}/rejects", batch)
         finally:
             rows.unpersist()
 
-    unique = first_arrivals(raw, ["id"], "created_at", delay, salt_by)
-    if salt_by:
-        unique = unique.drop(salt_by)
-    return _start(unique.writeStream.foreachBatch(handle), checkpoint, once)
+    return _start(raw.writeStream.foreachBatch(handle), checkpoint, once)
 
 
 def window_counts(
     alerts: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour",
     policy: str = "reference",
 ) -> DataFrame:
-    """Alerts per time window, severity and level; a window is final, and late rows for it
-    are dropped, once the watermark passes its end."""
+    """Alerts per time window, severity and level. Once the watermark passes a window's end
+    its state goes, and rows that come later still are not counted; `delay` says how late a
+    row may be."""
     level = scoring.risk_level(F.coalesce("risk_score", F.lit(0.0)), policy)
     return (
         alerts.withWatermark("created_at", delay)
@@ -105,10 +90,26 @@ def window_counts(
 def window_counts_job(
     alerts: DataFrame, out: str, checkpoint: str, once: bool = True, **options
 ) -> StreamingQuery:
+    """Keep the counts of all windows, open ones too: a micro-batch writes the windows it
+    changed, and read_window_counts() takes the latest count of each."""
+    def handle(rows: DataFrame, batch: int) -> None:
+        _write_batch(rows, out, batch)
+
     counts = window_counts(alerts, **options)
-    return _start(
-        counts.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once
-    )
+    return _start(counts.writeStream.outputMode("update").foreachBatch(handle), checkpoint, once)
+
+
+WINDOW_COUNTS = T.StructType([
+    T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()),
+    T.StructField("severity", T.StringType()), T.StructField("risk_level", T.StringType()),
+    T.StructField("count", T.LongType()),
+])
+
+
+def read_window_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The latest count of every window, severity and level."""
+    keys = [c for c in WINDOW_COUNTS.fieldNames() if c != "count"]
+    return read_batches(spark, out, WINDOW_COUNTS).groupBy(*keys).agg(F.max_by("count", "batch").alias("count"))
 
 
 def block_register(

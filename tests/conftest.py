@@ -24,4 +24,3 @@ def all_heavy(monkeypatch):
     """Small data takes the paths that are meant for heavy keys and large tables."""
     monkeypatch.setattr(skew, "HEAVY_SHARE", 0.02)
     monkeypatch.setattr(skew, "LEAST_ROWS", 1)
-    monkeypatch.setattr(skew, "small_enough", lambda df, limit=0: False)

@@ -116,7 +116,7 @@ def test_confidence_and_verdict(spark):
 def test_seed(spark):
     samples = seed.sample_alerts(spark, datetime(2024, 1, 10, 12))
     rows = samples.orderBy("id").collect()
-    assert [r.risk_score for r in rows] == [60, 75, 39, 26, 62, 75, 78, 68, 42, 22]
+    assert [r.risk_score for r in rows] == [80, 62, 48, 26, 66, 80, 42, 68, 22, 29]
     assert {r.threat_verdict for r in rows} == {"Unknown"}
     assert seed.seed_if_empty(samples.limit(0), samples).count() == 10
     assert seed.seed_if_empty(samples.where("id < 4"), samples).count() == 3
@@ -133,3 +133,68 @@ def test_like_patterns(spark):
     assert hits("A_B", False) == ["a_b", "axb"]
     assert hits("A_B", True) == ["a_b"]
     assert hits("C\\D", False) == ["c\\d"]
+
+
+def test_ids_are_required_and_unique(spark):
+    from sentrymill.plans.ingest import ingest
+    from sentrymill.sources import sample_views as V
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, "DDoS", "1.1.1.1", None, None, None, at), (1, "DDoS", "1.1.1.1", None, None, None, at),
+            (None, "DDoS", "1.1.1.1", None, None, None, at), (2, "DDoS", "1.1.1.1", None, None, "b", at),
+            (2, "DDoS", "1.1.1.1", None, None, "a", at), (3, "DDoS", "1.1.1.1", None, None, None, at)]
+    raw = spark.createDataFrame(rows, S.RAW_ALERTS)
+    stored = spark.createDataFrame([(3,)], "id long")
+    done = ingest(raw, *V.feeds(spark, "/root/testdata/sf0.001"), existing=stored)
+    assert sorted((r.id, r.description) for r in done.alerts.collect()) == [(1, None), (2, "a")]
+    assert sorted((r.id or 0, r.reasons[0]) for r in done.rejects.collect()) == [
+        (0, "id: required"), (1, "id: already used"), (2, "id: already used"), (3, "id: already used")]
+    assert done.events.count() == 6
+
+
+def test_a_repeated_feed_row_does_not_double_alerts(spark):
+    from sentrymill.operators import enrich
+    from sentrymill.plans.ingest import feeds_as_of
+    from sentrymill.sources import sample_views as V
+
+    folder = "/root/testdata/sf0.001"
+    alerts, feeds = V.plain_alerts(spark, folder), V.feeds(spark, folder)
+    once = enrich.enrich(alerts, *feeds)
+    twice = enrich.enrich(alerts, *V.repeated_feeds(spark, folder))
+    columns = ["id", "aggregate_confidence", "enrichment_data"]
+    assert sorted(once.select(*columns).collect()) == sorted(twice.select(*columns).collect())
+    abuse, scan, geo = feeds
+    old, _, _ = feeds_as_of(*feeds, as_of=F.lit("2023-12-31").cast("timestamp") + F.expr("INTERVAL 90 DAYS"))
+    assert 0 < old.count() < abuse.count()
+    first, _, _ = feeds_as_of(abuse.limit(2), scan, geo, fallback=feeds)
+    assert first.count() == abuse.count() and first.where("source = 'live'").count() == 2
+
+
+def test_small_feeds_are_broadcast_and_large_ones_are_not(spark):
+    import re
+
+    from sentrymill.operators import skew
+
+    def joins(limit):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+        try:
+            df = skew.lookup_join(spark.range(1000), spark.range(50).selectExpr("id", "id AS x"), ["id"])
+            df.collect()
+            return re.findall("BroadcastHashJoin|SortMergeJoin", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+    assert joins("10MB") == ["BroadcastHashJoin"] and joins("-1") == ["SortMergeJoin"]
+
+
+def test_a_light_history_is_a_plain_window(spark):
+    from sentrymill.operators import alerts
+    from sentrymill.sources import sample_views as V
+    from sentrymill.session import cut_lineage
+
+    folder = "/root/testdata/sf0.001"
+    stored, changes = cut_lineage(V.light_alerts(spark, folder)), cut_lineage(V.status_changes(spark, folder))
+    plan = alerts.change_status(stored, changes).history._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3 and plan.count("Exchange hashpartitioning") <= 4

@@ -151,3 +151,33 @@ def test_restore_like_a_plain_loop(spark, text):
     ).withColumn("expires_at", at("1 HOUR"))
     row = tokens.restore(session(spark, [text]), known, at()).collect()[0]
     assert (row.restored_text, row.restored_count) == brute_restore(text, table)
+
+
+def _detected(spark, rows):
+    return phi.detect(spark.createDataFrame(rows, "session_id string, text_seq long, text string"))
+
+
+def test_no_text_is_lost_or_mixed(spark):
+    rows = [(None, 1, "mail a@x.com"), (None, 1, "mail b@x.com"), ("s", 1, "mail a@x.com"), ("s", 1, "or c@x.com, d@x.com"),
+            ("s", None, "mail e@x.com"), ("s", None, None), (None, None, "nothing here"), ("s", 1, "mail a@x.com")]
+    out, given = tokens.pseudonymize(_detected(spark, rows), F.lit("2024-01-01").cast("timestamp"))
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.session_id for r in got)
+    texts = sorted((r.pseudonymized_text for r in got), key=str)
+    assert all("@" not in (t or "") for t in texts) and texts.count("nothing here") == 1
+    assert len([t for t in texts if t and re.fullmatch(r"mail EMAIL_\d{3}", t)]) == 5
+    assert len([t for t in texts if t and re.fullmatch(r"or EMAIL_\d{3}, EMAIL_\d{3}", t)]) == 1
+    assert len({r.session_id for r in got if r.session_id != "s"}) == 3
+    back = tokens.restore(
+        out.selectExpr("session_id", "text_seq", "pseudonymized_text AS text"), given, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted((r.restored_text for r in back.collect()), key=str) == sorted((t for _, _, t in rows), key=str)
+
+
+def test_many_entities_in_one_text(spark):
+    text = " é ".join(f"user{i}@mail{i % 7}.example.com" for i in range(400)) + " end"
+    out, given = tokens.pseudonymize(_detected(spark, [("s", 1, text)]), F.lit("2024-01-01").cast("timestamp"))
+    row = out.collect()[0]
+    assert row.entity_count == 400 and "@" not in row.pseudonymized_text and row.pseudonymized_text.endswith(" end")
+    back = tokens.restore(
+        out.selectExpr("session_id", "text_seq", "pseudonymized_text AS text"), given, F.lit("2024-01-01").cast("timestamp"))
+    assert back.collect()[0].restored_text == text and back.collect()[0].restored_count == 400

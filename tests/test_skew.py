@@ -28,7 +28,7 @@ def test_heavy_keys_are_few_and_right(spark, skewed):
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_lookup_join_equals_plain_join(spark, skewed, all_heavy, how):
     dim = spark.createDataFrame([(k, k * 10) for k in range(0, 600)], "k long, x long")
-    mine = skew.lookup_join(skewed, dim, ["k"], how, spread_by=["seq"])
+    mine = skew.lookup_join(skewed, dim, ["k"], how)
     plain = skewed.join(dim, ["k"], how)
     assert mine.columns == plain.columns
     assert sorted(map(str, mine.collect())) == sorted(map(str, plain.collect()))
@@ -65,7 +65,7 @@ def test_previous_over_slices(spark, skewed, all_heavy):
 
 
 def test_slices_cut_the_heavy_key_evenly(spark, skewed, all_heavy):
-    cut = skew._sliced(skewed, ["k"], "at")
+    cut = skew._sliced(skewed, ["k"], "at", skew.heavy_keys(skewed, ["k"]))
     sizes = [r["count"] for r in cut.where("k = 1").groupBy("_slice").count().collect()]
     assert len(sizes) > 10
     assert max(sizes) < 6000 * 0.02 * 2
@@ -80,7 +80,7 @@ def test_many_parts_use_the_two_step_search(spark, monkeypatch):
         rows.selectExpr("at", "row_number() over (order by at) as want"), "at"
     ).where("n <> want")
     assert wrong.count() == 0
-    parts = skew._sliced(rows, ["k"], "at").select("_slice").distinct().count()
+    parts = skew._sliced(rows, ["k"], "at", skew.heavy_keys(rows, ["k"])).select("_slice").distinct().count()
     assert parts > 400
 
 

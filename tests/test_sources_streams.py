@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrymill import schemas as S
 from sentrymill.operators import actions, usage_log
@@ -50,11 +51,10 @@ def test_stream_equals_batch(spark):
     path, out, state = (run_dir(spark, n) for n in ("raw", "out", "state"))
     raw.unionAll(raw.where("id % 3 = 0")).repartition(6).write.parquet(path)
     stream = spark.readStream.schema(S.RAW_ALERTS).option("maxFilesPerTrigger", 2).parquet(path)
-    stream = stream.select("*", F.expr("_metadata.file_path AS file"))
-    jobs.intake(stream, lambda: V.feeds(spark, FOLDER), out, state, delay="60 days", salt_by="file").awaitTermination()
+    jobs.intake(stream, lambda: V.feeds(spark, FOLDER), out, state).awaitTermination()
     got = jobs.read_batches(spark, f"{out}/alerts", S.ALERTS)
     from sentrymill.plans.ingest import ingest
-    want = ingest(raw, *V.feeds(spark, FOLDER))
+    want = ingest(raw.unionAll(raw.where("id % 3 = 0")), *V.feeds(spark, FOLDER))
     assert got.select("batch").distinct().count() > 1
     columns = ["id", "risk_score", "threat_verdict", "enrichment_data"]
     assert sorted(got.select(*columns).collect()) == sorted(want.alerts.select(*columns).collect())
@@ -62,6 +62,36 @@ def test_stream_equals_batch(spark):
     assert jobs.read_batches(spark, f"{out}/rejects", S.RAW_ALERTS).count() == want.rejects.count()
 
 
+def test_late_malformed_and_repeated_alerts_are_all_accounted_for(spark, tmp_path):
+    path, out, state = str(tmp_path / "in"), run_dir(spark, "out"), run_dir(spark, "state")
+    good = '{"id": %d, "alert_type": "Port Scan", "source_ip": "10.0.0.1", "created_at": "2024-01-%02dT00:00:00Z"}'
+
+    def land(name, *lines):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/{name}")
+        stream = spark.readStream.schema(T.StructType([*S.RAW_ALERTS.fields, T.StructField("_corrupt_record", T.StringType())])).json(f"{path}/*")
+        jobs.intake(stream, lambda: V.feeds(spark, FOLDER), out, state).awaitTermination()
+
+    land("a", good % (1, 20), "{broken", "{also broken", "not json")
+    land("b", good % (2, 2), good % (1, 21), good.replace('"id": %d, ', "") % 3, good % (4, 3), good % (4, 3))
+    got = jobs.read_batches(spark, f"{out}/alerts", S.ALERTS).collect()
+    assert sorted((r.id, r.created_at.day) for r in got) == [(1, 20), (2, 2), (4, 3)]      # 2 is 18 days late
+    held = T.StructType([*S.RAW_ALERTS.fields, T.StructField("reasons", T.ArrayType(T.StringType()))])
+    refused = jobs.read_batches(spark, f"{out}/rejects", held).collect()
+    reasons = sorted(x for r in refused for x in r.reasons if x.startswith(("id: already", "body")))
+    assert len(refused) == 6 and reasons == ["body: not valid JSON"] * 3 + ["id: already used"] * 2
+
+
+def test_a_long_stream_leaves_no_scratch(spark):
+    import os
+    path, out, state = (run_dir(spark, n) for n in ("raw", "out", "state"))
+    V.raw_alerts(spark, FOLDER).repartition(6).write.parquet(path)
+    stream = spark.readStream.schema(S.RAW_ALERTS).option("maxFilesPerTrigger", 1).parquet(path)
+    before = {n for n in os.listdir(os.path.dirname(path)) if n.startswith("cut-")}
+    jobs.intake(stream, lambda: V.feeds(spark, FOLDER), out, state).awaitTermination()
+    after = {n for n in os.listdir(os.path.dirname(path)) if n.startswith("cut-")}
+    assert after == before
+
+
 def test_late_rows_are_dropped(spark):
     path, out, state = (run_dir(spark, n) for n in ("late", "out", "state"))
 
@@ -79,8 +109,8 @@ def test_late_rows_are_dropped(spark):
     go()
     land(0.3, 9)
     go()
-    rows = spark.read.parquet(out).orderBy("start").collect()
-    assert [(r.start.hour, r["count"], r.risk_level) for r in rows] == [(0, 2, "High"), (5, 1, "High")]
+    rows = jobs.read_window_counts(spark, out).orderBy("start").collect()
+    assert [(r.start.hour, r["count"], r.risk_level) for r in rows] == [(0, 2, "High"), (5, 1, "High"), (9, 1, "High")]
 
 
 def test_register_keeps_the_first_batch(spark):
