@@ -70,6 +70,11 @@ def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+def _json_fields(column: str, fields: list[str]):
+    """The fields that a JSON text has, as field=value, in the order given."""
+    return F.concat_ws("|", *[F.concat(F.lit(f"{f}="), F.get_json_object(column, f"$.{f}")) for f in fields])
+
+
 # --- sources -------------------------------------------------------------------
 
 @query("s1_alert_scan", O.sql(f"SELECT id, alert_id, alert_type, source_ip, severity, status, {O.t('created_at')} AS created_at FROM pa"))
@@ -394,7 +399,8 @@ def _(spark, d):
 
 
 @query("e16_report", O.sql("""
-SELECT source_ip AS ip_address, abuse_confidence_score AS abuse, malicious_count AS malicious, city, country, asn, org,
+SELECT source_ip AS ip_address, abuse_confidence_score AS abuse, total_reports, usage_type, domain, suspicious_count, region,
+  malicious_count AS malicious, city, country, asn, org,
   conf AS aggregate_confidence, verdict AS threat_verdict, malicious_count IS NULL AS no_scan FROM vd"""))
 def _(spark, d):
     def of(path: str, kind: str = "string"):
@@ -404,6 +410,9 @@ def _(spark, d):
     return packed.select(
         of("ip_address").alias("ip_address"),
         of("abuseipdb.abuse_confidence_score", "long").alias("abuse"),
+        of("abuseipdb.total_reports", "long").alias("total_reports"), of("abuseipdb.usage_type").alias("usage_type"),
+        of("abuseipdb.domain").alias("domain"), of("ipinfo.region").alias("region"),
+        of("virustotal.suspicious_count", "long").alias("suspicious_count"),
         of("virustotal.malicious_count", "long").alias("malicious"), of("ipinfo.city").alias("city"),
         of("country").alias("country"), of("asn").alias("asn"), of("org").alias("org"),
         of("aggregate_confidence", "double").alias("aggregate_confidence"),
@@ -494,11 +503,15 @@ def _ingested(spark, d):
 
 @query("a1_ingest_alerts", O.sql(f"""
 SELECT id, alert_id, alert_type, source_ip, severity, status, description, risk_score, threat_verdict,
-  {O.t('created_at')} AS created_at FROM oka"""))
+  {O.t('created_at')} AS created_at, CASE WHEN conf IS NULL THEN '' ELSE concat_ws('|', 'ip_address=' || source_ip, 'country=' || country,
+    'asn=' || asn, 'org=' || org, 'aggregate_confidence=' || conf::VARCHAR, 'threat_verdict=' || verdict,
+    'abuseipdb.total_reports=' || total_reports::VARCHAR) END AS enrichment FROM oka"""))
 def _(spark, d):
     return _ingested(spark, d).alerts.select(
         "id", "alert_id", "alert_type", "source_ip", "severity", "status", "description", "risk_score",
-        "threat_verdict", "created_at",
+        "threat_verdict", "created_at", _json_fields("enrichment_data", [
+            "ip_address", "country", "asn", "org", "aggregate_confidence", "threat_verdict", "abuseipdb.total_reports",
+        ]).alias("enrichment"),
     )
 
 
@@ -651,18 +664,26 @@ def _(spark, d):
 
 # --- timeline ---------------------------------------------------------------------------------
 
-_EVENT = f"alert_db_id, alert_id, event_type, seq, description, {O.t('occurred_at')} AS occurred_at"
-_EVENT_COLUMNS = ["alert_db_id", "alert_id", "event_type", "seq", "description", "occurred_at"]
+_EVENT = f"alert_db_id, alert_id, event_type, seq, description, meta, {O.t('occurred_at')} AS occurred_at"
+_META = [
+    "alert_type", "source_ip", "severity", "threat_verdict", "aggregate_confidence", "abuseipdb_score", "vt_malicious",
+    "risk_score", "risk_level", "old_status", "new_status", "playbook", "target", "status", "action",
+]
+
+
+def _shown(events: DataFrame) -> DataFrame:
+    return events.select("alert_db_id", "alert_id", "event_type", "seq", "description",
+                         _json_fields("metadata_json", _META).alias("meta"), "occurred_at")
 
 
 @query("t1_lifecycle_events", O.sql(f"SELECT {_EVENT} FROM tl"))
 def _(spark, d):
-    return timeline.lifecycle_events(V.scored(spark, d)).select(*_EVENT_COLUMNS)
+    return _shown(timeline.lifecycle_events(V.scored(spark, d)))
 
 
 @query("t2_status_events", O.sql(f"SELECT {_EVENT} FROM st"))
 def _(spark, d):
-    return timeline.status_events(_changed(spark, d).history).select(*_EVENT_COLUMNS)
+    return _shown(timeline.status_events(_changed(spark, d).history))
 
 
 def _runs(spark, d):
@@ -672,7 +693,7 @@ def _runs(spark, d):
 
 @query("t3_playbook_events", O.sql(f"SELECT {_EVENT} FROM pe"))
 def _(spark, d):
-    return timeline.playbook_events(_runs(spark, d)).select(*_EVENT_COLUMNS)
+    return _shown(timeline.playbook_events(_runs(spark, d)))
 
 
 @query("t4_deletions", O.sql(f"""
@@ -696,17 +717,17 @@ def _events(spark, d):
 
 @query("t5_event_log", O.sql(f"SELECT {_EVENT} FROM el"))
 def _(spark, d):
-    return _events(spark, d).select(*_EVENT_COLUMNS)
+    return _shown(_events(spark, d))
 
 
 @query("t6_of_alert", O.sql(f"SELECT {_EVENT} FROM el WHERE alert_db_id = 1 ORDER BY el.occurred_at, seq, event_type"))
 def _(spark, d):
-    return timeline.of_alert(_events(spark, d), 1).select(*_EVENT_COLUMNS)
+    return _shown(timeline.of_alert(_events(spark, d), 1))
 
 
 @query("t7_of_alert_name", O.sql(f"SELECT {_EVENT} FROM el WHERE alert_id = 'ALERT-00000009' ORDER BY el.occurred_at, seq, event_type"))
 def _(spark, d):
-    return timeline.of_alert_name(_events(spark, d), "ALERT-00000009").select(*_EVENT_COLUMNS)
+    return _shown(timeline.of_alert_name(_events(spark, d), "ALERT-00000009"))
 
 
 @query("t8_nested", O.sql(f"""
@@ -756,7 +777,9 @@ def _(spark, d):
     return dashboard.by_verdict(V.alerts(spark, d))
 
 
-@query("d4_verdict_ips", O.sql("SELECT threat_verdict, count(DISTINCT source_ip) AS count FROM a GROUP BY 1"))
+@query("d4_verdict_ips", O.sql(f"""
+SELECT v.threat_verdict, count(DISTINCT source_ip) AS count FROM (VALUES {', '.join(f"('{v}')" for v in D.VERDICTS)}) v(threat_verdict)
+LEFT JOIN a USING (threat_verdict) GROUP BY 1"""))
 def _(spark, d):
     return dashboard.by_verdict(V.alerts(spark, d), distinct_ips=True)
 
@@ -922,12 +945,19 @@ def _(spark, d):
 
 @query("p7_executions", O.sql(f"""
 SELECT alert_db_id, alert_id, seq, playbook_name, action, target, status, result_message, executed_by,
-  {O.t('executed_at')} AS executed_at, result_message AS message_in_data FROM run"""))
+  {O.t('executed_at')} AS executed_at, result_message AS message_in_data,
+  CASE WHEN error IS NOT NULL THEN 'error=' || error ELSE concat_ws('|', 'playbook=' || playbook_name, 'action=' || action,
+    'target=' || target, 'alert_id=' || alert_id, 'executed_by=' || executed_by, 'status=' || status,
+    CASE WHEN playbook_name = 'escalate' THEN 'priority=' || CASE WHEN severity IN ('Critical', 'High') THEN 'P1' ELSE 'P2' END END,
+    CASE WHEN playbook_name = 'escalate' THEN 'risk_score=' || risk_score::VARCHAR END) END AS data FROM run"""))
 def _(spark, d):
     return _runs(spark, d).select(
         "alert_db_id", "alert_id", "seq", "playbook_name", "action", "target", "status", "result_message",
         "executed_by", "executed_at",
         F.coalesce(F.get_json_object("result_data", "$.message"), F.lit("")).alias("message_in_data"),
+        _json_fields("result_data", [
+            "error", "playbook", "action", "target", "alert_id", "executed_by", "status", "priority", "risk_score",
+        ]).alias("data"),
     )
 
 

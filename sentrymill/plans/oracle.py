@@ -125,7 +125,8 @@ ti_geo AS (SELECT ip, {_at(CITIES, 'u % 4')} AS city, 'region ' || (u % 6)::VARC
   CASE WHEN u % 7 <> 3 THEN {_at([*LANDS, *OTHER_LANDS], 'u % 7')} END AS country,
   CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR || ' ' || {_at(NETS, 'u % 3')} END AS org,
   CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR ELSE '' END AS asn, u FROM ips),
-rep AS (SELECT a.ip_address AS source_ip, a.abuse_confidence_score, s.malicious_count, s.total_engines,
+rep AS (SELECT a.ip_address AS source_ip, a.abuse_confidence_score, a.total_reports, a.usage_type, a.domain,
+  s.suspicious_count, g.region, s.malicious_count, s.total_engines,
   s.country AS scan_country, g.city, coalesce(g.country, a.country_code, '') AS country,
   coalesce(g.asn, '') AS asn, coalesce(g.org, a.isp, '') AS org,
   round(a.abuse_confidence_score * 0.6e0
@@ -139,8 +140,8 @@ en AS (SELECT pa.*, coalesce(conf, 0e0) AS aggregate_confidence, coalesce(verdic
 sc AS (SELECT *, {SCORE} AS risk_score FROM en),
 a AS (SELECT *, {level('risk_score')} AS risk_level FROM sc),
 oken AS (SELECT ok.*, coalesce(conf, 0e0) AS aggregate_confidence, coalesce(verdict, 'Unknown') AS threat_verdict,
-  coalesce(abuse_confidence_score, 0) AS abuseipdb_score, coalesce(malicious_count, 0) AS vt_malicious
-  FROM ok LEFT JOIN vd USING (source_ip)),
+  coalesce(abuse_confidence_score, 0) AS abuseipdb_score, coalesce(malicious_count, 0) AS vt_malicious,
+  conf, verdict, country, asn, org, total_reports FROM ok LEFT JOIN vd USING (source_ip)),
 oka AS (SELECT *, {SCORE} AS risk_score FROM oken),
 chg AS (
   SELECT event_id + 1 AS id, 'Investigating' AS new_status, ts + INTERVAL 1 HOUR AS ts, 1 AS seq
@@ -184,7 +185,7 @@ run AS (SELECT alert_db_id, alert_id, seq, playbook_name,
       || left(md5(alert_id || {iso('ts')}), 8)
     ELSE 'Incident escalated. Security ticket SEC-' || left(md5(alert_id), 8) || ' created with priority '
       || CASE WHEN severity IN ('Critical', 'High') THEN 'P1' ELSE 'P2' END || '.' END AS result_message,
-  requested_by AS executed_by, ts AS executed_at, notes, alert_type, severity, risk_score FROM res),
+  requested_by AS executed_by, ts AS executed_at, notes, error, alert_type, severity, risk_score FROM res),
 blk AS (SELECT ip_address, alert_id, reason, blocked_by, blocked_at FROM (
   SELECT target AS ip_address, alert_id, coalesce(notes, '{D.DEFAULT_BLOCK_REASON}') AS reason,
     executed_by AS blocked_by, executed_at AS blocked_at,
@@ -193,16 +194,21 @@ blk AS (SELECT ip_address, alert_id, reason, blocked_by, blocked_at FROM (
 tl AS (
   SELECT id AS alert_db_id, alert_id, 'AlertCreated' AS event_type, 1 AS seq,
     'Alert ingested | type=' || alert_type || ' ip=' || source_ip || ' severity=' || severity AS description,
-    created_at AS occurred_at FROM a
+    created_at AS occurred_at,
+    concat_ws('|', 'alert_type=' || alert_type, 'source_ip=' || source_ip, 'severity=' || severity) AS meta FROM a
   UNION ALL SELECT id, alert_id, 'AlertEnriched', 2, 'TI enrichment complete | verdict=' || threat_verdict
-    || ' confidence=' || round(aggregate_confidence, 1)::VARCHAR, created_at FROM a
+    || ' confidence=' || round(aggregate_confidence, 1)::VARCHAR, created_at,
+    concat_ws('|', 'threat_verdict=' || threat_verdict, 'aggregate_confidence=' || round(aggregate_confidence, 2)::VARCHAR,
+      'abuseipdb_score=' || abuseipdb_score::VARCHAR, 'vt_malicious=' || vt_malicious::VARCHAR) FROM a
   UNION ALL SELECT id, alert_id, 'RiskCalculated', 3, 'Risk score computed | score=' || risk_score::VARCHAR
-    || ' level=' || risk_level, created_at FROM a),
+    || ' level=' || risk_level, created_at, 'risk_score=' || risk_score::VARCHAR || '|risk_level=' || risk_level FROM a),
 st AS (SELECT id AS alert_db_id, alert_id, 'StatusUpdated' AS event_type, seq + 10 AS seq,
-  'Status changed: ' || old_status || ' -> ' || new_status AS description, ts AS occurred_at FROM hist),
+  'Status changed: ' || old_status || ' -> ' || new_status AS description, ts AS occurred_at,
+  'old_status=' || old_status || '|new_status=' || new_status AS meta FROM hist),
 pe AS (SELECT alert_db_id, alert_id, 'PlaybookExecuted' AS event_type, seq + 10 AS seq,
   'Playbook ''' || playbook_name || ''' executed | target=' || target || ' status=' || status AS description,
-  executed_at AS occurred_at FROM run),
+  executed_at AS occurred_at, concat_ws('|', 'playbook=' || playbook_name, 'target=' || target, 'status=' || status,
+    CASE WHEN status <> 'Failed' THEN 'action=' || action END) AS meta FROM run),
 el AS (SELECT * FROM tl UNION ALL SELECT * FROM st UNION ALL SELECT * FROM pe),
 pat AS (SELECT event_id + 1 AS id,
   CASE WHEN event_id % 15 = 0 THEN 'Port Scan' WHEN event_id % 35 = 0 THEN 'X' END AS alert_type,
