@@ -16,10 +16,11 @@ import time
 from pyspark.sql import functions as F
 
 from sentrymill import schemas as S
-from sentrymill.operators import actions, alerts, dashboard, phi, timeline, tokens
+from sentrymill.operators import actions, alerts, dashboard, enrich, phi, timeline, tokens
 from sentrymill.plans.ingest import ingest
 from sentrymill.session import local_session, run_dir
 from sentrymill.sources import sample_views as V
+from sentrymill.streaming import jobs
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CORES = os.environ.get("BENCH_CPUS", "8")
@@ -58,6 +59,22 @@ def main() -> None:
     def pseudonyms():
         return [tokens.pseudonymize(phi.detect(at["phi_docs"]()), as_of)[0]]
 
+    def restored():
+        return [tokens.restore(swapped(), token_map(), as_of)]
+
+    def streamed():
+        out = run_dir(spark, "bench-intake")
+        stream = spark.readStream.schema(S.RAW_ALERTS).option("maxFilesPerTrigger", 4).parquet(raw_path)
+        jobs.intake(
+            stream, lambda: (at["ti_abuse"](), at["ti_scan"](), at["ti_geo"]()), out, run_dir(spark, "bench-state")
+        ).awaitTermination()
+        return [jobs.read_batches(spark, f"{out}/alerts", S.ALERTS)]
+
+    out, given = tokens.pseudonymize(phi.detect(at["phi_docs"]()), as_of)
+    swapped = stage(spark, out.withColumnRenamed("pseudonymized_text", "text"), "swapped")
+    token_map = stage(spark, given, "tokens")
+    raw_path = run_dir(spark, "bench-stream")
+    at["raw_alerts"]().repartition(int(CORES)).write.parquet(raw_path)
     no_blocks = spark.createDataFrame([], S.BLOCKED_IPS)
     queries = {
         "a1_ingest": ingested,
@@ -72,6 +89,9 @@ def main() -> None:
         "p9_block_register": register,
         "h14_report": lambda: [phi.corpus_report(phi.detect(at["phi_docs"]()), "source", "lang")],
         "h16_replace": pseudonyms,
+        "h18_restore": restored,
+        "e1_abuse_lookup": lambda: [enrich.lookup_abuse(at["alerts"](), at["ti_abuse"]())],
+        "w1_stream_intake": streamed,
     }
     seconds = {}
     for name, build in queries.items():

@@ -30,6 +30,11 @@ def java_pattern(pattern: str, ignore_case: bool) -> str:
     return ("(?iU)" if ignore_case else "(?U)") + pattern
 
 
+# Every match of these rules holds one of these words in some case.
+_HAS_WORD = {
+    "dob": ("dob", "birth", "born"), "mrn": ("mrn",),
+    "patient": ("patient", "client", "subject", "admitted", "referred"),
+}
 _NEEDS_DIGIT = {"dob", "ssn", "mrn", "phone", "address", "date"}
 
 
@@ -40,6 +45,13 @@ def has_digit(text: Column) -> Column:
 def _worth_a_look(text: Column, name: str, digits: Column | None) -> Column | None:
     """A cheap test that every match of the rule passes. It lets the expression skip
     the pattern on texts that cannot match."""
+    if name in _HAS_WORD:
+        lower = F.lower(text)
+        # the long s is an s to a pattern that ignores case, but has no other lower case
+        found = text.contains("\u017f")
+        for word in _HAS_WORD[name]:
+            found = found | lower.contains(word)
+        return found if digits is None or name not in _NEEDS_DIGIT else digits & found
     if name in _NEEDS_DIGIT:
         return digits
     if name == "email":
