@@ -170,13 +170,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """`docs` with one row of each component kept: the one whose doc_id is the component's
-    smallest. Of rows repeated with that doc_id the one with the smallest text hash stays;
+    smallest. Of rows repeated with that doc_id one stays, with the smallest text hash;
     rows with null doc_id have no id to be judged by and all stay."""
-    kept = (
-        near_duplicates(docs, bits).where("doc_id = component_id")
-        .select(F.col("doc_id").alias("_kept")).distinct()
-    )
+    kept = near_duplicates(docs, bits).where("doc_id = component_id").select(
+        F.col("doc_id").alias("_kept")).distinct()
+    least = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(
+        F.min(F.xxhash64("text")).alias("_text"))
+    chosen = least.join(kept, "_kept", "left_semi").hint("rebalance")
     return docs.where("doc_id is null").unionByName(
-        docs.join(kept.hint("rebalance"), F.col("doc_id") == F.col("_kept")).drop("_kept")
-        .dropDuplicates(["doc_id"])
+        docs.join(chosen, (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_text")))
+        .drop("_kept", "_text").dropDuplicates(["doc_id"])
     )
