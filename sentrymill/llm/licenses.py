@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill.functions.spans import _let
+
 # Known sentences in plain form (a-z, 0-9, single spaces) with their identifiers.
 # The wording of notices is set by the licences themselves.
 SENTENCES = {
@@ -89,12 +91,16 @@ def sentences(docs: DataFrame) -> DataFrame:
     two and three in a row.
     """
     cut = F.split(F.regexp_replace("text", BREAK, "$1\n"), "\n")
-    texts = docs.where(_has_stem(F.col("text"))).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.filter(F.transform(cut, plain), lambda p: p != "").alias("pieces"))
-    offered = F.concat(*[_joined(F.col("pieces"), n) for n in (1, 2, 3)])
-    known = F.filter(offered, lambda s: s["sentence"].isin(list(SENTENCES.values())))
-    return texts.select("doc_id", known.alias("known")).where(F.size("known") > 0)
+    pieces = F.filter(F.transform(cut, plain), lambda p: p != "")
+
+    def known(held: Column) -> Column:
+        offered = F.concat(*[_joined(held, n) for n in (1, 2, 3)])
+        return F.filter(offered, lambda s: s["sentence"].isin(list(SENTENCES.values())))
+
+    # A filter on the result is moved ahead of the projection with all that it names, so
+    # the pieces are bound to a variable: else they would be cut anew for every piece.
+    return docs.where(_has_stem(F.col("text"))).select(
+        F.col("doc_id").cast("long").alias("doc_id"), _let(pieces, known).alias("known"))
 
 
 def recognise(docs: DataFrame) -> DataFrame:
