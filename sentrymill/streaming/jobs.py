@@ -39,6 +39,31 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return open_or_empty(spark, path, _with_batch(schema))
 
 
+def _write_snapshot(rows: DataFrame, path: str, upto: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}-snapshots/upto={upto}")
+
+
+def _snapshots(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return open_or_empty(
+        spark, f"{path}-snapshots", T.StructType([*schema.fields, T.StructField("upto", T.LongType(), True)]))
+
+
+def _newest(snapshots: DataFrame) -> int | None:
+    return snapshots.agg(F.max("upto")).first()[0]
+
+
+def read_compacted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows written so far: those of the newest snapshot, under the number of its last
+    batch, and of the batches after it. A stream may go on writing meanwhile; folders of
+    batches up to the snapshot are not read any more and may be removed."""
+    snapshots = _snapshots(spark, path, schema)
+    newest = _newest(snapshots)
+    if newest is None:
+        return read_batches(spark, path, schema)
+    return snapshots.where(F.col("upto") == newest).withColumnRenamed("upto", "batch").unionByName(
+        read_batches(spark, path, schema).where(F.col("batch") > newest))
+
+
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -118,7 +143,7 @@ def block_register(
     """Keep the block register from a stream of executions. An address that an earlier
     batch put on it keeps that entry."""
     def handle(rows: DataFrame, batch: int) -> None:
-        known = read_batches(rows.sparkSession, register, S.BLOCKED_IPS).where(F.col("batch") < batch)
+        known = read_compacted(rows.sparkSession, register, S.BLOCKED_IPS).where(F.col("batch") < batch)
         _write_batch(block_entries(rows, known), register, batch)
 
     return _start(runs.writeStream.foreachBatch(handle), checkpoint, once)
@@ -147,13 +172,28 @@ def status_table(
 
 def read_status(spark: SparkSession, table: str) -> DataFrame:
     """Current status (id, new_status, ts) over all batches."""
-    return latest_change(read_batches(spark, table, LATEST))
+    return latest_change(read_compacted(spark, table, LATEST))
+
+
+def _settled_part(spark: SparkSession, path: str, schema: T.StructType, upto: int) -> tuple[DataFrame, int | None]:
+    """Rows of batches 0 to `upto`, and the last of those that was written (None if there is
+    nothing beyond the newest snapshot): one must not stand for batches still to come."""
+    rows = read_compacted(spark, path, schema).where(F.col("batch") <= upto)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows, None if last == _newest(_snapshots(spark, path, schema)) else last
+
+
+def compact_status(spark: SparkSession, table: str, upto: int) -> None:
+    """Settle the status changes of batches 0 to `upto` into a snapshot."""
+    rows, last = _settled_part(spark, table, LATEST, upto)
+    if last is not None:
+        _write_snapshot(rows.groupBy("id").agg(
+            F.max(F.struct("ts", "seq", "new_status")).alias("l")
+        ).select("id", "l.new_status", "l.ts", "l.seq"), table, last)
 
 
-def compact_status(spark: SparkSession, table: str, into: str, upto: int) -> None:
-    """Write the settled state of batches 0 to `upto` as one batch of a new table."""
-    old = read_batches(spark, table, LATEST).where(F.col("batch") <= upto)
-    settled = old.groupBy("id").agg(
-        F.max(F.struct("ts", "seq", "new_status")).alias("l")
-    ).select("id", "l.new_status", "l.ts", "l.seq")
-    _write_batch(settled, into, upto)
+def compact_register(spark: SparkSession, register: str, upto: int) -> None:
+    """Put the register entries of batches 0 to `upto` into one snapshot."""
+    rows, last = _settled_part(spark, register, S.BLOCKED_IPS, upto)
+    if last is not None:
+        _write_snapshot(rows.drop("batch"), register, last)

@@ -130,16 +130,26 @@ def test_register_keeps_the_first_batch(spark):
     rows = jobs.read_batches(spark, register, S.BLOCKED_IPS).orderBy("ip_address").collect()
     assert [(r.ip_address, r.alert_id, r.batch) for r in rows] == [("1.1.1.1", "B", 0), ("3.3.3.3", "E", 1)]
     assert actions.list_blocked(jobs.read_batches(spark, register, S.BLOCKED_IPS)).first().ip_address == "3.3.3.3"
+    jobs.compact_register(spark, register, 1)
+    land(("F", "1.1.1.1", "Success", 0), ("G", "4.4.4.4", "Success", 1))
+    held = jobs.read_compacted(spark, register, S.BLOCKED_IPS).collect()
+    assert sorted((r.ip_address, r.alert_id) for r in held) == [("1.1.1.1", "B"), ("3.3.3.3", "E"), ("4.4.4.4", "G")]
 
 
 def test_status_stream_and_compaction(spark):
-    path, table, state, small = (run_dir(spark, n) for n in ("chg", "status", "state", "small"))
+    path, table, state = (run_dir(spark, n) for n in ("chg", "status", "state"))
     V.status_changes(spark, FOLDER).repartition(5).write.parquet(path)
     stream = spark.readStream.schema(S.STATUS_CHANGES).option("maxFilesPerTrigger", 2).parquet(path)
     jobs.status_table(stream, table, state).awaitTermination()
     got = jobs.read_status(spark, table)
-    jobs.compact_status(spark, table, small, 10)
-    assert sorted(jobs.read_status(spark, small).collect()) == sorted(got.collect())
+    before = sorted(got.collect())
+    jobs.compact_status(spark, table, 1)
+    assert sorted(jobs.read_status(spark, table).collect()) == before
+    spark.createDataFrame([(1, "Open", datetime(2030, 1, 1), 1)], S.STATUS_CHANGES).write.mode("append").parquet(path)
+    jobs.status_table(stream, table, state).awaitTermination()      # the stream goes on beside the snapshot
+    jobs.compact_status(spark, table, 99)
+    after = {r.id: r for r in jobs.read_status(spark, table).collect()}
+    assert after[1].new_status == "Open" and after[1].ts == datetime(2030, 1, 1) and len(after) == len(before)
     assert got.count() == spark.read.parquet(path).where("lower(trim(new_status)) <> 'closed'").select("id").distinct().count()
 
 
