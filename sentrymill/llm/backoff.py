@@ -18,6 +18,7 @@ from sentrymill.llm.common import WORD
 
 ALPHA = 0.4               # factor of a step back
 LEAST_COUNT = 2           # a bigram seen less often is taken as unseen
+BLOCK_CHARS = 4_000_000   # the larger a block, the more of its n-grams it has more than once
 _ONE, _TWO = 1, 2
 
 
@@ -44,7 +45,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT)
     held = docs.agg(F.sum(F.length("text").cast("long")), F.sum(F.regexp_count("text", F.lit(WORD)).cast("long"))).first()
     chars, words = held[0] or 0, held[1] or 0
     parts = blocks.parts_for(docs, chars)
-    dealt = blocks.deal(docs, chars)
+    dealt = blocks.deal(docs, chars, BLOCK_CHARS)
 
     def keys(table):
         one, two, _, inside = grams(table.column("t"))

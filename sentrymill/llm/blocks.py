@@ -48,9 +48,9 @@ def hashed(at: np.ndarray, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], np.uint64)[at]
 
 
-def deal(docs: DataFrame, chars: int) -> DataFrame:
+def deal(docs: DataFrame, chars: int, per_block: int | None = None) -> DataFrame:
     """`block`, `doc_id` and text `t` of every row. The block hangs on id and text alone."""
-    blocks = parts_of(docs.sparkSession, chars, BLOCK_CHARS)
+    blocks = parts_of(docs.sparkSession, chars, per_block or BLOCK_CHARS)
     return docs.select(
         F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
@@ -82,6 +82,20 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), f"<{'u' if data[:1] == b'1' else 'i'}{data[:1].decode()}").astype(np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Rising 64-bit hashes as steps, byte by byte: the two high bytes of the steps of many
+    hashes are small numbers and compress, the others do not."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    high = zlib.compress(steps[6:].tobytes(), 1)
+    return len(high).to_bytes(4, "little") + high + steps[:6].tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    low = 4 + int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data[low:] + zlib.decompress(data[4:low]), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def ask_rows(block: int, keys: dict, parts: int) -> pa.Table:
     """The asks of one block. `keys` has for each kind (k1, k2 or None, weights or None)."""
     columns = [[] for _ in range(6)]
@@ -92,7 +106,7 @@ def ask_rows(block: int, keys: dict, parts: int) -> pa.Table:
         a, b = k1[order][first], None if k2 is None else k2[order][first]
         for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
             cut = slice(at[p], at[p + 1])
-            for column, value in zip(columns, (p, block, kind, a[cut].tobytes(), b[cut].tobytes() if b is not None else None, _pack(n[cut]))):
+            for column, value in zip(columns, (p, block, kind, _pack_keys(a[cut]), b[cut].tobytes() if b is not None else None, _pack(n[cut]))):
                 column.append(value)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "block", "kind", "k1", "k2", "n"])
@@ -113,7 +127,7 @@ def totals(asked: DataFrame, most: int | None = None) -> DataFrame:
         kinds = table.column("kind").to_numpy()
         for kind in np.unique(kinds):
             rows = np.flatnonzero(kinds == kind).tolist()
-            k1 = [np.frombuffer(table.column("k1")[i].as_py(), "<u8") for i in rows]
+            k1 = [_unpack_keys(table.column("k1")[i].as_py()) for i in rows]
             packed = [table.column("k2")[i].as_py() for i in rows]
             k2 = None if packed[0] is None else np.concatenate([np.frombuffer(p, "<u8") for p in packed])
             n = np.concatenate([_unpack(table.column("n")[i].as_py()) for i in rows])
