@@ -86,6 +86,24 @@ def _with_rows(detected: DataFrame) -> DataFrame:
         "_row", F.xxhash64("text_seq", "text"))
 
 
+def _swapped(docs: DataFrame, entities: DataFrame, tokens: DataFrame, ttl: int) -> DataFrame:
+    """Texts of `docs` (as from _with_rows) with their `entities` (session_id, _row, start,
+    end, value) swapped for tokens."""
+    named = lookup_join(
+        entities, tokens.select("session_id", "value", "token"), ["session_id", "value"], "inner"
+    )
+    per_doc = named.groupBy("session_id", "_row").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end", "token"))).alias("_spans")
+    )
+    held = F.col("_spans").isNotNull()
+    return docs.join(per_doc, ["session_id", "_row"], "left").select(
+        "session_id", "text_seq",
+        F.when(held, replace_spans(F.col("text"), F.col("_spans"))).otherwise(F.col("text")).alias("pseudonymized_text"),
+        F.when(held, F.size("_spans")).otherwise(0).cast("long").alias("entity_count"),
+        F.lit(ttl).cast("long").alias("mapping_ttl"),
+    )
+
+
 def substitute(detected: DataFrame, tokens: DataFrame, ttl: int = D.TOKEN_TTL_SECONDS) -> DataFrame:
     """Swap the entities of each document for the session's tokens.
 
@@ -95,30 +113,10 @@ def substitute(detected: DataFrame, tokens: DataFrame, ttl: int = D.TOKEN_TTL_SE
     comes out once, also one without a session (see pseudonymize) and several with the
     same session and number.
     """
-    detected = _with_rows(detected)
-    spans = detected.select("session_id", "_row", F.inline("entities")).select(
-        "session_id", "_row", "start", "end", "value"
-    )
-    named = lookup_join(
-        spans, tokens.select("session_id", "value", "token"), ["session_id", "value"], "inner"
-    )
-    per_doc = named.groupBy("session_id", "_row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end", "token"))).alias("_spans")
-    )
-
-    def rows(docs: DataFrame, text: Column) -> DataFrame:
-        return docs.select(
-            "session_id", "text_seq", text.alias("pseudonymized_text"),
-            F.greatest(F.coalesce(F.size("entities"), F.lit(0)), F.lit(0)).cast("long").alias("entity_count"),
-            F.lit(ttl).cast("long").alias("mapping_ttl"),
-        )
-
-    # Only texts that hold an entity are shuffled.
-    touched = detected.where(F.size("entities") > 0).join(per_doc, ["session_id", "_row"])
-    plain = detected.where(F.coalesce(F.size("entities"), F.lit(0)) <= 0)
-    return rows(touched, replace_spans(F.col("text"), F.col("_spans"))).unionAll(
-        rows(plain, F.col("text"))
-    )
+    docs = _with_rows(detected)
+    entities = docs.select("session_id", "_row", F.inline("entities")).select(
+        "session_id", "_row", "start", "end", "value")
+    return _swapped(docs.select("session_id", "text_seq", "text", "_row"), entities, tokens, ttl)
 
 
 def pseudonymize(
@@ -128,17 +126,18 @@ def pseudonymize(
     """(results, token map): results as in substitute(), the map with old and new rows.
 
     `detected` needs session_id, text_seq, text and entities. A text without a session gets
-    one of its own, named after its content. The values found are written out once when
-    this is called; texts stay where they are, so their patterns run once here and once
-    when the results are read.
+    one of its own, named after its content. The spans found are written out once when
+    this is called, so the patterns run once per text; texts stay where they are.
     """
     detected = detected.select("session_id", "text_seq", "text", "entities")
     known = live(existing, as_of) if existing is not None else None
-    entities = cut_lineage(_with_rows(detected).select("session_id", "text_seq", F.inline("entities")))
+    docs = _with_rows(detected)
+    entities = cut_lineage(docs.select("session_id", "_row", "text_seq", F.inline("entities")))
     tokens = cut_lineage(assign(entities, as_of, known, ttl))
     if known is not None:
         tokens = renew(known, _with_rows(detected).select("session_id"), as_of, ttl).unionByName(tokens)
-    return substitute(detected, tokens, ttl), tokens
+    spans = entities.select("session_id", "_row", "start", "end", "value")
+    return _swapped(docs.select("session_id", "text_seq", "text", "_row"), spans, tokens, ttl), tokens
 
 
 def _tokens_in(text: Column) -> Column:
