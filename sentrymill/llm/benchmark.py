@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import text_bytes
+from sentrymill.llm.blocks import word_codes
+from sentrymill.llm.common import Memo, texts_or_empty
 from sentrymill.llm.quality import _pieces
 
 WINDOW = 8            # template tokens; an item with fewer is one window
@@ -70,17 +71,21 @@ def _classes(word: bytes) -> tuple[int, str, bool]:
     return kind, core.lower(), text.rstrip("\"')]}").endswith(ENDS)
 
 
-def _tokens(texts: pa.Array):
-    """Plain tokens, template tokens, slot flags and text numbers of all words with a core."""
-    split = [t.split() for t in texts.to_pylist()]
-    words = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    known = [_classes(w) for w in words.dictionary.to_pylist()] or [(0, "", False)]
-    at = words.indices.to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(split)), [len(w) for w in split])
-    kind = np.array([k for k, _, _ in known])[at]
-    plain = np.array([xxhash.xxh64_intdigest(c.encode()) for _, c, _ in known], np.uint64)[at]
-    ends = np.array([e for _, _, e in known])[at]
-    full = np.array([bool(c) for _, c, _ in known])[at]
+def _classed(word: bytes) -> tuple[int, int]:
+    """Hash of a word's core, and its class, whether it ends a sentence and has a core."""
+    kind, core, ends = _classes(word)
+    return xxhash.xxh64_intdigest(core.encode()), kind | ends << 2 | bool(core) << 3
+
+
+def _tokens(texts: pa.Array, classes: Memo):
+    """Plain tokens, template tokens, slot flags and text numbers of all words with a core.
+    `classes` remembers words met before."""
+    at, words, counts = word_codes(texts)
+    known = [classes[w] for w in words] or [(0, 0)]
+    doc = np.repeat(np.arange(len(counts)), counts)
+    plain = np.array([h for h, _ in known], np.uint64)[at]
+    flags = np.array([f for _, f in known])[at]
+    kind, ends, full = flags & 3, (flags & 4) > 0, (flags & 8) > 0
     if len(at):
         opens = np.ones(len(at), bool)
         opens[1:] = (doc[1:] != doc[:-1]) | ends[:-1]
@@ -98,9 +103,10 @@ def _windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None
     one width for each text, WINDOW or its length if shorter (the benchmark's side).
     `known` (sorted hashes) leaves out windows that can meet nothing."""
     def run(batches):
+        classes = Memo(_classed)
         for batch in _pieces(batches):
             ids = batch.column(0)
-            plain, template, slot, doc = _tokens(batch.column(1))
+            plain, template, slot, doc = _tokens(batch.column(1), classes)
             lengths = np.bincount(doc, minlength=batch.num_rows) if len(doc) else np.zeros(batch.num_rows, int)
             found = []
             for width in widths or sorted({min(WINDOW, n) for n in lengths.tolist() if n}):
@@ -133,7 +139,7 @@ def _windows(rows: DataFrame, widths: list[int] | None, known: np.ndarray | None
 def _widths(items: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            *_, doc = _tokens(batch.column(1))
+            *_, doc = _tokens(batch.column(1), Memo(_classed))
             n = np.bincount(doc, minlength=batch.num_rows) if len(doc) else np.zeros(batch.num_rows, int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["item_id", "tokens"])
 
@@ -177,14 +183,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least_share: float = LEAST_S
     then emit only windows that can meet; beyond it all windows are shuffled to the same
     join. Starts small jobs on the benchmark when called.
     """
-    sides = items.select(F.col("item_id").cast("long").alias("item_id"), text_bytes().alias("t"))
+    sides = items.select(F.col("item_id").cast("long").alias("item_id"), texts_or_empty().alias("t"))
     lengths = _widths(sides).groupBy("item_id").agg(F.max("tokens").alias("tokens"))
     bench = _windows(sides, None, None)
     widths = [r[0] for r in lengths.where("tokens > 0").select(
         F.least(F.col("tokens"), F.lit(WINDOW)).alias("w")).distinct().orderBy("w").collect()]   # WINDOW at most
     hashes = bench.select("h").distinct().limit(SENT_HASHES + 1).collect()
     known = np.sort(np.array([r[0] for r in hashes], np.int64)) if len(hashes) <= SENT_HASHES else None
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts_or_empty().alias("t"))
     mine = bench.select("h", F.col("id").alias("item_id"), F.col("pos").alias("b"), F.col("slots").alias("b_slots"))
     theirs = _windows(texts, widths or [WINDOW], known).select(
         "h", F.col("id").alias("doc_id"), F.col("pos").alias("d"), F.col("slots").alias("d_slots"))

@@ -16,6 +16,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_ROUNDS = 60   # of star contraction; 2^60 nodes in a chain would need more
 
 
+class Memo(dict):
+    """What a function gives for words it has seen, kept until there are many."""
+
+    MOST = 300_000
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word):
+        if len(self) >= self.MOST:
+            self.clear()
+        value = self[word] = self.function(word)
+        return value
+
+
+def texts_or_empty(name: str = "text") -> Column:
+    """A text; null counts as empty."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string").cast("binary"), F.lit(b""))
