@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import stored, text_bytes
+from sentrymill.llm.blocks import word_codes
+from sentrymill.llm.common import Memo, stored, texts_or_empty
 
 ROWS = 1 << 13          # buckets of words; fixed, whatever the vocabulary
 WIDTH = 32              # of index and context vectors
@@ -52,23 +53,23 @@ def _shape(word: bytes) -> bytes:
     return f"\0{kind}{marks}".encode()
 
 
-def _buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pair(word: bytes) -> int:
+    """Bucket of a word and bucket of its shape, as one number."""
+    return zlib.crc32(word.lower()) % ROWS * ROWS + zlib.crc32(_shape(word)) % ROWS
+
+
+def _buckets(texts: pa.Array, pairs: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word buckets and shape buckets of all words of `texts` in order, and the number of
-    words in each text. Hashes are worked out once for each distinct word of the batch."""
-    split = [t.split() for t in texts.to_pylist()]
-    counts = np.array([len(w) for w in split], np.int64)
-    words = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
-    known = words.dictionary.to_pylist()
-    of_word = np.array([zlib.crc32(w.lower()) % ROWS for w in known] or [0], np.int64)
-    of_shape = np.array([zlib.crc32(_shape(w)) % ROWS for w in known] or [0], np.int64)
-    at = words.indices.to_numpy(zero_copy_only=False)
-    return of_word[at], of_shape[at], counts
+    words in each text. `pairs` remembers the buckets of words met before."""
+    at, known, counts = word_codes(texts)
+    both = np.array([pairs[w] for w in known] or [0], np.int64)[at]
+    return both // ROWS, both % ROWS, counts
 
 
 def _pieces(batches):
-    """Batches cut so that each piece has few million bytes of text, or one text."""
+    """Batches cut so that each piece has about a million bytes of text, or one text."""
     for batch in batches:
-        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // (4 << 20)
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // (1 << 20)
         cuts = np.flatnonzero(np.diff(sizes)) + 1 if len(sizes) else []
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             if end > start:
@@ -84,10 +85,11 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     index = index_vectors()
 
     def run(batches):
+        pairs = Memo(_pair)
         total = np.zeros((ROWS, WIDTH), np.float64)
         met = False
         for batch in _pieces(batches):
-            words, shapes, counts = _buckets(batch.column(1))
+            words, shapes, counts = _buckets(batch.column(1), pairs)
             if not len(words):
                 continue
             met = True
@@ -106,7 +108,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 [pa.array(rows), pa.array(total[rows].astype(np.int64).tolist(), pa.list_(pa.int64()))],
                 ["bucket", "v"])
 
-    parts = docs.select(F.lit(0).alias("k"), text_bytes().alias("t")).mapInArrow(
+    parts = docs.select(F.lit(0).alias("k"), texts_or_empty().alias("t")).mapInArrow(
         run, "bucket long, v array<bigint>")
     summed = parts.groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH)])
     out = np.zeros((ROWS, WIDTH))
@@ -122,8 +124,9 @@ def features(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
     table = np.hstack([contexts / np.maximum(norms, 1), index / np.sqrt(NONZERO)]).astype(np.float32)
 
     def run(batches):
+        pairs_of = Memo(_pair)
         for batch in _pieces(batches):
-            words, shapes, counts = _buckets(batch.column(1))
+            words, shapes, counts = _buckets(batch.column(1), pairs_of)
             n, ends = len(counts), np.cumsum(counts)
             doc = np.repeat(np.arange(n), counts)
             x = np.zeros((n, FEATURES), np.float32)
@@ -143,7 +146,7 @@ def features(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(x.tolist(), pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts_or_empty().alias("t")).mapInArrow(
         run, "doc_id long, x array<float>")
 
 
