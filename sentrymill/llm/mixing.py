@@ -7,7 +7,8 @@ documents and the number of words taken, until each is 0 or 1: three documents a
 since three unknowns under two constraints leave one direction to move in. Each chunk of
 a source does so on its own and hands on the at most two documents it could not settle;
 those of many chunks meet in a next chunk, and the last dozen of a source are landed on
-the choice nearest to its target.
+the choice nearest to its target. Each source ends at the level where it is down to one
+chunk, whatever the others hold.
 """
 
 from __future__ import annotations
@@ -105,15 +106,18 @@ def land(chance: list[float], size: list[int], held: list[int]) -> None:
         chance[j] = float(x)
 
 
-_ROW = "k long, chunk long, seq long, doc_id long, sub long, size long, chance double"
+_ROW = "k long, chunks long, chunk long, seq long, doc_id long, sub long, size long, chance double"
 
 
-def _settle(level: int, last: bool):
+def _settle(level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["seq", "doc_id", "sub", "size"], kind="stable", na_position="last").reset_index(drop=True)
         chance, size = rows["chance"].tolist(), rows["size"].tolist()
-        held = flight(chance, size, random.Random(f"{key[0]} {key[1]} {level}"), SPARE if last else 0)
-        if last:
+        # the chunks of a source share the dozen; from a dozen on, each leaves enough itself
+        chunks = int(rows["chunks"].iloc[0])
+        spare = -(-SPARE // chunks) if chunks < SPARE else 0
+        held = flight(chance, size, random.Random(f"{key[0]} {key[1]} {level}"), spare)
+        if chunks == 1:
             land(chance, size, held)
         rows["chance"] = chance
         return rows
@@ -137,19 +141,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFram
         sized.join(goals, sized["source"].eqNullSafe(goals["source"]))
         .withColumn("seq", F.xxhash64("doc_id", "sub"))
         .withColumn("chance", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
-        .withColumn("chunk", F.expr(f"pmod(seq, greatest(1, ceil(docs / {CHUNK}L)))"))
+        .withColumn("chunks", F.expr(f"greatest(1, ceil(docs / {CHUNK}L))"))
+        .withColumn("chunk", F.expr("pmod(seq, chunks)"))
         .select(*[c.split()[0] for c in _ROW.split(", ")])
     )
     chunks, level, done = -(-(goals.agg(F.max("docs")).first()[0] or 0) // CHUNK), 0, []
     while True:
-        last = chunks <= 1
-        now = stored(rows.groupBy("k", "chunk").applyInPandas(_settle(level, last), _ROW))
+        now = stored(rows.groupBy("k", "chunk").applyInPandas(_settle(level), _ROW))
         unsettled = F.col("chance").between(_EPS, 1 - _EPS)
         done.append(now.where(~unsettled))
-        if last:
+        if chunks <= 1:
             break
-        # two at most come from each chunk, so CHUNK / 2 chunks meet in one
-        rows = now.where(unsettled).withColumn("chunk", F.expr(f"chunk div {CHUNK // 2}L"))
+        # two at most come from each of many chunks, so CHUNK / 2 chunks meet in one;
+        # sources of one chunk are settled and have no rows here
+        rows = now.where(unsettled).withColumn("chunk", F.expr(f"chunk div {CHUNK // 2}L")).withColumn(
+            "chunks", F.expr(f"ceil(chunks / {CHUNK // 2}L)"))
         chunks, level = -(-chunks // (CHUNK // 2)), level + 1
     settled = done[0]
     for more in done[1:]:

@@ -49,6 +49,21 @@ def test_words_taken(sample, monkeypatch, chunk):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_small_sources_beside_a_large_one(make_docs):
+    rng = random.Random(11)
+    counts = {"big": 1300, **{f"s{i:02d}": n for i, n in enumerate([12, 30, 50, 200, 900] * 3)}}
+    rows = [(i, "w " * max(1, int(rng.lognormvariate(3.5, 0.8))), s)
+            for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    taken, goal = {}, {}
+    source = {i: s for i, _, s in rows}
+    weights = [2000 if s == "big" else n for s, n in sorted(counts.items())]
+    for r in mixing.mix(make_docs(rows), weights).collect():
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+        goal[source[r.doc_id]] = r.target
+    off = {s: abs(taken[s] - goal[s]) / goal[s] for s in counts}
+    assert max(off.values()) < 0.02, off
+
+
 def test_flight_keeps_the_totals():
     rng = random.Random(1)
     size = [rng.randint(1, 5000) for _ in range(500)]
