@@ -63,6 +63,10 @@ RULES = (
 # Every known sentence holds one of these, so a text without any holds no known sentence.
 STEMS = ("licens", "permission", "redistribut", "warrant")
 BREAK = r"([.!?;:])[\x20\x09-\x0D]+"
+_MOST_WORDS = max(len(s.split()) for s in SENTENCES.values())
+_MOST_CHARS = max(map(len, SENTENCES.values()))
+# A piece that a known sentence can begin with: its first word, alone or with its second.
+_OPENING = "^(" + "|".join(sorted({f"{a}( {b}( |$)|$)" for a, b in (s.split()[:2] for s in SENTENCES.values())})) + ")"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,27 +79,38 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
-def _joined(pieces: Column, n: int) -> Column:
-    """Every `n` pieces in a row with the place of the first."""
-    rows = F.transform(pieces, lambda _, i: F.struct(
-        i.alias("pos"), F.array_join(F.slice(pieces, i + 1, F.lit(n)), " ").alias("sentence")))
-    return F.filter(rows, lambda s: s["pos"] + n <= F.size(pieces))
+def _found(pieces: Column, first: Column) -> Column:
+    """The known sentences that begin with piece `first` (its place) and end with it or a
+    later one, however many pieces that takes.
+
+    A piece has one word at least, so as many pieces as the longest sentence has words are
+    enough. A piece longer than every sentence ends in none: its head stands for it.
+    """
+    near = F.transform(F.slice(pieces, first + 1, F.lit(_MOST_WORDS)), lambda p: F.substring(p, 1, _MOST_CHARS + 1))
+
+    def begun(marked: Column) -> Column:
+        flat = F.translate(marked, "\n", " ")
+        return F.array_compact(F.array(*[
+            F.when(F.startswith(flat, F.lit(s + " ")) & (F.substring(marked, len(s) + 1, 1) == "\n"),
+                   F.struct(first.alias("pos"), F.lit(s).alias("sentence")))
+            for s in SENTENCES.values()]))
+
+    return _let(F.concat(F.array_join(near, "\n"), F.lit("\n")), begun)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """Rows with known sentences: `doc_id` and `known`, their places and plain forms.
 
     A text is cut at line feeds and after `. ! ? ; :` before a space. A full stop inside
-    a version number is no end, as no space follows it. Pieces between two cuts that are
-    one known sentence only together (a notice wrapped over lines) are offered joined:
-    two and three in a row.
+    a version number is no end, as no space follows it. Pieces that are one known sentence
+    only together (a notice wrapped over lines) count joined, however many they are.
     """
     cut = F.split(F.regexp_replace("text", BREAK, "$1\n"), "\n")
     pieces = F.filter(F.transform(cut, plain), lambda p: p != "")
 
     def known(held: Column) -> Column:
-        offered = F.concat(*[_joined(held, n) for n in (1, 2, 3)])
-        return F.filter(offered, lambda s: s["sentence"].isin(list(SENTENCES.values())))
+        at = F.transform(held, lambda p, i: F.when(p.rlike(_OPENING), i))
+        return F.flatten(F.transform(F.array_compact(at), lambda i: _found(held, i)))
 
     # A filter on the result is moved ahead of the projection with all that it names, so
     # the pieces are bound to a variable: else they would be cut anew for every piece.
@@ -121,7 +136,7 @@ def recognise(docs: DataFrame) -> DataFrame:
         "known", lambda s: F.struct(s["pos"].alias("pos"), F.element_at(ids, s["sentence"]).alias("id")))))
     found = ordered.select(
         "doc_id", F.size("known").cast("long").alias("n_sentences"),
-        F.col("known")[0]["pos"].cast("long").alias("first_pos"),
+        F.get("known", F.lit(0))["pos"].cast("long").alias("first_pos"),
         F.array_join(F.transform("known", lambda s: s["id"]), ",").alias("sequence"))
     stated = F.array_distinct(F.transform(
         F.filter(rules, lambda r: F.rlike("sequence", r["pattern"])), lambda r: r["licence"]))

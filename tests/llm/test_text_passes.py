@@ -126,6 +126,46 @@ def test_licences(make_docs, odd_rows):
     assert all(re.sub("[^a-z0-9]+", " ", s).strip() == s for s in licenses.SENTENCES.values())
 
 
+def test_licences_at_their_usual_width(make_docs):
+    mit = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+    rows = [
+        (1, mit), (2, gpl), (3, mit.replace(" ", "\n")), (4, mit.replace("merge", "merge files")),
+        (5, mit.replace("Permission is", "All permission is")),      # does not begin with a piece
+        (6, mit.replace("NONINFRINGEMENT.", "NONINFRINGEMENT of rights.")),  # does not end with one
+        (7, "the\n" * 2000 + gpl + "\nthis " + "x" * 50_000),
+    ]
+    got = {r.doc_id: (r.licence, r.sequence) for r in licenses.recognise(make_docs(rows)).collect()}
+    whole = "mit_grant,mit_grant_and_notice,mit_notice,as_is"
+    assert got == {1: ("MIT", whole), 2: ("GPL-3.0", "gpl_redistribute,gpl_no_warranty"), 3: ("MIT", whole),
+                   7: ("GPL-3.0", "gpl_redistribute,gpl_no_warranty")}
+
+
 def test_native_operators_run_no_python(make_docs, odd_rows, sample):
     from sentrymill.llm import preference
     turns = sample("conversations")
