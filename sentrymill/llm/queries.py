@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill.llm import (
-    backoff, benchmark, lattice, licenses, lines, mixing, preference, quality, recompress, simhash,
+    audit, backoff, benchmark, lattice, licenses, lines, manifest, mixing, packing, preference, quality, recompress,
+    simhash,
 )
 
 QUERIES = {}
@@ -173,3 +174,91 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(k, 0)::BIGINT AS n_b
 def _(spark, d):
     return backoff.score(table(spark, d, "documents")).withColumn("log_score", F.round("log_score", 4)).withColumn(
         "mean_log", F.round("mean_log", 6))
+
+
+_LETTERS = ", ".join(f"({i}, '{letter}')" for i, letter in enumerate(audit.FILTERS))
+
+
+@query("op11_filter_audit", rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < {audit.LEAST_WORDS})::INT
+  + 2 * (100 * len(list_distinct(w)) < {audit.LEAST_DISTINCT} * len(w))::INT
+  + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > {audit.MOST_CAPITALS} * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+v(i, name) AS (VALUES {_LETTERS}),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o, a.name || b.name || c.name || d.name || e.name AS filter_order
+  FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, step, o[step] AS which, (1 << o[step])::INT AS bit,
+  coalesce(list_sum(list_transform(o[1:step - 1], lambda x: 1 << x)), 0)::INT AS prior
+  FROM p, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, which, bit,
+  sum(CASE WHEN mask & (prior | bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & prior <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, which, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, which))::BIGINT AS shapley FROM r""")
+def _(spark, d):
+    return audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op12_packing")
+def _(spark, d):
+    from public_tokenizers import path
+
+    return packing.pack(table(spark, d, "documents"), path("byte_bpe_50k.json"), ids=False)
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+             for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+_BIT = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+_BYTE = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: %s)" % _BIT
+_CRC = ("xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform("
+        "string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: %s))" % _BYTE)
+
+
+@query("op13_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+  CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS claim FROM documents),
+t AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, n
+  FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)),
+x AS (SELECT doc_id, leaf, claim, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM d JOIN t ON d.lang IS NOT DISTINCT FROM t.lang),
+up AS (SELECT tree, 0 AS level, idx, leaf AS h, n FROM x
+  UNION ALL SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2
+  FROM up WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+sub AS (SELECT tree, h FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, tree AS idx, h, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2
+  FROM top WHERE n > 1 GROUP BY level, idx // 2, n),
+q AS (SELECT tree, idx, 0 AS step, idx AS pos, tree AS over, false AS above, n, ''::VARCHAR AS proof,
+    coalesce(claim, leaf) AS fold FROM x
+  UNION ALL SELECT q.tree, q.idx, step + 1, CASE WHEN q.n = 1 THEN over ELSE pos // 2 END, over, above OR q.n = 1,
+    CASE WHEN q.n = 1 THEN (SELECT count(*) FROM sub) ELSE (q.n + 1) // 2 END,
+    CASE WHEN q.n = 1 THEN proof ELSE proof || coalesce(u.h, p.h, '') END,
+    CASE WHEN q.n = 1 THEN fold WHEN pos & 1 = 1 THEN sha256(coalesce(u.h, p.h, '') || fold)
+         ELSE sha256(fold || coalesce(u.h, p.h, '')) END
+  FROM q LEFT JOIN up u ON NOT above AND u.tree = q.tree AND u.n = q.n AND u.idx = xor(pos, 1)
+  LEFT JOIN top p ON above AND p.n = q.n AND p.idx = xor(pos, 1)
+  WHERE NOT (above AND q.n = 1)),
+e AS (SELECT tree, idx, proof, fold FROM q WHERE above AND n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = top.h AS verified
+FROM x JOIN e USING (tree, idx) JOIN sub USING (tree) JOIN top ON top.n = 1""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = F.when(seventh, manifest.leaf_hash("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    return manifest.proofs(manifest.build(docs, claim=claim)).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
