@@ -205,7 +205,7 @@ def interactions(counts: DataFrame, letters: str = FILTERS) -> DataFrame:
     """
     names = _REPORT.replace(",", "").split()[::2]
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         held = {int(m): (int(n), int(g), int(t)) for m, n, g, t in
                 zip(group["mask"], group["n"], group["good"], group["toxic"])}
         return pd.DataFrame([(key[0], *row) for row in part_report(held, letters)], columns=names)

@@ -12,6 +12,7 @@ their sequence and place by length and rank.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from typing import NamedTuple
@@ -22,73 +23,69 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import spread_join, stored, texts_or_empty
+from sentrymill.llm.common import Memo, spread_join, stored, texts_or_empty
 from sentrymill.llm.quality import _pieces
 
 CAPACITY = 1024
 END_ID = 2
-SLACKS = (0, 32, CAPACITY)
-MOST_WORDS = 400_000          # remembered by a task, and the bytes of their text and ids
-MOST_BYTES = 1 << 25
-_JOINED = 4096                # unknown words encoded in one go
-# Unicode white space as fixed values. A run of it always opens a new unit of the tokenizer's
-# byte-level rule, so a text can be cut before each run and the ids put side by side.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_OPENS = re.compile(f"[{SPACE}]")
+SLACKS = (0, 32, CAPACITY)    # of gaps, see plan()
+# Unicode white space and ASCII punctuation as fixed values. The tokenizer's byte-level rule
+# always opens a new unit where a run of white space begins, and where punctuation follows a
+# letter or digit, so a text can be cut there and the ids put side by side.
+SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+MARKS = "!-/:-@\\[-`{-~"
+LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
+_CLOSED = f"(?![^{MARKS}{SPACE}])"
+_UNIT = re.compile(
+    f" ?[{LETTERS}]+{_CLOSED}|\\n(?=[^{SPACE}])|[{SPACE}]*[0-9{LETTERS}]+{_CLOSED}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_WORD = re.compile(f" ?[{LETTERS}]+")
+MOST_UNITS = 500_000          # remembered by a task, none longer than this:
+MOST_LETTERS = 64
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
+class _Units(Memo):
+    MOST = MOST_UNITS
+
+    def __missing__(self, unit):
+        return super().__missing__(unit) if len(unit) <= MOST_LETTERS else self.function(unit)
+
+
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, by a byte-level vocabulary of
     `tokenizers`; units that came before are remembered."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        held = self.tokenizer.get_vocab()
-        self.width = np.zeros(max(held.values()) + 1, np.int64)
-        for token, at in held.items():     # a character stands for a byte
-            self.width[at] = len(token)
+        self.model = self.tokenizer.model
+        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, named))) if named else None
-        self.known: dict[str, bytes] = {}
-        self.bytes = 0
+        self.known = _Units(self.unit)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _keep(self, unit: str, ids: bytes) -> None:
-        self.known[unit] = ids
-        self.bytes += len(unit) + len(ids)
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode unknown units, many side by side; ids are told apart by their bytes."""
-        opening = []
-        for unit in units:
-            if _OPENS.match(unit):
-                opening.append(unit)
-            else:                          # only the first unit of a text
-                self._keep(unit, self.whole(unit))
-        for i in range(0, len(opening), _JOINED):
-            some = opening[i:i + _JOINED]
-            raw = self.whole("".join(some))
-            ends = np.cumsum(self.width[np.frombuffer(raw, "<u4")])
-            stops = np.cumsum([len(unit.encode()) for unit in some])
-            at = 4 * (np.searchsorted(ends, stops) + 1)
-            for unit, low, high in zip(some, [0, *at.tolist()], at.tolist()):
-                self._keep(unit, raw[low:high])
+        return _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def unit(self, unit: str) -> bytes:
+        if _WORD.fullmatch(unit):          # one unit of the tokenizer: straight to its merges
+            spelt = unit.replace(" ", "\u0120") if unit.isascii() else self.spell(unit)[0][0]
+            return _raw([t.id for t in self.model.tokenize(spelt)])
+        return self.whole(unit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MOST_WORDS or self.bytes > MOST_BYTES:
-            self.known, self.bytes = {}, 0
-        plain = [not (self.special and self.special.search(text)) for text in texts]
-        units = [_UNIT.findall(text) if fine else [] for text, fine in zip(texts, plain)]
-        self._learn(list(set().union(*units).difference(self.known)) if units else [])
-        known = self.known
-        return [b"".join([known[u] for u in own]) if fine else self.whole(text)
-                for text, own, fine in zip(texts, units, plain)]
+        known, out = self.known, []
+        for text in texts:
+            if self.special and self.special.search(text):
+                out.append(self.whole(text))
+            else:
+                out.append(b"".join([known[u] for u in _UNIT.findall(text)]))
+        return out
 
 
 def cuts(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
