@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
+from sentrymill import schemas as S
+from sentrymill.functions.scoring import risk_level
 from sentrymill.functions.text import as_json, fill, iso_utc, present
 from sentrymill.operators.intake import check_range, new_keys_only
 from sentrymill.operators.skew import lookup_join
@@ -167,8 +169,6 @@ def list_blocked(blocked: DataFrame, limit: int = D.BLOCKED_PAGE) -> DataFrame:
 def candidates(alerts: DataFrame, policy: str = "reference") -> DataFrame:
     """Playbooks the default rules call for: a Malicious verdict is blocked, a Critical
     level escalated, a High level notified. One row per alert and rule met."""
-    from sentrymill.functions.scoring import risk_level
-
     level = risk_level(F.coalesce("risk_score", F.lit(0.0)), policy)
     met = F.array_compact(F.array(
         F.when(F.col("threat_verdict") == "Malicious", "block_ip"),
@@ -179,3 +179,58 @@ def candidates(alerts: DataFrame, policy: str = "reference") -> DataFrame:
         "id", "alert_id", "source_ip", "threat_verdict", "risk_score",
         level.alias("risk_level"), F.explode(met).alias("playbook_name"),
     )
+
+
+SCORE_BIN = 5      # width of the score ranges that alerts and rules are joined by
+_ANY_OTHER = "*"   # an alert whose verdict is none of the known ones
+
+
+def default_rules(spark: SparkSession) -> DataFrame:
+    """The rules of candidates() as a rule table."""
+    return spark.createDataFrame(
+        [(1, 1, None, None, "Malicious", None, "block_ip"), (2, 2, None, None, None, "Critical", "escalate"),
+         (3, 3, None, None, None, "High", "notify_soc")], S.RULES)
+
+
+def _bin(score: Column) -> Column:
+    """The range a score falls in; what lies outside 0 to 100 has a range on either side."""
+    return F.floor(F.least(F.greatest(score, F.lit(-1.0)), F.lit(101.0)) / SCORE_BIN).cast("int")
+
+
+def rule_matches(alerts: DataFrame, rules: DataFrame, policy: str = "reference") -> DataFrame:
+    """One row per alert and rule it meets: `id`, `alert_id`, `rule_id`, `priority`,
+    `playbook_name`.
+
+    A rule (rule_id, priority, min_score, max_score, verdict, level, playbook_name) is met
+    by alerts whose score lies within its bounds, both included, and which have its verdict
+    and level; a NULL asks for nothing. A missing score counts as 0. Rules are laid out by
+    verdict and score range, so that alerts meet them in an equi-join; a rule table grows
+    to at most (verdicts + 1) * 23 rows for each rule, alerts do not grow.
+    """
+    score = F.coalesce("risk_score", F.lit(0.0))
+    known = F.col("threat_verdict").isin(D.VERDICTS)
+    facts = alerts.select(
+        "id", "alert_id", score.alias("_score"), risk_level(score, policy).alias("_level"),
+        F.when(known, F.col("threat_verdict")).otherwise(_ANY_OTHER).alias("_verdict"), _bin(score).alias("_bin"))
+    wide = rules.select(
+        "rule_id", "priority", "playbook_name", "min_score", "max_score", "level",
+        F.explode(F.when(F.col("verdict").isNull(), F.array(*map(F.lit, [*D.VERDICTS, _ANY_OTHER])))
+                  .otherwise(F.array("verdict"))).alias("_verdict"),
+        _bin(F.coalesce("min_score", F.lit(-1.0))).alias("_low"), _bin(F.coalesce("max_score", F.lit(101.0))).alias("_high"),
+    ).where("_low <= _high").withColumn("_bin", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    met = (
+        (F.col("level").isNull() | (F.col("level") == F.col("_level")))
+        & F.coalesce(F.col("_score") >= F.col("min_score"), F.lit(True))
+        & F.coalesce(F.col("_score") <= F.col("max_score"), F.lit(True))
+    )
+    return facts.join(wide.hint("rebalance"), ["_verdict", "_bin"]).where(met).select(
+        "id", "alert_id", "rule_id", "priority", "playbook_name")
+
+
+def rule_candidates(alerts: DataFrame, rules: DataFrame, policy: str = "reference") -> DataFrame:
+    """Playbooks the rules call for: one row per alert and playbook, with the rule of the
+    least priority that asks for it (equal ones: the least rule_id) and how many do."""
+    met = rule_matches(alerts, rules, policy)
+    return met.groupBy("id", "alert_id", "playbook_name").agg(
+        F.min(F.struct("priority", "rule_id")).alias("_r"), F.count("*").alias("rules_met"),
+    ).select("id", "alert_id", "playbook_name", "_r.priority", "_r.rule_id", "rules_met")

@@ -9,7 +9,7 @@ from sentrymill import domains as D
 from sentrymill import schemas as S
 from sentrymill.functions import scoring
 from sentrymill.functions.text import as_json
-from sentrymill.operators.skew import lookup_join
+from sentrymill.operators.skew import lookup_join, sliced_last
 from sentrymill.session import cut_lineage
 
 
@@ -84,6 +84,48 @@ def lookup_abuse(alerts: DataFrame, abuse: DataFrame) -> DataFrame:
     return lookup_join(alerts, feed, ["source_ip"])
 
 
+def abuse_as_of(alerts: DataFrame, abuse: DataFrame, days: int = D.LOOKBACK_DAYS) -> DataFrame:
+    """`alerts` with `abuse`: the newest reputation row of its address that was there when
+    the alert came, if not older than `days` days then. Of rows with one time the largest
+    counts; a row of the alert's own time does.
+
+    Alerts and feed rows are put in one order by address and time, and each alert takes the
+    last feed row ahead of it, so an address costs one sort however many rows it has on both
+    sides; heavy addresses are cut by time. Alerts without address or time get none.
+    """
+    report, known = _abuse_row(), F.col("source_ip").isNotNull() & F.col("created_at").isNotNull()
+    row = F.struct(*[F.col(f"`{c}`") for c in alerts.columns])
+    mine = alerts.where(known).select(
+        F.col("source_ip").alias("_key"), F.unix_micros("created_at").alias("_at"), F.lit(1).alias("_kind"), row.alias("_row"))
+    theirs = abuse.where("ip_address is not null and last_reported_at is not null").select(
+        F.col("ip_address").alias("_key"), F.unix_micros("last_reported_at").alias("_at"), F.lit(0).alias("_kind"),
+        report.alias("_report"))
+    both = sliced_last(
+        mine.unionByName(theirs, allowMissingColumns=True), ["_key"], ["_at", "_kind", "_report"], "_at", "_report", "_found")
+    fresh = F.col("_found.last_reported_at") >= F.col("_row.created_at") - F.expr(f"INTERVAL {int(days)} DAYS")
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in alerts.columns]
+    found = both.where("_kind = 1").select(*columns, F.when(fresh, F.col("_found")).alias("abuse"))
+    return found.unionByName(alerts.where(~known), allowMissingColumns=True)
+
+
+def enrich_as_of(
+    alerts: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame, days: int = D.LOOKBACK_DAYS,
+) -> DataFrame:
+    """As enrich(), for a back-fill: reputation as it was known when each alert came. Scan
+    and place rows are the newest of the address, as they have no history."""
+    plain = alerts.drop("threat_verdict", "enrichment_data", "country", "aggregate_confidence")
+    known = lookup_geo(lookup_scan(abuse_as_of(plain, abuse, days), scan), geo).withColumnsRenamed(
+        {"abuse": "abuseipdb", "scan": "virustotal", "geo": "ipinfo"})
+    some = F.expr("abuseipdb is not null or virustotal is not null or ipinfo is not null")
+    return _reported(known).withColumns({
+        "enrichment_data": F.when(some, report_json()),
+        "threat_verdict": F.when(some, F.col("threat_verdict")).otherwise("Unknown"),
+        "abuseipdb_score": F.coalesce("abuseipdb.abuse_confidence_score", F.lit(0)),
+        "vt_malicious": F.coalesce("virustotal.malicious_count", F.lit(0)),
+        "country": F.when(some, F.col("country")),
+    }).select(*plain.columns, "aggregate_confidence", "threat_verdict", "abuseipdb_score", "vt_malicious", "country", "enrichment_data")
+
+
 def lookup_scan(alerts: DataFrame, scan: DataFrame) -> DataFrame:
     feed = scan_feed(scan).select(F.col("ip_address").alias("source_ip"), _scan_row().alias("scan"))
     return lookup_join(alerts, feed, ["source_ip"])
@@ -108,18 +150,21 @@ def reports(ips: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame) -
         .join(g, "source_ip", "left")
         .where("abuseipdb is not null or virustotal is not null or ipinfo is not null")
     )
+    return _reported(known).select("source_ip", *REPORT_FIELDS)
+
+
+def _reported(known: DataFrame) -> DataFrame:
+    """The fields of a report beside the three rows it is made of."""
     confidence = scoring.threat_confidence(
         F.col("abuseipdb.abuse_confidence_score"), F.col("virustotal.malicious_count"),
         F.col("virustotal.total_engines"),
     )
-    return known.withColumn("aggregate_confidence", confidence).select(
-        "source_ip", "abuseipdb", "virustotal", "ipinfo",
-        F.coalesce("ipinfo.country", "abuseipdb.country_code", F.lit("")).alias("country"),
-        F.coalesce("ipinfo.asn", F.lit("")).alias("asn"),
-        F.coalesce("ipinfo.org", "abuseipdb.isp", F.lit("")).alias("org"),
-        "aggregate_confidence",
-        scoring.threat_verdict(F.col("aggregate_confidence")).alias("threat_verdict"),
-    )
+    return known.withColumns({
+        "country": F.coalesce("ipinfo.country", "abuseipdb.country_code", F.lit("")),
+        "asn": F.coalesce("ipinfo.asn", F.lit("")),
+        "org": F.coalesce("ipinfo.org", "abuseipdb.isp", F.lit("")),
+        "aggregate_confidence": confidence,
+    }).withColumn("threat_verdict", scoring.threat_verdict(F.col("aggregate_confidence")))
 
 
 REPORT_FIELDS = [

@@ -9,6 +9,7 @@ from sentrymill import domains as D
 from sentrymill.functions.network import is_ipv4
 from sentrymill.functions.text import one_of, strip
 from sentrymill.operators.skew import lookup_join
+from sentrymill.session import cut_lineage
 
 
 def check_range(name: str, value: int, low: int, high: int | None = None) -> int:
@@ -86,28 +87,42 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("reasons") > 0)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` written out once, each with a number of its own in `_row`, which also tells
+    rows apart that are alike in all columns."""
+    return cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def first_of_ids(good: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The first row of each id of `good` (from numbered()) that is not in `existing`.
+
+    The earliest row wins; equal times are settled by the smallest row. One aggregate that
+    combines on the map side: an id that is sent very often is one row per task.
+    """
+    rest = [c for c in good.columns if c not in ("id", "created_at", "_row")]
+    row = F.min(F.struct("created_at", *rest, "_row")).alias("_r")
+    firsts = good.groupBy("id").agg(row).select("id", "_r.*").select(*good.columns)
+    if existing is None:
+        return firsts
+    return firsts.join(existing.select("id").distinct(), "id", "left_anti")
+
+
+def later_of_ids(good: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of `good` (from numbered()) that are not among `firsts`, with a reason. Rows
+    are compared by their number, so no id gathers in one task."""
+    return good.join(firsts.select("_row"), "_row", "left_anti").drop("_row").withColumn(
+        "reasons", F.array(F.lit("id: already used")))
+
+
 def unique_ids(good: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(first row of each id that is not in `existing`, all other rows with a reason).
 
-    The earliest row wins; equal times are settled by the smallest row. Rows alike in all
-    columns count each: one may stay, the others are refused. Copies are counted before
-    they are compared, so an id sent very often is not gathered in one task.
+    Every row comes out once: rows alike in all columns count each, one may stay and the
+    others are refused. Writes the rows out and starts a job when called.
     """
-    rest = [c for c in good.columns if c != "id"]
-    order = F.struct("created_at", *[c for c in rest if c != "created_at"])
-    kinds = good.groupBy(*good.columns).agg(F.count("*").alias("_n"))
-    firsts = kinds.groupBy("id").agg(F.min(order).alias("_first"))
-    if existing is not None:
-        stored = existing.select("id").distinct().withColumn("_stored", F.lit(True))
-        firsts = firsts.join(stored, "id", "left")
-    else:
-        firsts = firsts.withColumn("_stored", F.lit(None).cast("boolean"))
-    judged = lookup_join(kinds, firsts, ["id"], "inner").withColumn(
-        "_wins", F.col("_stored").isNull() & order.eqNullSafe(F.col("_first")))
-    lost = judged.withColumn("_lost", F.col("_n") - F.col("_wins").cast("long")).where("_lost > 0").withColumn(
-        "_copy", F.explode(F.expr("sequence(1L, _lost)")))
-    return judged.where("_wins").select(*good.columns), lost.select(
-        *good.columns, F.array(F.lit("id: already used")).alias("reasons"))
+    rows = numbered(good)
+    firsts = cut_lineage(first_of_ids(rows, existing))
+    return firsts.drop("_row"), later_of_ids(rows, firsts)
 
 
 def _patch_is_bad() -> Column:
@@ -119,20 +134,36 @@ def _patch_is_bad() -> Column:
     )
 
 
+PATCH_FIELDS = ["alert_type", "severity", "status", "description"]
+
+
+def settled_patches(patches: DataFrame) -> DataFrame:
+    """One row per id: of each field the value that was supplied last, by `ts` and then `seq`
+    (where the table has it), and the last `ts`. Equal order is settled by the larger value.
+
+    Each field is an aggregate of its own over the rows that supply it and combines on the
+    map side, so an id that is patched very often is one row per task in the shuffle.
+    Updates that break a field rule are left out as a whole; see bad_patches.
+    """
+    spelled = patches.where(~_patch_is_bad()).withColumns({
+        "severity": normal_severity(F.col("severity")), "status": normal_status(F.col("status")),
+    })
+    order = ["ts", *(["seq"] if "seq" in patches.columns else [])]
+    last = [
+        F.max(F.when(F.col(f).isNotNull(), F.struct(*order, F.col(f).alias("_v"))))["_v"].alias(f)
+        for f in PATCH_FIELDS
+    ]
+    return spelled.where("id is not null").groupBy("id").agg(*last, F.max("ts").alias("ts"))
+
+
 def merge_patch(alerts: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply partial updates, one per id: a NULL field means "not supplied". Updates
-    that break a field rule are left out; see bad_patches."""
-    fields = ["alert_type", "severity", "status", "description"]
-    offered = patches.where(~_patch_is_bad()).select(
-        "id", F.lit(True).alias("_patched"),
-        F.col("alert_type").alias("_alert_type"),
-        normal_severity(F.col("severity")).alias("_severity"),
-        normal_status(F.col("status")).alias("_status"),
-        F.col("description").alias("_description"),
-        F.col("ts").alias("_ts"),
-    )
-    merged = alerts.join(offered, "id", "left")
-    changed = {f: F.coalesce(f"_{f}", f) for f in fields}
+    """Apply partial updates as if one after another: a NULL field means "not supplied", and
+    of several updates of one alert each field keeps what was supplied last. An alert stays
+    one row however many updates it gets."""
+    offered = settled_patches(patches).select(
+        "id", F.lit(True).alias("_patched"), F.col("ts").alias("_ts"), *[F.col(f).alias(f"_{f}") for f in PATCH_FIELDS])
+    merged = lookup_join(alerts, offered, ["id"])
+    changed = {f: F.coalesce(f"_{f}", f) for f in PATCH_FIELDS}
     changed["updated_at"] = F.when(
         F.col("_patched"), F.greatest("updated_at", "_ts")
     ).otherwise(F.col("updated_at"))

@@ -129,3 +129,28 @@ def sliced_previous(
         .withColumn(name, F.coalesce("_before", "_carried"))
         .select(*df.columns, name)
     )
+
+
+def sliced_last(
+    df: DataFrame, keys: list[str], order: list[str], position: str, value: str, name: str,
+) -> DataFrame:
+    """The last `value` that is not null up to and with each row, per key in `order`, with
+    heavy keys cut as above: the last value of a slice is carried into the slices after it."""
+    heavy = heavy_keys(df, keys)
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if heavy.isEmpty():
+        return df.withColumn(name, F.last(value, True).over(upto(Window.partitionBy(*keys).orderBy(*order))))
+    cut = _sliced(df, keys, position, heavy)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    order_ = F.when(F.col(value).isNotNull(), F.struct(*order))
+    carried = (
+        cut.where("_cut").groupBy(*keys, "_slice").agg(F.max_by(value, order_).alias("_end"))
+        .withColumn("_carried", F.last("_end", True).over(before)).drop("_end")
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return (
+        cut.withColumn("_last", F.last(value, True).over(upto(inside)))
+        .join(F.broadcast(carried), [*keys, "_slice"], "left")
+        .withColumn(name, F.coalesce("_last", "_carried"))
+        .select(*df.columns, name)
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
-from sentrymill.functions.spans import FEW_SPANS, _let, replace_spans
+from sentrymill.functions.spans import _let, replace_spans
 from sentrymill.functions.text import text_map
 from sentrymill.operators.skew import lookup_join, sliced_row_number
 from sentrymill.session import cut_lineage
@@ -18,6 +18,8 @@ from sentrymill.session import cut_lineage
 _PREFIXES = sorted(set(D.TOKEN_PREFIX.values()))
 # A token anywhere in a text, also inside a longer word or number.
 TOKEN_TEXT = "(?:" + "|".join(_PREFIXES) + r")_[0-9]{3,}"
+# A whole run of the characters that tokens consist of, with a token somewhere in it.
+TOKEN_RUN = rf"(?<![A-Z0-9_])(?=[A-Z0-9_]*?{TOKEN_TEXT})[A-Z0-9_]++"
 
 
 def live(tokens: DataFrame, as_of: Column) -> DataFrame:
@@ -154,93 +156,81 @@ def _tokens_in(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, shorter)))
 
 
+def _met(text: Column) -> Column:
+    """_tokens_in(text), without a search for it in most texts."""
+    return F.when(text.rlike(TOKEN_TEXT), _tokens_in(text)).otherwise(F.array().cast("array<string>"))
+
+
+def _put_back(cell: Column, given: Column) -> Column:
+    """(text, used, met) of one run: the tokens of `given` replaced one after another in the
+    text as it then is, the tokens that were there, and all token text met on the way."""
+    def step(done: Column, t: Column) -> Column:
+        def hit(text: Column) -> Column:
+            return F.struct(
+                text.alias("text"), F.concat(done["used"], F.array(t["token"])).alias("used"),
+                F.concat(done["met"], _met(text)).alias("met"))
+
+        return F.when(
+            done["text"].contains(t["token"]), _let(F.replace(done["text"], t["token"], t["value"]), hit)
+        ).otherwise(done)
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(given, F.struct(cell.alias("text"), none.alias("used"), none.alias("met")), step)
+
+
 def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
     """Put the original values back: session_id, text_seq, restored_text, restored_count.
 
-    Tokens apply longest first, those of equal length in the order they were given;
-    the count is of distinct tokens found. Each text meets only the tokens it holds,
-    not the session's whole map. A value that holds token text itself (an e-mail
-    address can) brings those tokens along.
+    One rule for texts of any size: the tokens of the session are replaced one after another
+    in the text as it then is, the longest first, those of equal length in the order they were
+    given. A value that holds token text, and token text that only arises where a value meets
+    its neighbours, is replaced like any other if its turn is still to come. The count is of
+    distinct tokens found.
+
+    A token has only capitals, digits and `_`, so whatever else a text holds stays and parts
+    it into runs that do not touch each other. The different runs of a session are restored
+    once, however often they occur, and put back by position; the work goes with the text, but
+    within one run with its tokens times its length. Tokens met on the way are looked up in
+    further rounds, for the runs that meet a new one only: as many rounds as values are
+    nested in each other. Starts a job for each when called.
     """
-    known = live(tokens, as_of).select(
-        "session_id", "token", "value", "first_seq", "first_start"
-    )
+    known = live(tokens, as_of).select("session_id", "token", "value", "first_seq", "first_start")
     holds = F.coalesce(F.col("text").rlike(TOKEN_TEXT), F.lit(False))
     marked = docs.select("session_id", "text_seq", "text", F.xxhash64("text_seq", "text").alias("_row")).where(holds)
-    wanted = marked.select("session_id", "_row", F.explode(_tokens_in(F.col("text"))).alias("token"))
-    key = ["session_id", "_row", "token"]
-    found = lookup_join(wanted, known, ["session_id", "token"], "inner")
-    nesting = known.where(F.col("value").rlike(TOKEN_TEXT))
-    if not nesting.isEmpty():
-        found = _with_nested(cut_lineage(found), known, key)
+    places = marked.select(
+        "session_id", "_row", F.posexplode(F.regexp_extract_all("text", F.lit(f"({TOKEN_RUN})"), F.lit(1))).alias("pos", "cell"))
+    cells = places.where("session_id is not null").select("session_id", "cell").distinct()
+    columns = ["session_id", "cell", "token", "value", "first_seq", "first_start"]
+    wanted = cells.select("session_id", "cell", F.explode(_tokens_in(F.col("cell"))).alias("token"))
+    found = cut_lineage(lookup_join(wanted, known, ["session_id", "token"], "inner").select(*columns))
     order = F.struct(
-        (-F.length("token")).alias("size"), "first_seq", (-F.col("first_start")).alias("back"),
-        "token", "value",
-    )
-    per_doc = found.groupBy("session_id", "_row").agg(
-        F.array_sort(F.collect_set(order)).alias("_tokens")
-    )
-
-    def at_once() -> Column:
-        """Many tokens, none inside a value: cut the text at token text once and look each
-        piece up, the longest known token at its beginning first."""
-        by_token = F.map_from_entries(F.transform(
-            "_tokens", lambda t: F.struct(t["token"].alias("key"), t["value"].alias("value"))))
-
-        def longest(match: Column) -> Column:
-            ends = F.reverse(F.sequence(F.instr(match, "_") + 3, F.length(match)))
-            forms = F.transform(ends, lambda n: F.substring(match, F.lit(1), n))
-            return F.get(F.filter(forms, lambda f: F.map_contains_key(by_token, f)), F.lit(0))
-
-        def value(match: Column) -> Column:
-            return _let(longest(match), lambda t: F.when(t.isNull(), match).otherwise(F.concat(
-                F.element_at(by_token, t), F.substring(match, F.length(t) + 1, F.length(match)))))
-
-        gaps = F.split("text", TOKEN_TEXT)
-        matches = F.regexp_extract_all("text", F.lit(f"({TOKEN_TEXT})"), F.lit(1))
-        met = F.size(F.array_distinct(F.filter(F.transform(matches, longest), lambda t: t.isNotNull())))
-        joined = F.array_join(F.zip_with(gaps, matches, lambda g, m: F.concat(
-            F.coalesce(g, F.lit("")), F.coalesce(value(m), F.lit("")))), "")
-        return F.struct(joined.alias("text"), met.alias("n"))
-
-    def put_back(done: Column, t: Column) -> Column:
-        hit = done["text"].contains(t["token"])
-        return F.struct(
-            F.when(hit, F.replace(done["text"], t["token"], t["value"])).otherwise(done["text"])
-            .alias("text"),
-            (done["n"] + F.when(hit, 1).otherwise(0)).alias("n"),
-        )
-
-    start = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))
-    nested = F.exists("_tokens", lambda t: t["value"].rlike(TOKEN_TEXT))
-    many = (F.size("_tokens") > FEW_SPANS) & ~nested
-    done = F.when(many, at_once()).otherwise(F.aggregate("_tokens", start, put_back))
-    back = (
-        marked.join(per_doc, ["session_id", "_row"], "left")
-        .withColumn("_done", F.when(F.col("_tokens").isNotNull(), done))
-        .select(
-            "session_id", "text_seq", F.coalesce("_done.text", "text").alias("restored_text"),
-            F.coalesce("_done.n", F.lit(0)).cast("long").alias("restored_count"),
-        )
+        (-F.length("token")).alias("size"), "first_seq", (-F.col("first_start")).alias("back"), "token", "value")
+    while True:
+        done = found.groupBy("session_id", "cell").agg(F.array_sort(F.collect_set(order)).alias("_given")).select(
+            "session_id", "cell", _put_back(F.col("cell"), F.col("_given")).alias("_done"))
+        more = done.where("size(_done.met) > 0").select(
+            "session_id", "cell", F.explode(F.array_distinct("_done.met")).alias("token"))
+        new = cut_lineage(
+            lookup_join(more, known, ["session_id", "token"], "inner").select(*columns)
+            .join(found, ["session_id", "cell", "token"], "left_anti").select(*columns))
+        if new.isEmpty():
+            break
+        found = cut_lineage(found.unionByName(new))
+    back = lookup_join(places, done, ["session_id", "cell"])
+    piece = F.struct("pos", F.coalesce("_done.text", "cell").alias("text"), F.col("_done.used").alias("used"))
+    per_doc = back.groupBy("session_id", "_row").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
+    joined = F.array_join(F.zip_with(
+        F.split("text", TOKEN_RUN), F.transform("_pieces", lambda p: p["text"]),
+        lambda gap, p: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(p, F.lit("")))), "")
+    used = F.array_distinct(F.flatten(F.filter(F.transform("_pieces", lambda p: p["used"]), lambda u: u.isNotNull())))
+    there = F.col("_pieces").isNotNull()
+    restored = marked.join(per_doc, ["session_id", "_row"], "left").select(
+        "session_id", "text_seq",
+        F.when(there, joined).otherwise(F.col("text")).alias("restored_text"),
+        F.when(there, F.size(used)).otherwise(0).cast("long").alias("restored_count"),
     )
     # Texts without anything like a token stay out of the shuffle.
-    return back.unionAll(docs.where(~holds).select(
+    return restored.unionAll(docs.where(~holds).select(
         "session_id", "text_seq", F.col("text").alias("restored_text"),
         F.lit(0).cast("long").alias("restored_count"),
     ))
-
-
-def _with_nested(found: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
-    """Add the tokens that the values of `found` hold, and theirs, until none is new."""
-    fresh = found
-    while True:
-        inner = fresh.where(F.col("value").rlike(TOKEN_TEXT)).select(
-            "session_id", "_row", F.explode(_tokens_in(F.col("value"))).alias("token")
-        ).distinct()
-        fresh = cut_lineage(
-            lookup_join(inner, known, ["session_id", "token"], "inner")
-            .join(found.select(*key), key, "left_anti").select(*found.columns)
-        )
-        if fresh.isEmpty():
-            return found
-        found = cut_lineage(found.unionByName(fresh))

@@ -1,6 +1,6 @@
 """The registered queries: one or more per operator, each with its oracle SQL.
 
-Every query runs an operator over whole sample tables. Times come out as text, arrays
+Every query runs an operator over whole sample tables. Times come out as text (UTC), arrays
 as joined text and whole numbers as long, so that results compare across engines.
 """
 
@@ -19,6 +19,7 @@ from sentrymill.functions import network, scoring, spans, text
 from sentrymill.operators import (
     actions, alerts, dashboard, enrich, intake, phi, timeline, tokens, usage_log,
 )
+from sentrymill.operators.token_store import TokenStore
 from sentrymill.plans import oracle as O
 from sentrymill.plans.ingest import ingest
 from sentrymill.session import cut_lineage, run_dir
@@ -35,7 +36,7 @@ def show(df: DataFrame) -> DataFrame:
     def plain(field: T.StructField):
         c, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, T.TimestampType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            c = F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(kind, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(kind, T.ArrayType):
@@ -48,11 +49,9 @@ def show(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, oracle: str | None = None):
-    """Register a query; its result goes through show(). The sample times have no zone
-    and are taken as UTC."""
+    """Register a query; its result goes through show()."""
     def keep(build: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return show(build(spark, folder))
 
         QUERIES[name] = run
@@ -63,7 +62,7 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-AS_OF = "2024-02-01 00:00:00"
+AS_OF = "2024-02-01 00:00:00Z"
 
 
 def _as_of():
@@ -226,6 +225,21 @@ def _(spark, d):
     )
 
 
+_LAST = ", ".join(
+    f"arg_max({f}, (ts, seq)) FILTER ({f} IS NOT NULL) AS {f}" for f in ("alert_type", "severity", "status", "description"))
+
+
+@query("v8_many_patches", O.sql(f"""
+SELECT pa.id, coalesce(p.alert_type, pa.alert_type) AS alert_type, coalesce(p.severity, pa.severity) AS severity,
+  coalesce(p.status, pa.status) AS status, coalesce(p.description, pa.description) AS description,
+  {O.t('coalesce(greatest(p.ts, pa.created_at), pa.created_at)')} AS updated_at
+FROM pa LEFT JOIN (SELECT id, {_LAST}, max(ts) AS ts FROM mpat GROUP BY id) p USING (id)"""))
+def _(spark, d):
+    return intake.merge_patch(V.light_alerts(spark, d), V.many_patches(spark, d)).select(
+        "id", "alert_type", "severity", "status", "description", "updated_at"
+    )
+
+
 @query("v8_bad_patches", O.sql("SELECT id FROM pat WHERE alert_type = 'X' OR severity = 'EXTREME'"))
 def _(spark, d):
     return intake.bad_patches(V.patches(spark, d)).select("id")
@@ -261,6 +275,26 @@ def _(spark, d):
     )
 
 
+@query("v11_page_bounds", O.sql("""
+SELECT id, event_id % 151 - 20 AS value, event_id % 151 - 20 >= 0 AS skip_ok, event_id % 151 - 20 BETWEEN 1 AND 100 AS limit_ok FROM pa"""))
+def _(spark, d):
+    """Every distinct value is put to the bounds as a parameter would be; a refusal is a row."""
+    values = V.table(spark, d, "events").select("event_id", (F.col("event_id") % 151 - 20).alias("value"))
+
+    def accepted(name, value, low, high):
+        try:
+            return intake.check_range(name, value, low, high) == value
+        except ValueError:
+            return False
+
+    asked = [r.value for r in values.select("value").distinct().collect()]      # 151 at most
+    told = spark.createDataFrame(
+        [(v, accepted("skip", v, 0, None), accepted("limit", v, 1, 100)) for v in asked],
+        "value long, skip_ok boolean, limit_ok boolean")
+    return values.join(told.hint("rebalance"), "value").select(
+        (F.col("event_id") + 1).alias("id"), "value", "skip_ok", "limit_ok")
+
+
 # --- threat intelligence ------------------------------------------------------------
 
 @query("e1_abuse_lookup", O.sql("""
@@ -276,20 +310,23 @@ def _(spark, d):
 
 
 @query("e2_scan_lookup", O.sql("""
-SELECT pa.id, malicious_count, suspicious_count, harmless_count, total_engines, asn, country FROM pa LEFT JOIN ti_scan ON ip_address = source_ip"""))
+SELECT pa.id, malicious_count, suspicious_count, harmless_count, undetected_count, total_engines, reputation, network, asn,
+  as_owner, country, regional_internet_registry, last_analysis_date, tags FROM pa LEFT JOIN ti_scan ON ip_address = source_ip"""))
 def _(spark, d):
     _, feed, _ = V.repeated_feeds(spark, d)
     return enrich.lookup_scan(V.plain_alerts(spark, d), feed).select(
-        "id", "scan.malicious_count", "scan.suspicious_count", "scan.harmless_count", "scan.total_engines",
-        "scan.asn", "scan.country",
+        "id", "scan.malicious_count", "scan.suspicious_count", "scan.harmless_count", "scan.undetected_count",
+        "scan.total_engines", "scan.reputation", "scan.network", "scan.asn", "scan.as_owner", "scan.country",
+        "scan.regional_internet_registry", "scan.last_analysis_date", "scan.tags",
     )
 
 
-@query("e3_geo_lookup", O.sql("SELECT pa.id, city, region, country, org, asn FROM pa LEFT JOIN ti_geo ON ip = source_ip"))
+@query("e3_geo_lookup", O.sql("""
+SELECT pa.id, hostname, city, region, country, org, asn, timezone, loc FROM pa LEFT JOIN ti_geo ON ip = source_ip"""))
 def _(spark, d):
     _, _, feed = V.repeated_feeds(spark, d)
     return enrich.lookup_geo(V.plain_alerts(spark, d), feed).select(
-        "id", "geo.city", "geo.region", "geo.country", "geo.org", "geo.asn"
+        "id", "geo.hostname", "geo.city", "geo.region", "geo.country", "geo.org", "geo.asn", "geo.timezone", "geo.loc"
     )
 
 
@@ -298,7 +335,7 @@ SELECT ip_address, CASE WHEN u * 5 % 120 <= 60 THEN abuse_confidence_score ELSE
   CASE WHEN u * 5 % 120 <= 60 THEN 'live' ELSE 'stored' END AS source FROM ti_abuse"""))
 def _(spark, d):
     feed = V.ti_abuse(spark, d)
-    recent = enrich.recent_reports(feed, F.lit("2024-01-31").cast("timestamp"), 60)
+    recent = enrich.recent_reports(feed, F.lit("2024-01-31 00:00:00Z").cast("timestamp"), 60)
     stored = feed.withColumn("abuse_confidence_score", F.lit(0).cast("long"))
     return enrich.prefer(recent, stored, "ip_address", "live", "stored").select(
         "ip_address", "abuse_confidence_score", "source"
@@ -312,6 +349,45 @@ def _(spark, d):
     return enrich.recent_reports(V.ti_abuse(spark, d), _as_of()).select("ip_address", "last_reported_at")
 
 
+_MOVED = """(SELECT * REPLACE (last_reported_at + to_days(o::INTEGER) AS last_reported_at, abuse_confidence_score + o AS abuse_confidence_score)
+  FROM (SELECT *, unnest([0, -30, 400]) AS o FROM ti_abuse))"""
+
+
+def _as_of_sql(feed: str) -> str:
+    return f"""
+FROM (SELECT pa.*, r.ip_address, r.last_reported_at, r.abuse_confidence_score, r.country_code, r.isp FROM pa
+  ASOF LEFT JOIN {feed} r ON pa.source_ip = r.ip_address AND pa.created_at >= r.last_reported_at) x"""
+
+
+_FRESH = "x.last_reported_at >= x.created_at - INTERVAL 90 DAY"
+
+
+@query("e5_as_of", O.sql(f"""
+SELECT id, CASE WHEN {_FRESH} THEN abuse_confidence_score END AS abuse_confidence_score,
+  CASE WHEN {_FRESH} THEN {O.t('x.last_reported_at')} END AS last_reported_at
+{_as_of_sql(_MOVED)}"""))
+def _(spark, d):
+    def moved(days: int):
+        return V.ti_abuse(spark, d).withColumns({
+            "abuse_confidence_score": F.col("abuse_confidence_score") + days,
+            "last_reported_at": F.col("last_reported_at") + F.expr(f"INTERVAL {days} DAYS")})
+
+    return enrich.abuse_as_of(V.plain_alerts(spark, d), moved(0).unionByName(moved(-30)).unionByName(moved(400))).select(
+        "id", "abuse.abuse_confidence_score", "abuse.last_reported_at")
+
+
+@query("e5_enrich_as_of", O.sql(f"""
+SELECT x.id, coalesce(CASE WHEN {_FRESH} THEN x.abuse_confidence_score END, 0) AS abuseipdb_score,
+  coalesce(s.malicious_count, 0) AS vt_malicious,
+  CASE WHEN ({_FRESH}) OR s.ip_address IS NOT NULL OR g.ip IS NOT NULL THEN
+    coalesce(g.country, CASE WHEN {_FRESH} THEN x.country_code END, '') END AS country
+{_as_of_sql("ti_abuse")} LEFT JOIN ti_scan s ON s.ip_address = source_ip LEFT JOIN ti_geo g ON g.ip = source_ip"""))
+def _(spark, d):
+    abuse, scan, geo = V.feeds(spark, d)
+    return enrich.enrich_as_of(V.plain_alerts(spark, d), abuse, scan, geo).select(
+        "id", "abuseipdb_score", "vt_malicious", "country")
+
+
 @query("e6_watchlist", O.sql("SELECT id, source_ip FROM pa WHERE source_ip IN (SELECT ip FROM ips WHERE bad OR u % 9 = 0)"))
 def _(spark, d):
     listed = V.addresses(spark, d).where("bad or u % 9 = 0").selectExpr("ip AS ip_address")
@@ -992,6 +1068,29 @@ def _(spark, d):
     return actions.candidates(V.alerts(spark, d)).select("id", "playbook_name")
 
 
+def _rule_sql() -> str:
+    def value(v) -> str:
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    rows = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in V.RULES)
+    return f"""
+met AS (SELECT a.id, r.rule_id, r.priority, r.playbook_name FROM a JOIN (VALUES {rows}) r(rule_id, priority, min_score, max_score, verdict, level, playbook_name)
+  ON (r.verdict IS NULL OR r.verdict = a.threat_verdict) AND (r.level IS NULL OR r.level = a.risk_level)
+  AND (r.min_score IS NULL OR a.risk_score >= r.min_score::DOUBLE) AND (r.max_score IS NULL OR a.risk_score <= r.max_score::DOUBLE))"""
+
+
+@query("p11_rule_matches", f"WITH {O.VIEWS}, {_rule_sql()} SELECT id, rule_id::BIGINT AS rule_id, priority::BIGINT AS priority, playbook_name FROM met")
+def _(spark, d):
+    return actions.rule_matches(V.alerts(spark, d), V.rules(spark)).drop("alert_id")
+
+
+@query("p11_rule_candidates", f"""WITH {O.VIEWS}, {_rule_sql()}
+SELECT id, playbook_name, min(priority)::BIGINT AS priority, arg_min(rule_id, (priority, rule_id))::BIGINT AS rule_id, count(*) AS rules_met
+FROM met GROUP BY id, playbook_name""")
+def _(spark, d):
+    return actions.rule_candidates(V.alerts(spark, d), V.rules(spark)).drop("alert_id")
+
+
 # --- personal data ------------------------------------------------------------------------------------
 
 def _rule_query(number: int, rule: str) -> None:
@@ -1116,14 +1215,31 @@ def _(spark, d):
     )
 
 
-@query("s7_token_map", O.phi_sql("SELECT session_id, token, value FROM tok WHERE first_seq % 7200 > 1800", tokens=True))
+@query("s7_token_map", O.phi_sql("SELECT session_id, token, value FROM tok WHERE first_seq % 7200 > 600", tokens=True))
 def _(spark, d):
     _, given = tokens.pseudonymize(_detected(spark, d), _as_of())
     path = run_dir(spark, "tokens")
     aged = given.withColumn("expires_at", _as_of() + F.make_interval(secs=F.col("first_seq") % 7200))
     aged.write.mode("append").parquet(path)
     stored = tables.open_or_empty(spark, path, S.TOKENS)
-    return tokens.live(stored, _as_of() + F.expr("INTERVAL 30 MINUTES")).select("session_id", "token", "value")
+    return tokens.live(stored, _as_of() + F.expr("INTERVAL 10 MINUTES")).select("session_id", "token", "value")
+
+
+@query("s7_token_store", O.phi_sql(f"""
+SELECT session_id, value, token, CASE WHEN session_id LIKE 'ward-%' THEN '2024-02-01 01:40:00.000000'
+  ELSE '2024-02-01 02:10:00.000000' END AS expires_at FROM tok t
+WHERE token_no % 2 = 0 OR session_id LIKE 'ward-%' AND EXISTS (
+  SELECT 1 FROM tok o WHERE o.session_id = t.session_id AND o.token_no % 2 = 0)""", tokens=True))
+def _(spark, d):
+    """Three saves of an hour's life: all odd numbers at once, after 40 minutes the even ones
+    of the wards, after 70 those of all others, whose odd ones have gone by then."""
+    _, given = tokens.pseudonymize(_detected(spark, d), _as_of())
+    store, later = TokenStore(spark, run_dir(spark, "tokens"), 16), lambda n: _as_of() + F.expr(f"INTERVAL {n} MINUTES")
+    wards = F.col("session_id").startswith("ward-")
+    store.save(given.where("token_no % 2 = 1"), _as_of())
+    store.save(given.where((F.col("token_no") % 2 == 0) & wards), later(40))
+    store.save(given.where((F.col("token_no") % 2 == 0) & ~wards), later(70))
+    return store.load(later(75)).select("session_id", "value", "token", "expires_at")
 
 
 # --- usage log -----------------------------------------------------------------------------------------
@@ -1154,6 +1270,14 @@ def _landed(df: DataFrame, name: str, by: str) -> str:
     return path
 
 
+def _landed_in_turn(df: DataFrame, name: str, day) -> str:
+    """Rows written as five files, one after another by a day number from 1."""
+    path = run_dir(df.sparkSession, name)
+    for week in range(5):
+        df.where(F.floor((day - 1) / 7) == week).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def _streamed(spark, d) -> str:
     """The intake over several micro-batches: repeats come in later batches than what
     they repeat, up to a month late."""
@@ -1186,10 +1310,11 @@ def _(spark, d):
 
 
 def _windows(spark, d, **options):
-    path = _landed(V.alerts(spark, d), "alerts", "created_at")
+    path = _landed_in_turn(V.alerts(spark, d), "alerts", F.dayofmonth("created_at"))
     out = run_dir(spark, "windows")
     jobs.window_counts_job(
-        spark.readStream.schema(S.ALERTS).parquet(path), out, run_dir(spark, "state"), **options
+        spark.readStream.schema(S.ALERTS).option("maxFilesPerTrigger", 1).parquet(path), out, run_dir(spark, "state"),
+        **options,
     ).awaitTermination()
     return jobs.read_window_counts(spark, out)
 
@@ -1209,13 +1334,27 @@ def _(spark, d):
     return _windows(spark, d, slide="30 minutes")
 
 
+@query("w2_late_counts", O.sql(f"""
+SELECT {O.t("date_trunc('hour', created_at)")} AS "start", severity, risk_level, count(*) AS rows FROM a GROUP BY ALL"""))
+def _(spark, d):
+    """Days in reverse order: nearly every row is late, and each is counted on one side."""
+    path, out = _landed_in_turn(V.alerts(spark, d), "alerts", 31 - F.dayofmonth("created_at")), run_dir(spark, "windows")
+    jobs.window_counts_job(
+        spark.readStream.schema(S.ALERTS).option("maxFilesPerTrigger", 1).parquet(path), out, run_dir(spark, "state"),
+    ).awaitTermination()
+    jobs.compact_windows(spark, out, 1)
+    both = jobs.read_window_counts(spark, out).unionByName(
+        jobs.read_late_counts(spark, out).withColumnRenamed("late", "count"))
+    return both.groupBy("start", "severity", "risk_level").agg(F.sum("count").alias("rows"))
+
+
 @query("w3_block_register", O.sql(f"""
 SELECT ip_address, alert_id, reason, blocked_by, {O.t('blocked_at')} AS blocked_at FROM blk"""))
 def _(spark, d):
     runs = _runs(spark, d)
-    path = _landed(runs, "runs", "executed_at")
+    path = _landed_in_turn(runs, "runs", F.dayofmonth("executed_at"))
     register = run_dir(spark, "register")
-    stream = spark.readStream.schema(runs.schema).parquet(path)
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path)
     jobs.block_register(stream, register, run_dir(spark, "state")).awaitTermination()
     return jobs.read_batches(spark, register, S.BLOCKED_IPS).select(
         "ip_address", "alert_id", "reason", "blocked_by", "blocked_at"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -30,13 +31,14 @@ def score(enriched: DataFrame, override: str | None = None) -> DataFrame:
 
 
 def scored_alerts(
-    good: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame,
+    good: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame, seen: DataFrame | None = None,
 ) -> DataFrame:
-    """Accepted raw alerts, enriched and scored, with their readable ids."""
+    """Accepted raw alerts, enriched and scored, with their readable ids. `seen` may hold a
+    stored table with at least their addresses, where `good` itself is costly to read."""
     named = good.withColumns({
         "alert_id": intake.alert_name(F.col("id")), "updated_at": F.col("created_at"),
     })
-    return score(enrich.enrich(named, abuse, scan, geo))
+    return score(enrich.attach(named, enrich.report_table(named if seen is None else seen, abuse, scan, geo)))
 
 
 def feeds_as_of(
@@ -59,22 +61,29 @@ def feeds_as_of(
 
 def ingest(
     raw: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame, policy: str = "reference",
-    existing: DataFrame | None = None, as_of: Column | None = None, fallback: Feeds | None = None,
+    existing: DataFrame | Callable[[DataFrame], DataFrame] | None = None, as_of: Column | None = None,
+    fallback: Feeds | None = None,
 ) -> Ingested:
     """Raw alerts (id, alert_type, source_ip, severity, status, description, created_at)
     to stored alerts, their three events and the refused rows.
 
     Every row ends up as an alert or as a reject. Rows are validated first; of the good
-    ones the first of each id stays, unless `existing` (with column id) has it. A null
-    severity or status takes the default, whether the field was absent or null. The
-    scored rows are written once, when this is called, and alerts and events are read from
-    them.
+    ones the first of each id stays, unless `existing` (with column id) has it; a function
+    there is given the good rows and gives those of their ids that exist. A null
+    severity or status takes the default, whether the field was absent or null.
+
+    Starts jobs when called: the validated rows are written once, the reports of their
+    addresses once, and the scored rows once; alerts, events and rejects are read from these.
     """
-    checked = intake.validate(raw)
-    first, clashes = intake.unique_ids(intake.accepted(checked), existing)
-    scored = cut_lineage(scored_alerts(first, *feeds_as_of(abuse, scan, geo, as_of, fallback)))
+    checked = intake.numbered(intake.validate(raw))
+    good = intake.accepted(checked)
+    if callable(existing):
+        existing = existing(good.select("id"))
+    scored = cut_lineage(scored_alerts(
+        intake.first_of_ids(good, existing), *feeds_as_of(abuse, scan, geo, as_of, fallback), seen=good))
+    refused = intake.rejected(checked).drop("_row")
     return Ingested(
         scored.select(*S.ALERTS.fieldNames()),
         timeline.lifecycle_events(scored, policy),
-        intake.rejected(checked).unionByName(clashes, allowMissingColumns=True),
+        refused.unionByName(intake.later_of_ids(good, scored), allowMissingColumns=True),
     )

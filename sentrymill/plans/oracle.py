@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from sentrymill import domains as D
 from sentrymill.operators.phi import RULE_NAMES
-from sentrymill.sources.sample_views import CITIES, DOMAINS, LANDS, NETS, OTHER_LANDS
+from sentrymill.sources.sample_views import CITIES, DOMAINS, LANDS, NETS, OTHER_LANDS, REGISTRIES, ZONES
 
 
 def t(column: str) -> str:
@@ -120,11 +120,18 @@ ti_abuse AS (SELECT ip AS ip_address,
   TIMESTAMP '2024-01-31' - to_days((u * 5 % 120)::INTEGER) AS last_reported_at, u, bad FROM ips),
 ti_scan AS (SELECT ip AS ip_address, CASE WHEN bad THEN 24 + u * 5 % 19 ELSE u % 2 END AS malicious_count,
   u % 5 AS suspicious_count, 40 + u % 13 AS harmless_count, 72 AS total_engines,
+  greatest(72 - CASE WHEN bad THEN 24 + u * 5 % 19 ELSE u % 2 END - u % 5 - (40 + u % 13), 0) AS undetected_count,
+  CASE WHEN bad THEN -7 ELSE 7 END * (u % 9) AS reputation, regexp_extract(ip, '^[0-9]+[.][0-9]+') || '.0.0/16' AS network,
+  {_at(NETS, 'u % 3')} AS as_owner, {_at(REGISTRIES, 'u % 3')} AS regional_internet_registry,
+  '2024-01-' || lpad((30 - u % 9)::VARCHAR, 2, '0') || 'T06:00:00+00:00' AS last_analysis_date,
+  CASE WHEN bad THEN 'probe|spam' ELSE '' END AS tags,
   64500 + u AS asn, {_at(LANDS, 'u % 4')} AS country, bad, u FROM ips WHERE u % 11 <> 4),
 ti_geo AS (SELECT ip, {_at(CITIES, 'u % 4')} AS city, 'region ' || (u % 6)::VARCHAR AS region,
   CASE WHEN u % 7 <> 3 THEN {_at([*LANDS, *OTHER_LANDS], 'u % 7')} END AS country,
   CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR || ' ' || {_at(NETS, 'u % 3')} END AS org,
-  CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR ELSE '' END AS asn, u FROM ips),
+  CASE WHEN u % 13 <> 6 THEN 'AS' || (64500 + u)::VARCHAR ELSE '' END AS asn,
+  'host-' || replace(ip, '.', '-') || '.example.net' AS hostname, {_at(ZONES, 'u % 3')} AS timezone,
+  (u % 60)::VARCHAR || '.5,' || (u % 90)::VARCHAR || '.5' AS loc, u FROM ips),
 rep AS (SELECT a.ip_address AS source_ip, a.abuse_confidence_score, a.total_reports, a.usage_type, a.domain,
   s.suspicious_count, g.region, s.malicious_count, s.total_engines,
   s.country AS scan_country, g.city, coalesce(g.country, a.country_code, '') AS country,
@@ -216,6 +223,14 @@ pat AS (SELECT event_id + 1 AS id,
   CASE WHEN event_id % 25 = 0 THEN 'Resolved' END AS status,
   CASE WHEN event_id % 20 = 0 THEN 'patched' END AS description,
   ts + INTERVAL 5 HOUR AS ts FROM events WHERE event_id % 5 = 0),
+mpat AS (
+  SELECT event_id + 1 AS id, CASE WHEN event_id % 15 = 0 THEN 'Port Scan' END AS alert_type, 'High' AS severity,
+    NULL::VARCHAR AS status, 'first' AS description, ts + INTERVAL 5 HOUR AS ts, 1 AS seq FROM events WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id + 1, NULL, CASE WHEN event_id % 8 = 0 THEN 'Low' END, 'Investigating', NULL, ts + INTERVAL 5 HOUR, 2
+    FROM events WHERE event_id % 4 = 0
+  UNION ALL SELECT 1, CASE WHEN event_id % 2 = 0 THEN 'Brute Force' ELSE 'DDoS' END,
+    CASE WHEN event_id % 9 <> 0 THEN {_at(D.SEVERITIES, 'event_id % 4')} END, NULL,
+    CASE WHEN event_id % 7 = 0 THEN 'note ' || event_id END, ts, event_id + 100 FROM events WHERE event_id % 3 = 0),
 calls AS (SELECT conv_id * 1000 + turn AS id, conv_id::VARCHAR AS session_id,
   {_at(['summarize', 'diagnosis', 'treatment', 'explanation', 'process'], 'turn % 5')} AS task_type,
   CASE WHEN conv_id % 2 = 0 THEN 'openai' ELSE 'ollama' END AS provider,

@@ -59,3 +59,7 @@ TOKENS = _table(
     session_id=_text, value=_text, token=_text, prefix=_text, token_no=_long, first_seq=_long,
     first_start=_long, expires_at=_time,
 )
+RULES = _table(
+    rule_id=_long, priority=_long, min_score=_double, max_score=_double, verdict=_text, level=_text,
+    playbook_name=_text,
+)

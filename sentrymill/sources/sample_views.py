@@ -46,6 +46,8 @@ _SEVERITY = (
     "CASE WHEN value < 15 THEN 'Low' WHEN value < 35 THEN 'Medium' WHEN value < 70 THEN 'High' "
     "ELSE 'Critical' END"
 )
+# The sample times have no zone and are UTC, whatever the session's zone is.
+_TIME = "from_utc_timestamp(CAST(ts AS TIMESTAMP), current_timezone())"
 # Made-up feed contents.
 NETS = ["Alder Net", "Birch Net", "Cedar Net"]
 CITIES = ["Bergen", "Basel", "Napier", "Salto"]
@@ -63,7 +65,7 @@ def plain_alerts(spark: SparkSession, folder: str) -> DataFrame:
         f"CASE WHEN user_id % 30 = 0 THEN {_WATCHED} "
         f"ELSE {_BLOCK} || (user_id div 256 % 256) || '.' || (user_id % 256) END AS source_ip",
         f"{_SEVERITY} AS severity", f"{_STATUS} AS status", "'event ' || event_type AS description",
-        "CAST(ts AS TIMESTAMP) AS created_at", "event_id", "user_id",
+        f"{_TIME} AS created_at", "event_id", "user_id",
     )
 
 
@@ -179,7 +181,7 @@ def status_changes(spark: SparkSession, folder: str) -> DataFrame:
     def change(when: str, key: str, status: str, hours: int, seq: str) -> str:
         return (
             f"if({when}, named_struct('id', {key}, 'new_status', {status}, 'ts', "
-            f"CAST(ts AS TIMESTAMP) + INTERVAL {hours} HOURS, 'seq', CAST({seq} AS BIGINT)), NULL)"
+            f"{_TIME} + INTERVAL {hours} HOURS, 'seq', CAST({seq} AS BIGINT)), NULL)"
         )
 
     rows = ", ".join([
@@ -197,7 +199,7 @@ def delete_requests(spark: SparkSession, folder: str) -> DataFrame:
         "event_id % 97 = 0 or event_id % 1000 = 7"
     ).selectExpr(
         "if(event_id % 1000 = 7, event_id + 1000000000000, event_id + 1) AS id",
-        "CAST(ts AS TIMESTAMP) + INTERVAL 40 DAYS AS ts",
+        f"{_TIME} + INTERVAL 40 DAYS AS ts",
     )
 
 
@@ -223,10 +225,42 @@ def patches(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN event_id % 10 = 0 THEN ' high ' WHEN event_id % 55 = 0 THEN 'EXTREME' END AS severity",
         "if(event_id % 25 = 0, 'resolved', NULL) AS status",
         "if(event_id % 20 = 0, 'patched', NULL) AS description",
-        "CAST(ts AS TIMESTAMP) + INTERVAL 5 HOURS AS ts",
+        f"{_TIME} + INTERVAL 5 HOURS AS ts",
     )
 
 
+def many_patches(spark: SparkSession, folder: str) -> DataFrame:
+    """Partial updates of which an alert gets several, some at the same time; a third of all
+    events patch alert 1, so one key holds a large share. Some break a rule."""
+    def patch(when: str, key: str, alert_type: str, severity: str, status: str, text: str, hours: int, seq: str) -> str:
+        fields = {"id": key, "alert_type": alert_type, "severity": severity, "status": status, "description": text}
+        inner = ", ".join(f"'{k}', CAST({v} AS {'BIGINT' if k == 'id' else 'STRING'})" for k, v in fields.items())
+        return (f"if({when}, named_struct({inner}, 'ts', {_TIME} + INTERVAL {hours} HOURS, "
+                f"'seq', CAST({seq} AS BIGINT)), NULL)")
+
+    rows = ", ".join([
+        patch("event_id % 5 = 0", "event_id + 1", "if(event_id % 15 = 0, 'Port Scan', NULL)", "' high '", "NULL", "'first'", 5, "1"),
+        patch("event_id % 4 = 0", "event_id + 1", "NULL", "if(event_id % 8 = 0, 'LOW', NULL)", "'investigating'", "NULL", 5, "2"),
+        patch("event_id % 3 = 0", "1L", "if(event_id % 2 = 0, 'Brute Force', 'DDoS')",
+              f"if(event_id % 9 = 0, NULL, {_pick(D.SEVERITIES, 'event_id % 4')})", "NULL",
+              "if(event_id % 7 = 0, 'note ' || event_id, NULL)", 0, "event_id + 100"),
+        patch("event_id % 10 = 0", "event_id + 1", "'X'", "'Critical'", "'Resolved'", "'refused'", 9, "3"),
+    ])
+    return table(spark, folder, "events").selectExpr(f"inline(array_compact(array({rows})))")
+
+
+# Twenty rules that overlap: (rule_id, priority, min_score, max_score, verdict, level, playbook_name).
+RULES = [
+    (i, i * 7 % 10, None if i % 7 == 0 else float(i * 4 % 60), None if i % 5 == 4 else float(i * 4 % 60 + 20 + i % 3 * 10) + 0.5,
+     [None, *D.VERDICTS][i % 5], [None, None, *D.LEVELS][i % 6], ["block_ip", "isolate_host", "notify_soc", "escalate"][i % 4])
+    for i in range(1, 21)
+]
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULES, S.RULES)
+
+
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """Ward notes with every kind of personal data, one per customer. Ward 0 holds more
     than a third of them."""

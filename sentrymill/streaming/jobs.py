@@ -20,6 +20,7 @@ from sentrymill.operators.alerts import latest_change
 from sentrymill.operators.intake import normal_status
 from sentrymill.plans.ingest import ingest
 from sentrymill.session import scratch
+from sentrymill.sources.id_store import IdStore
 from sentrymill.sources.tables import open_or_empty
 
 Feeds = tuple[DataFrame, DataFrame, DataFrame]
@@ -69,6 +70,11 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def id_store(spark: SparkSession, out: str) -> IdStore:
+    """The ids that an intake to `out` has stored."""
+    return IdStore(spark, f"{out}/ids")
+
+
 def intake(
     raw: DataFrame, feeds: Callable[[], Feeds], out: str, checkpoint: str, once: bool = True, **options
 ) -> StreamingQuery:
@@ -76,22 +82,20 @@ def intake(
 
     Writes `alerts`, `events` and `rejects` under `out`. Every row of the stream becomes an
     alert or a reject, however late it is: ids are compared within the micro-batch and
-    with the ids that earlier batches stored, not within a watermark. `feeds` is asked for
+    with the ids that earlier batches stored, not within a watermark. Those lie in an
+    IdStore under `out`/ids, of which a batch reads only files that may hold its ids;
+    IdStore.compact() settles them while the stream goes on. `feeds` is asked for
     every micro-batch, so a refreshed feed table is used from the next batch on. `options`
     go to ingest(). What a batch needs in between is removed when it is written.
     """
     def handle(rows: DataFrame, batch: int) -> None:
-        # The batch is read for three outputs; its size is bounded by the source's limits.
-        rows = rows.persist()
-        try:
-            with scratch(rows.sparkSession):
-                known = read_batches(rows.sparkSession, f"{out}/alerts", S.ALERTS).where(F.col("batch") < batch)
-                result = ingest(rows, *feeds(), existing=known, **options)
-                _write_batch(result.alerts, f"{out}/alerts", batch)
-                _write_batch(result.events, f"{out}/events", batch)
-                _write_batch(result.rejects, f"{out}/rejects", batch)
-        finally:
-            rows.unpersist()
+        with scratch(rows.sparkSession):
+            ids = id_store(rows.sparkSession, out)
+            result = ingest(rows, *feeds(), existing=lambda good: ids.known(good, batch), **options)
+            _write_batch(result.alerts, f"{out}/alerts", batch)
+            _write_batch(result.events, f"{out}/events", batch)
+            _write_batch(result.rejects, f"{out}/rejects", batch)
+            ids.add(result.alerts, batch)
 
     return _start(raw.writeStream.foreachBatch(handle), checkpoint, once)
 
@@ -112,29 +116,58 @@ def window_counts(
     )
 
 
+WINDOW_KEYS = ["start", "end", "severity", "risk_level"]
+WINDOW_PARTS = T.StructType([
+    T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()),
+    T.StructField("severity", T.StringType()), T.StructField("risk_level", T.StringType()),
+    T.StructField("count", T.LongType()), T.StructField("late", T.LongType()), T.StructField("seen", T.TimestampType()),
+])
+
+
 def window_counts_job(
-    alerts: DataFrame, out: str, checkpoint: str, once: bool = True, **options
+    alerts: DataFrame, out: str, checkpoint: str, once: bool = True, size: str = "1 hour",
+    slide: str | None = None, delay: str = "1 hour", policy: str = "reference",
 ) -> StreamingQuery:
-    """Keep the counts of all windows, open ones too: a micro-batch writes the windows it
-    changed, and read_window_counts() takes the latest count of each."""
+    """Keep the counts of all windows, open ones too, without state: a micro-batch writes its
+    own counts, and read_window_counts() adds them up. A row whose window had ended `delay`
+    before the latest time of earlier batches is late: as in window_counts() it does not
+    count any more, but read_late_counts() tells how many there were of each window."""
+    level = scoring.risk_level(F.coalesce("risk_score", F.lit(0.0)), policy)
+
     def handle(rows: DataFrame, batch: int) -> None:
-        _write_batch(rows, out, batch)
+        seen = read_compacted(rows.sparkSession, out, WINDOW_PARTS).where(F.col("batch") < batch).agg(
+            (F.max("seen") - F.expr(f"INTERVAL {delay}")).alias("mark"))
+        late = F.coalesce(F.col("window.end") <= F.lit(seen.first().mark), F.lit(False))
+        _write_batch(
+            rows.groupBy(F.window("created_at", size, slide), "severity", level.alias("risk_level"))
+            .agg(F.count("*").alias("_n"), F.max("created_at").alias("seen"))
+            .select("window.start", "window.end", "severity", "risk_level",
+                    F.when(late, 0).otherwise(F.col("_n")).cast("long").alias("count"),
+                    F.when(late, F.col("_n")).otherwise(0).cast("long").alias("late"), "seen"), out, batch)
 
-    counts = window_counts(alerts, **options)
-    return _start(counts.writeStream.outputMode("update").foreachBatch(handle), checkpoint, once)
+    return _start(alerts.writeStream.foreachBatch(handle), checkpoint, once)
 
 
-WINDOW_COUNTS = T.StructType([
-    T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()),
-    T.StructField("severity", T.StringType()), T.StructField("risk_level", T.StringType()),
-    T.StructField("count", T.LongType()),
-])
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*WINDOW_KEYS).agg(
+        F.sum("count").alias("count"), F.sum("late").alias("late"), F.max("seen").alias("seen"))
 
 
 def read_window_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The latest count of every window, severity and level."""
-    keys = [c for c in WINDOW_COUNTS.fieldNames() if c != "count"]
-    return read_batches(spark, out, WINDOW_COUNTS).groupBy(*keys).agg(F.max_by("count", "batch").alias("count"))
+    """The count of every window, severity and level over all batches."""
+    return _summed(read_compacted(spark, out, WINDOW_PARTS)).where("count > 0").select(*WINDOW_KEYS, "count")
+
+
+def read_late_counts(spark: SparkSession, out: str) -> DataFrame:
+    """How many rows of a window, severity and level came too late to count, where any did."""
+    return _summed(read_compacted(spark, out, WINDOW_PARTS)).where("late > 0").select(*WINDOW_KEYS, "late")
+
+
+def compact_windows(spark: SparkSession, out: str, upto: int) -> None:
+    """Settle the counts of batches 0 to `upto` into a snapshot."""
+    rows, last = _settled_part(spark, out, WINDOW_PARTS, upto)
+    if last is not None:
+        _write_snapshot(_summed(rows), out, last)
 
 
 def block_register(

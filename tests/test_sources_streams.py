@@ -160,3 +160,21 @@ def test_log_never_holds_text(spark):
     assert log.where("total_tokens <> prompt_tokens + completion_tokens").count() == 0
     bare = usage_log.log_rows(spark.createDataFrame([(1,)], "id long")).collect()[0]
     assert (bare.total_tokens, bare.success, bare.has_phi_warning, bare.latency_ms) == (0, True, False, 0.0)
+
+
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    path, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "id long, severity string, risk_score double, created_at timestamp"
+
+    def land(*hours):
+        rows = [(i, "High", 60.0, T0 + timedelta(hours=h)) for i, h in enumerate(hours)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        jobs.window_counts_job(spark.readStream.schema(schema).parquet(path), out, state).awaitTermination()
+
+    land(0.1, 0.2, 5)
+    land(0.3, 0.4, 4.5, 9)
+    jobs.compact_windows(spark, out, 0)
+    land(0.6, 9.5)
+    counted = {r.start.hour: r["count"] for r in jobs.read_window_counts(spark, out).collect()}
+    late = {r.start.hour: r.late for r in jobs.read_late_counts(spark, out).collect()}
+    assert counted == {0: 2, 4: 1, 5: 1, 9: 2} and late == {0: 3}
