@@ -189,19 +189,20 @@ def test_benchmark_passages(spark, make_docs, odd_rows):
         (None, say()),
     ]
     got = {(r.doc_id, r.item_id): r for r in benchmark.contaminated(make_docs(rows), items).collect()}
-    assert set(got) == {(20, 1), (21, 1), (22, 1), (23, 1), (25, 3), (None, 1)} or set(got) == {(20, 1), (21, 1), (23, 1), (25, 3), (None, 1), (27, 2)} | ({(22, 1)} & set(got))
+    assert set(got) == {(20, 1), (21, 1), (22, 1), (23, 1), (25, 3), (27, 2), (None, 1)}   # 27: 9 of 16 tokens
     assert got[21, 1].reparameterised and not got[20, 1].reparameterised and got[20, 1].share == 1.0
     kept = {r.doc_id for r in benchmark.drop_contaminated(make_docs(rows), items).collect()}
-    assert not {20, 21, 23, 25} & kept and {24, 26, None} <= kept
+    assert not {20, 21, 22, 23, 25} & kept and {24, 26, None} <= kept
     assert benchmark.contaminated(make_docs([]), items).count() == 0
     assert benchmark.contaminated(make_docs(rows), items.limit(0)).count() == 0
 
 
 def test_slots_must_agree():
-    good, changed = benchmark.agreeing([(0, 5, [1, 2], [7, 8]), (1, 6, [2, 1], [8, 7]), (2, 7, [1], [9])])
-    assert good == {0, 1} and changed
-    assert benchmark.agreeing([(0, 5, [1, 2], [7, 7])])[0] == set()        # two values cannot become one
-    assert benchmark.agreeing([(0, 0, [], [])]) == ({0}, False)
+    good, plain, changed = benchmark.agreeing([(0, [1, 2], [7, 8]), (1, [2, 1], [8, 7]), (2, [1], [9])])
+    assert good == {0, 1} and changed and plain == set()
+    assert benchmark.agreeing([(0, [1, 2], [7, 7])])[0] == {0}        # two values may become one
+    assert benchmark.agreeing([(0, [1, 1], [7, 8])])[0] == set()      # one value cannot become two
+    assert benchmark.agreeing([(0, [], [])]) == ({0}, {0}, False)
 
 
 def test_benchmark_beyond_the_filter_is_the_same(sample, monkeypatch):
