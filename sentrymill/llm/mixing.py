@@ -125,6 +125,20 @@ def _settle(level: int):
     return run
 
 
+_SLICE = 1000
+
+
+def copies(sized: DataFrame) -> DataFrame:
+    """The rows of `sized` with `seq`, a number that deals them out evenly: it hangs on id, text
+    and the number among rows alike in all, so rows that repeat a document do not meet in one
+    chunk. Rows alike are counted on the map side and told apart again in slices."""
+    same = sized.groupBy(*sized.columns).agg(F.count("*").alias("_n"))
+    sliced = same.withColumn("_slice", F.explode(F.expr(f"sequence(0L, (_n - 1) div {_SLICE})"))).hint("rebalance")
+    each = sliced.withColumn("_copy", F.explode(F.expr(f"sequence(_slice * {_SLICE}, least(_n, (_slice + 1) * {_SLICE}) - 1)")))
+    return each.withColumn("seq", F.when(F.col("_copy") == 0, F.xxhash64("doc_id", "sub")).otherwise(
+        F.xxhash64("doc_id", "sub", "_copy"))).drop("_n", "_slice", "_copy")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """One row per input row: `doc_id`, `sub`, `size`, `source_size`, `target`, `taken`.
 
@@ -138,8 +152,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFram
     sized = stored(sizes(docs))
     goals = stored(targets(sized, weights, most))
     rows = (
-        sized.join(goals, sized["source"].eqNullSafe(goals["source"]))
-        .withColumn("seq", F.xxhash64("doc_id", "sub"))
+        copies(sized).join(goals.withColumnRenamed("source", "_source").hint("rebalance"), F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("chance", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
         .withColumn("chunks", F.expr(f"greatest(1, ceil(docs / {CHUNK}L))"))
         .withColumn("chunk", F.expr("pmod(seq, chunks)"))
@@ -166,9 +179,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFram
     )
 
 
+_ADDED = ("size", "source_size", "target", "taken")
+
+
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """The rows of `docs` that the mix takes, with `size`, `source_size`, `target` and
-    `taken`. Rows repeated with one doc_id and text come as one, with what all of them
+    `taken`, which replace columns of the same name. Rows repeated with one doc_id and text come as one, with what all of them
     take."""
     took = mix(docs, weights, most).groupBy("doc_id", "sub").agg(
         F.max("size").alias("size"), F.max("source_size").alias("source_size"),
@@ -179,4 +195,4 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES)
     return keyed.join(
         took.hint("rebalance"),
         F.col("doc_id").cast("long").eqNullSafe(F.col("_m_doc_id")) & (F.col("_m_key") == F.col("_m_sub")),
-    ).select(*docs.columns, *[F.col(f"_m_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+    ).select(*[F.col(f"`{c}`") for c in docs.columns if c not in _ADDED], *[F.col(f"_m_{c}").alias(c) for c in _ADDED])

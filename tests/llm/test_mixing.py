@@ -88,3 +88,21 @@ def test_mixed_documents(make_docs, odd_rows):
     rows = mixing.mixed_documents(docs)
     assert sum(r.taken for r in rows.collect()) == took and set(docs.columns) < set(rows.columns)
     assert all(r.taken > 0 for r in rows.collect())
+
+
+def test_repeated_rows_do_not_fill_one_chunk(spark, make_docs, monkeypatch):
+    """Half the table is one row: no chunk gets more than twice its size."""
+    from pyspark.sql import functions as F
+    rows = [(1, "the same text over and over", "s0")] * 3000 + [(10 + i, f"text number {i}", "s0") for i in range(3000)]
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    dealt = mixing.copies(mixing.sizes(make_docs(rows))).withColumn("chunk", F.expr("pmod(seq, 60)"))
+    most = max(r["count"] for r in dealt.groupBy("chunk").count().collect())
+    assert dealt.count() == 6000 and most <= 200
+    got = mixing.mix(make_docs(rows)).collect()
+    assert len(got) == 6000 and abs(sum(r.taken for r in got) / got[0].target - 1) < 0.02
+
+
+def test_columns_of_the_result_replace_their_namesakes(spark, make_docs):
+    docs = make_docs([(1, "a b c", "s"), (2, "d e", "t")]).selectExpr("*", "'x' AS target", "7 AS taken")
+    out = mixing.mixed_documents(docs)
+    assert len(set(out.columns)) == len(out.columns) and all(r.taken > 0 and r.size in (2, 3) for r in out.collect())
