@@ -192,21 +192,26 @@ def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     keyed = stored(held.select(
         "vec_id", F.when(F.col("ok"), F.col("label")).alias("label"),
         F.when(F.col("ok"), F.expr("transform(embedding, x -> x + 0.0D)")).alias("v"),
-    ).withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))))
-    vectors = stored(keyed.where("node is not null").groupBy("node").agg(
+    ).withColumns({
+        "h1": F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")),
+        "h2": F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(8), "v", "label")),
+    }))
+    # vectors are told apart by 128 bits and get a short number once they are written
+    vectors = stored(keyed.where("h1 is not null").groupBy("h1", "h2").agg(
         F.first("label").alias("label"), F.first("v").alias("v"),
-        F.min("vec_id").alias("least"), F.count("*").alias("copies")))
+        F.min("vec_id").alias("least"), F.count("*").alias("copies"),
+    ).withColumn("node", F.monotonically_increasing_id()))
     found = stored(links(vectors, least).select("a", "b"))
     ids = component_ids(vectors.select("node", "least"), found)
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     beyond = spread_join(both, vectors.select(F.col("node").alias("b"), "copies"), ["b"]).groupBy("a").agg(
         F.sum("copies").alias("more"))
     per = stored(
-        vectors.select("node", "copies").join(ids, "node")
+        vectors.select("h1", "h2", "node", "copies").join(ids, "node")
         .join(beyond.withColumnRenamed("a", "node"), "node", "left")
-        .select("node", "component_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+        .select("h1", "h2", "component_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     )
-    return keyed.join(per, "node", "left").select(
+    return keyed.join(per.hint("rebalance"), ["h1", "h2"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
