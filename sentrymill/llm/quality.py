@@ -118,7 +118,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """`doc_id` and `x`, the pooled vector of each row's whole text."""
+    """`doc_id`, `sub` (hash of the text) and `x`, the pooled vector of each row's whole text."""
     index = index_vectors()
     norms = np.linalg.norm(contexts, axis=1, keepdims=True)
     table = np.hstack([contexts / np.maximum(norms, 1), index / np.sqrt(NONZERO)]).astype(np.float32)
@@ -144,10 +144,11 @@ def features(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
             x[:, -1] = np.log1p(sizes / held[:, 0])
             del ends
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(x.tolist(), pa.list_(pa.float32()))], ["doc_id", "x"])
+                [batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float32()))], ["doc_id", "sub", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts_or_empty().alias("t")).mapInArrow(
-        run, "doc_id long, x array<float>")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), texts_or_empty().alias("t"), F.xxhash64("text").alias("sub")
+    ).mapInArrow(run, "doc_id long, sub long, x array<float>")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -212,6 +213,21 @@ def train(pooled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
     return Network(x, y, spare)
 
 
+def _scored(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """`doc_id`, `sub` and `score` of every row."""
+    pooled = stored(features(docs, context_vectors(docs)))
+    model = train(pooled, labels, sample)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, FEATURES)
+            p = model(x.astype(np.float64)) if model and n else np.full(n, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["doc_id", "sub", "score"])
+
+    return pooled.mapInArrow(run, "doc_id long, sub long, score double")
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: `doc_id`, `held_out`, `score`, `predicted`.
 
@@ -221,25 +237,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     score is 0.5. Repeated rows are scored alike; other columns are ignored. Starts jobs
     when called; pooled vectors are kept in the shared folder.
     """
-    pooled = stored(features(docs, context_vectors(docs)))
-    model = train(pooled, labels, sample)
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, FEATURES)
-            p = model(x.astype(np.float64)) if model and n else np.full(n, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
-
-    scored = pooled.mapInArrow(run, "doc_id long, score double")
-    return scored.select(
+    return _scored(docs, labels, sample).select(
         "doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """`docs` without the rows whose score is below 0.5. Rows with null doc_id stay."""
-    bad = score(docs, labels, sample).where("predicted = 0 and doc_id is not null").select(
-        F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("rebalance"), F.col("doc_id") == F.col("_bad"), "left_anti")
+    """`docs` without the rows whose score is below 0.5. A row is judged by its own text, also
+    where its doc_id is null or comes with other texts too."""
+    bad = _scored(docs, labels, sample).where("score < 0.5").select(
+        F.col("doc_id").alias("_bad"), F.col("sub").alias("_bad_text")).distinct()
+    return docs.join(bad.hint("rebalance"), F.col("doc_id").cast("long").eqNullSafe(F.col("_bad"))
+                     & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
