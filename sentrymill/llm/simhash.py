@@ -168,16 +168,19 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """`docs` with one row of each component kept: the one whose doc_id is the component's
-    smallest. Of rows repeated with that doc_id one stays, with the smallest text hash;
-    rows with null doc_id have no id to be judged by and all stay."""
-    kept = near_duplicates(docs, bits).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    least = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(
-        F.min(F.xxhash64("text")).alias("_text"))
-    chosen = least.join(kept, "_kept", "left_semi").hint("rebalance")
-    return docs.where("doc_id is null").unionByName(
-        docs.join(chosen, (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_text")))
-        .drop("_kept", "_text").dropDuplicates(["doc_id"])
-    )
+def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (`a`, `b`) of different texts that SimHash finds alike, for an exact check.
+
+    `texts` holds `node` (long, none twice) and `text`. A text is paired with the least node
+    of its fingerprint, and the least nodes of linked fingerprints with each other, so
+    pairs go with the texts, not with the square of a fingerprint's.
+    """
+    fps = stored(fingerprints(texts.select(F.col("node").alias("doc_id"), "text")))
+    first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    same = spread_join(fps, first, ["fp"]).where("doc_id <> least").select(
+        F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    linked = links(first, bits)
+    one = first.select(F.col("fp").alias("a"), F.col("least").alias("_a"))
+    two = first.select(F.col("fp").alias("b"), F.col("least").alias("_b"))
+    return same.unionByName(
+        spread_join(spread_join(linked, one, ["a"]), two, ["b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b")))

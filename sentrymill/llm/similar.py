@@ -1,11 +1,12 @@
 """Near-duplicates by 5-word shingles: Jaccard similarity of at least 0.8, computed exactly.
 
-SimHash does not reach that: texts at 0.8 differ in about 10 of 64 bits. Candidates share
-all `ROWS` minima of one of `BANDS` bands of min-hashes (a pair at 0.8 is missed by all
-bands with a chance of 0.0006, one at 0.85 of 0.000003); every candidate is checked on
-the whole shingle sets. In a bucket each text is checked with one of them first; then only
-texts that are not connected yet are checked with each other, so a group of texts that
-are all at 0.8 to that one costs its size, not its square.
+The pairs that SimHash finds are checked first, but texts at 0.8 differ in about 10 of 64
+bits, which its keys do not reach. Further candidates share all `ROWS` minima of one of
+`BANDS` bands of min-hashes (a pair at 0.8 is missed by all bands with a chance of 0.0006,
+one at 0.85 of 0.000003). Every candidate is checked on the whole shingle sets. In a bucket
+each text is checked with one of them first; then only texts that are not connected yet
+are checked with each other, so a group of texts that are all at 0.8 to that one costs its
+size, not its square.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrymill.llm import simhash
 from sentrymill.llm.common import component_ids, spread_join, stored, text_bytes
 
 WIDTH = 5
@@ -93,7 +95,11 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near-duplicates kept: the smallest doc_id
     (null last), then the smallest text hash. Groups join texts through any chain of similar
-    ones; rows are told apart by doc_id and text, blank and null texts are one group."""
+    ones; rows are told apart by doc_id and text, so texts that share a doc_id are judged one
+    by one. Blank and null texts are one group, a text under five words is one shingle, and
+    of repeated rows one stays. Columns stay as they are, whatever their names; an empty
+    table stays empty. Starts jobs when called; texts, keys and links lie in the shared
+    folder."""
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")))
@@ -101,7 +107,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = stored(texts)
     held = _buckets(texts)
     first = held.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = _checked(first, texts)
+    near = _checked(first.unionByName(simhash.candidates(texts)).distinct(), texts)
     parts = component_ids(nodes, near).select("node", F.xxhash64("component_id").alias("part"))
     placed = stored(spread_join(held.select("key", "node"), parts, ["node"]))
     mixed = placed.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("key")
@@ -111,5 +117,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     links = near.unionByName(_checked(rest, texts))
     chosen = component_ids(nodes, links).select(
         F.col("component_id.doc_id").alias("_id"), F.col("component_id.node").alias("_node")).distinct().hint("rebalance")
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (node == F.col("_node"))
-    ).dropDuplicates(["doc_id", "_node"]).drop("_id", "_node")
+    chosen = chosen.select(F.col("_id").alias("_near_id"), F.col("_node").alias("_near_text"))
+    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (node == F.col("_near_text"))
+    ).dropDuplicates(["doc_id", "_near_text"]).drop("_near_id", "_near_text")

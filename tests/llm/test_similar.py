@@ -27,3 +27,13 @@ def test_near_copies_many_bits_apart(make_docs):
     rows += [(200, "one text of this id with enough words"), (200, "a different text of the same id altogether"), (None, rows[0][1]), (None, None), (201, " ")]
     kept = similar.keep_one(make_docs(rows)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(want + [200, 200, 201])
+
+
+def test_odd_rows(spark, make_docs, odd_rows):
+    """Nulls, blanks, repeats and a very long text; columns with the operator's own names."""
+    docs = make_docs(odd_rows)
+    docs = docs.selectExpr("*", "1 AS node", "2 AS a", "'x' AS _node", "3 AS fp2").drop("fp2")
+    kept = similar.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9, 10, 11]
+    assert similar.keep_one(make_docs([])).count() == 0
