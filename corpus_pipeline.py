@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrymill.llm import benchmark, lines, mixing, quality, simhash
+from sentrymill.llm import benchmark, lines, mixing, quality, similar
 from sentrymill.llm.common import stored
 
 
@@ -28,8 +28,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays: five words, similarity of 0.8 or
+    more. SimHash gives candidates, min-hash those that it cannot reach; each is checked."""
+    return similar.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
