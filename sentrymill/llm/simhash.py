@@ -171,11 +171,11 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (`a`, `b`) of different texts that SimHash finds alike, for an exact check.
 
-    `texts` holds `node` (long, none twice) and `text`. A text is paired with the least node
+    `texts` holds `node` (long, one for each text) and `text`; rows may repeat. A text is paired with the least node
     of its fingerprint, and the least nodes of linked fingerprints with each other, so
     pairs go with the texts, not with the square of a fingerprint's.
     """
-    fps = stored(fingerprints(texts.select(F.col("node").alias("doc_id"), "text")))
+    fps = stored(fingerprints(texts.select(F.col("node").alias("doc_id"), "text")).distinct())
     first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     same = spread_join(fps, first, ["fp"]).where("doc_id <> least").select(
         F.col("least").alias("a"), F.col("doc_id").alias("b"))

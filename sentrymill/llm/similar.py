@@ -2,8 +2,8 @@
 
 The pairs that SimHash finds are checked first, but texts at 0.8 differ in about 10 of 64
 bits, which its keys do not reach. Further candidates share all `ROWS` minima of one of
-`BANDS` bands of min-hashes (a pair at 0.8 is missed by all bands with a chance of 0.0006,
-one at 0.85 of 0.000003). Every candidate is checked on the whole shingle sets. In a bucket
+`BANDS` bands of min-hashes (a pair at 0.8 is missed by all bands with a chance of 0.004,
+one at 0.85 of 0.0001). Every candidate is checked on the whole shingle sets. In a bucket
 each text is checked with one of them first; then only texts that are not connected yet
 are checked with each other, so a group of texts that are all at 0.8 to that one costs its
 size, not its square.
@@ -22,7 +22,7 @@ from sentrymill.llm.common import component_ids, spread_join, stored, text_bytes
 
 WIDTH = 5
 LEAST = 0.8
-BANDS, ROWS = 40, 8
+BANDS, ROWS = 24, 7
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(43).integers(0, 2**63, BANDS * ROWS, np.uint64)
 _AT_ONCE = 1 << 13                    # shingles permuted at one time
@@ -59,7 +59,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """(`key`, `node`) rows of the buckets that hold more than one text."""
+    """(`key`, `node`, `first`) rows of the buckets that hold more than one text. `first` is
+    the least node, so a group that shares many buckets has the same one in all of them."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -69,8 +70,9 @@ def _buckets(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], ["key", "node"])
 
     rows = stored(texts.select("node", text_bytes().alias("t")).mapInArrow(run, "key long, node long"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("first"))
-    return stored(spread_join(rows, shared.where("_n > 1").drop("_n"), ["key"]))
+    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where(
+        "first <> _last").drop("_last")
+    return stored(spread_join(rows.distinct(), shared, ["key"]))
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -103,11 +105,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"))
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")))
-    texts = docs.select(node.alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
-    texts = stored(texts)
-    held = _buckets(texts)
-    first = held.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = _checked(first.unionByName(simhash.candidates(texts)).distinct(), texts)
+    every = docs.select(node.alias("node"), "text")
+    held = _buckets(every)
+    found = stored(simhash.candidates(every).unionByName(
+        held.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))).distinct())
+    # only texts that are compared with another are kept at hand, each once
+    met = held.select("node").unionByName(found.select(F.col("a").alias("node"))).unionByName(
+        found.select(F.col("b").alias("node"))).distinct()
+    texts = stored(spread_join(every, met, ["node"]).groupBy("node").agg(F.first("text").alias("text")))
+    near = _checked(found, texts)
     parts = component_ids(nodes, near).select("node", F.xxhash64("component_id").alias("part"))
     placed = stored(spread_join(held.select("key", "node"), parts, ["node"]))
     mixed = placed.groupBy("key").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("key")
