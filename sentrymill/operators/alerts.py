@@ -55,6 +55,66 @@ def page(
     return (rows.offset(skip) if skip else rows).limit(limit)
 
 
+PAGE_BINS = 1024
+PAGE_ROWS = 100_000     # a range of so many rows is sorted as it is
+
+
+def _narrowed(rows: DataFrame, value: Column, skip: int, want: int) -> tuple[int, int, int]:
+    """A range low <= `value` < high that holds the rows `skip` to `skip` + `want` in falling
+    order of `value` (long), and how many rows lie above it. Rows are counted in equal
+    ranges, and the ranges that the page touches are cut again, until few rows are left or
+    a range is one value; each round reads only what the last one left."""
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return 0, 0, 0
+    high, above = high + 1, 0
+    while True:
+        width = -(-(high - low) // PAGE_BINS)
+        counts = {r.b: r.n for r in rows.where((value >= low) & (value < high)).groupBy(
+            F.floor((value - low) / width).alias("b")).agg(F.count("*").alias("n")).collect()}
+        inside, first, last = 0, None, None
+        for b in sorted(counts, reverse=True):
+            if first is None and above + counts[b] <= skip:
+                above += counts[b]
+                continue
+            first, last, inside = b if first is None else first, b, inside + counts[b]
+            if above + inside >= skip + want:
+                break
+        if first is None:                       # the page begins behind the last row
+            return low, low, above
+        low, high = low + last * width, min(high, low + (first + 1) * width)
+        if inside <= PAGE_ROWS or width == 1:
+            return low, high, above
+
+
+def deep_page(alerts: DataFrame, skip: int, limit: int = D.ALERT_PAGE[0], **filters) -> DataFrame:
+    """page() for an offset of any depth: no task holds the rows ahead of it.
+
+    The page's range of times is found by counting, so only rows around it are sorted; where
+    very many rows have one time their ids are narrowed down alike. Rows without a time come
+    last. Starts a few counting jobs on the columns of order when called.
+    """
+    check_range("skip", skip, 0)
+    check_range("limit", limit, 1, D.ALERT_PAGE[1])
+    rows = matching(alerts, **filters)
+    time, timed = F.unix_micros("created_at"), rows.where("created_at is not null")
+    low, high, above = _narrowed(timed, time, skip, limit)
+    near = timed.where((F.col("created_at") >= F.timestamp_micros(F.lit(low))) & (F.col("created_at") < F.timestamp_micros(F.lit(high))))
+    if high - low == 1:
+        first, last, ahead = _narrowed(near, F.col("id"), skip - above, limit)
+        if last > first:
+            near, above = near.where((F.col("id") >= first) & (F.col("id") < last)), above + ahead
+    untimed = rows.where("created_at is null")
+    there = near.orderBy(*_newest_first()).offset(skip - above).limit(limit) if skip >= above and high > low else near.limit(0)
+    if high > low and there.count() == limit:
+        return there
+    ahead = timed.count()
+    low, high, above = _narrowed(untimed, F.col("id"), max(0, skip - ahead), limit)
+    tail = untimed.where((F.col("id") >= low) & (F.col("id") < high)).orderBy(F.desc("id")).offset(
+        max(0, skip - ahead) - above).limit(limit)
+    return there.unionByName(tail).orderBy(*_newest_first()).limit(limit)
+
+
 def page_with_total(
     alerts: DataFrame, skip: int = 0, limit: int = D.ALERT_PAGE[0], severity: str | None = None,
     status: str | None = None, alert_type: str | None = None, escape: bool = False,

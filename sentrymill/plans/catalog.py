@@ -17,7 +17,7 @@ from sentrymill import domains as D
 from sentrymill import schemas as S
 from sentrymill.functions import network, scoring, spans, text
 from sentrymill.operators import (
-    actions, alerts, dashboard, enrich, intake, phi, timeline, tokens, usage_log,
+    actions, alerts, dashboard, enrich, intake, phi, rollup, timeline, tokens, usage_log,
 )
 from sentrymill.operators.token_store import TokenStore
 from sentrymill.plans import oracle as O
@@ -644,6 +644,14 @@ def _(spark, d):
     return alerts.page(V.plain_alerts(spark, d), limit=100, after=("2024-01-15", 0)).select("id", "created_at")
 
 
+@query("a4_deep_page", O.sql(f"""
+SELECT id, {O.t('created_at')} AS created_at, severity FROM a ORDER BY a.created_at DESC, id DESC
+LIMIT 100 OFFSET (SELECT (count(*) * 9 // 10)::BIGINT FROM a)"""))
+def _(spark, d):
+    rows = V.alerts(spark, d)
+    return alerts.deep_page(rows, rows.count() * 9 // 10, 100).select("id", "created_at", "severity")
+
+
 @query("a5_page_with_total", O.sql("""
 SELECT (SELECT count(*) FROM pa) AS total, (SELECT count(*) FROM pa WHERE severity = 'Critical') AS total_matching, id
 FROM (SELECT id FROM pa WHERE severity = 'Critical' ORDER BY created_at DESC, id DESC LIMIT 50)"""))
@@ -733,6 +741,34 @@ def _(spark, d):
     return _deleted(spark, d).rejects
 
 
+def _by_day(spark, d) -> str:
+    path = run_dir(spark, "days")
+    tables.append(V.light_alerts(spark, d), path, day_of="created_at")
+    return path
+
+
+@query("a10_delete_days", O.sql("""
+SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS rows, sum(id)::BIGINT AS id_sum FROM pa
+WHERE NOT (event_id % 3 = 0 AND day(created_at) IN (3, 17)) AND day(created_at) <> 9 GROUP BY 1"""))
+def _(spark, d):
+    """A third of two days goes, and all of another; other days are not written."""
+    path, at = _by_day(spark, d), F.dayofmonth(F.to_utc_timestamp("created_at", F.current_timezone()))
+    gone = V.light_alerts(spark, d).where(((F.col("event_id") % 3 == 0) & at.isin(3, 17)) | (at == 9)).select("id")
+    tables.rewrite_days(spark, path, "id", gone)
+    return tables.scan(spark, path).groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.count("*").alias("rows"), F.sum("id").alias("id_sum"))
+
+
+@query("a8_status_days", O.sql("""
+SELECT id, CASE WHEN event_id % 50 = 7 AND day(created_at) <= 5 THEN 'Resolved' ELSE status END AS status FROM pa"""))
+def _(spark, d):
+    path, at = _by_day(spark, d), F.dayofmonth(F.to_utc_timestamp("created_at", F.current_timezone()))
+    new = V.light_alerts(spark, d).where((F.col("event_id") % 50 == 7) & (at <= 5)).select(
+        "id", F.lit("Resolved").alias("_status"))
+    tables.rewrite_days(spark, path, "id", new, lambda rows: rows.withColumn("status", F.coalesce("_status", "status")))
+    return tables.scan(spark, path).select("id", "status")
+
+
 @query("a11_updated_at", O.sql(f"SELECT id, {O.t('updated_at')} AS updated_at FROM cur"))
 def _(spark, d):
     return _changed(spark, d).alerts.select("id", "updated_at")
@@ -934,6 +970,56 @@ def _(spark, d):
 _CATALOG = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in D.PLAYBOOKS)
 
 
+def _partials(spark, d):
+    """Partials of four batches, and of the changes of status after them."""
+    rows, path = cut_lineage(V.alerts(spark, d)), run_dir(spark, "partials")
+    for part in range(4):
+        rollup.partials(rows.where(F.col("id") % 4 == part)).write.mode("append").parquet(path)
+    history = alerts.change_status(rows, V.status_changes(spark, d)).history
+    rollup.status_partials(rows, history).write.mode("append").parquet(path)
+    return rollup.merged(spark.read.parquet(path))
+
+
+_NOW = """
+now AS (SELECT a.* REPLACE (coalesce(c.s, a.status) AS status) FROM a LEFT JOIN (
+  SELECT id, arg_max(new_status, (ts, seq)) AS s FROM chg GROUP BY id) c USING (id))"""
+
+
+@query("d6_summary_rollup", f"""WITH {O.VIEWS}, {_NOW} SELECT count(*) AS total_alerts,
+  count(*) FILTER (status = 'Open') AS open_alerts, count(*) FILTER (status = 'Investigating') AS investigating_alerts,
+  count(*) FILTER (status = 'Resolved') AS resolved_alerts, count(*) FILTER (severity = 'Critical') AS critical_alerts,
+  count(*) FILTER (severity = 'High') AS high_alerts, count(*) FILTER (severity = 'Medium') AS medium_alerts,
+  count(*) FILTER (severity = 'Low') AS low_alerts, count(*) FILTER (threat_verdict = 'Malicious') AS malicious_ips,
+  count(*) FILTER (threat_verdict = 'Suspicious') AS suspicious_ips, round(avg(risk_score), 2) AS avg_risk_score,
+  0 AS blocked_ips FROM now""")
+def _(spark, d):
+    return rollup.summary(_partials(spark, d), spark.createDataFrame([], S.BLOCKED_IPS))
+
+
+@query("d7_rollup", O.sql("SELECT risk_level, count(*) AS count FROM a GROUP BY 1"))
+def _(spark, d):
+    return rollup.risk_distribution(_partials(spark, d)).where("count > 0")
+
+
+@query("d9_days_rollup", O.sql("SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS count FROM a GROUP BY 1"))
+def _(spark, d):
+    return rollup.by_day(_partials(spark, d))
+
+
+@query("d10_country_rollup", O.sql("""
+SELECT r.country, count(*) AS count FROM a JOIN rep r USING (source_ip) GROUP BY 1"""))
+def _(spark, d):
+    return rollup.by_country(_partials(spark, d))
+
+
+@query("d4_distinct_rollup", O.sql("SELECT threat_verdict, true AS close FROM a GROUP BY 1"))
+def _(spark, d):
+    """Whether the sketch is within 5 % of the exact number, three standard errors."""
+    exact = V.alerts(spark, d).groupBy("threat_verdict").agg(F.count_distinct("source_ip").alias("n"))
+    told = rollup.distinct_ips(_partials(spark, d)).join(exact, "threat_verdict")
+    return told.select("threat_verdict", (F.abs(F.col("count") - F.col("n")) <= F.greatest(F.lit(1), F.col("n") * 0.05)).alias("close"))
+
+
 @query("p1_catalog_use", O.sql(f"""
 SELECT c.*, count(r.alert_id) AS requests FROM (VALUES {_CATALOG}) c(name, description, action, target_type)
 LEFT JOIN req r ON r.playbook_name = c.name GROUP BY ALL"""))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from sentrymill.functions.text import utc_date
+from sentrymill.session import cut_lineage
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -55,6 +56,36 @@ def append(rows: DataFrame, path: str, day_of: str | None = None) -> None:
     )
 
 
+def rewrite_days(spark: SparkSession, path: str, key: str, ids: DataFrame, changed=None) -> list[str]:
+    """Delete the rows of a table by day (see append) whose `key` is among `ids` (column id),
+    or change them: `changed` is given the rows of the touched days joined with `ids` on
+    `key`, and gives what they become. Gives the days that were touched.
+
+    Days are found from the key column alone, and only their folders are written anew; files
+    of other days stay as they are. The new rows are written aside first, so a failure
+    leaves the old ones or can be repeated.
+    """
+    table = spark.read.parquet(path)
+    wanted = ids.withColumnRenamed("id", key)
+    hits = table.select(key, "day").join(wanted.select(key).distinct().hint("rebalance"), key, "left_semi")
+    days = sorted(str(r.day) for r in hits.select("day").distinct().collect())     # one for each day
+    if not days:
+        return days
+    there = table.where(F.col("day").cast("string").isin(days))
+    if changed is None:
+        kept = there.join(wanted.select(key).distinct().hint("rebalance"), key, "left_anti").select(*table.columns)
+    else:
+        kept = changed(there.join(wanted.hint("rebalance"), key, "left")).select(*table.columns)
+    kept = cut_lineage(kept)
+    kept.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "day").parquet(path)
+    left = {str(r.day) for r in kept.select("day").distinct().collect()}
+    for day in set(days) - left:        # a day without rows is not overwritten
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return days
+
+
 def with_json(rows: DataFrame, name: str, *fields: Column | str) -> DataFrame:
     """Pack fields into a JSON text column; null members are kept."""
     return rows.withColumn(name, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
