@@ -104,7 +104,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     folder."""
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"))
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")))
+    alike = rows.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    nodes = stored(alike.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("least")))
     every = docs.select(node.alias("node"), "text")
     held = _buckets(every)
     found = stored(simhash.candidates(every).unionByName(
@@ -121,8 +123,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     other = apart.select("key", F.col("node").alias("b"), F.col("part").alias("_part"))
     rest = apart.withColumnRenamed("node", "a").join(other, "key").where("a < b and part <> _part").select("a", "b").distinct()
     links = near.unionByName(_checked(rest, texts))
-    chosen = component_ids(nodes, links).select(
-        F.col("component_id.doc_id").alias("_id"), F.col("component_id.node").alias("_node")).distinct().hint("rebalance")
-    chosen = chosen.select(F.col("_id").alias("_near_id"), F.col("_node").alias("_near_text"))
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (node == F.col("_near_text"))
-    ).dropDuplicates(["doc_id", "_near_text"]).drop("_near_id", "_near_text")
+    chosen = stored(component_ids(nodes, links).select(
+        F.col("component_id.doc_id").alias("_near_id"), F.col("component_id.node").alias("_near_text"),
+        F.col("component_id.n").alias("_near_n")).distinct())
+    kept = docs.join(chosen.hint("rebalance"), F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id"))
+                     & (node == F.col("_near_text")))
+    # rows alike in id and text are few as a rule; only they are brought together once more
+    return kept.where("_near_n = 1").unionByName(
+        kept.where("_near_n > 1").dropDuplicates(["_near_id", "_near_text"])).drop("_near_id", "_near_text", "_near_n")
