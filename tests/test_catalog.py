@@ -25,7 +25,7 @@ def test_query_equals_oracle(spark, con, name):
     assert oracle_check.difference(spark, con, name, FOLDER) is None
 
 
-@pytest.mark.parametrize("name", ["a1_ingest_alerts", "a10_delete_timeline", "t8_nested", "h16_replace", "h18_restore"])
+@pytest.mark.parametrize("name", ["a1_ingest_alerts", "a10_delete_timeline", "t8_nested", "h16_replace", "h18_restore", "e5_as_of"])
 def test_heavy_paths_equal_oracle(spark, con, name, all_heavy):
     assert oracle_check.difference(spark, con, name, FOLDER) is None
 
