@@ -24,6 +24,7 @@ from sentrymill.plans import oracle as O
 from sentrymill.plans.ingest import ingest
 from sentrymill.session import cut_lineage, run_dir
 from sentrymill.sources import json_intake, sample_views as V, seed, tables
+from sentrymill.sources.lookup import LookupTable
 from sentrymill.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,6 +679,31 @@ def _(spark, d):
     return alerts.by_alert_id(V.plain_alerts(spark, d), V.playbook_requests(spark, d)).select("id", "alert_id")
 
 
+_ASKED = [1, 9, 42, 1_042, 3_000, 9_999_999]
+
+
+def _alert_lookup(spark, d) -> LookupTable:
+    """All alerts laid out for look-ups, in two batches."""
+    rows = V.plain_alerts(spark, d).select("id", "alert_id", "alert_type", "source_ip", "created_at")
+    held = LookupTable(spark, run_dir(spark, "lookup"), rows.schema, "id", "alert_id", ["created_at"], 16, 500)
+    held.add(rows.where("id % 2 = 0"), 0)
+    held.add(rows.where("id % 2 = 1"), 1)
+    return held
+
+
+@query("a6_stored_by_id", O.sql(f"SELECT id, alert_id, alert_type, source_ip FROM pa WHERE id IN ({', '.join(map(str, _ASKED))})"))
+def _(spark, d):
+    return _alert_lookup(spark, d).by_key(_ASKED).select("id", "alert_id", "alert_type", "source_ip")
+
+
+_NAMED = [f"ALERT-{i:08d}" for i in _ASKED]
+
+
+@query("a7_stored_by_alert_id", O.sql(f"SELECT id, alert_id FROM pa WHERE alert_id IN ({', '.join(map(repr, _NAMED))})"))
+def _(spark, d):
+    return _alert_lookup(spark, d).by_name(_NAMED).select("id", "alert_id")
+
+
 def _changed(spark, d):
     return alerts.change_status(V.light_alerts(spark, d), V.status_changes(spark, d))
 
@@ -842,6 +868,25 @@ def _(spark, d):
     return _shown(timeline.of_alert_name(_events(spark, d), "ALERT-00000009"))
 
 
+def _event_lookup(spark, d) -> LookupTable:
+    """The whole event log laid out for look-ups by its alert."""
+    log = _events(spark, d)
+    held = LookupTable(
+        spark, run_dir(spark, "events"), log.schema, "alert_db_id", "alert_id", ["occurred_at", "seq", "event_type"], 16, 2_000)
+    held.add(log, 0)
+    return held
+
+
+@query("t6_stored_of_alert", O.sql(f"SELECT {_EVENT} FROM el WHERE alert_db_id IN ({', '.join(map(str, _ASKED))})"))
+def _(spark, d):
+    return _shown(_event_lookup(spark, d).by_key(_ASKED))
+
+
+@query("t7_stored_of_alert_name", O.sql(f"SELECT {_EVENT} FROM el WHERE alert_id IN ({', '.join(map(repr, _NAMED))})"))
+def _(spark, d):
+    return _shown(_event_lookup(spark, d).by_name(_NAMED))
+
+
 @query("t8_nested", O.sql(f"""
 SELECT a.id, a.alert_id, severity, risk_score, threat_verdict, coalesce(chunk_no, 0) AS chunk_no, coalesce(n, 0) AS n, coalesce(kinds, '') AS kinds,
   coalesce(positions, '') AS positions, first_at FROM a LEFT JOIN (
