@@ -1,8 +1,10 @@
-"""Language-model scores by stupid backoff over bigrams, with counts from all texts.
+"""Language-model scores by stupid backoff, with n-gram counts from all texts but one's own.
 
-The count tables of unigrams and bigrams are kept by hash in parts; each block of texts
-joins its exploded n-grams to them (see blocks.py) and adds up the logarithms of each
-document. However frequent an n-gram is, it is one entry for a block.
+The count tables of all orders are kept by hash in parts; each block of texts joins its
+exploded n-grams to them (see blocks.py) and adds up the logarithms of each document.
+However frequent an n-gram is, it is one entry for a block. From trigrams on a block asks
+only for n-grams whose two parts of one word less both occur in other documents: no other
+document can hold the rest.
 """
 
 from __future__ import annotations
@@ -14,61 +16,135 @@ from pyspark.sql import functions as F
 
 from sentrymill.llm import blocks
 from sentrymill.llm.benchmark import mix
-from sentrymill.llm.common import WORD
+from sentrymill.llm.common import WORD, parts_of, spread_join, stored
 
+ORDER = 3                 # words of the longest n-gram
 ALPHA = 0.4               # factor of a step back
-LEAST_COUNT = 2           # a bigram seen less often is taken as unseen
 BLOCK_CHARS = 4_000_000   # the larger a block, the more of its n-grams it has more than once
-_ONE, _TWO = 1, 2
 
 
-def grams(texts: pa.Array):
-    """Unigram and bigram hashes of texts in order, text numbers, and which bigrams lie
-    inside a text. A-Z are taken in lower case."""
-    at, words, counts = blocks.word_codes(texts)
-    one = blocks.hashed(at, [w.lower() for w in words])
-    doc = np.repeat(np.arange(len(counts)), counts)
-    inside = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
-    return one, mix(one[:-1], one[1:]), doc, inside
+class Grams:
+    """The n-grams of a block's texts. Of order k the n-gram that ends at each token, as a
+    64-bit hash, and whether it lies inside its text. A-Z are taken in lower case."""
 
+    def __init__(self, table: pa.Table, order: int):
+        at, words, counts = blocks.word_codes(table.column("t"))
+        one = blocks.hashed(at, [w.lower() for w in words])
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.place = np.arange(len(one)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.copies = table.column("copies").to_numpy()[self.doc]
+        self.hash = [one]
+        for _ in range(1, order):
+            longer = one.copy()
+            longer[1:] = mix(self.hash[-1][:-1], one[1:])
+            self.hash.append(longer)
+        self.elsewhere: list[np.ndarray] = []
 
-def score(docs: DataFrame, alpha: float = ALPHA, least_count: int = LEAST_COUNT) -> DataFrame:
+    def asked(self, k: int) -> np.ndarray:
+        """Tokens whose n-gram of order k is asked for; from 3 on this needs elsewhere."""
+        inside = self.place >= k - 1
+        if k > 2:
+            less = self.elsewhere[k - 2] > 0
+            inside[1:] &= less[1:] & less[:-1]
+        return inside
+
+    def keys(self, k: int):
+        mask = self.asked(k)
+        return self.hash[k - 1][mask], None, self.copies[mask]
+
+    def tell(self, answers: pa.Table, upto: int, parts: int) -> None:
+        """Fill `elsewhere`: for each order how often the n-gram at a token occurs in other rows."""
+        for k in range(1, upto + 1):
+            mask = self.asked(k)
+            mine = self.hash[k - 1][mask]
+            _, which, n = np.unique(mix(mine, self.doc[mask].astype(np.uint64)), return_inverse=True, return_counts=True)
+            other = np.zeros(len(mask), np.int64)
+            other[mask] = blocks.told(answers, k, mine, None, parts) - (n[which] if len(which) else 0)
+            self.elsewhere.append(other)
+
+
+def _values(grams: Grams, words: int, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every token and how many steps back it took."""
+    own = np.bincount(grams.doc, minlength=1)[grams.doc] if len(grams.doc) else np.zeros(0, np.int64)
+    value, found = np.full(len(own), 1 / max(words, 1)), np.zeros(len(own), np.int64)
+    for k, other in enumerate(grams.elsewhere, 1):
+        seen = np.flatnonzero(other > 0)
+        below = (words - own)[seen] if k == 1 else grams.elsewhere[k - 2][seen - 1]
+        value[seen], found[seen] = other[seen] / below, k
+    steps = np.minimum(grams.place + 1, order) - found
+    return value * alpha ** steps, steps
+
+
+def _distinct(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(`doc_id`, `text`, `copies`) of different rows, and whether any row comes repeatedly.
+    Only then the texts are brought together, combined before they cross the network."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = rows.groupBy(F.xxhash64("doc_id", "text").alias("k")).agg(F.count("*").alias("n"))
+    if names.where("n > 1").isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("long")), False
+    return stored(rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))), True
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """One row per input row: `doc_id`, `n_tokens`, `n_backed_off`, `log_score`, `mean_log`.
 
-    Tokens are words with A-Z in lower case. A token after another scores c(ab)/c(a) if
-    the pair is found at least `least_count` times in all texts, else `alpha` times
-    c(b)/N; the first token of a text scores c(b)/N. `log_score` adds up the natural
-    logarithms. Null and empty texts have no tokens, log_score 0 and a null mean.
-    Repeated rows count and are scored each. A null doc_id is kept. Extra columns are
-    ignored. When called it counts characters and words of the input in one job.
+    Tokens are words with A-Z in lower case. Counts are those of all other rows, so a text
+    is not judged by itself; all n-grams count, also those seen once. A token scores
+    c(n-gram)/c(n-gram without it) of the longest n-gram of at most `order` words that ends
+    with it, lies in its text and occurs in other rows; a single word scores c(word) by
+    their tokens. Each word less is a step back and multiplies by `alpha`. A word of no
+    other row is one more step back, to one in all tokens. `log_score` adds up the natural
+    logarithms; `n_backed_off` counts tokens with a step back or more. Null and empty texts
+    have no tokens, log_score 0 and a null mean. Repeated rows are rows of their own, each
+    among the others of its copies; a block holds one of them with their number. A null
+    doc_id is kept. Extra columns are ignored. When called it starts jobs that count
+    characters and words and look for repeated rows.
     """
+    if order < 1:
+        raise ValueError("order is 1 or more")
     held = docs.agg(F.sum(F.length("text").cast("long")), F.sum(F.regexp_count("text", F.lit(WORD)).cast("long"))).first()
     chars, words = held[0] or 0, held[1] or 0
+    rows, repeated = _distinct(docs)
     parts = blocks.parts_for(docs, chars)
-    dealt = blocks.deal(docs, chars, BLOCK_CHARS)
+    dealt = rows.select(
+        F.expr(f"pmod(xxhash64(doc_id, text), {parts_of(docs.sparkSession, chars, BLOCK_CHARS)}L)").alias("block"),
+        "doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"),
+        F.coalesce("text", F.lit("")).alias("t"), "copies")
+
+    def first_keys(table):
+        grams = Grams(table, min(order, 2))
+        return {k: grams.keys(k) for k in range(1, min(order, 2) + 1)}
 
-    def keys(table):
-        one, two, _, inside = grams(table.column("t"))
-        return {_ONE: (one, None, None), _TWO: (two[inside], None, None)}
+    def ask_for(k):
+        def ask(table, answers):
+            if not table.num_rows:
+                return blocks.ask_rows(0, {}, parts)
+            grams = Grams(table, k)
+            grams.tell(answers, k - 1, parts)
+            return blocks.ask_rows(table.column("block")[0].as_py(), {k: grams.keys(k)}, parts)
+        return ask
 
     def add_up(table, answers):
-        one, two, doc, inside = grams(table.column("t"))
-        alone = blocks.told(answers, _ONE, one, None, parts).astype(np.float64)
-        pair = np.zeros(len(two), np.int64)
-        pair[inside] = blocks.told(answers, _TWO, two[inside], None, parts)
-        value = alone / max(words, 1)
-        back = np.zeros(len(one), bool)
-        if len(one) > 1:
-            seen = inside & (pair >= least_count)
-            back[1:] = inside & ~seen
-            value[1:] = np.where(seen, pair / alone[:-1], np.where(inside, alpha * value[1:], value[1:]))
+        grams = Grams(table, order)
+        grams.tell(answers, order, parts)
+        value, steps = _values(grams, words, order, alpha)
         n = table.num_rows
-        columns = [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, back, n).astype(np.int64),
-                   np.bincount(doc, np.log(value), n).astype(np.float64)]
+        columns = [np.bincount(grams.doc, minlength=n).astype(np.int64), np.bincount(grams.doc, steps > 0, n).astype(np.int64),
+                   np.bincount(grams.doc, np.log(value), n).astype(np.float64)]
         return pa.Table.from_arrays(
-            [table.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_tokens", "n_backed_off", "log_score"])
+            [*(table.column(c) for c in ("doc_id", "k1", "k2")), *map(pa.array, columns)],
+            ["doc_id", "k1", "k2", "n_tokens", "n_backed_off", "log_score"])
 
-    answers = blocks.totals(blocks.asks(dealt, keys, parts))
+    answers = blocks.totals(blocks.asks(dealt, first_keys, parts))
+    for k in range(3, order + 1):
+        answers = stored(answers)
+        answers = answers.unionByName(blocks.totals(blocks.with_answers(dealt, answers, ask_for(k), blocks._ASK)))
     scored = blocks.with_answers(
-        dealt, answers, add_up, "doc_id long, n_tokens long, n_backed_off long, log_score double")
-    return scored.withColumn("mean_log", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+        dealt, answers, add_up, "doc_id long, k1 long, k2 long, n_tokens long, n_backed_off long, log_score double")
+    if repeated:
+        names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
+            F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
+        scored = spread_join(names, scored, ["k1", "k2"])
+    return scored.select(
+        "doc_id", "n_tokens", "n_backed_off", "log_score",
+        F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log"))

@@ -159,16 +159,17 @@ def _(spark, d):
 
 @query("op10_backoff", rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.replace("text", f"translate(text, {_LOWER})")} AS w FROM documents),
-p AS (SELECT r, unnest(w) AS b, generate_subscripts(w, 1) AS pos FROM d),
-g AS (SELECT r, pos, b, lag(b) OVER (PARTITION BY r ORDER BY pos) AS a FROM p),
-u AS (SELECT b AS t, count(*) AS n FROM p GROUP BY b),
-two AS (SELECT a, b, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b),
-x AS (SELECT g.r, g.a IS NOT NULL AND coalesce(two.n, 0) < {backoff.LEAST_COUNT} AS back,
-  CASE WHEN g.a IS NULL THEN ub.n / (SELECT count(*) FROM p)
-       WHEN two.n >= {backoff.LEAST_COUNT} THEN two.n / ua.n
-       ELSE {backoff.ALPHA} * ub.n / (SELECT count(*) FROM p) END AS v
-  FROM g LEFT JOIN two USING (a, b) JOIN u ub ON ub.t = g.b LEFT JOIN u ua ON ua.t = g.a),
-s AS (SELECT r, count(*) AS n, count(*) FILTER (back) AS k, sum(ln(v::DOUBLE)) AS l FROM x GROUP BY r)
+p AS (SELECT r, unnest(w) AS c, generate_subscripts(w, 1) AS pos FROM d),
+g AS (SELECT *, lag(c) OVER o AS b, lag(c, 2) OVER o AS a FROM p WINDOW o AS (PARTITION BY r ORDER BY pos)),
+x AS (SELECT r, pos, count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS x1,
+  CASE WHEN pos < 2 THEN 0 ELSE count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) END AS x2,
+  CASE WHEN pos < 3 THEN 0 ELSE count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) END AS x3,
+  count(*) OVER () AS total, count(*) OVER (PARTITION BY r) AS own FROM g),
+y AS (SELECT *, lag(x1) OVER o AS y1, lag(x2) OVER o AS y2, CASE WHEN x3 > 0 THEN 3 WHEN x2 > 0 THEN 2 WHEN x1 > 0 THEN 1 ELSE 0 END AS m
+  FROM x WINDOW o AS (PARTITION BY r ORDER BY pos)),
+v AS (SELECT r, least(pos, {backoff.ORDER}) - m AS steps, CASE m WHEN 3 THEN x3 / y2 WHEN 2 THEN x2 / y1
+  WHEN 1 THEN x1 / (total - own) ELSE 1 / total END AS v FROM y),
+s AS (SELECT r, count(*) AS n, count(*) FILTER (steps > 0) AS k, sum(ln(v::DOUBLE) + steps * ln({backoff.ALPHA}::DOUBLE)) AS l FROM v GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(k, 0)::BIGINT AS n_backed_off,
   round(coalesce(l, 0), 4) AS log_score, round(l / n, 6) AS mean_log FROM d LEFT JOIN s USING (r)""")
 def _(spark, d):

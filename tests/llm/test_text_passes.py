@@ -215,30 +215,55 @@ def test_benchmark_beyond_the_filter_is_the_same(sample, monkeypatch):
     assert plain <= {r[:2] for r in one}
 
 
-def slow_scores(rows):
-    split = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
-    uni = collections.Counter(x for w in split for x in w)
-    two = collections.Counter(p for w in split for p in zip(w, w[1:]))
-    total = sum(uni.values())
+def slow_scores(rows, order):
+    split = [tuple(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for _, t in rows]
+    spans = lambda w: [w[i:i + k] for k in range(1, order + 1) for i in range(len(w) - k + 1)]
+    every = collections.Counter(g for w in split for g in spans(w))
+    total = sum(map(len, split))
     out = []
     for (doc, _), w in zip(rows, split):
-        score, back = 0.0, 0
-        for i, x in enumerate(w):
-            n = two[w[i - 1], x] if i else 0
-            back += bool(i) and n < 2
-            score += math.log(n / uni[w[i - 1]] if n >= 2 else (0.4 if i else 1) * uni[x] / total)
+        other, score, back = every.copy(), 0.0, 0
+        other.subtract(spans(w))
+        for i in range(len(w)):
+            longest = min(order, i + 1)
+            k = next((k for k in range(longest, 0, -1) if other[w[i + 1 - k:i + 1]]), 0)
+            below = other[w[i + 1 - k:i]] if k > 1 else total - len(w) if k else total
+            back += k < longest
+            score += math.log((other[w[i + 1 - k:i + 1]] if k else 1) / below * 0.4 ** (longest - k))
         out.append((doc, len(w), back, round(score, 6)))
     return out
 
 
-@pytest.mark.parametrize("block", [300, 2_000_000])
-def test_scores(make_docs, odd_rows, monkeypatch, block):
+@pytest.mark.parametrize("block, order", [(300, 3), (2_000_000, 3), (300, 1), (300, 2), (5_000, 4)])
+def test_scores(make_docs, odd_rows, monkeypatch, block, order):
     monkeypatch.setattr(backoff, "BLOCK_CHARS", block)
-    rows = odd_rows + [(100 + i, "the cat sat on the mat and The dog " * (i % 4)) for i in range(30)]
-    got = backoff.score(make_docs(rows)).collect()
-    key = lambda r: tuple((v is None, v or 0) for v in r)
-    mine = sorted([(r.doc_id, r.n_tokens, r.n_backed_off, round(r.log_score, 6)) for r in got], key=key)
-    for a, b in zip(mine, sorted(slow_scores(rows), key=key), strict=True):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-5)
-    assert all((r.mean_log is None) == (r.n_tokens == 0) for r in got)
+    short = [(d, " ".join(t.split(" ")[:3000])) if t else (d, t) for d, t in odd_rows]
+    rows = short + [(100 + i, "the cat sat on the mat and The dog " * (i % 4) + f"n{i} alone") for i in range(30)]
+    for given in (rows, [r for i, r in enumerate(rows) if r not in rows[:i]]):       # with and without repeated rows
+        got = backoff.score(make_docs(given), order).collect()
+        key = lambda r: tuple((v is None, v or 0) for v in r)
+        mine = sorted([(r.doc_id, r.n_tokens, r.n_backed_off, round(r.log_score, 6)) for r in got], key=key)
+        for a, b in zip(mine, sorted(slow_scores(given, order), key=key), strict=True):
+            assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=1e-5, rel=1e-9)
+        assert all((r.mean_log is None) == (r.n_tokens == 0) for r in got)
+
+
+def test_scores_of_nothing_and_of_one_row(make_docs):
     assert backoff.score(make_docs([])).count() == 0
+    alone = backoff.score(make_docs([(1, "a b a")])).first()
+    assert alone.n_backed_off == 3 and alone.log_score == pytest.approx(math.log(0.4 ** 6 / 27))
+    with pytest.raises(ValueError):
+        backoff.score(make_docs([]), 0)
+
+
+def test_repeated_rows_fill_no_block(make_docs, monkeypatch):
+    """Half of the table is one row: it is one row of a block."""
+    monkeypatch.setattr(backoff, "BLOCK_CHARS", 2_000)
+    seen = []
+    asks = blocks.asks
+    monkeypatch.setattr(blocks, "asks", lambda dealt, *more: (seen.extend(dealt.groupBy("block").count().collect()), asks(dealt, *more))[1])
+    rows = [(i, f"some words of text number {i}") for i in range(300)] + [(7, "one row sent again and again")] * 300
+    got = backoff.score(make_docs(rows)).collect()
+    assert len(got) == 600 and len({r.log_score for r in got if r.doc_id == 7}) == 2
+    sizes = [r["count"] for r in seen]
+    assert sum(sizes) == 301 and max(sizes) < 100
