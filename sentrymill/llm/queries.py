@@ -65,17 +65,24 @@ def _licence_oracle() -> str:
     known = ", ".join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())
     rules = ", ".join(f"('{name}', '(^|.*,){',(.*,)?'.join(ids)}(,.*|$)')" for name, ids in licenses.RULES)
     plain = "trim(regexp_replace(translate(p, {}), '[^a-z0-9]+', ' ', 'g'))".format(_LOWER)
+    # letters that some known sentence or notice begins with: spares most comparisons
+    begins = "m[1] IN (" + ", ".join(sorted({f"'{s[0]}'" for s in licenses.SENTENCES.values()} | {f"'{c}'" for c in "tlrdpma"})) + ")"
+    joined = "sequence"
+    for two, one in licenses.TOGETHER.items():
+        joined = f"replace({joined}, '{','.join(two)}', '{one}')"
     return rf"""
 WITH known(id, s) AS (VALUES {known}), rules(licence, pattern) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(
   regexp_replace(text, '{licenses.BREAK}', '\1' || chr(10), 'g'), chr(10)), lambda p: {plain}), lambda p: p <> '') AS w FROM documents),
-o AS (SELECT r, doc_id, w, generate_subscripts(w, 1) AS i FROM d),
-f AS (SELECT r, doc_id, i - 1 AS pos, id FROM o JOIN known ON s = w[i]
-  UNION ALL SELECT r, doc_id, i - 1, id FROM o JOIN known ON s = w[i] || ' ' || w[i + 1]
-  UNION ALL SELECT r, doc_id, i - 1, id FROM o JOIN known ON s = w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+o AS (SELECT r, doc_id, i, array_to_string(w[i:i + {licenses._MOST_WORDS - 1}], chr(10)) || chr(10) AS m
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+b AS (SELECT r, doc_id, i, m, replace(m, chr(10), ' ') AS flat FROM o WHERE {begins}),
+k AS (SELECT r, doc_id, i - 1 AS pos, id FROM b JOIN known ON starts_with(flat, s || ' ') AND substr(m, length(s) + 1, 1) = chr(10)),
+f AS (FROM k UNION ALL SELECT r, doc_id, i - 1, 'notice ' || regexp_extract(flat, '{licenses.NOTICE}', {licenses.NAME_GROUP})
+  FROM b WHERE regexp_matches(flat, '{licenses.NOTICE}') AND NOT EXISTS (FROM k WHERE k.r = b.r AND k.pos = b.i - 1)),
 q AS (SELECT r, doc_id, count(*) AS n_sentences, min(pos)::BIGINT AS first_pos, string_agg(id, ',' ORDER BY pos, id) AS sequence
   FROM f GROUP BY r, doc_id)
-SELECT DISTINCT r AS _r, doc_id, licence, n_sentences, first_pos, sequence FROM q JOIN rules ON regexp_matches(sequence, pattern)"""
+SELECT DISTINCT r AS _r, doc_id, licence, n_sentences, first_pos, sequence FROM q JOIN rules ON regexp_matches({joined}, pattern)"""
 
 
 @query("op5_licenses", f"SELECT doc_id, licence, n_sentences, first_pos, sequence FROM ({_licence_oracle()})")

@@ -122,7 +122,9 @@ def test_licences(make_docs, odd_rows):
         50: ["MIT"], 51: ["MIT"], 52: ["MIT"], 54: ["Apache-2.0", "CC-BY-NC-4.0"], 56: ["MIT"], 57: ["MIT"]}
     assert licenses.recognise(make_docs([])).count() == 0
     assert all(any(s in x for s in licenses.STEMS) for x in licenses.SENTENCES.values())
-    assert {i for _, ids in licenses.RULES for i in ids} == set(licenses.SENTENCES)
+    used = {i for _, ids in licenses.RULES for i in ids}
+    assert used | {i for two in licenses.TOGETHER for i in two} == (
+        set(licenses.SENTENCES) | set(licenses.TOGETHER.values()) | {f"notice {n}" for n in licenses.NAMES})
     assert all(re.sub("[^a-z0-9]+", " ", s).strip() == s for s in licenses.SENTENCES.values())
 
 
@@ -166,6 +168,48 @@ AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
                    7: ("GPL-3.0", "gpl_redistribute,gpl_no_warranty")}
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+
+
+def gnu(what, kind, version):
+    return (f"This {what} is free software; you can redistribute it and/or modify it\nunder the terms of the GNU {kind} as "
+            f"published by the\nFree Software Foundation; either version {version} of the License, or (at your option)\nany later "
+            f"version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT\nANY WARRANTY; without even "
+            f"the implied warranty of MERCHANTABILITY or FITNESS FOR A\nPARTICULAR PURPOSE. See the License.")
+
+
+def test_licences_by_family_and_notice(make_docs):
+    unnumbered = lambda t: re.sub(r"(?m)^\d\. ", "* ", t)
+    isc = ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby "
+           "granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE "
+           "IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+           "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT")
+    want = {
+        1: (unnumbered(BSD), {"BSD-2-Clause"}), 2: (unnumbered(BSD + THIRD), {"BSD-3-Clause"}),
+        3: (unnumbered(BSD + "\n\n" + BSD + THIRD), {"BSD-2-Clause", "BSD-3-Clause"}),
+        4: (gnu("program", "General Public License", 2), {"GPL-2.0"}), 5: (gnu("library", "Lesser General Public License", "2.1"), {"LGPL-2.1"}),
+        6: (gnu("program", "Lesser General Public License", 3), {"LGPL-3.0"}), 7: (gnu("program", "Affero General Public License", 3), {"AGPL-3.0"}),
+        8: ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", {"MPL-2.0"}),
+        9: (isc, {"ISC"}), 10: ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        11: ("This file is licensed under the MIT License.", {"MIT"}), 12: ("Intro. Released under the MIT License, see the file.", {"MIT"}),
+        13: ("Distributed\nunder the\nMIT License", {"MIT"}), 14: ("This project is available under the terms of the BSD 3-Clause License (see LICENSE).", {"BSD-3-Clause"}),
+        15: ("Code licensed under the MIT License", set()), 16: ("Released under the MIT Licensed terms", set()),
+        17: ("SPDX-License-Identifier: MPL-2.0", {"MPL-2.0"}), 18: ("Licensed under CC BY-SA 4.0 by someone", {"CC-BY-SA-4.0"}),
+    }
+    got = collections.defaultdict(set)
+    for r in licenses.recognise(make_docs([(i, t) for i, (t, _) in want.items()])).collect():
+        got[r.doc_id].add(r.licence)
+    assert {i: got[i] for i in want} == {i: w for i, (_, w) in want.items()}
+
+
 def test_native_operators_run_no_python(make_docs, odd_rows, sample):
     from sentrymill.llm import preference
     turns = sample("conversations")
