@@ -137,7 +137,6 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
 
     answers = blocks.totals(blocks.asks(dealt, first_keys, parts))
     for k in range(3, order + 1):
-        answers = stored(answers)
         answers = answers.unionByName(blocks.totals(blocks.with_answers(dealt, answers, ask_for(k), blocks._ASK)))
     scored = blocks.with_answers(
         dealt, answers, add_up, "doc_id long, k1 long, k2 long, n_tokens long, n_backed_off long, log_score double")
