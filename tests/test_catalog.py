@@ -11,7 +11,7 @@ NAMES = [
     "s4_append_readback", "v7_accept_reject", "v8_merge_patch", "v9_key_clashes", "e4_prefer_source", "e16_report",
     "r6_risk_level", "a1_ingest_events", "a5_page_with_total", "a8_status_history", "t8_nested", "d6_summary",
     "d7_risk_distribution", "d9_trend", "p7_executions", "p9_block_register", "h12_resolve", "h15_continue",
-    "h18_restore", "l2_usage", "w2_sliding_counts",
+    "h18_restore", "l2_usage", "w2_sliding_counts", "a6_stored_by_id", "t7_stored_of_alert_name",
 ]
 
 
