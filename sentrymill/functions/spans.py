@@ -9,6 +9,8 @@ searched without a shuffle and without leaving the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +27,15 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+FIELDS = [field.split(":")[0] for field in SPAN[len("struct<"):-1].split(",")]
+
+
+def each(name: str, *fields: str) -> Column:
+    """One row per span of the column `name`, with all or some of its fields. Of a bare column
+    the optimizer would test the size below the search that fills it, which then ran twice."""
+    return F.inline(F.transform(name, lambda s: F.struct(*[s[f].alias(f) for f in fields or FIELDS])))
+
+
 def java_pattern(pattern: str, ignore_case: bool) -> str:
     """Java spelling with Unicode classes, as Python patterns on text have them."""
     return ("(?iU)" if ignore_case else "(?U)") + pattern
@@ -35,35 +46,37 @@ _HAS_WORD = {
     "dob": ("dob", "birth", "born"), "mrn": ("mrn",),
     "patient": ("patient", "client", "subject", "admitted", "referred"),
 }
+# Every match of these rules holds one of these words as it stands.
+_HOLDS = {
+    "email": ("@",), "doctor": ("Dr",),
+    "hospital": ("Hospital", "Medical", "Clinic", "Health", "Infirmary"),
+}
 _NEEDS_DIGIT = {"dob", "ssn", "mrn", "phone", "address", "date"}
+# What a match of these rules begins with. Looked at first, it spares most positions the
+# word boundary, which is dear with Unicode classes.
+_BEGINS = {"ssn": r"\d", "mrn": "M", "hospital": "[A-Z]", "doctor": "D", "address": r"\d", "name_pair": "[A-Z]"}
 
 
-def has_digit(text: Column) -> Column:
-    return text.rlike(r"(?U)\d")
+def prepared(text: Column) -> dict[str, Column]:
+    """What all rules need of a text, so that it is worked out once: `_clean`, the text
+    without marks of its own (no pattern can match a mark or its stand-in, and neither
+    counts as a word or a blank), `_lower` and `_digits`."""
+    # the long s is an s to a pattern that ignores case, but has no other lower case
+    plain = F.when(text.contains("\u017f"), F.translate(text, "\u017f", "s")).otherwise(text)
+    return {
+        "_clean": F.when(text.contains(_MARK), F.translate(text, _MARK, "\x02")).otherwise(text),
+        "_lower": F.lower(plain), "_digits": text.rlike(r"(?U)\d"),
+    }
 
 
-def _worth_a_look(text: Column, name: str, digits: Column | None) -> Column | None:
+def _worth_a_look(name: str, ready: dict[str, Column]) -> Column | None:
     """A cheap test that every match of the rule passes. It lets the expression skip
     the pattern on texts that cannot match."""
-    if name in _HAS_WORD:
-        lower = F.lower(text)
-        # the long s is an s to a pattern that ignores case, but has no other lower case
-        found = text.contains("\u017f")
-        for word in _HAS_WORD[name]:
-            found = found | lower.contains(word)
-        return found if digits is None or name not in _NEEDS_DIGIT else digits & found
-    if name in _NEEDS_DIGIT:
-        return digits
-    if name == "email":
-        return text.contains("@")
-    if name == "hospital":
-        found = F.lit(False)
-        for word in ("Hospital", "Medical", "Clinic", "Health", "Infirmary"):
-            found = found | text.contains(word)
-        return found
-    if name == "doctor":
-        return text.contains("Dr")
-    return None
+    tests = [ready["_digits"]] if name in _NEEDS_DIGIT else []
+    for words, text in ((_HAS_WORD, "_lower"), (_HOLDS, "_clean")):
+        if name in words:
+            tests.append(reduce(or_, [ready[text].contains(word) for word in words[name]]))
+    return reduce(and_, tests) if tests else None
 
 
 _BLOCK = 128
@@ -98,74 +111,78 @@ def _running(n: Column, part, combine, visit) -> Column:
     return F.flatten(F.transform(befores, lambda before, b: visit(_block(b, n), before)))
 
 
-def match_spans(
-    text: Column, rule: tuple, priority: int, digits: Column | None = None, strict: bool = False
-) -> Column:
-    """Spans of one rule in text order, each the full match less its lead-in.
-
-    `strict` keeps ignore-case to the lead-in, so a name needs its capitals.
-    """
+def _look(rule: tuple, priority: int, ready: dict[str, Column], strict: bool) -> Column:
+    """A rule with the pieces `cut` its matches leave of a text: odd pieces are the matches,
+    each less its lead-in. Null without a match."""
     name, entity, confidence, ignore_case, lead, body = rule
-    # A mark in the text itself would be taken for ours; no pattern can match it or
-    # its stand-in, and neither counts as a word or a blank.
-    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, "\x02")).otherwise(text)
+    clean = ready["_clean"]
     inner = f"(?-i:{body})" if lead and strict else body
+    ahead = f"(?={_BEGINS[name]})" if name in _BEGINS else ""
     # The search itself needs no group, which is faster; only a lead-in has to be kept
     # apart from its span when marking.
-    regex = java_pattern(lead + inner, ignore_case)
+    regex = java_pattern(ahead + lead + inner, ignore_case)
     if lead:
-        marker, marked = java_pattern(f"({lead})({inner})", ignore_case), f"$1{_MARK}$2{_MARK}"
+        marker, marked = java_pattern(f"{ahead}({lead})({inner})", ignore_case), f"$1{_MARK}$2{_MARK}"
     else:
         marker, marked = regex, f"{_MARK}$0{_MARK}"
-    pieces = F.split(F.regexp_replace(clean, F.lit(marker), F.lit(marked)), _MARK)
+    # Most texts hold no match; for them one search is all that runs.
+    gate = _worth_a_look(name, ready)
+    found = clean.rlike(regex) if gate is None else gate & clean.rlike(regex)
+    return F.struct(
+        F.when(found, F.split(F.regexp_replace(clean, F.lit(marker), F.lit(marked)), _MARK)).alias("cut"),
+        F.lit(entity).alias("entity_type"), F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"),
+    )
 
-    def offsets(cut: Column) -> Column:
-        def size(i: Column) -> Column:
-            return F.length(F.get(cut, i))
 
-        # odd pieces are the matches; seen.at is the offset of the piece
-        def step(seen: Column, i: Column) -> Column:
-            here = F.struct(
-                seen["at"].alias("start"), (seen["at"] + size(i)).alias("end"),
-                F.lit(entity).alias("entity_type"), strip(F.get(cut, i)).alias("value"),
-                F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"),
-            )
-            return F.named_struct(
-                F.lit("at"), seen["at"] + size(i),
-                F.lit("found"), F.when(i % 2 == 1, F.concat(seen["found"], F.array(here)))
-                .otherwise(seen["found"]).cast(SPANS),
-            )
+def _located(look: Column) -> Column:
+    """Spans of one look in text order."""
+    def size(i: Column) -> Column:
+        return F.length(F.get(look["cut"], i))
 
-        return _running(
-            F.size(cut),
-            lambda numbers: F.aggregate(numbers, F.lit(0), lambda total, i: total + size(i)),
-            lambda a, b: a + b,
-            lambda numbers, before: F.aggregate(
-                numbers, F.named_struct(F.lit("at"), before, F.lit("found"), no_spans()), step,
-                lambda seen: seen["found"],
-            ),
+    # seen.at is the offset of the piece
+    def step(seen: Column, i: Column) -> Column:
+        here = F.struct(
+            seen["at"].alias("start"), (seen["at"] + size(i)).alias("end"), look["entity_type"].alias("entity_type"),
+            strip(F.get(look["cut"], i)).alias("value"), look["confidence"].alias("confidence"),
+            look["priority"].alias("priority"),
         )
-
-    spans = _let(pieces, offsets)
-    # Most texts hold no match; for them one search is all that runs.
-    gate = _worth_a_look(text, name, digits)
-    found = clean.rlike(regex) if gate is None else gate & clean.rlike(regex)
-    spans = F.when(found, spans).otherwise(no_spans())
-    if name == "phone":
-        spans = F.filter(
-            spans,
-            lambda s: F.length(F.regexp_replace(s["value"], r"(?U)\D", "")) >= D.PHONE_DIGITS,
+        return F.named_struct(
+            F.lit("at"), seen["at"] + size(i),
+            F.lit("found"), F.when(i % 2 == 1, F.concat(seen["found"], F.array(here)))
+            .otherwise(seen["found"]).cast(SPANS),
         )
-    if name == "name_pair":
-        spans = F.filter(spans, lambda s: ~s["value"].isin(D.NOT_NAMES))
-    return spans
 
+    return _running(
+        F.size(look["cut"]),
+        lambda numbers: F.aggregate(numbers, F.lit(0), lambda total, i: total + size(i)),
+        lambda a, b: a + b,
+        lambda numbers, before: F.aggregate(
+            numbers, F.named_struct(F.lit("at"), before, F.lit("found"), no_spans()), step,
+            lambda seen: seen["found"],
+        ),
+    )
 
-def candidates(text: Column, digits: Column | None = None, strict: bool = False) -> Column:
-    """The spans of all rules. `digits` may hold a ready has_digit flag."""
-    return F.flatten(F.array(*[
-        match_spans(text, rule, i + 1, digits, strict) for i, rule in enumerate(D.PHI_RULES)
-    ]))
+
+def _real(span: Column) -> Column:
+    """Whether a match is more than its pattern's look: digits enough, or no known heading."""
+    digits = F.length(F.regexp_replace(span["value"], r"(?U)\D", ""))
+    return F.when(span["priority"] == _PRIORITY["phone"], digits >= D.PHONE_DIGITS).when(
+        span["priority"] == _PRIORITY["name_pair"], ~span["value"].isin(D.NOT_NAMES)).otherwise(True)
+
+
+_PRIORITY = {rule[0]: i + 1 for i, rule in enumerate(D.PHI_RULES)}
+
+
+def candidates(ready: dict[str, Column], rules: list[str] | None = None, strict: bool = False) -> Column:
+    """The spans of all rules, or of the named ones, in order of rule and place. `ready` is
+    prepared(), best as columns. `strict` keeps ignore-case to the lead-in, so a name needs
+    its capitals.
+    """
+    looks = F.array(*[
+        _look(rule, _PRIORITY[rule[0]], ready, strict) for rule in D.PHI_RULES if rules is None or rule[0] in rules
+    ])
+    found = F.filter(looks, lambda look: look["cut"].isNotNull())
+    return F.filter(F.flatten(F.transform(found, _located)), _real)
 
 
 def _settle(cluster: Column) -> Column:

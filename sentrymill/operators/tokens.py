@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
-from sentrymill.functions.spans import _let, replace_spans
+from sentrymill.functions.spans import _let, each, replace_spans
 from sentrymill.functions.text import text_map
 from sentrymill.operators.skew import lookup_join, sliced_row_number
 from sentrymill.session import cut_lineage
@@ -116,8 +116,7 @@ def substitute(detected: DataFrame, tokens: DataFrame, ttl: int = D.TOKEN_TTL_SE
     same session and number.
     """
     docs = _with_rows(detected)
-    entities = docs.select("session_id", "_row", F.inline("entities")).select(
-        "session_id", "_row", "start", "end", "value")
+    entities = docs.select("session_id", "_row", each("entities", "start", "end", "value"))
     return _swapped(docs.select("session_id", "text_seq", "text", "_row"), entities, tokens, ttl)
 
 
@@ -134,7 +133,8 @@ def pseudonymize(
     detected = detected.select("session_id", "text_seq", "text", "entities")
     known = live(existing, as_of) if existing is not None else None
     docs = _with_rows(detected)
-    entities = cut_lineage(docs.select("session_id", "_row", "text_seq", F.inline("entities")))
+    entities = cut_lineage(docs.select(
+        "session_id", "_row", "text_seq", each("entities", "start", "end", "entity_type", "value")))
     tokens = cut_lineage(assign(entities, as_of, known, ttl))
     if known is not None:
         tokens = renew(known, _with_rows(detected).select("session_id"), as_of, ttl).unionByName(tokens)

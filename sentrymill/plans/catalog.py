@@ -1228,9 +1228,7 @@ def _rule_query(number: int, rule: str) -> None:
     @query(f"h{number}_{rule}", O.rule_sql(rule))
     def _(spark, d):
         found = phi.find_rule(V.phi_docs(spark, d), rule)
-        return found.select("session_id", "text_seq", F.inline("spans")).select(
-            "session_id", "text_seq", "start", "end", "value"
-        )
+        return found.select("session_id", "text_seq", spans.each("spans", "start", "end", "value"))
 
 
 for _number, _rule in enumerate(phi.RULE_NAMES, 1):
