@@ -20,7 +20,7 @@ from sentrymill.llm.common import WORD, parts_of, spread_join, stored
 
 ORDER = 3                 # words of the longest n-gram
 ALPHA = 0.4               # factor of a step back
-BLOCK_CHARS = 4_000_000   # the larger a block, the more of its n-grams it has more than once
+BLOCK_CHARS = 8_000_000   # the larger a block, the more of its n-grams it has more than once
 
 
 class Grams:

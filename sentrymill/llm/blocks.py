@@ -74,26 +74,34 @@ def _distinct(k1: np.ndarray, k2: np.ndarray | None, parts: int):
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    kind = "<u1" if not len(counts) or counts.max() < 256 else "<i8"
-    return kind[2:].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+    """Counts as one byte each, those of 255 and more written out behind."""
+    low = zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+    return len(low).to_bytes(4, "little") + low + zlib.compress(counts[counts >= 255].astype("<i8").tobytes(), 1)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), f"<{'u' if data[:1] == b'1' else 'i'}{data[:1].decode()}").astype(np.int64)
+    end = 4 + int.from_bytes(data[:4], "little")
+    counts = np.frombuffer(zlib.decompress(data[4:end]), np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(zlib.decompress(data[end:]), "<i8")
+    return counts
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Rising 64-bit hashes as steps, byte by byte: the two high bytes of the steps of many
-    hashes are small numbers and compress, the others do not."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    high = zlib.compress(steps[6:].tobytes(), 1)
-    return len(high).to_bytes(4, "little") + high + steps[:6].tobytes()
+def _pack_keys(keys: np.ndarray, parts: int) -> bytes:
+    """Rising 64-bit hashes of one part, which agree modulo `parts`, as steps of their
+    quotients, byte by byte: the three high bytes of the steps of many hashes are small
+    numbers and compress, the others do not."""
+    steps = np.diff(keys // np.uint64(parts), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+    high = squeeze.compress(steps[5:].tobytes()) + squeeze.flush()
+    head = np.array([len(high), parts, int(keys[0]) % parts], "<u8").tobytes()
+    return head + high + steps[:5].tobytes()
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    low = 4 + int.from_bytes(data[:4], "little")
-    planes = np.frombuffer(data[low:] + zlib.decompress(data[4:low]), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+    size, parts, part = np.frombuffer(data[:24], "<u8")
+    low = 24 + int(size)
+    planes = np.frombuffer(data[low:] + zlib.decompress(data[24:low]), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64) * parts + part
 
 
 def ask_rows(block: int, keys: dict, parts: int) -> pa.Table:
@@ -106,7 +114,7 @@ def ask_rows(block: int, keys: dict, parts: int) -> pa.Table:
         a, b = k1[order][first], None if k2 is None else k2[order][first]
         for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
             cut = slice(at[p], at[p + 1])
-            for column, value in zip(columns, (p, block, kind, _pack_keys(a[cut]), b[cut].tobytes() if b is not None else None, _pack(n[cut]))):
+            for column, value in zip(columns, (p, block, kind, _pack_keys(a[cut], parts), b[cut].tobytes() if b is not None else None, _pack(n[cut]))):
                 column.append(value)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "block", "kind", "k1", "k2", "n"])
