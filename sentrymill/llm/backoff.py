@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sentrymill.llm import blocks
 from sentrymill.llm.benchmark import mix
-from sentrymill.llm.common import WORD, parts_of, spread_join, stored
+from sentrymill.llm.common import WORD
 
 ORDER = 3                 # words of the longest n-gram
 ALPHA = 0.4               # factor of a step back
@@ -75,16 +75,6 @@ def _values(grams: Grams, words: int, order: int, alpha: float) -> tuple[np.ndar
     return value * alpha ** steps, steps
 
 
-def _distinct(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(`doc_id`, `text`, `copies`) of different rows, and whether any row comes repeatedly.
-    Only then the texts are brought together, combined before they cross the network."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = rows.groupBy(F.xxhash64("doc_id", "text").alias("k")).agg(F.count("*").alias("n"))
-    if names.where("n > 1").isEmpty():
-        return rows.withColumn("copies", F.lit(1).cast("long")), False
-    return stored(rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))), True
-
-
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
     """One row per input row: `doc_id`, `n_tokens`, `n_backed_off`, `log_score`, `mean_log`.
 
@@ -104,12 +94,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
         raise ValueError("order is 1 or more")
     held = docs.agg(F.sum(F.length("text").cast("long")), F.sum(F.regexp_count("text", F.lit(WORD)).cast("long"))).first()
     chars, words = held[0] or 0, held[1] or 0
-    rows, repeated = _distinct(docs)
     parts = blocks.parts_for(docs, chars)
-    dealt = rows.select(
-        F.expr(f"pmod(xxhash64(doc_id, text), {parts_of(docs.sparkSession, chars, BLOCK_CHARS)}L)").alias("block"),
-        "doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"),
-        F.coalesce("text", F.lit("")).alias("t"), "copies")
+    dealt, names = blocks.deal(docs, chars, BLOCK_CHARS)
 
     def first_keys(table):
         grams = Grams(table, min(order, 2))
@@ -140,10 +126,6 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
         answers = answers.unionByName(blocks.totals(blocks.with_answers(dealt, answers, ask_for(k), blocks._ASK)))
     scored = blocks.with_answers(
         dealt, answers, add_up, "doc_id long, k1 long, k2 long, n_tokens long, n_backed_off long, log_score double")
-    if repeated:
-        names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
-            F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
-        scored = spread_join(names, scored, ["k1", "k2"])
-    return scored.select(
+    return blocks.for_all(scored, names).select(
         "doc_id", "n_tokens", "n_backed_off", "log_score",
         F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).alias("mean_log"))

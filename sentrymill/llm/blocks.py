@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrymill.llm.common import parts_of
+from sentrymill.llm.common import parts_of, spread_join, stored
 
 BLOCK_CHARS = 2_000_000
 PART_CHARS = 32_000_000   # of text whose keys one part of the count tables holds
@@ -48,12 +48,31 @@ def hashed(at: np.ndarray, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], np.uint64)[at]
 
 
-def deal(docs: DataFrame, chars: int, per_block: int | None = None) -> DataFrame:
-    """`block`, `doc_id` and text `t` of every row. The block hangs on id and text alone."""
+def deal(docs: DataFrame, chars: int, per_block: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """`block`, `doc_id`, text `t`, name (`k1`, `k2`) and number of `copies` of all different
+    rows, and, if any row comes repeatedly, the names of all rows (else None).
+
+    The block hangs on id and text alone, so a row sent again and again has to be one row
+    of its block. Only if there are such rows the texts are brought together for it,
+    combined before they cross the network.
+    """
     blocks = parts_of(docs.sparkSession, chars, per_block or BLOCK_CHARS)
-    return docs.select(
-        F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)").alias("block"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    k1, k2 = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = not rows.groupBy(k1).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if repeated:
+        held = stored(rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies")))
+    else:
+        held = rows.withColumn("copies", F.lit(1).cast("long"))
+    dealt = held.select(
+        F.pmod(k1, F.lit(blocks).cast("long")).alias("block"), "doc_id", k1.alias("k1"), k2.alias("k2"),
+        F.coalesce("text", F.lit("")).alias("t"), "copies")
+    return dealt, rows.select(k1.alias("k1"), k2.alias("k2")) if repeated else None
+
+
+def for_all(done: DataFrame, names: DataFrame | None) -> DataFrame:
+    """What came out for different rows, once for each row: `names` as deal() gives them."""
+    return done if names is None else spread_join(names, done, ["k1", "k2"])
 
 
 def parts_for(docs: DataFrame, chars: int) -> int:

@@ -152,21 +152,21 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, t
 
     A word goes if a window of `width` consecutive words covers it whose word sequence
     also starts anywhere else in the input. Null and empty texts have no words. Rows
-    repeated with one doc_id and text repeat each other and lose alike. A null doc_id is
-    kept as null. Extra columns are ignored. When called it counts the characters of the
-    input in one job.
+    repeated with one doc_id and text repeat each other and lose alike; a block holds one
+    of them with their number. A null doc_id is kept as null. Extra columns are ignored.
+    When called it starts jobs that count the characters and look for repeated rows.
     """
     chars = total_chars(docs)
     parts = blocks.parts_for(docs, chars)
-    dealt = blocks.deal(docs, chars)
+    dealt, names = blocks.deal(docs, chars)
 
     def stretches(table):
         words, counts = word_hashes(table.column("t"))
         return words, counts, _stretches(words, counts, width, rounds)
 
     def anchor_keys(table):
-        _, _, (key, _, _, _, sure) = stretches(table)
-        return {0: (key, None, 1 + sure.astype(np.int64))}
+        _, _, (key, text, _, _, sure) = stretches(table)
+        return {0: (key, None, (1 + sure.astype(np.int64)) * table.column("copies").to_numpy()[text])}
 
     def candidates(table, answers):
         words, counts, (key, text, first, last, _) = stretches(table)
@@ -176,8 +176,9 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, t
     def ask_windows(table, answers):
         if not table.num_rows:
             return blocks.ask_rows(0, {}, parts)
-        _, _, (k1, k2, _, _) = candidates(table, answers)
-        return blocks.ask_rows(table.column("block")[0].as_py(), {1: (k1, k2, None)}, parts)
+        _, _, (k1, k2, text, _) = candidates(table, answers)
+        return blocks.ask_rows(
+            table.column("block")[0].as_py(), {1: (k1, k2, table.column("copies").to_numpy()[text])}, parts)
 
     def cut(table, answers):
         _, counts, (k1, k2, text, start) = candidates(table, answers)
@@ -196,12 +197,13 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS, t
             for column, value in zip(out, (n, int(mine.sum()), hashlib.sha256(left).hexdigest(), left.decode() if texts else None)):
                 column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-        return pa.Table.from_arrays([table.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, kinds)]], names)
+        return pa.Table.from_arrays(
+            [*(table.column(c) for c in ("k1", "k2", "doc_id")), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+            ["k1", "k2", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     of_anchors = blocks.totals(blocks.asks(dealt, anchor_keys, parts), 2)
     of_windows = blocks.totals(blocks.with_answers(dealt, of_anchors, ask_windows, blocks._ASK), 2)
     done = blocks.with_answers(
         dealt, of_anchors.unionByName(of_windows), cut,
-        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return done if texts else done.drop("kept")
+        "k1 long, k2 long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return blocks.for_all(done, names).drop("k1", "k2", *([] if texts else ["kept"]))

@@ -278,6 +278,23 @@ def slow_scores(rows, order):
     return out
 
 
+def test_repeated_rows_of_passages_fill_no_block(make_docs, monkeypatch):
+    """Half of the table is one row with a passage: one row of a block, every copy loses it."""
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 2_000)
+    seen = []
+    asks = blocks.asks
+    monkeypatch.setattr(blocks, "asks", lambda dealt, *more: (seen.extend(dealt.groupBy("block").count().collect()), asks(dealt, *more))[1])
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"some words of text number {i}") for i in range(200)] + [(7, long)] * 200 + [(8, long + " more")] + [(9, None)] * 3
+    got = recompress.remove_repeats(make_docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in got if r.n_words > 6 or r.doc_id == 9 and not r.n_words} == {
+        (7, 40, 40, ""), (8, 41, 40, "more"), (9, 0, 0, "")}
+    assert sum(r["count"] for r in seen) == 203 and max(r["count"] for r in seen) < 100
+    single = recompress.remove_repeats(make_docs([(7, long)])).first()
+    assert (single.n_removed, single.kept) == (0, long)
+
+
 @pytest.mark.parametrize("block, order", [(300, 3), (2_000_000, 3), (300, 1), (300, 2), (5_000, 4)])
 def test_scores(make_docs, odd_rows, monkeypatch, block, order):
     monkeypatch.setattr(backoff, "BLOCK_CHARS", block)
