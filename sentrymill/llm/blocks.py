@@ -79,17 +79,22 @@ def parts_for(docs: DataFrame, chars: int) -> int:
     return parts_of(docs.sparkSession, chars, PART_CHARS)
 
 
+def _width(parts: int) -> int:
+    """Part p holds the hashes from p times this number, so order by hash is order by part."""
+    return (2**64 - 1) // parts
+
+
 def _distinct(k1: np.ndarray, k2: np.ndarray | None, parts: int):
     """Order of keys by (part, k1, k2), where a new key opens, and where each part does."""
-    part = (k1 % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((k1, part) if k2 is None else (k2, k1, part))
+    order = np.argsort(k1) if k2 is None else np.lexsort((k2, k1))
     a = k1[order]
     new = np.ones(len(a), bool)
     new[1:] = a[1:] != a[:-1]
     if k2 is not None:
         b = k2[order]
         new[1:] |= b[1:] != b[:-1]
-    return order, new, np.searchsorted(part[order][new], np.arange(parts + 1))
+    lows = np.arange(parts, dtype=np.uint64) * np.uint64(_width(parts))
+    return order, new, np.append(np.searchsorted(a[new], lows), int(new.sum()))
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -105,22 +110,20 @@ def _unpack(data: bytes) -> np.ndarray:
     return counts
 
 
-def _pack_keys(keys: np.ndarray, parts: int) -> bytes:
-    """Rising 64-bit hashes of one part, which agree modulo `parts`, as steps of their
-    quotients, byte by byte: the three high bytes of the steps of many hashes are small
-    numbers and compress, the others do not."""
-    steps = np.diff(keys // np.uint64(parts), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+def _pack_keys(keys: np.ndarray, low: int) -> bytes:
+    """Rising 64-bit hashes from `low` on as steps, byte by byte: the three high bytes of
+    the steps of many hashes are small numbers and compress, the others do not."""
+    steps = np.diff(keys, prepend=np.uint64(low)).astype("<u8").view(np.uint8).reshape(-1, 8).T
     squeeze = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
     high = squeeze.compress(steps[5:].tobytes()) + squeeze.flush()
-    head = np.array([len(high), parts, int(keys[0]) % parts], "<u8").tobytes()
-    return head + high + steps[:5].tobytes()
+    return np.array([len(high), low], "<u8").tobytes() + high + steps[:5].tobytes()
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    size, parts, part = np.frombuffer(data[:24], "<u8")
-    low = 24 + int(size)
-    planes = np.frombuffer(data[low:] + zlib.decompress(data[24:low]), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64) * parts + part
+    size, low = np.frombuffer(data[:16], "<u8")
+    end = 16 + int(size)
+    planes = np.frombuffer(data[end:] + zlib.decompress(data[16:end]), np.uint8).reshape(8, -1)
+    return low + np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def ask_rows(block: int, keys: dict, parts: int) -> pa.Table:
@@ -133,7 +136,7 @@ def ask_rows(block: int, keys: dict, parts: int) -> pa.Table:
         a, b = k1[order][first], None if k2 is None else k2[order][first]
         for p in np.flatnonzero(at[1:] > at[:-1]).tolist():
             cut = slice(at[p], at[p + 1])
-            for column, value in zip(columns, (p, block, kind, _pack_keys(a[cut], parts), b[cut].tobytes() if b is not None else None, _pack(n[cut]))):
+            for column, value in zip(columns, (p, block, kind, _pack_keys(a[cut], p * _width(parts)), b[cut].tobytes() if b is not None else None, _pack(n[cut]))):
                 column.append(value)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "block", "kind", "k1", "k2", "n"])
