@@ -1407,6 +1407,15 @@ def _landed_in_turn(df: DataFrame, name: str, day) -> str:
     return path
 
 
+def _in_turn(df: DataFrame, name: str, day, stream) -> None:
+    """Rows landed week by week, by a day number from 1. After each week `stream` is run on the
+    folder over the same checkpoint: a week is one micro-batch, of as many files as it has tasks."""
+    stored, path = cut_lineage(df), run_dir(df.sparkSession, name)
+    for week in range(5):
+        stored.where(F.floor((day - 1) / 7) == week).write.mode("append").parquet(path)
+        stream(path).awaitTermination()
+
+
 def _streamed(spark, d) -> str:
     """The intake over several micro-batches: repeats come in later batches than what
     they repeat, up to a month late."""
@@ -1438,14 +1447,15 @@ def _(spark, d):
     return held.select("id", F.explode("reasons").alias("reason"))
 
 
+def _counted(spark, d, day, **options) -> str:
+    out, state = run_dir(spark, "windows"), run_dir(spark, "state")
+    _in_turn(V.alerts(spark, d), "alerts", day, lambda path: jobs.window_counts_job(
+        spark.readStream.schema(S.ALERTS).parquet(path), out, state, **options))
+    return out
+
+
 def _windows(spark, d, **options):
-    path = _landed_in_turn(V.alerts(spark, d), "alerts", F.dayofmonth("created_at"))
-    out = run_dir(spark, "windows")
-    jobs.window_counts_job(
-        spark.readStream.schema(S.ALERTS).option("maxFilesPerTrigger", 1).parquet(path), out, run_dir(spark, "state"),
-        **options,
-    ).awaitTermination()
-    return jobs.read_window_counts(spark, out)
+    return jobs.read_window_counts(spark, _counted(spark, d, F.dayofmonth("created_at"), **options))
 
 
 @query("w2_hourly_counts", O.sql(f"""

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,3 +179,39 @@ def test_late_rows_are_counted_apart(spark, tmp_path):
     counted = {r.start.hour: r["count"] for r in jobs.read_window_counts(spark, out).collect()}
     late = {r.start.hour: r.late for r in jobs.read_late_counts(spark, out).collect()}
     assert counted == {0: 2, 4: 1, 5: 1, 9: 2} and late == {0: 3}
+
+
+def _files_at_each_run(monkeypatch, job):
+    """A list that gets the files of the newest landing folder at each start of the job."""
+    import glob
+    from sentrymill.plans import catalog
+    seen, folders, real, real_dir = [], [], getattr(jobs, job), catalog.run_dir
+
+    def run(*args, **options):
+        seen.append(len(glob.glob(f"{folders[0]}/*.parquet")))
+        return real(*args, **options)
+
+    def run_dir_(session, name):
+        folders.extend([path := real_dir(session, name)] if name in ("alerts", "runs") else [])
+        return path if name in ("alerts", "runs") else real_dir(session, name)
+
+    monkeypatch.setattr(jobs, job, run)
+    monkeypatch.setattr(catalog, "run_dir", run_dir_)
+    return seen
+
+
+def _four_files_of_alerts(spark, monkeypatch):
+    rows = spark.range(0, 300, 1, 4).selectExpr(
+        "id", "'High' AS severity", "60.0D AS risk_score",
+        "timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, int(id % 30)) AS created_at")
+    monkeypatch.setattr(V, "alerts", lambda *_: rows)
+
+
+@pytest.mark.parametrize("name", ["w2_hourly_counts", "w2_sliding_counts"])
+def test_a_week_of_alerts_is_a_batch_of_many_files(spark, monkeypatch, name):
+    from sentrymill.plans import catalog
+    _four_files_of_alerts(spark, monkeypatch)
+    seen = _files_at_each_run(monkeypatch, "window_counts_job")
+    counted = catalog.QUERIES[name](spark, "none")
+    assert counted.agg(F.sum("count")).first()[0] == 300 * (2 if "sliding" in name else 1)
+    assert seen == [4, 8, 12, 16, 20]      # a week is not written by one task
