@@ -1477,10 +1477,7 @@ def _(spark, d):
 SELECT {O.t("date_trunc('hour', created_at)")} AS "start", severity, risk_level, count(*) AS rows FROM a GROUP BY ALL"""))
 def _(spark, d):
     """Days in reverse order: nearly every row is late, and each is counted on one side."""
-    path, out = _landed_in_turn(V.alerts(spark, d), "alerts", 31 - F.dayofmonth("created_at")), run_dir(spark, "windows")
-    jobs.window_counts_job(
-        spark.readStream.schema(S.ALERTS).option("maxFilesPerTrigger", 1).parquet(path), out, run_dir(spark, "state"),
-    ).awaitTermination()
+    out = _counted(spark, d, 31 - F.dayofmonth("created_at"))
     jobs.compact_windows(spark, out, 1)
     both = jobs.read_window_counts(spark, out).unionByName(
         jobs.read_late_counts(spark, out).withColumnRenamed("late", "count"))

@@ -215,3 +215,11 @@ def test_a_week_of_alerts_is_a_batch_of_many_files(spark, monkeypatch, name):
     counted = catalog.QUERIES[name](spark, "none")
     assert counted.agg(F.sum("count")).first()[0] == 300 * (2 if "sliding" in name else 1)
     assert seen == [4, 8, 12, 16, 20]      # a week is not written by one task
+
+
+def test_late_weeks_are_batches_of_many_files(spark, monkeypatch):
+    from sentrymill.plans import catalog
+    _four_files_of_alerts(spark, monkeypatch)
+    seen = _files_at_each_run(monkeypatch, "window_counts_job")
+    counted = catalog.QUERIES["w2_late_counts"](spark, "none")
+    assert counted.agg(F.sum("rows")).first()[0] == 300 and seen == [4, 8, 12, 16, 20]
