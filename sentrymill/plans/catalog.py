@@ -1399,14 +1399,6 @@ def _landed(df: DataFrame, name: str, by: str) -> str:
     return path
 
 
-def _landed_in_turn(df: DataFrame, name: str, day) -> str:
-    """Rows written as five files, one after another by a day number from 1."""
-    path = run_dir(df.sparkSession, name)
-    for week in range(5):
-        df.where(F.floor((day - 1) / 7) == week).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
 def _in_turn(df: DataFrame, name: str, day, stream) -> None:
     """Rows landed week by week, by a day number from 1. After each week `stream` is run on the
     folder over the same checkpoint: a week is one micro-batch, of as many files as it has tasks."""
@@ -1488,10 +1480,9 @@ def _(spark, d):
 SELECT ip_address, alert_id, reason, blocked_by, {O.t('blocked_at')} AS blocked_at FROM blk"""))
 def _(spark, d):
     runs = _runs(spark, d)
-    path = _landed_in_turn(runs, "runs", F.dayofmonth("executed_at"))
-    register = run_dir(spark, "register")
-    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    jobs.block_register(stream, register, run_dir(spark, "state")).awaitTermination()
+    register, state = run_dir(spark, "register"), run_dir(spark, "state")
+    _in_turn(runs, "runs", F.dayofmonth("executed_at"), lambda path: jobs.block_register(
+        spark.readStream.schema(runs.schema).parquet(path), register, state))
     return jobs.read_batches(spark, register, S.BLOCKED_IPS).select(
         "ip_address", "alert_id", "reason", "blocked_by", "blocked_at"
     )

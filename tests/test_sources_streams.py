@@ -223,3 +223,16 @@ def test_late_weeks_are_batches_of_many_files(spark, monkeypatch):
     seen = _files_at_each_run(monkeypatch, "window_counts_job")
     counted = catalog.QUERIES["w2_late_counts"](spark, "none")
     assert counted.agg(F.sum("rows")).first()[0] == 300 and seen == [4, 8, 12, 16, 20]
+
+
+def test_a_week_of_runs_is_a_batch_of_many_files(spark, monkeypatch):
+    from sentrymill.plans import catalog
+    rows = spark.range(0, 300, 1, 4).selectExpr(
+        "id AS alert_db_id", "'A' || id AS alert_id", "id AS seq", "'block_ip' AS playbook_name", "'10.0.0.' || id % 60 AS target",
+        "'Success' AS status", "'x' AS executed_by", "'' AS notes",
+        "timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, int(id % 30)) AS executed_at")
+    monkeypatch.setattr(catalog, "_runs", lambda *_: rows)
+    seen = _files_at_each_run(monkeypatch, "block_register")
+    held = {r.ip_address: r.alert_id for r in catalog.QUERIES["w3_block_register"](spark, "none").collect()}
+    assert held == {f"10.0.0.{i}": min(f"A{k}" for k in range(i, 300, 60)) for i in range(60)}
+    assert seen == [4, 8, 12, 16, 20]
