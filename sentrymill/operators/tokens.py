@@ -192,13 +192,17 @@ def restore(docs: DataFrame, tokens: DataFrame, as_of: Column) -> DataFrame:
     once, however often they occur, and put back by position; the work goes with the text, but
     within one run with its tokens times its length. Tokens met on the way are looked up in
     further rounds, for the runs that meet a new one only: as many rounds as values are
-    nested in each other. Starts a job for each when called.
+    nested in each other. Starts a job for each when called. The texts are written out once
+    with their runs, as they are read several times and may come from a costly plan.
     """
     known = live(tokens, as_of).select("session_id", "token", "value", "first_seq", "first_start")
-    holds = F.coalesce(F.col("text").rlike(TOKEN_TEXT), F.lit(False))
-    marked = docs.select("session_id", "text_seq", "text", F.xxhash64("text_seq", "text").alias("_row")).where(holds)
-    places = marked.select(
-        "session_id", "_row", F.posexplode(F.regexp_extract_all("text", F.lit(f"({TOKEN_RUN})"), F.lit(1))).alias("pos", "cell"))
+    runs = F.regexp_extract_all("text", F.lit(f"({TOKEN_RUN})"), F.lit(1))
+    docs = cut_lineage(docs.select(
+        "session_id", "text_seq", "text", F.xxhash64("text_seq", "text").alias("_row"),
+        F.when(F.col("text").rlike(TOKEN_TEXT), runs).alias("_runs")))
+    holds = F.col("_runs").isNotNull()
+    marked = docs.where(holds).drop("_runs")
+    places = docs.where(holds).select("session_id", "_row", F.posexplode("_runs").alias("pos", "cell"))
     cells = places.where("session_id is not null").select("session_id", "cell").distinct()
     columns = ["session_id", "cell", "token", "value", "first_seq", "first_start"]
     wanted = cells.select("session_id", "cell", F.explode(_tokens_in(F.col("cell"))).alias("token"))

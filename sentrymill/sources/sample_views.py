@@ -263,8 +263,10 @@ def rules(spark: SparkSession) -> DataFrame:
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """Ward notes with every kind of personal data, one per customer. Ward 0 holds more
-    than a third of them."""
-    return table(spark, folder, "customer").selectExpr("c_custkey AS n").selectExpr(
+    than a third of them. A few MB of keys make millions of texts, so the keys are dealt out
+    first: a task that reads them would otherwise search the texts of its whole file."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, folder, "customer").selectExpr("c_custkey AS n").repartition(tasks).selectExpr(
         "'ward-' || if(n % 3 = 0, 0, n % 12) AS session_id", "n AS text_seq",
         """CASE n % 6
              WHEN 0 THEN 'Seen by Dr. Mary Jones on 2024-01-' || lpad(n % 28 + 1, 2, '0')

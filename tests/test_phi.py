@@ -1,6 +1,7 @@
 """Spans against a plain finditer, golden notes, tokens and restoring."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sentrymill import domains as D
 from sentrymill import schemas as S
 from sentrymill.operators import phi, tokens
+from sentrymill.sources import sample_views as V
 
 AS_OF = "2024-01-01 00:00:00"
 
@@ -181,3 +183,24 @@ def test_many_entities_in_one_text(spark):
     back = tokens.restore(
         out.selectExpr("session_id", "text_seq", "pseudonymized_text AS text"), given, F.lit("2024-01-01").cast("timestamp"))
     assert back.collect()[0].restored_text == text and back.collect()[0].restored_count == 400
+
+
+def test_notes_are_dealt_out_before_they_are_searched(spark, tmp_path):
+    spark.range(0, 4000, 1, 1).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    notes = V.notes(spark, str(tmp_path))
+    held = [r[1] for r in notes.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 4000 and max(held) < 4000 / 4       # one file of keys was one task
+
+
+def test_restore_reads_its_texts_once(spark, tmp_path):
+    """They come from a costly plan: what follows must go on from the stored texts."""
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(
+        [("s", 1, "Seen by EMAIL_001, not EMAIL_002x."), ("s", 2, "nothing"), ("s", 3, None), (None, 4, "EMAIL_001")],
+        "session_id string, text_seq long, text string").write.parquet(path)
+    known = spark.createDataFrame(
+        [("s", "Ann", "EMAIL_001", "EMAIL", 1, 1, 0, datetime(2030, 1, 1)), ("s", "Bo", "EMAIL_002", "EMAIL", 2, 1, 9, datetime(2030, 1, 1))], S.TOKENS)
+    back = tokens.restore(spark.read.parquet(path), known, F.lit(datetime(2024, 1, 1)))
+    assert sorted((r.text_seq, r.restored_text, r.restored_count) for r in back.collect()) == [
+        (1, "Seen by Ann, not Box.", 2), (2, "nothing", 0), (3, None, 0), (4, "EMAIL_001", 0)]
+    assert not any(path in f for f in back.inputFiles())
