@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrymill import domains as D
 from sentrymill.functions import scoring
 from sentrymill.functions.text import as_json, fill
-from sentrymill.operators.skew import sliced_row_number
+from sentrymill.operators.skew import heavy_keys, sliced_row_number
+from sentrymill.session import cut_lineage
 
 # Events of one alert at the same instant are told apart by seq: lifecycle events
 # have 1 to 3, later ones the number of their request after this offset.
@@ -104,31 +105,51 @@ def of_alert_name(timeline: DataFrame, alert_id: str) -> DataFrame:
     return timeline.where(F.col("alert_id") == alert_id).orderBy(*_oldest_first())
 
 
-def nested(alerts: DataFrame, timeline: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Alerts with their events as an ordered array; no events gives an empty array.
-
-    An alert with more than `chunk` events takes several rows, numbered by `chunk_no`
-    from 0, so no array and no group grows without bound and no event is left out.
-    """
-    placed = sliced_row_number(
-        timeline.withColumn("_at", F.unix_micros("occurred_at")), ["alert_db_id"],
-        ["_at", "seq", "event_type"], "_at", "_pos",
-    )
-    rows = (
-        placed.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / chunk).cast("long"))
+def _chunks(timeline: DataFrame, chunk: int) -> DataFrame:
+    """The events of an alert by position, in arrays of up to `chunk`."""
+    return (
+        timeline.withColumn("chunk_no", F.floor((F.col("_pos") - 1) / chunk).cast("long"))
         .groupBy("alert_db_id", "chunk_no")
         .agg(F.sort_array(F.collect_list(F.struct(
             F.col("_pos").alias("position"), "event_type", "description", "metadata_json",
             "occurred_at",
         ))).alias("events"))
     )
+
+
+def nested(alerts: DataFrame, timeline: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Alerts with their events as an ordered array; no events gives an empty array.
+
+    An alert with more than `chunk` events takes several rows, numbered by `chunk_no`
+    from 0, so no array and no group grows without bound and no event is left out.
+
+    Alerts with very many events (see heavy_keys) are placed slice by slice and joined by
+    themselves. So the events of all others cross the network once, by alert, for their
+    positions, chunks and alerts alike. Counts the events per alert when called.
+    """
+    timed = timeline.where("alert_db_id is not null").withColumn("_at", F.unix_micros("occurred_at"))
+    order = ["_at", "seq", "event_type"]
     head = alerts.select(
         F.col("id").alias("alert_db_id"), "alert_id", "alert_type", "source_ip", "severity",
         "status", "risk_score", "threat_verdict", "created_at",
     )
-    none = F.array().cast(rows.schema["events"].dataType)
-    return rows.join(head, "alert_db_id", "right").select(
-        F.col("alert_db_id").alias("id"), *[c for c in head.columns if c != "alert_db_id"],
-        F.coalesce("chunk_no", F.lit(0).cast("long")).alias("chunk_no"),
-        F.coalesce("events", none).alias("events"),
-    )
+
+    def joined(rows: DataFrame, head: DataFrame) -> DataFrame:
+        none = F.array().cast(rows.schema["events"].dataType)
+        return rows.join(head, "alert_db_id", "right").select(
+            F.col("alert_db_id").alias("id"), *[c for c in head.columns if c != "alert_db_id"],
+            F.coalesce("chunk_no", F.lit(0).cast("long")).alias("chunk_no"),
+            F.coalesce("events", none).alias("events"),
+        )
+
+    def plain(events: DataFrame) -> DataFrame:
+        inside = Window.partitionBy("alert_db_id").orderBy(*order)
+        return _chunks(events.withColumn("_pos", F.row_number().over(inside).cast("long")), chunk)
+
+    heavy = cut_lineage(heavy_keys(timed, ["alert_db_id"]).select("alert_db_id"))
+    if heavy.isEmpty():
+        return joined(plain(timed), head)
+    many = F.broadcast(heavy)
+    placed = sliced_row_number(timed.join(many, "alert_db_id", "left_semi"), ["alert_db_id"], order, "_at", "_pos")
+    return joined(plain(timed.join(many, "alert_db_id", "left_anti")), head.join(many, "alert_db_id", "left_anti")).unionByName(
+        joined(_chunks(placed, chunk), head.join(many, "alert_db_id", "left_semi")))

@@ -824,8 +824,8 @@ def _(spark, d):
     return _shown(timeline.status_events(_changed(spark, d).history))
 
 
-def _runs(spark, d):
-    found = actions.resolve(V.playbook_requests(spark, d), V.alerts(spark, d))
+def _runs(spark, d, reports=None):
+    found = actions.resolve(V.playbook_requests(spark, d), V.alerts(spark, d, reports))
     return actions.executions(found.requests)
 
 
@@ -846,10 +846,11 @@ def _(spark, d):
     )
 
 
-def _events(spark, d):
+def _events(spark, d, reports=None):
+    reports = V.reports(spark, d) if reports is None else reports
     return timeline.event_log(
-        timeline.lifecycle_events(V.scored(spark, d)), timeline.status_events(_changed(spark, d).history),
-        timeline.playbook_events(_runs(spark, d)),
+        timeline.lifecycle_events(V.scored(spark, d, reports)), timeline.status_events(_changed(spark, d).history),
+        timeline.playbook_events(_runs(spark, d, reports)),
     )
 
 
@@ -895,8 +896,9 @@ SELECT a.id, a.alert_id, severity, risk_score, threat_verdict, coalesce(chunk_no
   FROM (SELECT *, row_number() OVER (PARTITION BY alert_db_id ORDER BY occurred_at, seq, event_type) AS pos
         FROM el) GROUP BY 1, 2) e ON alert_db_id = id"""))
 def _(spark, d):
-    events = cut_lineage(_events(spark, d))
-    return timeline.nested(V.alerts(spark, d), events).select(
+    reports = V.reports(spark, d)
+    events = cut_lineage(_events(spark, d, reports))
+    return timeline.nested(V.alerts(spark, d, reports), events).select(
         "id", "alert_id", "severity", "risk_score", "threat_verdict", "chunk_no", F.size("events").alias("n"),
         F.transform("events", lambda e: F.concat(e["event_type"], F.lit(" "), e["description"])).alias("kinds"),
         F.transform("events", lambda e: e["position"].cast("string")).alias("positions"),

@@ -32,13 +32,17 @@ def score(enriched: DataFrame, override: str | None = None) -> DataFrame:
 
 def scored_alerts(
     good: DataFrame, abuse: DataFrame, scan: DataFrame, geo: DataFrame, seen: DataFrame | None = None,
+    reports: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted raw alerts, enriched and scored, with their readable ids. `seen` may hold a
-    stored table with at least their addresses, where `good` itself is costly to read."""
+    stored table with at least their addresses, where `good` itself is costly to read, and
+    `reports` the report_table() of their addresses, where it is there already."""
     named = good.withColumns({
         "alert_id": intake.alert_name(F.col("id")), "updated_at": F.col("created_at"),
     })
-    return score(enrich.attach(named, enrich.report_table(named if seen is None else seen, abuse, scan, geo)))
+    if reports is None:
+        reports = enrich.report_table(named if seen is None else seen, abuse, scan, geo)
+    return score(enrich.attach(named, reports))
 
 
 def feeds_as_of(

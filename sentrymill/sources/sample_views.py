@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sentrymill import domains as D
 from sentrymill import schemas as S
 from sentrymill.functions.text import quoted
+from sentrymill.operators.enrich import report_table
 from sentrymill.plans.ingest import scored_alerts
 
 # The columns used here, so that no scan starts with a schema inference job.
@@ -161,13 +162,18 @@ def feeds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataF
     return ti_abuse(spark, folder), ti_scan(spark, folder), ti_geo(spark, folder)
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The report table of all alerts, for queries that score them more than once."""
+    return report_table(plain_alerts(spark, folder), *feeds(spark, folder))
+
+
+def scored(spark: SparkSession, folder: str, reports: DataFrame | None = None) -> DataFrame:
     """Enriched and scored alerts with the working columns of the intake."""
-    return scored_alerts(plain_alerts(spark, folder), *feeds(spark, folder))
+    return scored_alerts(plain_alerts(spark, folder), *feeds(spark, folder), reports=reports)
 
 
-def alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return scored(spark, folder).select(*S.ALERTS.fieldNames())
+def alerts(spark: SparkSession, folder: str, reports: DataFrame | None = None) -> DataFrame:
+    return scored(spark, folder, reports).select(*S.ALERTS.fieldNames())
 
 
 def light_alerts(spark: SparkSession, folder: str) -> DataFrame:

@@ -138,3 +138,49 @@ def test_token_numbers_of_a_heavy_session(spark, all_heavy):
             used[session] = used.get(session, 0) + 1
             want[(session, value)] = f"EMAIL_{used[session]:03d}"
     assert {(r.session_id, r.value): r.token for r in given} == want
+
+
+def test_only_events_of_heavy_alerts_are_sliced(spark, monkeypatch):
+    """The events of all others go by alert once; those without an alert belong to none."""
+    monkeypatch.setattr(skew, "LEAST_ROWS", 100)
+    events = spark.range(0, 400, 1, 4).selectExpr(
+        "if(id < 250, 1L, if(id = 399, NULL, id % 50)) AS alert_db_id", "'n' AS alert_id", "'k' AS event_type", "id AS seq", "'d' AS description",
+        "'{}' AS metadata_json", "timestamp_seconds(1000 - id) AS occurred_at")
+    heads = spark.range(0, 52).selectExpr(
+        "id", "'n' AS alert_id", "'t' AS alert_type", "'i' AS source_ip", "'High' AS severity", "'Open' AS status", "1.0D AS risk_score",
+        "'Clean' AS threat_verdict", "timestamp'2024-01-01' AS created_at")
+    sliced, real = [], timeline.sliced_row_number
+
+    def numbered(df, *args):
+        sliced.append(sorted(r.alert_db_id for r in df.select("alert_db_id").distinct().collect()))
+        return real(df, *args)
+
+    monkeypatch.setattr(timeline, "sliced_row_number", numbered)
+    want = {}
+    for r in events.where("alert_db_id is not null").collect():
+        want.setdefault(r.alert_db_id, []).append((r.occurred_at, r.seq))
+    got = {}
+    for r in timeline.nested(heads, events, chunk=100).orderBy("id", "chunk_no").collect():
+        assert len(r.events) <= 100 and [e.position for e in r.events] == list(range(r.chunk_no * 100 + 1, r.chunk_no * 100 + 1 + len(r.events)))
+        got.setdefault(r.id, []).extend((e.occurred_at, e.metadata_json) for e in r.events)
+    assert {k: [(at, "{}") for at, _ in sorted(v)] for k, v in want.items()} == {k: v for k, v in got.items() if v}
+    assert len(got) == 52 and sliced == [[1]]
+
+
+def test_reports_of_the_nested_query_are_worked_out_once(spark, monkeypatch, tmp_path):
+    from sentrymill.operators import enrich
+    from sentrymill.plans import catalog
+    from sentrymill.sources import sample_views
+    calls, real = [], enrich.report_table
+
+    def counted(*args):
+        calls.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(enrich, "report_table", counted)
+    monkeypatch.setattr(sample_views, "report_table", counted, raising=False)
+    spark.range(0, 200).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(id)) AS ts", "id % 90 AS user_id",
+        "'click' AS event_type", "double(id % 100) AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    nested = catalog.QUERIES["t8_nested"](spark, str(tmp_path))
+    assert nested.select("id").distinct().count() == 200 and len(calls) == 1
