@@ -136,14 +136,15 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs (`a` < `b`) of distinct fingerprints that differ in at most `bits` bits.
 
     `fps` holds distinct, non-null `fp`. Only fingerprints go through the join: copies of
-    a text are one fingerprint, whatever their number.
+    a text are one fingerprint, whatever their number. Spark sizes the keys by the
+    fingerprints, but each makes dozens of rows, so neither side may be broadcast.
     """
     if not 0 <= bits <= BITS:
         raise ValueError(f"bits must be from 0 to {BITS}")
     index = fuzzy_keys(fps, False).withColumnRenamed("fp", "a")
     probe = fuzzy_keys(fps, True).withColumnRenamed("fp", "b")
     return (
-        index.join(probe, "key")
+        index.join(probe.hint("merge"), "key")
         .where(f"a < b and bit_count(a ^ b) <= {bits}")
         .select("a", "b").distinct()
     )

@@ -80,6 +80,15 @@ def test_chains_of_links_are_one_component(spark):
     assert {r.root for r in roots} == {0} and len(roots) == len(fps) - 1
 
 
+def test_keys_are_not_broadcast(spark):
+    """Each fingerprint makes dozens of keys, which Spark takes for one: on some 100,000 texts
+    the broadcast of a table sized at 4 MB filled the driver's memory."""
+    nodes = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    for bits in (0, 3):
+        plan = simhash.links(nodes, bits)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_of_each_group_stays(make_docs, odd_rows):
     kept = simhash.keep_one(make_docs(odd_rows)).collect()
     assert len(kept[0]) == 11
