@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     fps = stored(fingerprints(docs))
     nodes = stored(fps.groupBy(F.col("fp")).agg(F.min("doc_id").alias("least")))
     ids = component_ids(nodes.withColumnRenamed("fp", "node"), links(nodes, bits))
-    return spread_join(fps, ids.withColumnRenamed("node", "fp"), ["fp"]).select(
+    # copies take next to nothing in the file that Spark sizes the rows by, so they are never broadcast
+    return spread_join(fps.hint("merge"), ids.withColumnRenamed("node", "fp"), ["fp"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -89,6 +89,12 @@ def test_keys_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_rows_of_copies_are_not_broadcast(spark, make_docs):
+    docs = make_docs([(1, "one two three"), (2, "four five six")]).crossJoin(spark.range(500))
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.search("BroadcastHashJoin|SortMergeJoin", plan)[0] == "SortMergeJoin"
+
+
 def test_one_of_each_group_stays(make_docs, odd_rows):
     kept = simhash.keep_one(make_docs(odd_rows)).collect()
     assert len(kept[0]) == 11
