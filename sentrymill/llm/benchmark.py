@@ -220,6 +220,8 @@ def _found(docs: DataFrame, items: DataFrame, least_share: float, verbatim: int)
         F.col("doc_id").cast("long").alias("doc_id"), texts_or_empty().alias("t"), F.xxhash64("text").alias("sub"))
     mine = bench.select("h", F.col("id").alias("item_id"), F.col("pos").alias("b"), F.col("slots").alias("b_slots"))
     theirs = _windows(texts, widths or [WINDOW], known).withColumnsRenamed({"pos": "d", "slots": "d_slots"})
+    if known is None:     # Spark sizes the windows by the documents, of which each makes hundreds: no broadcast
+        theirs = theirs.hint("merge")
     # a passage is bounded by its item, however often a text repeats itself
     passages = spread_join(theirs, mine, ["h"]).withColumn("distance", F.col("d") - F.col("b")).groupBy(
         "id", "sub", "item_id", "distance").agg(F.collect_set(F.struct("b", "b_slots", "d_slots")).alias("windows"))

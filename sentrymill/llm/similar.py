@@ -114,7 +114,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # only texts that are compared with another are kept at hand, each once
     met = held.select("node").unionByName(found.select(F.col("a").alias("node"))).unionByName(
         found.select(F.col("b").alias("node"))).distinct()
-    texts = stored(spread_join(every, met, ["node"]).groupBy("node").agg(F.first("text").alias("text")))
+    # (a semi-join can broadcast the nodes only, never texts that are sized by their compressed file)
+    texts = stored(spread_join(every, met, ["node"], "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     near = _checked(found, texts)
     parts = component_ids(nodes, near).select("node", F.xxhash64("component_id").alias("part"))
     placed = stored(spread_join(held.select("key", "node"), parts, ["node"]))

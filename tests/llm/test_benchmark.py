@@ -138,3 +138,17 @@ def test_a_long_verbatim_part_of_a_long_item(spark, make_docs):
         make_docs([(d, "so " + " ".join(p) + " on") for d, p in parts.items()]),
         spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {1: 60, 2: 13}
+
+
+def test_windows_of_documents_are_not_broadcast(spark, make_docs, tmp_path, monkeypatch):
+    """With a large benchmark every window of a document comes, and Spark sizes them by the
+    documents."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(30))) for i in range(300)]
+    make_docs([(1, "before it " + items[7][1] + " after it"), (2, "nothing of it")]).coalesce(1).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/items")
+    docs, items = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("docs", "items"))
+    for sent in (benchmark.SENT_HASHES, 10):
+        monkeypatch.setattr(benchmark, "SENT_HASHES", sent)
+        found = benchmark.contaminated(docs, items)
+        assert sent > 10 or "SortMergeJoin [h#" in found._jdf.queryExecution().executedPlan().toString()
+        assert [(r.doc_id, r.item_id, r.share) for r in found.collect()] == [(1, 7, 1.0)]

@@ -37,3 +37,15 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 8, 9, 10, 11]
     assert similar.keep_one(make_docs([])).count() == 0
+
+
+def test_texts_are_not_broadcast(spark, make_docs, tmp_path, monkeypatch):
+    """Copies of a text are next to nothing in a file, by which Spark sizes it."""
+    near = " ".join(f"w{i}" for i in range(200))
+    make_docs([(1, near), (2, near + " more")]).crossJoin(spark.range(2000)).drop("id").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    plans, stored = [], similar.stored
+    monkeypatch.setattr(similar, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    kept = similar.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+    texts = [p for p in plans if "first(text" in p]
+    assert len(texts) == 1 and "BuildLeft" not in texts[0]
+    assert [r.doc_id for r in kept.collect()] == [1]
